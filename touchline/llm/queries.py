@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import bpe, quality, toxicity
+from touchline.llm import bpe, quality, secret_scan, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.findings(_table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -26,7 +30,7 @@ def op10_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_gam, op9_toxicity_mil, op10_bpe_backtracking)}
+    return {f.__name__: f for f in (op1_quality_gam, op2_secret_scan, op9_toxicity_mil, op10_bpe_backtracking)}
 
 
 #: DuckDB SQL of the queries that SQL can express.
