@@ -136,7 +136,7 @@ class Backtracking:
         return out
 
     def decode(self, ids: np.ndarray) -> str:
-        return self.bytes[gather(self.starts[ids], self.lengths[ids], np)].tobytes().decode("utf-8", "replace")
+        return self.bytes[gather(self.starts[ids], self.lengths[ids])].tobytes().decode("utf-8", "replace")
 
 
 class Encoded:
@@ -175,7 +175,7 @@ class Encoded:
         for piece in set(pieces).difference(self.number):
             self.add(piece)
         which = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
-        ids = self.ids[gather(self.at[which], self.count[which], np)]
+        ids = self.ids[gather(self.at[which], self.count[which])]
         return ids, ",".join(map(self.said.__getitem__, which.tolist()))
 
 

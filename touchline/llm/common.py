@@ -6,7 +6,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,22 +134,35 @@ class ByteLevel:
         return out
 
 
-def bounds(counts, numpy):
-    """Offsets [0, c0, c0+c1, ...] of counts."""
-    out = numpy.zeros(len(counts) + 1, numpy.int64)
-    numpy.cumsum(counts, out=out[1:])
-    return out
-
-
-def gather(starts, lengths, numpy):
+def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of equal, non-null key from batches whose rows come sorted by it; a run may span batches."""
+    kept: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = b.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+        if kept and kept[-1].column(key)[0].as_py() != k[0]:
+            yield pa.Table.from_batches(kept)
+            kept = []
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            kept.append(b.slice(i, j - i))
+            if j < len(k):
+                yield pa.Table.from_batches(kept)
+                kept = []
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions start, start+1, ... of each run, joined."""
     total = int(lengths.sum())
     if not total:
-        return numpy.zeros(0, numpy.int64)
-    step = numpy.ones(total, numpy.int64)
+        return np.zeros(0, np.int64)
+    step = np.ones(total, np.int64)
     full = lengths > 0
     starts, lengths = starts[full], lengths[full]
-    heads = numpy.cumsum(lengths) - lengths
+    heads = np.cumsum(lengths) - lengths
     step[heads[0]] = starts[0]
     step[heads[1:]] = starts[1:] - (starts[:-1] + lengths[:-1] - 1)
-    return numpy.cumsum(step)
+    return np.cumsum(step)

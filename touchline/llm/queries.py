@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import bpe, minhash, quality, secret_scan, toxicity
+from touchline.llm import bpe, embed_dedup, minhash, quality, secret_scan, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.clusters(_table(spark, sf_dir, "documents"), minhash.Settings(words=4))
 
 
+def op4_embedding_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.clusters(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -34,7 +38,7 @@ def op10_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_gam, op2_secret_scan, op3_minhash_dedup, op9_toxicity_mil, op10_bpe_backtracking)}
+    return {f.__name__: f for f in (op1_quality_gam, op2_secret_scan, op3_minhash_dedup, op4_embedding_passes, op9_toxicity_mil, op10_bpe_backtracking)}
 
 
 #: DuckDB SQL of the queries that SQL can express.
