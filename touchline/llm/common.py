@@ -119,6 +119,10 @@ class ByteLevel:
             out += [part] if part in self.special else self._plain(part)
         return out
 
+    def common(self, text: str) -> bool:
+        """Whether the text holds common Latin characters only and no special string."""
+        return _COMMON.search(text) is None and not any(s in text for s in self.special)
+
     def _plain(self, text: str) -> list[str]:
         if _COMMON.search(text) is None:
             return _SPLIT.findall(text)
