@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import bpe, embed_dedup, minhash, quality, repair, secret_scan, toxicity
+from touchline.llm import bpe, decontam, embed_dedup, minhash, quality, repair, secret_scan, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op7_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digests(_table(spark, sf_dir, "documents"))
 
 
+def op8_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -42,7 +46,7 @@ def op10_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_gam, op2_secret_scan, op3_minhash_dedup, op4_embedding_passes, op7_repair_token_files, op9_toxicity_mil, op10_bpe_backtracking)}
+    return {f.__name__: f for f in (op1_quality_gam, op2_secret_scan, op3_minhash_dedup, op4_embedding_passes, op7_repair_token_files, op8_latent_decontamination, op9_toxicity_mil, op10_bpe_backtracking)}
 
 
 #: DuckDB SQL of the queries that SQL can express.
