@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import toxicity
+from touchline.llm import bpe, decontam, minhash, secret_scan, toxicity
+from touchline.llm.common import settle
 
 #: The stages draw on fitted models and sketches that SQL cannot express; tests compare with brute force.
 ORACLE_SQL = None
@@ -14,15 +15,45 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
     return toxicity.reject_toxic(docs, _table(spark, sf_dir, "labels"))
 
 
-STAGES = [("toxicity", toxic)]
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (shingles of five words, similarity 0.8 or more) stays."""
+    return minhash.deduplicate(docs)
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontam.reject_leaks(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the texts; the documents stay."""
+    return secret_scan.redact(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the texts decoded from them."""
+    return bpe.digests(docs)
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("near duplicates", without_near_duplicates),
+    ("decontamination", without_leaks),
+    ("secrets", without_secrets),
+    ("encoding", encoded),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again by the next."""
     docs = _table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = settle(docs)
     return docs
