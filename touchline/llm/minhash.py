@@ -6,9 +6,10 @@ the signature: the coordinates of one shingle are a slice of the second permutat
 that share a band are candidates, and exact Jaccard on full sets confirms each link.
 
 Documents with equal sets are one node. Inside a band's bucket no pairs are spelled out: members are first held against the
-member that is most similar to all, then, round by round, those in other components than most of the bucket against their most
-similar members of other components (by the whole signature), each round more of them, until every promising pair between
-components is confirmed or refuted. Buckets above `Settings.block` members are split into blocks that meet pairwise.
+member that is most similar to all and against a few others. Then those that hang together with less than most of their bucket
+are held, set against set, against every promising member of other components (by the whole signature) until a link to that
+component is found, so that every promising pair between components is confirmed or refuted; only links leave the bucket.
+Buckets above `Settings.block` members are split into blocks that meet pairwise.
 
 Defined results: null, empty and blank texts have no shingles, link with nothing and are kept; repeated rows are copies of each
 other; rows without an id get no component and are kept.
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import CACHE_WORDS, WordCache, components, settle
+from touchline.llm.common import CACHE_WORDS, WordCache, components, runs, settle
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
@@ -39,7 +40,7 @@ class Settings:
     rows: int = 5  #: coordinates in a band; a pair at 0.8 is missed by all bands with probability 1.2e-7
     coordinates: int = 256
     slack: float = 0.1  #: pairs whose estimate falls short of the threshold by more (four deviations) are not confirmed
-    first: int = 4  #: partners of a document in the first round; each round takes eight times as many
+    first: int = 4  #: partners of a document in the first round
     block: int = 1024
 
 
@@ -145,72 +146,88 @@ def _sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
     return found.where("node = wanted").select("node", "shingles").dropDuplicates(["node"])
 
 
-def _promising(settings: Settings, partners: int):
-    """Rows (bucket, node, label, n, bands, sig), buckets together -> pairs (a, b) worth confirming; more: some were left out."""
-    least = settings.percent / 100 - settings.slack
-
-    def pairs(nodes, labels, n, bands, sig):
-        m = len(nodes)
-        alike = np.empty((m, m), np.float32)
-        for i in range(m):
-            alike[i] = (sig[i] == sig).mean(axis=1)
-        fits = (alike >= least) & (100 * np.minimum(n[:, None], n) >= settings.percent * np.maximum(n[:, None], n))
-        fits &= labels[:, None] != labels
-        if not fits.any():
-            return [], False
-        values, counts = np.unique(labels, return_counts=True)
-        centre = int(alike.sum(axis=1).argmax())
-        out = [(i, centre) for i in np.flatnonzero(fits[centre])]
-        rest = labels != (values[counts.argmax()] if counts.max() > 1 else labels[centre])
-        more = False
-        for i in np.flatnonzero(rest & fits.any(axis=1)):
-            js = np.flatnonzero(fits[i])
-            js = js[js != centre]
-            js = js[np.argsort(-alike[i, js], kind="stable")]
-            more |= len(js) > partners
-            out += [(i, j) for j in js[:partners]]
-        return out, more
+def _similar(t: pa.Table, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one block: nodes, estimates, promising pairs between components, members outside the largest component, the medoid."""
+    nodes, labels, n = (t.column(c).to_numpy() for c in ("node", "label", "n"))
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(nodes), -1)
+    alike = np.empty((len(nodes), len(nodes)), np.float32)
+    for i in range(len(nodes)):
+        alike[i] = (sig[i] == sig).mean(axis=1)
+    fits = alike >= settings.percent / 100 - settings.slack
+    fits &= 100 * np.minimum(n[:, None], n) >= settings.percent * np.maximum(n[:, None], n)
+    fits &= labels[:, None] != labels
+    centre = int(alike.sum(axis=1).argmax())
+    values, counts = np.unique(labels, return_counts=True)
+    rest = labels != (values[counts.argmax()] if counts.max() > 1 else labels[centre])
+    return nodes, alike, fits, rest, centre
+
+
+def _first_pairs(settings: Settings):
+    """Blocks -> (a, b): every member with the medoid, if promising, and with its most similar others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []
-
-        def flush(table: pa.Table) -> pa.RecordBatch:
-            key = table.column("bucket").to_numpy()
-            cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-            nodes, labels, n = (table.column(c).to_numpy() for c in ("node", "label", "n"))
-            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(key), -1)
-            a, b, more = [], [], []
-            for i, j in zip(cut[:-1], cut[1:], strict=True):
-                got, left = pairs(nodes[i:j], labels[i:j], n[i:j], None, sig[i:j])
-                for x, y in {(min(nodes[i + p], nodes[i + q]), max(nodes[i + p], nodes[i + q])) for p, q in got}:
-                    a.append(x), b.append(y), more.append(left)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], names=["a", "b", "more"]
-            )
+        for t in runs(batches, "block"):
+            nodes, alike, fits, rest, centre = _similar(t, settings)
+            out = {(int(i), centre) for i in np.flatnonzero(fits[centre])}
+            for i in np.flatnonzero(rest & fits.any(axis=1)):
+                js = np.flatnonzero(fits[i])
+                out |= {(int(i), int(j)) for j in js[np.argsort(-alike[i, js], kind="stable")][: settings.first]}
+            a, b = ([int(f(nodes[i], nodes[j])) for i, j in out] for f in (min, max))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key = b.column("bucket").to_numpy()
-            last = int(np.searchsorted(key != key[-1], False)) if key[0] == key[-1] else int(np.flatnonzero(key != key[-1])[-1]) + 1
-            if last:
-                yield flush(pa.Table.from_batches([*kept, b.slice(0, last)]))
-                kept = []
-            kept.append(b.slice(last))
-        if kept:
-            yield flush(pa.Table.from_batches(kept))
+    return run
+
+
+def _involved(settings: Settings):
+    """Blocks -> (block, bucket, node) of the members of promising pairs between components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, "block"):
+            _, _, fits, rest, _ = _similar(t, settings)
+            some = fits & rest[:, None]
+            yield from t.select(["block", "bucket", "node"]).filter(pa.array(some.any(axis=1) | some.any(axis=0))).to_batches()
+
+    return run
+
+
+def _links(settings: Settings):
+    """Blocks with sets -> (u, v): a link from each member outside the largest component to each other component, if there is one.
+
+    A pair that shares several bands is held together in the first of them only.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, "block"):
+            nodes, alike, fits, rest, _ = _similar(t, settings)
+            labels, bucket = t.column("label").to_numpy(), t.column("bucket")[0].as_py()
+            bands = np.array(t.column("bands").to_pylist(), np.int64)
+            sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+            u, v = [], []
+            for i in np.flatnonzero(rest & fits.any(axis=1)):
+                js = np.flatnonzero(fits[i])
+                first = (bands[js] == bands[i]).argmax(axis=1)
+                js = js[bands[i][first] == bucket]
+                done = set()
+                for j in js[np.argsort(-alike[i, js], kind="stable")]:
+                    if labels[j] not in done and linked(sets[i], sets[j], settings.percent):
+                        done.add(labels[j])
+                        u.append(int(nodes[i])), v.append(int(nodes[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
 
 
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirmed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
             for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+                ok.append(linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
             yield pa.RecordBatch.from_arrays(
                 [b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "linked"]
             )
@@ -218,6 +235,30 @@ def _confirmed(percent: int):
     return run
 
 
+def _blocks(members: DataFrame, labels: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
+    """Members of the buckets that hold several components, by block: block, bucket, node, label, n, sig."""
+    known = members.join(labels, "node")
+    mixed = known.groupBy("bucket").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("bucket")
+    active = known.join(mixed, "bucket").join(nodes.select("node", "n", "sig"), "node")
+    parts = F.ceil(F.col("m") / settings.block)
+    active = active.withColumn("mine", F.pmod(F.xxhash64("node"), parts))
+    active = active.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    pair = F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))
+    block = F.when(F.col("m") <= settings.block, F.col("bucket")).otherwise(pair).alias("block")
+    return active.select(block, "bucket", "node", "label", "n", "sig")
+
+
+def _together(blocks: DataFrame) -> DataFrame:
+    return blocks.repartition("block").sortWithinPartitions("block", "node")
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after the components of links(u, v) between labels have become one."""
+    merged = components(links).withColumnRenamed("label", "to")
+    joined = labels.join(merged, labels.label == merged.node, "left")
+    return settle(joined.select(labels.node, F.coalesce("to", "label").alias("label")))
+
+
 def clusters(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     rows = settle(sketch(docs, settings))
@@ -232,45 +273,22 @@ def clusters(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     members = settle(members.join(shared, "bucket"))
     wanted = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
     sets = settle(_sets(docs, wanted, settings))
-    labels = settle(sets.select("node", F.col("node").alias("label")))
-    tried, partners = None, settings.first
-    while True:
-        known = members.join(labels, "node")
-        mixed = known.groupBy("bucket").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("bucket")
-        active = known.join(mixed, "bucket").join(nodes.select("node", "n", "sig"), "node")
-        blocks = F.ceil(F.col("m") / settings.block)
-        mine = F.pmod(F.xxhash64("node"), blocks)
-        active = active.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        active = active.select(
-            F.when(F.col("m") <= settings.block, F.col("bucket"))
-            .otherwise(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")))
-            .alias("bucket"),
-            "node", "label", "n", "sig",
-        ).repartition("bucket").sortWithinPartitions("bucket", "node")
-        found = active.mapInArrow(_promising(settings, partners), "a long, b long, more boolean")
-        found = found.groupBy("a", "b").agg(F.max("more").alias("more"))
-        if tried is not None:
-            found = found.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = (
-            found.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-            .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-            .select("a", "b", "x", "y")
-        )
-        new = settle(pairs.mapInArrow(_confirmed(settings.percent), "a long, b long, linked boolean"))
-        fresh, linked = new.agg(F.count("*"), F.count_if("linked")).first()
-        if not fresh:
-            break
-        tried = new if tried is None else tried.union(new)
-        if linked:
-            by = labels.withColumnRenamed("node", "a").withColumnRenamed("label", "u")
-            joined = new.where("linked").join(by, "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("v")), "b")
-            merged = components(joined.select("u", "v"))
-            labels = settle(
-                labels.join(merged, labels.label == merged.node, "left").select(
-                    labels.node, F.coalesce(merged.label, labels.label).alias("label")
-                )
-            )
-        partners *= 8
+    labels = sets.select("node", F.col("node").alias("label"))
+    blocks = _blocks(members, labels, nodes, settings)
+    found = _together(blocks).mapInArrow(_first_pairs(settings), "a long, b long").distinct()
+    pairs = (
+        found.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+        .select("a", "b", "x", "y")
+    )
+    confirmed = pairs.mapInArrow(_confirmed(settings.percent), "a long, b long, linked boolean").where("linked")
+    labels = _relabelled(labels, confirmed.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    blocks = settle(_blocks(members, labels, nodes, settings))
+    involved = settle(_together(blocks).mapInArrow(_involved(settings), "block long, bucket long, node long"))
+    whole = involved.join(labels, "node").join(sets, "node").join(nodes.select("node", "n", "bands", "sig"), "node")
+    late = _together(whole).mapInArrow(_links(settings), "u long, v long")
+    labels = _relabelled(labels, late.join(labels.select(F.col("node").alias("u"), F.col("label").alias("p")), "u").join(
+        labels.select(F.col("node").alias("v"), F.col("label").alias("q")), "v").select(F.col("p").alias("u"), F.col("q").alias("v")))
     ids = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = ids.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     ids = ids.join(least, "label").select("node", "component_id")
@@ -283,8 +301,9 @@ def clusters(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 def deduplicate(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One document of each group stays (the smallest id; of rows with one id and text, one), with its own columns."""
-    found = settle(clusters(docs, settings))
-    keep = found.where("kept").select("doc_id").distinct()
-    named = docs.withColumn("_text", F.xxhash64("text"))
-    with_id = named.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "_text"])
-    return with_id.unionByName(named.where("doc_id is null")).select(*docs.columns)
+    found = settle(clusters(docs, settings).where("kept").select("doc_id"))
+    keep = found.distinct()
+    stay = docs.join(keep, "doc_id", "left_semi")
+    if found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count():
+        stay = stay.dropDuplicates(["doc_id", "text"])
+    return stay.unionByName(docs.where("doc_id is null")).select(*docs.columns)
