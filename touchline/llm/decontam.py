@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Inverse document frequencies come from all documents. The TF-IDF rows of the benchmark's passages, in blocks of bounded size, go
-through a randomised SVD whose products are Spark aggregates; every window of every document is folded into that space and held
-against all items of the block by cosine. Candidates are then checked on the words themselves: the longest common subsequence
+through a randomised SVD whose products are Spark aggregates; every window of every document that shares enough weight with the
+benchmark is folded into that space and held against all items of the block by cosine. Candidates are then checked on the words themselves: the longest common subsequence
 of item and surrounding text, and whether the item's answer (its last sentence) is there too. An item counts as leaked if nearly
 all of its words follow in order, or if a good part does and the answer is found, which catches paraphrases.
 
@@ -16,6 +16,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,12 @@ _EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_"
 class Settings:
     bits: int = 17  #: words are hashed to 2**bits terms
     items: int = 2048  #: benchmark items in a block; a block's factors stay under items * 2**bits bounds below
-    rank: int = 256
-    oversample: int = 8
+    rank: int = 96
+    oversample: int = 16
     tile: int = 8  #: windows begin at every tile-th word and hold 2, 4 and 8 tiles
-    cosine: float = 0.35
+    cosine: float = 0.6  #: in the latent space
+    cover: float = 0.4  #: share of an item, in the latent space, that a window covers
+    share: float = 0.3  #: of a window's squared weight that is in terms of the benchmark
     sure: float = 0.8  #: share of an item's words, in order, that is a leak by itself
     likely: float = 0.5  #: share that is a leak if the answer is there
     answer: float = 0.8  #: share of the answer's words, in order, that counts as there
@@ -73,8 +76,8 @@ def document_frequency(docs: DataFrame, settings: Settings) -> tuple[np.ndarray,
         for b in batches:
             for t in b.column("text").to_pylist():
                 n += 1
-                there = set(words(t))
-                counts[list(set(map(cache.__getitem__, there)))] += 1
+                w = words(t)
+                counts[np.unique(np.fromiter(map(cache.__getitem__, w), np.int32, len(w)))] += 1
                 if len(cache) > CACHE_WORDS:
                     cache.clear()
         counts[0] = n
@@ -120,7 +123,9 @@ def latent_space(items: DataFrame, idf: np.ndarray, settings: Settings) -> Space
             out = []
             for r, t in zip(b.column("row").to_pylist(), b.column("text").to_pylist(), strict=True):
                 at, tf = np.unique([term(w, bits) for w in words(t)], return_counts=True)
-                out += [(r, int(i), float(c * here.value[i])) for i, c in zip(at, tf, strict=True) if here.value[i] > 0]
+                x = tf * here.value[at]
+                size = float(np.linalg.norm(x)) or 1.0
+                out += [(r, int(i), float(v) / size) for i, v in zip(at, x, strict=True) if v > 0]
             cols = list(zip(*out, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["row", "term", "x"]
@@ -154,7 +159,8 @@ def latent_space(items: DataFrame, idf: np.ndarray, settings: Settings) -> Space
     where = np.zeros(1 << bits, np.int32)
     where[used] = np.arange(1, len(used) + 1)
     latent = (q @ u)[:, :keep] * s[:keep]
-    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+    own = {r: float(np.linalg.norm(here.value[[term(w, bits) for w in words(t.text)]] if words(t.text) else 0)) for r, t in named.items()}
+    latent *= np.array([own[r] for r in sketch.row])[:, None]  # as long as the item's own weights make it
     order = [named[r] for r in sketch.row]
     return Space(where, terms, latent.astype(np.float32), [r.item_id for r in order], [plain(r.text) for r in order], [answer_of(r.text) for r in order])
 
@@ -174,11 +180,21 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
+def _doubled(x: np.ndarray, step: int) -> np.ndarray:
+    """Each entry and the one `step` places on, added; entries near the end stand alone."""
+    out = x.copy()
+    out[: len(x) - step] += x[step:]
+    return out
+
+
 def search(space: Space, idf: np.ndarray, settings: Settings):
     """A function of texts: for each text its leaked items, as (item, cosine, share of words, share of answer, first word)."""
     cache = WordCache(lambda w: term(w, settings.bits))
-    heavy = idf**2
-    tile = settings.tile
+    heavy, tile = idf**2, settings.tile
+    weighted = np.zeros_like(space.terms)  # each term's row times its weight
+    weighted[space.row[space.row > 0]] = space.terms[space.row[space.row > 0]] * idf[space.row > 0][:, None]
+    length = np.maximum(np.linalg.norm(space.items, axis=1), 1e-9)
+    latent = np.ascontiguousarray((space.items / length[:, None]).T)
 
     def run(texts: list[str | None]) -> list[dict[int, tuple]]:
         out: list[dict[int, tuple]] = [{} for _ in texts]
@@ -189,39 +205,32 @@ def search(space: Space, idf: np.ndarray, settings: Settings):
         total = int(ends[-1]) if len(ends) else 0
         if not total or not space.names:
             return out
-        ids = np.fromiter((i for s in said for i in map(cache.__getitem__, s)), np.int32, total)
+        ids = np.fromiter(map(cache.__getitem__, chain.from_iterable(said)), np.int32, total)
         mass, row = heavy[ids], space.row[ids]
+        at = np.flatnonzero(row)
+        if not len(at):
+            return out
         cuts = np.arange(0, total, tile)
         whole = np.add.reduceat(mass, cuts)
-        inside = np.where((row > 0) & (mass > 0), mass, 0)
-        part = np.add.reduceat(inside, cuts)
-        at = np.flatnonzero(inside)
-        found: dict[tuple[int, int], tuple[float, int, int]] = {}
-        for tiles in (2, 4, 8):
-            n = max(1, len(cuts) - tiles + 1)
-            reach = np.minimum(np.arange(n) + tiles, len(cuts))
-            sum_whole, sum_part = (np.concatenate(([0.0], np.cumsum(x, dtype=np.float64))) for x in (whole, part))
-            full = sum_whole[reach] - sum_whole[:n]
-            own = sum_part[reach] - sum_part[:n]
-            for w in np.array_split(np.flatnonzero((own > 0) & (own >= settings.cosine**2 * full)), 1 + n // 4096):
-                if not len(w):
-                    continue
-                first = np.searchsorted(at, w * tile)
-                count = np.searchsorted(at, np.minimum((w + tiles) * tile, total)) - first
-                x = np.zeros((len(w), space.terms.shape[1]), np.float32)
-                taken = at[np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-                vectors = space.terms[row[taken]] * idf[ids[taken]][:, None]
-                heads = np.cumsum(count) - count
-                x[:] = np.add.reduceat(vectors, heads, axis=0)
-                near = (x @ space.items.T) / np.sqrt(full[w])[:, None].astype(np.float32)
-                for i, j in zip(*np.nonzero(near >= settings.cosine), strict=True):
-                    a, b = int(w[i]) * tile, min(int(w[i] + tiles) * tile, total)
-                    for d in range(int(np.searchsorted(ends, a, "right")), int(np.searchsorted(ends, b - 1, "right")) + 1):
-                        best = found.get((d, int(j)), (0.0,))
-                        c = float(near[i, j])
-                        spans = [*best[1:], (a, b)]
-                        found[d, int(j)] = (max(c, best[0]), *spans)
-        for (d, j), (c, *spans) in found.items():
+        part = np.bincount(at // tile, mass[at], len(cuts))
+        vectors = np.zeros((len(cuts), weighted.shape[1]), np.float32)
+        full = np.flatnonzero(np.diff(at // tile, prepend=-1))
+        vectors[at[full] // tile] = np.add.reduceat(weighted[row[at]], full, axis=0)
+        found: dict[tuple[int, int], tuple[float, list]] = {}
+        for step in (1, 2, 4):  # windows of 2, 4 and 8 tiles, each the sum of two of the size before
+            whole, part, vectors = (_doubled(x, step) for x in (whole, part, vectors))
+            w = np.flatnonzero((part > 0) & (part >= settings.share * whole))
+            x = vectors[w]
+            near = x @ latent
+            covers = near >= settings.cover * length
+            near /= np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-9)[:, None]
+            for i, j in zip(*np.nonzero(covers & (near >= settings.cosine)), strict=True):
+                a, b = int(w[i]) * tile, min((int(w[i]) + 2 * step) * tile, total)
+                for d in range(int(np.searchsorted(ends, a, "right")), int(np.searchsorted(ends, b - 1, "right")) + 1):
+                    best, spans = found.get((d, int(j)), (0.0, []))
+                    found[d, int(j)] = (max(best, float(near[i, j])), spans)
+                    spans.append((a, b))
+        for (d, j), (c, spans) in found.items():
             begin, end = int(ends[d] - len(said[d])), int(ends[d])
             item, answer = space.texts[j], space.answers[j]
             margin = len(item) + 8
