@@ -71,7 +71,7 @@ def jsonld_matches(pages: DataFrame, html: str = "html") -> DataFrame:
     """The parse stage of a scrape: JSON-LD sports events out of raw pages. Fetching is not part of the engine."""
     block = F.explode(F.regexp_extract_all(html, F.lit(r'(?s)<script type="application/ld\+json">(.*?)</script>'), F.lit(1)))
     schema = "name string, startDate string, homeTeam struct<name:string>, awayTeam struct<name:string>"
-    doc = pages.select(*[c for c in pages.columns if c != html], F.from_json(block, schema).alias("e"))
+    doc = pages.withColumn("_block", block).withColumn("e", F.from_json("_block", schema))
     return doc.select(
         *[c for c in pages.columns if c != html], F.col("e.name").alias("name"), F.try_to_timestamp("e.startDate").alias("kick_off"),
         F.col("e.homeTeam.name").alias("home"), F.col("e.awayTeam.name").alias("away"),
