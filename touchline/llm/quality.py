@@ -127,7 +127,9 @@ def _crossed(g: np.ndarray, h: np.ndarray, n: np.ndarray, leaf: int) -> np.ndarr
 
 def boost(x: np.ndarray, y: np.ndarray, settings: Settings) -> Model:
     """Fit the tables; y holds 0 and 1."""
-    share = float(y.mean()) if len(y) else 0.5
+    if not len(y):
+        return Model(0.0)
+    share = float(y.mean())
     if not 0 < share < 1:
         share = min(max(share, 1e-9), 1 - 1e-9)
         return Model(float(np.log(share / (1 - share))))

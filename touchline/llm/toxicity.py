@@ -41,7 +41,7 @@ class Settings:
 
 
 def chunks(text: str) -> list[str]:
-    """Lower-cased chunks between white space; a line end becomes a chunk of its own that ends a sentence."""
+    """Lower-cased chunks between white space; a line end becomes a chunk of its own that ends a sentence (alone, after a full stop)."""
     return text.lower().replace("\n", " . ").split() or ["."]
 
 
