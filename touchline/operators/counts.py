@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import scoring as S
 from touchline.operators.ladder import match_points
+from touchline.operators.relational import running
 
 
 def linear_predictor(rows: DataFrame, x: str, beta: str, base: str) -> DataFrame:
@@ -95,7 +96,8 @@ def newcomer_anchor(draws: DataFrame) -> DataFrame:
     """Median by key, its empirical distribution from counts by distinct median, and the lower quartile of the medians."""
     m = draws.select("key", "factor", F.explode("beta").alias("v")).groupBy("key", "factor").agg(F.median("v").alias("med"))
     by = m.groupBy("med").agg(F.count("*").alias("n"))
-    ecdf = F.sum("n").over(Window.orderBy("med")) / F.sum("n").over(Window.partitionBy())
+    by = running(by, "med", ["n"], totals=True)
+    ecdf = F.col("n_sum") / F.col("n_all")
     low = m.agg(F.percentile("med", F.lit(0.25)).alias("newcomer"))
     return m.join(by.select("med", ecdf.alias("ecdf")), "med").crossJoin(F.broadcast(low)).select(
         "key", "factor", F.round("med", 6).alias("med"), F.round("ecdf", 6).alias("ecdf"), F.round("newcomer", 6).alias("newcomer")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import scoring as S
+from touchline.operators.relational import running
 
 
 def metrics(rows: DataFrame, *groups: str) -> DataFrame:
@@ -102,8 +103,7 @@ def ks_p_value(d: float, n: int) -> float:
 def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the curve by rank sum with average ties, from counts by distinct score."""
     by = rows.groupBy(score).agg(F.sum(label).cast("double").alias("pos"), F.count("*").cast("double").alias("n"))
-    below = F.sum("n").over(Window.orderBy(score)) - F.col("n")
-    by = by.withColumn("rank", below + (F.col("n") + 1) / 2)
+    by = running(by, score, ["n"]).withColumn("rank", F.col("n_sum") - F.col("n") + (F.col("n") + 1) / 2)
     p, n = F.sum("pos"), F.sum("n")
     return by.agg(((F.sum(F.col("rank") * F.col("pos")) - p * (p + 1) / 2) / (p * (n - p))).alias("auc"))
 
@@ -112,10 +112,11 @@ def wasserstein(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     """Area between two empirical distribution functions, from counts by distinct value."""
     x = a.select(F.col(value).alias("x"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(b.select(F.col(value), F.lit(0), F.lit(1)))
     by = x.groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    w = Window.orderBy("x")
-    of = lambda c: F.sum(c).over(w) / F.sum(c).over(Window.partitionBy())
-    by = by.select("x", F.abs(of("a") - of("b")).alias("gap"), (F.lead("x").over(w) - F.col("x")).alias("width"))
-    return by.agg(F.sum(F.col("gap") * F.col("width")).alias("distance"))
+    # the area is the sum over gaps between neighbouring values: each value closes one gap and opens the next
+    by = running(by, "x", ["a", "b"], totals=True)
+    f = F.col("a_sum") / F.col("a_all") - F.col("b_sum") / F.col("b_all")
+    before = (F.col("a_sum") - F.col("a")) / F.col("a_all") - (F.col("b_sum") - F.col("b")) / F.col("b_all")
+    return by.agg(F.sum(F.col("x") * (F.abs(before) - F.abs(f))).alias("distance"))
 
 
 def wald(p: float, n: int, level: float = 0.95) -> tuple[float, float]:

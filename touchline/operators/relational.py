@@ -35,6 +35,29 @@ def mirrored(rows: DataFrame) -> DataFrame:
     return rows.unionByName(other)
 
 
+def ranged(rows: DataFrame, order: str, name: str = "_part") -> DataFrame:
+    """Number the value ranges that a numeric column falls into, as many as there are shuffle partitions, about equally filled."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = rows.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("_cuts"))
+    return rows.crossJoin(F.broadcast(cuts)).withColumn(name, F.size(F.filter("_cuts", lambda q: q < F.col(order)))).drop("_cuts")
+
+
+def running(rows: DataFrame, order: str, values: list[str], totals: bool = False) -> DataFrame:
+    """Running sums of values by a numeric order, as columns <value>_sum: windows inside ranges, plus the sums of the ranges below
+    (one row per range), so that no task sees all rows. With totals also <value>_all."""
+    r = ranged(rows, order)
+    sums = r.groupBy("_part").agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    below = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(
+        "_part", *[F.coalesce(F.sum(f"_{v}").over(below), F.lit(0)).alias(f"_{v}_below") for v in values],
+        *[F.sum(f"_{v}").over(Window.partitionBy()).alias(f"{v}_all") for v in values],
+    )
+    w = Window.partitionBy("_part").orderBy(order)
+    out = r.withColumns({f"{v}_sum": F.sum(v).over(w) for v in values}).join(F.broadcast(sums), "_part")
+    out = out.withColumns({f"{v}_sum": F.col(f"{v}_sum") + F.col(f"_{v}_below") for v in values})
+    return out.drop("_part", *[f"_{v}_below" for v in values], *([] if totals else [f"{v}_all" for v in values]))
+
+
 def nearest(treated: DataFrame, control: DataFrame, score: str) -> DataFrame:
     """For each treated (id, score) the control with the nearest score, with replacement; ties take the lower score, then id.
 
@@ -43,10 +66,7 @@ def nearest(treated: DataFrame, control: DataFrame, score: str) -> DataFrame:
     """
     t = treated.select("id", score, F.lit(None).cast("long").alias("c"))
     both = t.unionByName(control.select(F.lit(None).cast("long").alias("id"), score, F.col("id").alias("c")))
-    parts = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = control.agg(F.percentile_approx(score, [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("q"))
-    at = F.size(F.filter("q", lambda q: q < F.col(score)))
-    both = both.crossJoin(F.broadcast(cuts)).withColumn("part", at).drop("q")
+    both = ranged(both, score, "part")
     ends = both.where("c is not null").groupBy("part").agg(
         F.max(F.struct(score, (-F.col("c")).alias("k"))).alias("top"), F.min(F.struct(score, F.col("c").alias("k"))).alias("bottom")
     )
