@@ -49,17 +49,20 @@ def ranked(table: DataFrame) -> DataFrame:
     ).withColumn("conceded_rank_int", F.floor("conceded_rank").cast("int"))
 
 
-def last_day_before(days: DataFrame) -> DataFrame:
-    """Each match day of a league and season with the one before it."""
-    before = F.lag("gameday").over(Window.partitionBy(*KEYS).orderBy("gameday"))
-    return days.select(*KEYS, "gameday").distinct().withColumn("prior", before)
+def before_day(table: DataFrame, columns: list[str]) -> DataFrame:
+    """Standings as they were before each match day, that is, at the last one before it.
+
+    The table is dense (every team on every match day of its season), so this is a lag in the window order the sums already have.
+    """
+    w = Window.partitionBy(*KEYS, "team").orderBy("gameday")
+    return table.select(*KEYS, "gameday", "team", *[F.lag(c).over(w).alias(c) for c in columns])
 
 
 def prior_standing(sides: DataFrame, table: DataFrame, columns: list[str], suffix: str, team: str = "team") -> DataFrame:
-    """Join to each row the standing of `team` at the last match day before its own; zeros before the first."""
-    days = last_day_before(table)
-    snap = table.select(*KEYS, F.col("gameday").alias("prior"), F.col("team").alias(team), *[F.col(c).alias(c + suffix) for c in columns])
-    rows = sides.join(days, [*KEYS, "gameday"], "left").join(snap, [*KEYS, "prior", team], "left").drop("prior")
+    """Join to each row the standing of `team` before its match day; zeros before the first."""
+    snap = before_day(table, columns)
+    snap = snap.select(*KEYS, "gameday", F.col("team").alias(team), *[F.col(c).alias(c + suffix) for c in columns])
+    rows = sides.join(snap, [*KEYS, "gameday", team], "left")
     return rows.withColumns({c + suffix: F.coalesce(c + suffix, F.lit(0)) for c in columns})
 
 
