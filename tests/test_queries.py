@@ -1,5 +1,11 @@
 """Every query of the library against its DuckDB SQL on the smallest tables."""
 
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 from touchline.plans.catalogue import ORACLES, QUERIES
@@ -44,3 +50,11 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns[:3] == ["league", "season", "team"] and df.count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_without_the_optional_part(tmp_path):
+    root = Path(__file__).resolve().parent.parent
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    shutil.copytree(root / "touchline", tmp_path / "touchline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'ladder_snapshot' in q and 'pipeline' not in q and not [k for k in q if k.startswith('op')]"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": ""})
