@@ -20,15 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import CACHE_WORDS
-
 MARK = "▁"
 
 
 @dataclass(frozen=True)
 class Settings:
     vocabulary: str = "piece_bpe_32k.model"
-    nodes: int = 600_000  #: trie nodes that a worker keeps at most
+    nodes: int = 1_200_000  #: trie nodes that a worker keeps at most
+    words: int = 800_000  #: words whose counts it keeps at most
     shift: int = 10
 
 
@@ -98,7 +97,7 @@ def token_counts(docs: DataFrame, settings: Settings = Settings(), path: str | N
         for b in batches:
             words, tokens = [], []
             for t in b.column("text").to_pylist():
-                if len(trie) > CACHE_WORDS or len(trie.best) > settings.nodes:
+                if len(trie) > settings.words or len(trie.best) > settings.nodes:
                     trie.restart()
                 w = (t or "").split()
                 words.append(len(w))
