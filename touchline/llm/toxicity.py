@@ -36,7 +36,7 @@ class Settings:
     least: int = 4  #: sampled documents that a word must occur in to get a weight
     steps: int = 160
     rate: float = 0.3
-    sparsity: float = 1e-3  #: L1 penalty: words that say little get no weight
+    sparsity: float = 1e-4  #: L1 penalty: words that say little get no weight
     threshold: float = 0.5
 
 
@@ -100,18 +100,20 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), mod
     if len(set(y)) < 2:
         return Model(np.zeros(1 << settings.bits, np.float32), 0.0, float(y.mean()) if len(y) else 0.5)
     lengths = [np.frombuffer(x, np.int32) for x in got.lengths]
-    words = np.concatenate([np.frombuffer(x, np.int32) for x in got.words])
+    held = [np.frombuffer(x, np.int32) for x in got.words]
+    seen = np.zeros((1 << settings.bits) + 1, np.int32)  # the last slot is of -1
+    for x in held:
+        seen[np.unique(x)] += 1
+    seen[-1] = 0
     per_doc = np.array([len(x) for x in lengths])
     per_sentence = np.concatenate(lengths)
-    sentence = np.repeat(np.arange(len(per_sentence), dtype=np.int32), per_sentence * width)
-    doc_of = np.repeat(np.arange(len(y)), per_doc)
-    there = words >= 0
-    words, sentence = words[there], sentence[there]
-    pair = np.unique(doc_of[sentence] << 32 | words)
-    keep = (np.bincount(pair & 0xFFFFFFFF, minlength=1 << settings.bits) >= settings.least)[words]
-    del pair
-    used, at = np.unique(words[keep], return_inverse=True)
-    at, sentence = at.astype(np.int32), sentence[keep]
+    doc_of = np.repeat(np.arange(len(y), dtype=np.int32), per_doc)
+    keep = [seen[x] >= settings.least for x in held]
+    words = np.concatenate([x[k] for x, k in zip(held, keep, strict=True)])
+    sentence = np.repeat(np.arange(len(per_sentence), dtype=np.int32), per_sentence * width)[np.concatenate(keep)]
+    del held, keep
+    used, at = np.unique(words, return_inverse=True)
+    at = at.astype(np.int32)
     n, first = len(per_sentence), np.cumsum(per_doc) - per_doc
     w, b, gw, gb = np.zeros(len(used)), -5.0, np.full(len(used), 1e-8), 1e-8
     for _ in range(settings.steps):
