@@ -179,14 +179,15 @@ class Encoded:
         return ids, ",".join(map(self.said.__getitem__, which.tolist()))
 
 
-_ENCODERS: dict[str, Encoded] = {}
+_BUILT: dict[str, Backtracking] = {}
 
 
 def encoder(path: str) -> Encoded:
-    """The worker's own encoder of a vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoded(Backtracking(path))
-    return _ENCODERS[path]
+    """An encoder of a vocabulary file. A Python worker builds the automaton once; what a task has cached goes with the task."""
+    if path not in _BUILT:
+        _BUILT[path] = Backtracking(path)
+    _BUILT[path].fits.clear()
+    return Encoded(_BUILT[path])
 
 
 def encode(docs: DataFrame, path: str | None = None, schema: str = "doc_id long, ids array<int>") -> DataFrame:

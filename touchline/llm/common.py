@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,46 @@ def settle(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Delete the tables that settle() has written; to be called once results that were derived from them are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/touchline")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Members:
+    """A bitmap of 2**bits slots, a fixed size, that marks every id of `ids` and few others.
+
+    It spares large rows a shuffle; an exact join of what passes must follow. Where it fills up, more rows pass and nothing else
+    changes.
+    """
+
+    def __init__(self, ids: DataFrame, column: str, bits: int = 24):
+        self.bits = bits
+        slot = self.slot(column)
+        taken = ids.select(F.shiftright(slot, 6).alias("word"), F.expr("1L").alias("one"), slot.bitwiseAND(63).cast("int").alias("n"))
+        got = taken.groupBy("word").agg(F.expr("bit_or(shiftleft(one, n))").alias("bit")).toArrow()  # at most 2**(bits - 6) rows
+        self.words = np.zeros(1 << (bits - 6), np.int64)
+        self.words[got.column("word").to_numpy()] = got.column("bit").to_numpy()
+
+    def slot(self, column: str):
+        return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(1 << self.bits))
+
+    def test(self):
+        """A function of an array of slots, to be used inside tasks."""
+        words = self.words
+        return lambda at: words[at >> 6] >> (at & 63) & 1 == 1
+
+    def has(self, column: str):
+        """The test as a column, false for null."""
+        test = self.test()
+
+        @F.pandas_udf("boolean")
+        def marked(s: pd.Series) -> pd.Series:
+            return pd.Series(test(s.to_numpy(np.int64)))
+
+        return F.col(column).isNotNull() & marked(self.slot(column))
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links(u, v) by alternating large-star and small-star steps: rows (node, label), label the smallest node.
 

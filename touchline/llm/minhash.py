@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import CACHE_WORDS, WordCache, components, runs, settle
+from touchline.llm.common import CACHE_WORDS, Members, WordCache, components, runs, settle
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
@@ -129,21 +129,24 @@ def sketch(docs: DataFrame, settings: Settings) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
-    """node, shingles (binary) of the wanted (doc_id, node)."""
+    """node, shingles (binary) of the wanted (node, doc_id). Texts are not shuffled: a bitmap picks the rows that may be wanted."""
+    members = Members(wanted, "doc_id")
+    test = members.test()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(settings.words)
         for b in batches:
+            b = b.filter(pa.array(test(b.column("slot").to_numpy())))
             sets = [shingler(t) for t in b.column("text").to_pylist()]
-            nodes = [_node(s) if len(s) else 0 for s in sets]
+            nodes = [_node(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), b.column("wanted")],
-                names=["node", "shingles", "wanted"],
+                [b.column("id"), pa.array(nodes, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=["id", "node", "shingles"],
             )
 
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.withColumnRenamed("node", "wanted"), "doc_id")
-    found = texts.select("text", "wanted").mapInArrow(run, "node long, shingles binary, wanted long")
-    return found.where("node = wanted").select("node", "shingles").dropDuplicates(["node"])
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
+    found = rows.select("id", "text", members.slot("id").alias("slot")).mapInArrow(run, "id long, node long, shingles binary")
+    return found.join(wanted, "node").where("id = doc_id").dropDuplicates(["node"]).select("node", "shingles")
 
 
 def _similar(t: pa.Table, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -271,7 +274,7 @@ def clusters(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
     members = settle(members.join(shared, "bucket"))
-    wanted = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
+    wanted = settle(members.select("node").distinct().join(nodes.select("node", "doc_id"), "node"))
     sets = settle(_sets(docs, wanted, settings))
     labels = sets.select("node", F.col("node").alias("label"))
     blocks = _blocks(members, labels, nodes, settings)
@@ -301,9 +304,11 @@ def clusters(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 def deduplicate(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One document of each group stays (the smallest id; of rows with one id and text, one), with its own columns."""
-    found = settle(clusters(docs, settings).where("kept").select("doc_id"))
-    keep = found.distinct()
-    stay = docs.join(keep, "doc_id", "left_semi")
-    if found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count():
-        stay = stay.dropDuplicates(["doc_id", "text"])
-    return stay.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    found = settle(clusters(docs, settings).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")))
+    gone, twice = found.where("not kept").select("doc_id"), found.where("n > 1").select("doc_id")
+    suspect = Members(gone, "doc_id").has("doc_id")  # texts that surely stay are not shuffled
+    stay = docs.where(~suspect).unionByName(docs.where(suspect).join(gone, "doc_id", "left_anti"))
+    if twice.limit(1).count():
+        again = Members(twice, "doc_id").has("doc_id")
+        stay = stay.where(~again).unionByName(stay.where(again).dropDuplicates(["doc_id", "text"]))
+    return stay.select(*docs.columns)
