@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import CACHE_WORDS, WordCache
+from touchline.llm.common import CACHE_WORDS, WordCache, runs
 
 _EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_"
 
@@ -31,7 +31,7 @@ _EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_"
 @dataclass(frozen=True)
 class Settings:
     bits: int = 17  #: words are hashed to 2**bits terms
-    items: int = 2048  #: benchmark items in a block; a block's factors stay under items * 2**bits bounds below
+    items: int = 512  #: benchmark items in a block, which bounds its matrices on the driver and in the tasks
     rank: int = 96
     oversample: int = 16
     tile: int = 8  #: windows begin at every tile-th word and hold 2, 4 and 8 tiles
@@ -41,7 +41,7 @@ class Settings:
     sure: float = 0.8  #: share of an item's words, in order, that is a leak by itself
     likely: float = 0.5  #: share that is a leak if the answer is there
     answer: float = 0.8  #: share of the answer's words, in order, that counts as there
-    common: float = 0.2  #: terms of more than this share of the documents weigh nothing
+    common: float = 0.05  #: of an item's terms, those in more than this share of the documents count only if in its rarer half
     seed: int = 5
 
 
@@ -50,13 +50,18 @@ def words(text: str | None) -> list[str]:
 
 
 def term(word: str, bits: int) -> int:
-    """Bucket of a word; 0 for a word of punctuation alone."""
-    bare = word.strip(_EDGE)
-    return 1 + zlib.crc32(bare.encode("utf-8", "surrogatepass")) % ((1 << bits) - 1) if bare else 0
+    """Bucket of a lower-case word; 0 for a word of punctuation alone."""
+    said = word.strip(_EDGE)
+    return 1 + zlib.crc32(said.encode("utf-8", "surrogatepass")) % ((1 << bits) - 1) if said else 0
 
 
 def plain(text: str | None) -> list[str]:
-    return [w for w in (x.strip(_EDGE) for x in words(text)) if w]
+    return bare(words(text))
+
+
+def bare(said: list[str]) -> list[str]:
+    """Words without punctuation around them; those of punctuation alone go."""
+    return [w for w in (x.strip(_EDGE) for x in said) if w]
 
 
 def answer_of(text: str) -> list[str]:
@@ -90,9 +95,9 @@ def document_frequency(docs: DataFrame, settings: Settings) -> tuple[np.ndarray,
     return out, int(out[0])
 
 
-def weights(frequency: np.ndarray, n: int, settings: Settings) -> np.ndarray:
-    idf = np.log((n + 1) / (frequency + 1)).astype(np.float32)
-    idf[(frequency > settings.common * n) & (frequency > 1)] = 0
+def weights(frequency: np.ndarray, n: int) -> np.ndarray:
+    """Inverse document frequencies; words of punctuation alone weigh nothing."""
+    idf = np.log((n + 1) / (frequency + 0.5)).astype(np.float32)
     idf[0] = 0
     return idf
 
@@ -112,10 +117,11 @@ class Space:
 def latent_space(items: DataFrame, idf: np.ndarray, settings: Settings) -> Space:
     """Randomised SVD of the TF-IDF matrix of a block of items(row, item_id, text).
 
-    The sketch A*Omega, its Gram matrix and the projection Q'A are Spark aggregates; matrices of (rank + oversample) columns meet
-    on the driver.
+    The sketch A*Omega is taken row by row and the projection Q'A term by term, both in Spark; the driver sees two matrices of
+    (rank + oversample) columns, one row for each item and each term of the block.
     """
     here = items.sparkSession.sparkContext.broadcast(idf)
+    least = float(-np.log(settings.common))
     size, bits, seed = settings.rank + settings.oversample, settings.bits, settings.seed
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,16 +129,16 @@ def latent_space(items: DataFrame, idf: np.ndarray, settings: Settings) -> Space
             out = []
             for r, t in zip(b.column("row").to_pylist(), b.column("text").to_pylist(), strict=True):
                 at, tf = np.unique([term(w, bits) for w in words(t)], return_counts=True)
-                x = tf * here.value[at]
+                weight = here.value[at]
+                x = np.where((weight >= least) | (weight >= np.median(weight)), tf * weight, 0) if len(at) else np.zeros(0)
                 size = float(np.linalg.norm(x)) or 1.0
-                out += [(r, int(i), float(v) / size) for i, v in zip(at, x, strict=True) if v > 0]
-            cols = list(zip(*out, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["row", "term", "x"]
-            )
+                out += [(r, int(i), float(v) / size, size) for i, v in zip(at, x, strict=True) if v > 0]
+            cols = list(zip(*out, strict=True)) or [[]] * 4
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["row", "term", "x", "size"])
 
-    a = items.select("row", "text").mapInArrow(entries, "row long, term long, x double")
-    rows = a.groupBy("row").agg(F.collect_list(F.struct("term", "x")).alias("v"))  # one item's own terms
+    a = items.select("row", "text").mapInArrow(entries, "row long, term long, x double, size double")
+    rows = a.groupBy("row").agg(F.collect_list(F.struct("term", "x")).alias("v"), F.max("size").alias("size"))  # an item's own terms
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -140,27 +146,32 @@ def latent_space(items: DataFrame, idf: np.ndarray, settings: Settings) -> Space
             for v in b.column("v").to_pylist():
                 omega = np.stack([np.random.default_rng([seed, e["term"]]).standard_normal(size) for e in v])
                 y.append(np.array([e["x"] for e in v]) @ omega)
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([q.tolist() for q in y], pa.list_(pa.float64()))], names=["row", "y"])
+            y = pa.array([q.tolist() for q in y], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column("row"), y, b.column("size")], names=["row", "y", "size"])
 
-    sketch = rows.mapInArrow(sketched, "row long, y array<double>").toPandas().sort_values("row")  # at most a block of rows
+    sketch = rows.mapInArrow(sketched, "row long, y array<double>, size double").toPandas().sort_values("row")  # at most a block of rows
     named = {r.row: r for r in items.select("row", "item_id", "text").collect()}
     if not len(sketch):
         return Space(np.zeros(1 << bits, np.int32), np.zeros((1, 1), np.float32), np.zeros((0, 1), np.float32), [], [], [])
-    y = np.array(sketch.y.tolist())
+    y, size_of = np.array(sketch.y.tolist()), dict(zip(sketch.row, sketch["size"], strict=True))
     q, _ = np.linalg.qr(y)
-    entry = a.toPandas()  # the block's own entries, bounded by its items' words
-    place = {r: i for i, r in enumerate(sketch.row)}
-    used, col = np.unique(entry.term.to_numpy(), return_inverse=True)
-    b = np.zeros((q.shape[1], len(used)))
-    np.add.at(b.T, col, q[entry.row.map(place).to_numpy()] * entry.x.to_numpy()[:, None])
+    place = {r: q[i] for i, r in enumerate(sketch.row)}
+
+    def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, "term"):
+            x = np.array(t.column("x")) @ np.stack([place[r] for r in t.column("row").to_pylist()])
+            yield pa.RecordBatch.from_arrays([t.column("term").combine_chunks()[:1], pa.array([x.tolist()], pa.list_(pa.float64()))], names=["term", "b"])
+
+    by_term = a.repartition("term").sortWithinPartitions("term").mapInArrow(projected, "term long, b array<double>").toPandas()
+    by_term = by_term.sort_values("term")
+    used, b = by_term.term.to_numpy(), np.array(by_term.b.tolist()).T
     u, s, vt = np.linalg.svd(b, full_matrices=False)
     keep = min(settings.rank, int((s > 1e-9 * s[0]).sum()))
     terms = np.concatenate([np.zeros((1, keep)), vt[:keep].T]).astype(np.float32)
     where = np.zeros(1 << bits, np.int32)
     where[used] = np.arange(1, len(used) + 1)
     latent = (q @ u)[:, :keep] * s[:keep]
-    own = {r: float(np.linalg.norm(here.value[[term(w, bits) for w in words(t.text)]] if words(t.text) else 0)) for r, t in named.items()}
-    latent *= np.array([own[r] for r in sketch.row])[:, None]  # as long as the item's own weights make it
+    latent *= np.array([size_of[r] for r in sketch.row])[:, None]  # as long as the item's own weights make it
     order = [named[r] for r in sketch.row]
     return Space(where, terms, latent.astype(np.float32), [r.item_id for r in order], [plain(r.text) for r in order], [answer_of(r.text) for r in order])
 
@@ -243,7 +254,7 @@ def search(space: Space, idf: np.ndarray, settings: Settings):
                     regions.append([a, b])
             for a, b in regions:
                 for lo in range(a, b, 4 * margin):  # long regions by overlapping parts
-                    near_words = [w for w in (x.strip(_EDGE) for x in said[d][lo - begin : min(b, lo + 6 * margin) - begin]) if w]
+                    near_words = bare(said[d][lo - begin : min(b, lo + 6 * margin) - begin])
                     share = common_subsequence(item, near_words) / len(item)
                     told = common_subsequence(answer, near_words) / len(answer)
                     if share >= settings.sure or share >= settings.likely and told >= settings.answer:
@@ -268,7 +279,7 @@ LEAKS = "doc_id long, item_id long, cosine double, lcs double, answer double, fi
 
 def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row for each document and benchmark item that it holds: LEAKS."""
-    idf = weights(*document_frequency(docs, settings), settings)
+    idf = weights(*document_frequency(docs, settings))
     texts, out = docs.select(F.col("doc_id").cast("long"), "text"), None
     for block in _blocks(benchmark, settings):
         space = latent_space(block, idf, settings)
@@ -300,7 +311,7 @@ def _matches(space: Space, idf: np.ndarray, settings: Settings):
 
 def reject_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The documents that hold no benchmark item, with their own columns."""
-    idf, out = weights(*document_frequency(docs, settings), settings), docs
+    idf, out = weights(*document_frequency(docs, settings)), docs
     for block in _blocks(benchmark, settings):
         space = latent_space(block, idf, settings)
 
