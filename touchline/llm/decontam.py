@@ -13,19 +13,20 @@ its own result rows; a repeated item id gives the best row of its texts.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import CACHE_WORDS, WordCache, runs
+from touchline.llm.common import runs
 
-_EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_"
+#: Bytes between words: white space, other controls and ASCII punctuation.
+_BETWEEN = np.array([i < 48 or 57 < i < 65 or 90 < i < 97 or 122 < i < 128 for i in range(256)])
+_LOWER = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
+_BASE, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
 
 @dataclass(frozen=True)
@@ -45,23 +46,65 @@ class Settings:
     seed: int = 5
 
 
-def words(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+class Terms:
+    """Splits texts into words and hashes all words of many texts at once.
 
+    Every byte is weighed by a power of an odd base modulo 2**64; a word's hash is the difference of two running sums, brought back
+    to the power of its first byte. Letters A-Z and the accented ones of Latin-1 are lower-cased.
+    """
 
-def term(word: str, bits: int) -> int:
-    """Bucket of a lower-case word; 0 for a word of punctuation alone."""
-    said = word.strip(_EDGE)
-    return 1 + zlib.crc32(said.encode("utf-8", "surrogatepass")) % ((1 << bits) - 1) if said else 0
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.power = self.back = np.ones(1, np.uint64)
+
+    def _room(self, n: int) -> None:
+        if n > len(self.power):
+            for name, base in (("power", _BASE), ("back", _BACK)):
+                x = np.full(max(n, 2 * len(self.power)), base, np.uint64)
+                x[0] = 1
+                setattr(self, name, np.cumprod(x, dtype=np.uint64))
+
+    def __call__(self, texts: list[str | None]) -> "Split":
+        parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        raw = np.frombuffer(b" ".join([*parts, b""]), np.uint8)
+        ends = np.cumsum([len(p) + 1 for p in parts]) if parts else np.zeros(0, np.int64)
+        self._room(len(raw) + 1)
+        low = _LOWER[raw]
+        if len(raw) > 1:
+            accented = np.flatnonzero((raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)) + 1
+            low[accented] |= 0x20
+        inside = np.concatenate(([False], ~_BETWEEN[raw], [False]))
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edge[::2], edge[1::2]
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(low * self.power[: len(raw)], out=sums[1:], dtype=np.uint64)
+        h = (sums[end] - sums[start]) * self.back[start]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(_BASE)
+        ids = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        return Split(low, start, end, np.searchsorted(start, ends), ids)
 
 
-def plain(text: str | None) -> list[str]:
-    return bare(words(text))
+@dataclass
+class Split:
+    """Words of several texts in a row: where each begins and ends, where each text's words end, and the words' terms."""
 
+    bytes: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    ends: np.ndarray
+    ids: np.ndarray
 
-def bare(said: list[str]) -> list[str]:
-    """Words without punctuation around them; those of punctuation alone go."""
-    return [w for w in (x.strip(_EDGE) for x in said) if w]
+    def words(self, a: int, b: int) -> list[str]:
+        raw = self.bytes.tobytes() if b - a == len(self.start) else None
+        cut = (lambda i, j: raw[i:j]) if raw is not None else (lambda i, j: self.bytes[i:j].tobytes())
+        return [cut(i, j).decode("utf-8", "replace") for i, j in zip(self.start[a:b].tolist(), self.end[a:b].tolist(), strict=True)]
+
+
+def plain(text: str | None) -> list[str]:
+    """Words of a text in lower case."""
+    got = Terms(1)([text])
+    return got.words(0, len(got.start))
 
 
 def answer_of(text: str) -> list[str]:
@@ -76,30 +119,28 @@ def document_frequency(docs: DataFrame, settings: Settings) -> tuple[np.ndarray,
     """Documents that hold each term, over all documents, and the number of documents; 2**bits counts come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(lambda w: term(w, settings.bits))
-        counts, n = np.zeros(1 << settings.bits, np.int64), 0
+        of, counts, n = Terms(settings.bits), np.zeros((1 << settings.bits) + 1, np.int64), 0
         for b in batches:
-            for t in b.column("text").to_pylist():
-                n += 1
-                w = words(t)
-                counts[np.unique(np.fromiter(map(cache.__getitem__, w), np.int32, len(w)))] += 1
-                if len(cache) > CACHE_WORDS:
-                    cache.clear()
-        counts[0] = n
+            texts = b.column("text").to_pylist()
+            n += len(texts)
+            for i in range(0, len(texts), 256):
+                got = of(texts[i : i + 256])
+                doc = np.repeat(np.arange(len(got.ends)), np.diff(got.ends, prepend=0))
+                once = np.unique(doc << settings.bits | got.ids) & ((1 << settings.bits) - 1)
+                counts += np.bincount(once, minlength=len(counts))
+        counts[-1] = n
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used])], names=["term", "n"])
 
     got = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << settings.bits, np.int64)
+    out = np.zeros((1 << settings.bits) + 1, np.int64)
     out[got.term] = got.n
-    return out, int(out[0])
+    return out[:-1], int(out[-1])
 
 
 def weights(frequency: np.ndarray, n: int) -> np.ndarray:
-    """Inverse document frequencies; words of punctuation alone weigh nothing."""
-    idf = np.log((n + 1) / (frequency + 0.5)).astype(np.float32)
-    idf[0] = 0
-    return idf
+    """Inverse document frequencies."""
+    return np.log((n + 1) / (frequency + 0.5)).astype(np.float32)
 
 
 @dataclass
@@ -125,10 +166,11 @@ def latent_space(items: DataFrame, idf: np.ndarray, settings: Settings) -> Space
     size, bits, seed = settings.rank + settings.oversample, settings.bits, settings.seed
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Terms(bits)
         for b in batches:
             out = []
             for r, t in zip(b.column("row").to_pylist(), b.column("text").to_pylist(), strict=True):
-                at, tf = np.unique([term(w, bits) for w in words(t)], return_counts=True)
+                at, tf = np.unique(of([t]).ids, return_counts=True)
                 weight = here.value[at]
                 x = np.where((weight >= least) | (weight >= np.median(weight)), tf * weight, 0) if len(at) else np.zeros(0)
                 size = float(np.linalg.norm(x)) or 1.0
@@ -200,8 +242,7 @@ def _doubled(x: np.ndarray, step: int) -> np.ndarray:
 
 def search(space: Space, idf: np.ndarray, settings: Settings):
     """A function of texts: for each text its leaked items, as (item, cosine, share of words, share of answer, first word)."""
-    cache = WordCache(lambda w: term(w, settings.bits))
-    heavy, tile = idf**2, settings.tile
+    terms, heavy, tile = Terms(settings.bits), idf**2, settings.tile
     weighted = np.zeros_like(space.terms)  # each term's row times its weight
     weighted[space.row[space.row > 0]] = space.terms[space.row[space.row > 0]] * idf[space.row > 0][:, None]
     length = np.maximum(np.linalg.norm(space.items, axis=1), 1e-9)
@@ -209,14 +250,10 @@ def search(space: Space, idf: np.ndarray, settings: Settings):
 
     def run(texts: list[str | None]) -> list[dict[int, tuple]]:
         out: list[dict[int, tuple]] = [{} for _ in texts]
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        said = [words(t) for t in texts]
-        ends = np.cumsum([len(s) for s in said])
-        total = int(ends[-1]) if len(ends) else 0
+        got = terms(texts)
+        ids, ends, total = got.ids, got.ends, len(got.ids)
         if not total or not space.names:
             return out
-        ids = np.fromiter(map(cache.__getitem__, chain.from_iterable(said)), np.int32, total)
         mass, row = heavy[ids], space.row[ids]
         at = np.flatnonzero(row)
         if not len(at):
@@ -242,7 +279,7 @@ def search(space: Space, idf: np.ndarray, settings: Settings):
                     found[d, int(j)] = (max(best, float(near[i, j])), spans)
                     spans.append((a, b))
         for (d, j), (c, spans) in found.items():
-            begin, end = int(ends[d] - len(said[d])), int(ends[d])
+            begin, end = int(ends[d - 1]) if d else 0, int(ends[d])
             item, answer = space.texts[j], space.answers[j]
             margin = len(item) + 8
             regions: list[list[int]] = []
@@ -254,7 +291,7 @@ def search(space: Space, idf: np.ndarray, settings: Settings):
                     regions.append([a, b])
             for a, b in regions:
                 for lo in range(a, b, 4 * margin):  # long regions by overlapping parts
-                    near_words = bare(said[d][lo - begin : min(b, lo + 6 * margin) - begin])
+                    near_words = got.words(lo, min(b, lo + 6 * margin))
                     share = common_subsequence(item, near_words) / len(item)
                     told = common_subsequence(answer, near_words) / len(answer)
                     if share >= settings.sure or share >= settings.likely and told >= settings.answer:
