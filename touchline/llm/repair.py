@@ -26,16 +26,32 @@ from pyspark.sql import functions as F
 from touchline.llm.bpe import VOCABULARY, byte_letters
 from touchline.llm.common import ByteLevel, gather, settle
 
-_STEP, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_STEP = np.uint32(0x9E3779B1)
 
 
 @dataclass(frozen=True)
 class Settings:
     end: int = 0  #: id after each document
     block: int = 1 << 20  #: ids after which a block ends with the running document
-    rounds: int = 5
+    rounds: int = 4
     least: int = 24  #: times that a pair must occur to become a rule
-    cache: int = 500_000  #: space-separated chunks whose ids a worker keeps
+    cache: int = 900_000  #: space-separated chunks whose ids a worker keeps
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(len(x), n - len(x)), x.dtype)])
+
+
+class _Letters(dict):
+    """Code point -> the letters that stand for its UTF-8 bytes, for str.translate."""
+
+    def __init__(self, of_byte: dict[int, str]):
+        super().__init__()
+        self.of_byte = of_byte
+
+    def __missing__(self, point: int) -> str:
+        said = self[point] = "".join(self.of_byte[b] for b in chr(point).encode("utf-8"))
+        return said
 
 
 class _Numbers(dict):
@@ -56,43 +72,55 @@ class Ids:
     def __init__(self, path: str, cache: int):
         self.split, self.cache = ByteLevel(path), cache
         self.model = self.split.tokenizer.model
-        self.letters = {b: c for c, b in byte_letters().items()}
+        of_byte = {b: c for c, b in byte_letters().items()}
+        self.letters = _Letters(of_byte)
+        self.blank = of_byte[32]
+        self.pieces: dict[str, list[int]] = {}
+        self.marks = {m: self.of_piece(m) for m in ".,!?;:"}
         self.clear()
 
     def clear(self) -> None:
-        self.number = _Numbers(self)
-        self.pieces: dict[str, list[int]] = {}
-        self.known, self.counts = [], []
-        self.table, self.at, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.number, self.pieces = _Numbers(self), {}
+        self.known, self.counts, self.chunks, self.ids = [], [], 0, 0
+        self.table, self.at, self.count = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def of_piece(self, piece: str) -> list[int]:
+        special = self.split.special.get(piece)
+        if special is not None:
+            return [special]
         ids = self.pieces.get(piece)
         if ids is None:
-            special = self.split.special.get(piece)
-            if special is not None:
-                return [special]
-            said = piece.replace(" ", self.letters[32]) if piece.isascii() and piece.isprintable() else "".join(
-                map(self.letters.__getitem__, piece.encode("utf-8"))
-            )
-            ids = self.pieces[piece] = [t.id for t in self.model.tokenize(said)]
+            ids = [t.id for t in self.model.tokenize(piece.translate(self.letters))]
+            if len(piece) <= 3:
+                self.pieces[piece] = ids
         return ids
 
     def add(self, chunk: str) -> int:
-        text = chunk[1:] if chunk[:1] == "\0" else " " + chunk
-        ids = [i for p in self.split.pieces(text) for i in self.of_piece(p)]
+        """Ids of a chunk that follows a blank, or, opened by a zero, begins the text."""
+        mark = self.marks.get(chunk[-1:])
+        word = chunk[:-1] if mark else chunk
+        if word.isalpha():  # letters are one piece, a mark after them another
+            ids = [t.id for t in self.model.tokenize(self.blank + word.translate(self.letters))]
+            ids += mark or []
+        else:
+            text = chunk[1:] if chunk[:1] == "\0" else " " + chunk
+            ids = [i for p in self.split.pieces(text) for i in self.of_piece(p)]
         self.known += ids
         self.counts.append(len(ids))
-        return len(self.counts) - 1
+        return self.chunks + len(self.counts) - 1
 
     def _extend(self) -> None:
-        """Carry the chunks that are new since the last call over to the arrays."""
-        n = len(self.count)
-        if len(self.counts) > n:
-            count = np.array(self.counts[n:], np.int64)
-            self.at = np.concatenate([self.at, np.cumsum(count) - count + len(self.table)])
-            self.count = np.concatenate([self.count, count])
-            self.table = np.concatenate([self.table, np.array(self.known, np.int32)])
-            self.known = []
+        """Carry the chunks that are new since the last call over to the arrays, which grow by doubling."""
+        n, new = self.chunks, np.array(self.counts, np.int64)
+        if not len(new):
+            return
+        self.count, self.at = (_room(x, n + len(new)) for x in (self.count, self.at))
+        self.table = _room(self.table, self.ids + len(self.known))
+        self.count[n : n + len(new)] = new
+        self.at[n : n + len(new)] = np.cumsum(new) - new + self.ids
+        self.table[self.ids : self.ids + len(self.known)] = self.known
+        self.chunks, self.ids = n + len(new), self.ids + len(self.known)
+        self.known, self.counts = [], []
 
     def many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts and how many each has."""
@@ -127,16 +155,14 @@ class Ids:
 
 def grammar(ids: np.ndarray, last: np.ndarray, base: int, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (n x 2, nonterminals count from base), the remaining symbols, and which of them end a document."""
-    symbols, last, rules = ids.astype(np.uint64), last.copy(), []
-    slots = np.uint64(64 - 18)
+    symbols, last, rules = ids.astype(np.uint32), last.copy(), []
     for _ in range(settings.rounds):
         room = (1 << 16) - base - sum(map(len, rules))
         if len(symbols) < 2 or room <= 0:
             break
-        key = symbols[:-1] << np.uint64(32) | symbols[1:]
-        slot = ((key * _STEP) ^ (key >> np.uint64(29)) * _TURN) >> slots
-        slot = slot.astype(np.int64)
-        owner = np.zeros(1 << 18, np.uint64)
+        key = symbols[:-1] << np.uint32(16) | symbols[1:]  # symbols have 16 bits
+        slot = ((key ^ key >> np.uint32(15)) * _STEP >> np.uint32(32 - 18)).astype(np.int64)
+        owner = np.zeros(1 << 18, np.uint32)
         owner[slot] = key  # one pair for each slot; others wait for a later round
         own = (owner[slot] == key) & ~last[:-1]
         counts = np.bincount(slot[own], minlength=1 << 18)
@@ -152,8 +178,8 @@ def grammar(ids: np.ndarray, last: np.ndarray, base: int, settings: Settings) ->
         place = np.arange(len(at))
         at = at[(place - np.maximum.accumulate(np.where(head, place, 0))) % 2 == 0]
         pair = owner[chosen]
-        rules.append(np.stack([pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
-        symbols[at] = number[slot[at]].astype(np.uint64)
+        rules.append(np.stack([pair >> np.uint32(16), pair & np.uint32(0xFFFF)], axis=1))
+        symbols[at] = number[slot[at]].astype(np.uint32)
         last[at] = last[at + 1]
         stay = np.ones(len(symbols), bool)
         stay[at + 1] = False
