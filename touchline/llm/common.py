@@ -129,8 +129,8 @@ class WordCache(dict):
 
 # Latin letters and numbers below U+0250, spelled out so that the standard library's pattern engine can split common texts.
 _LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
-_COMMON = re.compile("[^\t\n\r -~¡-ɏ]")
-_SPLIT = re.compile(
+COMMON = re.compile("[^\t\n\r -~¡-ɏ]")
+SPLIT = re.compile(
     rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+"
 )
 
@@ -162,11 +162,11 @@ class ByteLevel:
 
     def common(self, text: str) -> bool:
         """Whether the text holds common Latin characters only and no special string."""
-        return _COMMON.search(text) is None and not any(s in text for s in self.special)
+        return COMMON.search(text) is None and not any(s in text for s in self.special)
 
     def _plain(self, text: str) -> list[str]:
-        if _COMMON.search(text) is None:
-            return _SPLIT.findall(text)
+        if COMMON.search(text) is None:
+            return SPLIT.findall(text)
         return [text[a:b] for _, (a, b) in self._whole(text)]
 
     def _whole(self, text: str):

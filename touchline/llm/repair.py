@@ -12,6 +12,8 @@ follow each other by text; rows without an id come first.
 
 from __future__ import annotations
 
+import gc
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,12 +21,13 @@ from dataclasses import dataclass
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.bpe import VOCABULARY, byte_letters
-from touchline.llm.common import ByteLevel, gather, settle
+from touchline.llm.common import COMMON, SPLIT, ByteLevel, gather, settle
 
 _STEP = np.uint32(0x9E3779B1)
 
@@ -35,6 +38,7 @@ class Settings:
     block: int = 1 << 20  #: ids after which a block ends with the running document
     rounds: int = 4
     least: int = 24  #: times that a pair must occur to become a rule
+    text: int = 16 << 20  #: bytes of text that are tokenised at once, or one document
     cache: int = 900_000  #: space-separated chunks whose ids a worker keeps
 
 
@@ -54,20 +58,12 @@ class _Letters(dict):
         return said
 
 
-class _Numbers(dict):
-    """Chunk -> its number; one that is not known yet is tokenised."""
-
-    def __init__(self, ids: "Ids"):
-        super().__init__()
-        self.ids = ids
-
-    def __missing__(self, chunk: str) -> int:
-        number = self[chunk] = self.ids.add(chunk)
-        return number
-
-
 class Ids:
-    """Text -> ids as the tokenizers library gives them; chunks between single spaces are looked up, new ones are tokenised."""
+    """Texts -> ids as the tokenizers library gives them.
+
+    Texts of common Latin characters are cut at single spaces, where pre-tokens end, and each distinct chunk is tokenised once;
+    all other texts go through the pre-tokeniser whole.
+    """
 
     def __init__(self, path: str, cache: int):
         self.split, self.cache = ByteLevel(path), cache
@@ -75,84 +71,88 @@ class Ids:
         of_byte = {b: c for c, b in byte_letters().items()}
         self.letters = _Letters(of_byte)
         self.blank = of_byte[32]
-        self.pieces: dict[str, list[int]] = {}
+        # characters beyond the common ones, special strings, and white space of two and more that holds a space
+        self.uneven = "|".join([COMMON.pattern, "  ", " [\t\n\r]", "[\t\n\r] ", *map(re.escape, self.split.special)])
         self.marks = {m: self.of_piece(m) for m in ".,!?;:"}
         self.clear()
 
     def clear(self) -> None:
-        self.number, self.pieces = _Numbers(self), {}
-        self.known, self.counts, self.chunks, self.ids = [], [], 0, 0
+        self.number: dict[str, int] = {}
+        self.chunks = self.ids = 0
         self.table, self.at, self.count = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def of_piece(self, piece: str) -> list[int]:
         special = self.split.special.get(piece)
-        if special is not None:
-            return [special]
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = [t.id for t in self.model.tokenize(piece.translate(self.letters))]
-            if len(piece) <= 3:
-                self.pieces[piece] = ids
-        return ids
-
-    def add(self, chunk: str) -> int:
-        """Ids of a chunk that follows a blank, or, opened by a zero, begins the text."""
-        mark = self.marks.get(chunk[-1:])
-        word = chunk[:-1] if mark else chunk
-        if word.isalpha():  # letters are one piece, a mark after them another
-            ids = [t.id for t in self.model.tokenize(self.blank + word.translate(self.letters))]
-            ids += mark or []
-        else:
-            text = chunk[1:] if chunk[:1] == "\0" else " " + chunk
-            ids = [i for p in self.split.pieces(text) for i in self.of_piece(p)]
-        self.known += ids
-        self.counts.append(len(ids))
-        return self.chunks + len(self.counts) - 1
-
-    def _extend(self) -> None:
-        """Carry the chunks that are new since the last call over to the arrays, which grow by doubling."""
-        n, new = self.chunks, np.array(self.counts, np.int64)
-        if not len(new):
-            return
+        return [t.id for t in self.model.tokenize(piece.translate(self.letters))] if special is None else [special]
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Tokenise chunks that are not known yet; one follows a blank or, where a zero opens it, begins its text."""
+        known, counts, words, pieces = [], [], {}, {}
+        marks, tokenize, blank, letters, findall = self.marks, self.model.tokenize, self.blank, self.letters, SPLIT.findall
+        for chunk in chunks:
+            mark = marks.get(chunk[-1:])
+            word = chunk[:-1] if mark else chunk
+            if word.isalpha():  # letters are one piece, a mark after them another
+                ids = words.get(word)
+                if ids is None:
+                    said = blank + word if word.isascii() else blank + word.translate(letters)
+                    ids = words[word] = [t.id for t in tokenize(said)]
+                if mark:
+                    ids = ids + mark
+            else:
+                ids = []
+                for piece in findall(chunk[1:] if chunk[:1] == "\0" else " " + chunk):
+                    part = pieces.get(piece)
+                    if part is None:
+                        part = pieces[piece] = self.of_piece(piece)
+                    ids += part
+            known += ids
+            counts.append(len(ids))
+        n, new = self.chunks, np.array(counts, np.int64)
+        self.number.update(zip(chunks, range(n, n + len(new)), strict=True))
         self.count, self.at = (_room(x, n + len(new)) for x in (self.count, self.at))
-        self.table = _room(self.table, self.ids + len(self.known))
+        self.table = _room(self.table, self.ids + len(known))
         self.count[n : n + len(new)] = new
         self.at[n : n + len(new)] = np.cumsum(new) - new + self.ids
-        self.table[self.ids : self.ids + len(self.known)] = self.known
-        self.chunks, self.ids = n + len(new), self.ids + len(self.known)
-        self.known, self.counts = [], []
+        self.table[self.ids : self.ids + len(known)] = known
+        self.chunks, self.ids = n + len(new), self.ids + len(known)
 
-    def many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of some texts and how many each has."""
+    def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts without nulls and how many each has."""
         if len(self.number) > self.cache:
             self.clear()
-        which, chunks, slow = [], [], {}
-        for k, t in enumerate(texts):
-            if "\0" in t or "  " in t or " \n" in t or "\n " in t or " \t" in t or "\t " in t or " \r" in t or "\r " in t or not self.split.common(t):
-                slow[k] = np.array([i for p in self.split.pieces(t) for i in self.of_piece(p)], np.int32)
-                chunks.append(0)
-                continue
-            if not t:
-                chunks.append(0)
-                continue
-            c = t.split(" ")
-            c[0] = "\0" + c[0]
-            which.append(np.fromiter(map(self.number.__getitem__, c), np.int64, len(c)))
-            chunks.append(len(c))
-        self._extend()
-        which = np.concatenate(which) if which else np.zeros(0, np.int64)
+        uneven = pc.match_substring_regex(texts, self.uneven)
+        slow = {k: texts[k].as_py() for k in np.flatnonzero(uneven.to_numpy(zero_copy_only=False)).tolist()}
+        opened = pc.binary_join_element_wise("\0", pc.if_else(uneven, "", texts), "")
+        chunks = pc.split_pattern(opened, " ")
+        coded = chunks.values.dictionary_encode()
+        seen = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [c for c in seen if c not in self.number]
+        if new:
+            gc.disable()  # many small lists and no cycles: looking for some would take as long as tokenising
+            self._learn(new)
+            gc.enable()
+        which = np.fromiter(map(self.number.__getitem__, seen), np.int64, len(seen))[coded.indices.to_numpy()]
         lengths = self.count[which]
         ids = self.table[gather(self.at[which], lengths)]
-        ends = np.concatenate(([0], np.cumsum(lengths)))
-        at = np.concatenate(([0], np.cumsum(chunks)))
-        sizes = ends[at[1:]] - ends[at[:-1]]
+        ends = np.concatenate(([0], np.cumsum(lengths)))[chunks.offsets.to_numpy()]
         if not slow:
-            return ids, sizes
-        cuts = np.concatenate(([0], np.cumsum(sizes)))
-        parts = [slow.get(k, ids[cuts[k] : cuts[k + 1]]) for k in range(len(texts))]
+            return ids, np.diff(ends)
+        slow = {k: np.array([i for p in self.split.pieces(t) for i in self.of_piece(p)], np.int32) for k, t in slow.items()}
+        parts = [slow.get(k, ids[ends[k] : ends[k + 1]]) for k in range(len(texts))]
         return np.concatenate(parts), np.array([len(p) for p in parts])
 
 
+def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of whole rows, each of about `most` bytes of text."""
+    size = pc.binary_length(batch.column("text")).to_numpy().astype(np.int64)
+    part = (np.cumsum(size) - size) // most
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        if j > i:
+            yield batch.slice(i, j - i)
+
+
 def grammar(ids: np.ndarray, last: np.ndarray, base: int, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (n x 2, nonterminals count from base), the remaining symbols, and which of them end a document."""
     symbols, last, rules = ids.astype(np.uint32), last.copy(), []
@@ -241,14 +241,13 @@ def compress(docs: DataFrame, settings: Settings = Settings(), path: str | None
 
         total = 0
         for b in batches:
-            names, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for i in range(0, len(texts), 256):
-                ids, sizes = of.many(texts[i : i + 256])
+            for part in _slices(b, settings.text):
+                ids, sizes = of.many(part.column("text"))
                 out = np.full(len(ids) + len(sizes), settings.end, np.int32)
                 inner = np.ones(len(out), bool)
                 inner[np.cumsum(sizes + 1) - 1] = False
                 out[inner] = ids
-                held.append((out, sizes + 1, names[i : i + 256]))
+                held.append((out, sizes + 1, part.column("doc_id").to_pylist()))
                 total += len(out)
                 if total >= settings.block:
                     yield flush()
