@@ -3,6 +3,7 @@ bounded training samples and the byte-level pre-tokeniser."""
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
@@ -179,6 +180,12 @@ class ByteLevel:
         return out
 
 
+@functools.cache
+def byte_level(path: str) -> ByteLevel:
+    """The splitter of a vocabulary file, read once in a Python worker."""
+    return ByteLevel(path)
+
+
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables of equal, non-null key from batches whose rows come sorted by it; a run may span batches."""
     kept: list[pa.RecordBatch] = []

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.bpe import VOCABULARY, byte_letters
-from touchline.llm.common import COMMON, SPLIT, ByteLevel, gather, settle
+from touchline.llm.common import COMMON, SPLIT, byte_level, gather, settle
 
 _STEP = np.uint32(0x9E3779B1)
 
@@ -66,7 +66,7 @@ class Ids:
     """
 
     def __init__(self, path: str, cache: int):
-        self.split, self.cache = ByteLevel(path), cache
+        self.split, self.cache = byte_level(path), cache
         self.model = self.split.tokenizer.model
         of_byte = {b: c for c, b in byte_letters().items()}
         self.letters = _Letters(of_byte)
