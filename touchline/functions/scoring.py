@@ -10,13 +10,22 @@ def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once; named inside a lambda, an expression is evaluated again for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def hit(p: Column, y: Column) -> Column:
     """Probability of the class that came."""
     return F.element_at(p, y + 1)
 
 
+def log_floored(x: Column, floor: float = 1e-12) -> Column:
+    return F.ln(F.greatest(x, F.lit(floor)))
+
+
 def log_score(p: Column, y: Column, floor: float = 1e-12) -> Column:
-    return F.ln(F.greatest(hit(p, y), F.lit(floor)))
+    return log_floored(hit(p, y), floor)
 
 
 def log_score_shifted(p: Column, y: Column, shift: float = 1e-10) -> Column:
@@ -54,7 +63,13 @@ def expected(p: Column) -> Column:
 def tempered(p: Column, t: float | Column) -> Column:
     """p^(1/T), renormalised."""
     q = F.transform(p, lambda x: F.pow(x, F.lit(1.0) / t))
-    return F.transform(q, lambda x: x / total(q))
+    return let(q, lambda q: let(total(q), lambda s: F.transform(q, lambda x: x / s)))
+
+
+def tempered_hit(p: Column, y: Column, t: float | Column) -> Column:
+    """Tempered probability of the class that came, without the array of the others."""
+    power = F.lit(1.0) / t
+    return F.pow(hit(p, y), power) / F.aggregate(p, F.lit(0.0), lambda s, x: s + F.pow(x, power))
 
 
 def pit(p: Column, y: Column, u: Column) -> Column:

@@ -41,10 +41,10 @@ def summary(f: DataFrame, top: int) -> DataFrame:
 
 def corrected(f: DataFrame, top: int, rho: float) -> DataFrame:
     """Win, draw, loss with the low-score correction: only the four low cells differ from the product, so no grid is shuffled."""
-    f = f.withColumns({"ph": S.poisson(F.col("lh"), top), "pa": S.poisson(F.col("la"), top)})
-    ks = F.sequence(F.lit(0), F.lit(top))
-    cell = lambda h, a: F.element_at("ph", h + 1) * F.element_at("pa", a + 1) * S.dixon_coles(F.col("lh"), F.col("la"), F.lit(rho), h, a)
-    f = f.withColumn("g", F.flatten(F.transform(ks, lambda h: F.transform(ks, lambda a: F.struct((h - a).alias("d"), cell(h, a).alias("q"))))))
+    both = F.struct(S.poisson(F.col("lh"), top).alias("home"), S.poisson(F.col("la"), top).alias("away"))
+    cell = lambda p, h, q, a: F.struct((h - a).alias("d"), (p * q * S.dixon_coles(F.col("lh"), F.col("la"), F.lit(rho), h, a)).alias("q"))
+    grid = lambda c: F.transform(c["home"], lambda p, h: F.transform(c["away"], lambda q, a: cell(p, h, q, a)))
+    f = f.withColumn("g", F.flatten(S.let(both, grid)))
     part = lambda keep: S.total(F.transform(F.filter("g", keep), lambda x: x["q"]))
     f = f.withColumn("t", part(lambda x: F.lit(True)))
     share = lambda keep: F.round(part(keep) / F.col("t"), 6)

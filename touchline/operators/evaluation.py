@@ -69,7 +69,7 @@ def paired_t(rows: DataFrame, difference: Column, *groups: str) -> DataFrame:
 def temperatures(rows: DataFrame, grid: list[float], *groups: str) -> DataFrame:
     """Mean log-loss of p^(1/T) for every T of a grid, one aggregate."""
     rows = rows.withColumn("t", F.explode(F.array(*map(F.lit, grid))))
-    return rows.groupBy(*groups, "t").agg((-F.avg(S.log_score(S.tempered(F.col("p"), F.col("t")), F.col("y")))).alias("log_loss"), F.count("*").alias("n"))
+    return rows.groupBy(*groups, "t").agg((-F.avg(S.log_floored(S.tempered_hit(F.col("p"), F.col("y"), F.col("t"))))).alias("log_loss"), F.count("*").alias("n"))
 
 
 def leave_one_out_temperature(rows: DataFrame, grid: list[float], fold: str) -> DataFrame:
