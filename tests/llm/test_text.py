@@ -124,6 +124,23 @@ def test_secrets_layers():
     assert found(f"%zz %4 \\u12 {bad} ==== %ff%fe") == []
 
 
+def test_secrets_repeated(spark):
+    packed = base64.b64encode(SECRET.encode()).decode()
+    escaped = "".join(f"\\u{ord(c):04x}" for c in SECRET)
+    percent = urllib.parse.quote(SECRET, safe="")
+    zipped = base64.b64encode(gzip.compress(SECRET.encode(), mtime=0)).decode()
+    for run in (packed, escaped, percent, zipped, urllib.parse.quote(base64.b64encode(packed.encode()).decode(), safe="")):
+        text = f"a {run} b\n{run} c {run}"
+        got = found(text)
+        assert len(got) == 3 and len({p for _, p in got}) == 1, run
+        assert secret_scan.redacted(text).count("[SECRET]") == 3
+    text = f"{packed} and {escaped} and {percent} and {SECRET} and {packed}"
+    r = secret_scan.findings(frame(spark, [text])).first()
+    assert r.spans.count("assign") == 5 and r.layers == 1
+    left = secret_scan.redact(frame(spark, [text])).first().text
+    assert left == " and ".join(["[SECRET]"] * 5)
+
+
 def test_secrets_query(spark):
     texts = [None, "", f"a {SECRET} b {SECRET}", "x" * 200_000, urllib.parse.quote(SECRET, safe="")]
     df = frame(spark, texts)

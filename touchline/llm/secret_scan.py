@@ -1,10 +1,11 @@
 """Secret scans with a recursive decoding worklist.
 
 A text is scanned for three kinds of secrets. Runs that look URL-, Unicode- or base64-encoded are unwrapped (base64 may hold
-compressed bytes), every layer is scanned and searched for further layers until nothing new appears; a layer whose content was
-seen before in the same text is not opened again, so cycles end. Finds in a layer are mapped back to the span of the original
-text that they came from: exactly for percent and Unicode escapes, to the enclosing groups of four for base64, to the whole run
-for compressed data.
+compressed bytes), every layer is scanned and searched for further layers until nothing new appears; equal contents in one text
+are opened once. Finds in a layer are mapped back to every run that holds it, and so on up to the original text, until no span is
+new, so repeated layers count at each of their places and cycles end; where one place leads to the same content in two ways, the
+narrower span stands. The mapping is exact for percent and Unicode escapes, to the enclosing groups of four for base64, to the
+whole run for compressed data.
 
 Kinds, in the order that breaks ties: assign (a named value, the span covers name and value), access (AKIA...), hex.
 
@@ -44,11 +45,10 @@ _LONG = re.compile(r"[A-Za-z0-9+/_-]{16}")
 
 @dataclass
 class Layer:
-    """A text and the way back: `back` maps a span of it to a span of the original text."""
+    """A text and the way back: `back` maps a span of it to a span of the text that it was found in."""
 
     text: str
     back: Callable[[int, int], tuple[int, int]]
-    depth: int = 0
 
 
 @dataclass
@@ -108,7 +108,7 @@ def _inflate(raw: bytes) -> bytes | None:
     return None
 
 
-def _pieces(layer: Layer, at: int, parts: list[tuple[str, int, int]]) -> Layer:
+def _pieces(at: int, parts: list[tuple[str, int, int]]) -> Layer:
     """A layer put together from parts, each with its span in the run that begins at `at`; a span maps to the parts it touches."""
     starts, n = [], 0
     for text, _, _ in parts:
@@ -120,12 +120,12 @@ def _pieces(layer: Layer, at: int, parts: list[tuple[str, int, int]]) -> Layer:
         one = lambda k: len(parts[k][0]) == parts[k][2] - parts[k][1]  # noqa: E731  copied as it stands
         left = parts[i][1] + (a - starts[i] if one(i) else 0)
         right = parts[j][1] + b - starts[j] if one(j) else parts[j][2]
-        return layer.back(at + left, at + right)
+        return at + left, at + right
 
-    return Layer("".join(p[0] for p in parts), back, layer.depth + 1)
+    return Layer("".join(p[0] for p in parts), back)
 
 
-def _url(layer: Layer, m: re.Match) -> Layer | None:
+def _url(m: re.Match) -> Layer | None:
     run, parts, i = m[0], [], 0
     while i < len(run):
         j = run.find("%", i)
@@ -144,10 +144,10 @@ def _url(layer: Layer, m: re.Match) -> Layer | None:
             parts.append((c, at, min(at + width, max(k, j + 1))))
             at = min(at + width, max(k, j + 1))
         i = max(k, j + 1)
-    return _pieces(layer, m.start(), parts)
+    return _pieces(m.start(), parts)
 
 
-def _unicode(layer: Layer, m: re.Match) -> Layer | None:
+def _unicode(m: re.Match) -> Layer | None:
     run, parts, i = m[0], [], 0
     for e in _ESCAPE.finditer(run):
         if e.start() > i:
@@ -157,10 +157,10 @@ def _unicode(layer: Layer, m: re.Match) -> Layer | None:
         i = e.end()
     if i < len(run):
         parts.append((run[i:], i, len(run)))
-    return _pieces(layer, m.start(), parts)
+    return _pieces(m.start(), parts)
 
 
-def _base64(layer: Layer, m: re.Match) -> Layer | None:
+def _base64(m: re.Match) -> Layer | None:
     run = m[0].rstrip("=")
     if len(run) % 4 == 1:
         run = run[:-1]
@@ -172,7 +172,7 @@ def _base64(layer: Layer, m: re.Match) -> Layer | None:
     start, end = m.span()
     if (unpacked := _inflate(raw)) is not None:
         text = _readable(unpacked)
-        return None if text is None else Layer(text, lambda a, b: layer.back(start, end), layer.depth + 1)
+        return None if text is None else Layer(text, lambda a, b: (start, end))
     text = _readable(raw)
     if text is None:
         return None
@@ -181,37 +181,58 @@ def _base64(layer: Layer, m: re.Match) -> Layer | None:
         widths.append(widths[-1] + len(c.encode("utf-8")))
 
     def back(a: int, b: int) -> tuple[int, int]:
-        return layer.back(start + widths[a] // 3 * 4, min(end, start + -(-widths[b] // 3) * 4))
+        return start + widths[a] // 3 * 4, min(end, start + -(-widths[b] // 3) * 4)
 
-    return Layer(text, back, layer.depth + 1)
+    return Layer(text, back)
 
 
-def unwrap(layer: Layer) -> Iterator[Layer]:
-    """The layers directly inside a layer."""
-    text = layer.text
+def unwrap(text: str) -> Iterator[Layer]:
+    """The layers directly inside a text."""
     if "%" in text:
-        yield from filter(None, (_url(layer, m) for m in _PERCENT.finditer(text)))
+        yield from filter(None, (_url(m) for m in _PERCENT.finditer(text)))
     if "\\u" in text or "\\x" in text:
-        yield from filter(None, (_unicode(layer, m) for m in _UNICODE.finditer(text)))
+        yield from filter(None, (_unicode(m) for m in _UNICODE.finditer(text)))
     if len(text) >= 16 and _LONG.search(text):
-        yield from filter(None, (_base64(layer, m) for m in _BASE64.finditer(text)))
+        yield from filter(None, (_base64(m) for m in _BASE64.finditer(text)))
+
+
+def _narrow(spans: set[tuple[int, int, str, int]]) -> Iterator[tuple[int, int, str]]:
+    """The spans, without those that hold another one of the same kind and content."""
+    last: dict[tuple[str, int], int] = {}
+    for a, b, kind, content in sorted(spans, key=lambda s: (s[1], -s[0])):
+        if a > last.get((kind, content), -1):
+            last[kind, content] = a
+            yield a, b, kind
 
 
 def scan(text: str | None) -> Found:
     """All finds of one text, decoded layers included."""
     text = text or ""
     out = Found(base_spans(text))
-    out.spans.update(out.base)
-    work, seen = deque([Layer(text, lambda a, b: (a, b))]), {hash(text)}
+    known, depths, holders = {text: 0}, [0], [[]]
+    spans: list[set] = [{(*s, 0) for s in out.base}]  # of each content: its finds and those of the layers inside, with the content that they are of
+    work = deque([text])
     while work:
-        for layer in unwrap(work.popleft()):
-            if hash(layer.text) in seen:
-                continue
-            seen.add(hash(layer.text))
-            out.layers += 1
-            out.depth = max(out.depth, layer.depth)
-            out.spans.update((*layer.back(a, b), kind) for a, b, kind in base_spans(layer.text))
-            work.append(layer)
+        content = work.popleft()
+        at = known[content]
+        for layer in unwrap(content):
+            k = known.setdefault(layer.text, len(depths))
+            if k == len(depths):
+                depths.append(depths[at] + 1)
+                spans.append({(*s, k) for s in base_spans(layer.text)})
+                holders.append([])
+                work.append(layer.text)
+            holders[k].append((at, layer.back))
+    fresh = [(k, some) for k, some in enumerate(spans) if some]
+    while fresh:
+        k, some = fresh.pop()
+        for at, back in holders[k]:
+            more = {(*back(a, b), kind, of) for a, b, kind, of in some} - spans[at]
+            if more:
+                spans[at] |= more
+                fresh.append((at, more))
+    out.spans = {*out.base, *_narrow(spans[0])}
+    out.layers, out.depth = len(depths) - 1, max(depths)
     return out
 
 
