@@ -1,8 +1,11 @@
 """Tokenising operators and secret scans against the libraries, round trips and brute force."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import json
+import lzma
 import math
 import random
 import urllib.parse
@@ -141,6 +144,35 @@ def test_secrets_repeated(spark):
     assert left == " and ".join(["[SECRET]"] * 5)
 
 
+def test_secrets_bytes():
+    line = f"text {SECRET} end".encode()
+    rng = random.Random(3)
+    noise = bytes(rng.choices(range(256), k=400))
+    pad = "".join(rng.choices("abcdefgh ", k=400)).encode()
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    pack = lambda raw: gzip.compress(raw, mtime=0)
+    nested = pack(zlib.compress(line))
+    members = pack(pad) + pack(line[:12]) + pack(line[12:])
+    for packed in (nested, bz2.compress(lzma.compress(nested)), members, zlib.compress(base64.b64encode(nested))):
+        assert found(f"see {b64(packed)} there") == [("assign", b64(packed))]
+    assert len(found(b64(noise + line + noise))) == 1 and len(found(b64(pack(noise + line)))) == 1
+    assert len(found(b64(noise + pack(line) + noise))) == 1 and len(found(b64(pack(line + pad)[:-20]))) == 1
+    for width in (64, 76):
+        for end in ("\n", "\r\n", "\n> "):
+            run = b64(pack(pad + line))
+            wrapped = end.join(run[i : i + width] for i in range(0, len(run), width))
+            for text in (wrapped, f"see\n{wrapped}\nthere", f'cert = "{wrapped}"'):
+                assert found(text) == [("assign", wrapped)] and "\n" in wrapped
+    run = b64(b"x" * 40 + line)  # the secret itself is broken by a line end
+    got = found(f"{run[:64]}\n{run[64:]}")
+    assert any("\n" in span for _, span in got)
+    for raw in (pack(line), zlib.compress(line), nested):
+        for run in ("".join(f"%{c:02X}" for c in raw), urllib.parse.quote(raw, safe=""), urllib.parse.quote_plus(raw), repr(raw)[2:-1], "".join(f"\\x{c:02x}" for c in raw), json.dumps(raw.decode("latin-1"))[1:-1]):
+            assert found(f"d = '{run}' there") == [("assign", run)], run
+    plain = secret_scan.scan(f"{b64(noise)} {'word ' * 30}")
+    assert not plain.spans and not plain.layers
+
+
 def test_secrets_query(spark):
     texts = [None, "", f"a {SECRET} b {SECRET}", "x" * 200_000, urllib.parse.quote(SECRET, safe="")]
     df = frame(spark, texts)

@@ -1,11 +1,12 @@
 """Secret scans with a recursive decoding worklist.
 
-A text is scanned for three kinds of secrets. Runs that look URL-, Unicode- or base64-encoded are unwrapped (base64 may hold
-compressed bytes), every layer is scanned and searched for further layers until nothing new appears; equal contents in one text
+A text is scanned for three kinds of secrets. Runs that look URL-, Unicode- or base64-encoded are unwrapped, base64 also over lines
+of one width. Bytes that they hold are layers too: compressed members anywhere in them are inflated, again and again, all members
+of a row as one content; the rest is read as UTF-8, or else as Latin-1. Of a member that is cut off, what comes out is read. Every layer is scanned and searched for further layers until nothing new appears; equal contents in one text
 are opened once. Finds in a layer are mapped back to every run that holds it, and so on up to the original text, until no span is
 new, so repeated layers count at each of their places and cycles end; where one place leads to the same content in two ways, the
 narrower span stands. The mapping is exact for percent and Unicode escapes, to the enclosing groups of four for base64, to the
-whole run for compressed data.
+whole member for compressed data. `layers` counts the distinct texts that are readable or hold a find.
 
 Kinds, in the order that breaks ties: assign (a named value, the span covers name and value), access (AKIA...), hex.
 
@@ -25,6 +26,7 @@ from bisect import bisect_right
 from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,14 +42,23 @@ _PERCENT = re.compile(r"(?<![A-Za-z0-9._~+/:=&?-])(?:[A-Za-z0-9._~+/:=&?-]*%[0-9
 _UNICODE = re.compile(r"(?<![!-\[\]-~])(?:[!-\[\]-~]*\\(?:u[0-9A-Fa-f]{4}|u\{[0-9A-Fa-f]{1,6}\}|x[0-9A-Fa-f]{2}))+[!-\[\]-~]*")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[\x20\t]*\r?\n[\x20\t>]*[A-Za-z0-9+/_-]++)+={0,2}")
+_PERCENT_BYTES = re.compile(r"(?:[!#$&-;=?-~]|%[0-9A-Fa-f]{2})++")
+_PERCENT_BYTE = re.compile(r"%[0-9A-Fa-f]{2}|.", re.DOTALL)
+_LITERAL = re.compile(r"(?:[\x20-\[\]-~]|\\(?:x[0-9A-Fa-f]{2}|u00[0-9A-Fa-f]{2}|[0-7]{1,3}|[\\/'\"abfnrtv]))++")
+_LITERAL_BYTE = re.compile(r"\\x(..)|\\u00(..)|\\([0-7]{1,3})|\\(.)|.", re.DOTALL)
+_CONTROL = {"a": 7, "b": 8, "f": 12, "n": 10, "r": 13, "t": 9, "v": 11}
+_MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+_STEP = 1 << 16
 _LONG = re.compile(r"[A-Za-z0-9+/_-]{16}")
 
 
 @dataclass
 class Layer:
-    """A text and the way back: `back` maps a span of it to a span of the text that it was found in."""
+    """A text or bytes and the way back: `back` maps a span of it to a span of the content that it was found in."""
 
-    text: str
+    content: str | bytes
     back: Callable[[int, int], tuple[int, int]]
 
 
@@ -74,38 +85,92 @@ def order(spans) -> list[tuple[int, int, str]]:
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def _readable(raw: bytes) -> str | None:
-    """The text that bytes hold, if they look like text."""
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+def _readable(text: str) -> bool:
     strange = sum(1 for c in text if not (c.isprintable() or c in "\n\r\t"))
-    return text if text and strange * 20 <= len(text) else None
+    return strange * 20 <= len(text)
+
 
+def _decompressor(head: bytes):
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:2] == b"\xfd7":
+        return lzma.LZMADecompressor()
+    if head == b"\x28\xb5\x2f\xfd":
+        import zstandard
 
-def _inflate(raw: bytes) -> bytes | None:
-    """Compressed bytes unpacked, by their magic; None if they are none."""
+        return zstandard.ZstdDecompressor().decompressobj()
+    return zlib.decompressobj()
+
+
+def _member(raw: bytes, at: int) -> tuple[bytes, int, bool]:
+    """What the compressed member at a place unpacks to, where it ends, and whether it is whole."""
+    d, out = _decompressor(raw[at : at + 4]), []
     try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompress(raw, 31)
-        if raw[:1] == b"x" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0:
-            return zlib.decompress(raw)
-        if raw[:3] == b"BZh":
-            return bz2.decompress(raw)
-        if raw[:6] == b"\xfd7zXZ\0":
-            return lzma.decompress(raw)
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            return zstandard.ZstdDecompressor().decompressobj().decompress(raw)
+        while at < len(raw) and not d.eof:
+            out.append(d.decompress(raw[at : at + _STEP]))
+            at += len(raw[at : at + _STEP])
+        if d.eof:
+            return b"".join(out), at - len(d.unused_data), True
     except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
-        return None
+        pass
     except Exception as e:  # zstandard has an error class of its own
-        if type(e).__name__ == "ZstdError":
-            return None
-        raise
-    return None
+        if type(e).__name__ != "ZstdError":
+            raise
+    return b"".join(out), len(raw), False
+
+
+def _members(raw: bytes) -> Iterator[tuple[int, int, bytes, bool]]:
+    """(start, end, unpacked, whole) of the compressed data in bytes; members that follow each other are one content."""
+    at = 0
+    while at < len(raw):
+        if at == 0 and len(raw) > 2 and raw[0] & 15 == 8 and raw[0] < 128 and int.from_bytes(raw[:2], "big") % 31 == 0:
+            start = 0
+        elif m := _MAGIC.search(raw, at):
+            start = m.start()
+        else:
+            return
+        unpacked, end, whole = _member(raw, start)
+        if whole:
+            parts, head = [unpacked], raw[start : start + 2]
+            while raw[end : end + 2] == head and (more := _member(raw, end))[0]:
+                parts.append(more[0])
+                end, whole = more[1:]
+                if not whole:
+                    break
+            yield start, end, b"".join(parts), whole
+        elif unpacked and (start == 0 or raw[start] != 120):  # two bytes in the middle do not make a header
+            yield start, end, unpacked, False
+        at = end if whole else start + 1
+
+
+def _views(raw: bytes, place: Callable[[int, int], tuple[int, int]]) -> Iterator[Layer]:
+    """The layers that bytes hold; `place` maps a span of the bytes."""
+    covered = 0
+    for start, end, unpacked, whole in _members(raw):
+        covered += end - start if whole else 0
+        if unpacked:
+            yield Layer(unpacked, lambda a, b, i=start, j=end: place(i, j))
+    if covered == len(raw):
+        return
+    try:
+        text = raw.decode("utf-8")
+    except UnicodeDecodeError:
+        text = raw.decode("latin-1")
+    if len(text) == len(raw):
+        yield Layer(text, place)
+        return
+    widths: list[int] = []
+
+    def back(a: int, b: int) -> tuple[int, int]:
+        if not widths:
+            widths.append(0)
+            for c in text:
+                widths.append(widths[-1] + len(c.encode("utf-8")))
+        return place(widths[a], widths[b])
+
+    yield Layer(text, back)
 
 
 def _pieces(at: int, parts: list[tuple[str, int, int]]) -> Layer:
@@ -160,40 +225,95 @@ def _unicode(m: re.Match) -> Layer | None:
     return _pieces(m.start(), parts)
 
 
-def _base64(m: re.Match) -> Layer | None:
-    run = m[0].rstrip("=")
+def _packed(raw: bytes, run: re.Match, byte: re.Pattern) -> Iterator[Layer]:
+    """The compressed data in the bytes that an escaped run stands for; `byte` matches what stands for one of them."""
+    if not _MAGIC.search(raw):
+        return
+    starts = [run.start() + m.start() for m in byte.finditer(run[0])] + [run.end()]
+    for i, j, unpacked, _ in _members(raw):
+        if unpacked:
+            yield Layer(unpacked, lambda a, b, i=starts[i], j=starts[j]: (i, j))
+
+
+def _url_bytes(m: re.Match) -> Iterator[Layer]:
+    if "%" in m[0]:
+        yield from _packed(unquote_to_bytes(m[0]), m, _PERCENT_BYTE)
+        if "+" in m[0]:  # stands for a blank in forms
+            yield from _packed(unquote_to_bytes(m[0].replace("+", " ")), m, _PERCENT_BYTE)
+
+
+def _literal_byte(m: re.Match) -> str:
+    if m[4]:
+        return chr(_CONTROL.get(m[4], ord(m[4])))
+    return chr(int(m[1] or m[2], 16)) if m[1] or m[2] else chr(int(m[3], 8) & 255) if m[3] else m[0]
+
+
+def _literal_bytes(m: re.Match) -> Iterator[Layer]:
+    if "\\" in m[0]:
+        yield from _packed(_LITERAL_BYTE.sub(_literal_byte, m[0]).encode("latin-1"), m, _LITERAL_BYTE)
+
+
+def _base64(text: str, lines: list[tuple[int, int]]) -> Iterator[Layer]:
+    """The layers in base64 that stands in the spans of one or more lines."""
+    run = "".join(text[a:b] for a, b in lines).rstrip("=")
     if len(run) % 4 == 1:
         run = run[:-1]
     plain = run.replace("-", "+").replace("_", "/")
     try:
         raw = base64.b64decode(plain + "=" * (-len(plain) % 4))
     except (binascii.Error, ValueError):
-        return None
-    start, end = m.span()
-    if (unpacked := _inflate(raw)) is not None:
-        text = _readable(unpacked)
-        return None if text is None else Layer(text, lambda a, b: (start, end))
-    text = _readable(raw)
-    if text is None:
-        return None
-    widths = [0]
-    for c in text:
-        widths.append(widths[-1] + len(c.encode("utf-8")))
-
-    def back(a: int, b: int) -> tuple[int, int]:
-        return start + widths[a] // 3 * 4, min(end, start + -(-widths[b] // 3) * 4)
-
-    return Layer(text, back)
-
-
-def unwrap(text: str) -> Iterator[Layer]:
-    """The layers directly inside a text."""
-    if "%" in text:
+        return
+    befores, n = [], 0
+    for a, b in lines:
+        befores.append(n)
+        n += b - a
+
+    def at(k: int) -> int:
+        i = bisect_right(befores, k) - 1
+        return lines[i][0] + k - befores[i]
+
+    def place(a: int, b: int) -> tuple[int, int]:
+        last = n if b >= len(raw) else min(n, -(-b // 3) * 4)
+        return at(a // 3 * 4), at(max(last, 1) - 1) + 1
+
+    yield from _views(raw, place)
+
+
+def _wrapped(lines: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """Of lines in a row: those of one width with a shorter last one, and the same with a shorter first line, which began in the middle."""
+    width, i = [b - a for a, b in lines], 0
+    while i < len(lines):
+        j = i + 1
+        while j < len(lines) and width[j] == width[i]:
+            j += 1
+        last = j + (j < len(lines) and width[j] < width[i])
+        if width[i] >= 16 and last - i > 1:
+            yield lines[i:last]
+        if i == 1 and width[0] < width[1]:
+            yield lines[:last]
+        i = j
+
+
+def unwrap(content: str | bytes) -> Iterator[Layer]:
+    """The layers directly inside a text or bytes."""
+    if isinstance(content, bytes):
+        yield from _views(content, lambda a, b: (a, b))
+        return
+    text = content
+    if "%" in text and _PERCENT.search(text):
         yield from filter(None, (_url(m) for m in _PERCENT.finditer(text)))
+        for m in _PERCENT_BYTES.finditer(text):
+            yield from _url_bytes(m)
     if "\\u" in text or "\\x" in text:
         yield from filter(None, (_unicode(m) for m in _UNICODE.finditer(text)))
+        for m in _LITERAL.finditer(text):
+            yield from _literal_bytes(m)
     if len(text) >= 16 and _LONG.search(text):
-        yield from filter(None, (_base64(m) for m in _BASE64.finditer(text)))
+        for m in _BASE64.finditer(text):
+            yield from _base64(text, [m.span()])
+        for m in _LINES.finditer(text):
+            for lines in _wrapped([x.span() for x in _LINE.finditer(text, *m.span())]):
+                yield from _base64(text, lines)
 
 
 def _narrow(spans: set[tuple[int, int, str, int]]) -> Iterator[tuple[int, int, str]]:
@@ -216,12 +336,13 @@ def scan(text: str | None) -> Found:
         content = work.popleft()
         at = known[content]
         for layer in unwrap(content):
-            k = known.setdefault(layer.text, len(depths))
+            k = known.setdefault(layer.content, len(depths))
             if k == len(depths):
-                depths.append(depths[at] + 1)
-                spans.append({(*s, k) for s in base_spans(layer.text)})
+                told = isinstance(layer.content, str)
+                depths.append(depths[at] + (not told or isinstance(content, str)))
+                spans.append({(*s, k) for s in base_spans(layer.content)} if told else set())
                 holders.append([])
-                work.append(layer.text)
+                work.append(layer.content)
             holders[k].append((at, layer.back))
     fresh = [(k, some) for k, some in enumerate(spans) if some]
     while fresh:
@@ -232,7 +353,8 @@ def scan(text: str | None) -> Found:
                 spans[at] |= more
                 fresh.append((at, more))
     out.spans = {*out.base, *_narrow(spans[0])}
-    out.layers, out.depth = len(depths) - 1, max(depths)
+    texts = [k for x, k in known.items() if k and isinstance(x, str) and (spans[k] or _readable(x))]
+    out.layers, out.depth = len(texts), max((depths[k] for k in texts), default=0)
     return out
 
 
