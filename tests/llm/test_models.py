@@ -1,5 +1,7 @@
 """Classifiers by held-out accuracy, decontamination and quotations on fixtures, the pipeline end to end."""
 
+import random
+
 import duckdb
 import pandas as pd
 import pytest
@@ -65,6 +67,22 @@ def test_leaks(spark):
     assert {(r.doc_id, r.item_id) for r in blocks.collect()} == {(0, 7), (1, 7), (2, 7), (7, 7)}
 
 
+def test_leaks_of_any_length(spark):
+    rng = random.Random(8)
+    usual = [f"usual{i}" for i in range(300)]
+    rare = lambda n: " ".join(f"r{rng.getrandbits(40):x}" for _ in range(n))
+    said = lambda n: " ".join(rng.choices(usual, k=n))
+    items = [(i, f"{said(n)}.") for i, n in enumerate([8, 12, 20, 50, 100, 160, 200, 300, 500, 1000] * 3)]
+    texts = [f"{rare(150)} {x} {rare(150)}" for _, x in items] + [f"{said(100)} {x} {said(100)}" for _, x in items] + [x for _, x in items]
+    true = {(k, k % len(items)) for k in range(len(texts))}
+    texts += [said(200) for _ in range(60)] + [rare(200) for _ in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()}
+    assert true <= got
+    assert {d for d, _ in got} == {d for d, _ in true}
+
+
 def test_leaks_of_all_planted(spark):
     docs, bench = table(spark, "documents").toPandas(), table(spark, "benchmark").toPandas()
     true = {(d.doc_id, b.item_id) for b in bench.itertuples() for d in docs.itertuples() if b.text in d.text}

@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Inverse document frequencies come from all documents. The TF-IDF rows of the benchmark's passages, in blocks of bounded size, go
-through a randomised SVD whose products are Spark aggregates; every window of every document that shares enough weight with the
-benchmark is folded into that space and held against all items of the block by cosine. Candidates are then checked on the words themselves: the longest common subsequence
-of item and surrounding text, and whether the item's answer (its last sentence) is there too. An item counts as leaked if nearly
+through a randomised SVD whose products are Spark aggregates; the windows of every document, of doubling sizes up to the longest
+item, are folded into that space and held against all items of the block by cosine, save those too light to cover even the lightest
+item. An item's rarest runs of three words, one from each part of it, are looked up as well: a verbatim copy holds them all, so it is
+always a candidate. Candidates are then checked on the words themselves: the longest common subsequence of item and surrounding text, and whether the item's answer (its last sentence) is there too. An item counts as leaked if nearly
 all of its words follow in order, or if a good part does and the answer is found, which catches paraphrases.
 
 Defined results: null and empty texts and items match nothing; items without words are ignored; a repeated document row gives
@@ -35,10 +36,11 @@ class Settings:
     items: int = 512  #: benchmark items in a block, which bounds its matrices on the driver and in the tasks
     rank: int = 96
     oversample: int = 16
-    tile: int = 8  #: windows begin at every tile-th word and hold 2, 4 and 8 tiles
+    tile: int = 8  #: windows hold 2, 4, 8 ... tiles of a document; up to 8 they begin at every tile, larger ones at every eighth part
     cosine: float = 0.6  #: in the latent space
     cover: float = 0.4  #: share of an item, in the latent space, that a window covers
-    share: float = 0.3  #: of a window's squared weight that is in terms of the benchmark
+    seeds: int = 8  #: parts of an item that give a run of words to look up; half of them make a candidate
+    run: int = 3  #: words in such a run, or all words of a shorter item
     sure: float = 0.8  #: share of an item's words, in order, that is a leak by itself
     likely: float = 0.5  #: share that is a leak if the answer is there
     answer: float = 0.8  #: share of the answer's words, in order, that counts as there
@@ -233,20 +235,96 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-def _doubled(x: np.ndarray, step: int) -> np.ndarray:
-    """Each entry and the one `step` places on, added; entries near the end stand alone."""
+def _doubled(x: np.ndarray, doc: np.ndarray, step: int) -> np.ndarray:
+    """Each entry and the one `step` places on in the same document, added; entries near its end stand alone."""
     out = x.copy()
-    out[: len(x) - step] += x[step:]
+    same = np.flatnonzero(doc[:-step] == doc[step:])
+    out[same] += x[same + step]
     return out
 
 
+def _runs_of_words(ids: np.ndarray, size: int, bits: int) -> np.ndarray:
+    """One number for each run of so many terms."""
+    out = np.zeros(max(0, len(ids) - size + 1), np.int64)
+    for k in range(size):
+        out = out << bits | ids[k : k + len(out)]
+    return out
+
+
+@dataclass
+class Seeds:
+    """Runs of `size` words to look up: sorted keys, and for each the item, its part and the place in the item."""
+
+    size: int
+    sieve: np.ndarray
+    keys: np.ndarray
+    item: np.ndarray
+    part: np.ndarray
+    place: np.ndarray
+
+
+_SIEVE = 20
+
+
+def _sieved(keys: np.ndarray) -> np.ndarray:
+    return (keys.astype(np.uint64) * np.uint64(_BASE) >> np.uint64(64 - _SIEVE)).astype(np.int64)
+
+
+def _seeds(space: Space, idf: np.ndarray, settings: Settings) -> tuple[list[Seeds], np.ndarray]:
+    """The seeds of a block by size of run, and the number of seeds of each item."""
+    of, rows, count = Terms(settings.bits), {}, np.zeros(len(space.texts), np.int64)
+    for j, words in enumerate(space.texts):
+        ids = of([" ".join(words)]).ids
+        size = min(settings.run, len(ids))
+        keys = _runs_of_words(ids, size, settings.bits)
+        rare = np.convolve(idf[ids], np.ones(size), "valid")
+        parts = np.array_split(np.arange(len(keys)), min(settings.seeds, len(keys)))
+        count[j] = len(parts)
+        for k, part in enumerate(parts):
+            at = part[np.argmax(rare[part])]
+            rows.setdefault(size, []).append((keys[at], j, k, at))
+    out = []
+    for size, some in rows.items():
+        keys, item, part, place = np.array(sorted(some), np.int64).T
+        sieve = np.zeros(1 << _SIEVE, bool)
+        sieve[_sieved(keys)] = True
+        out.append(Seeds(size, sieve, keys, item, part, place))
+    return out, count
+
+
+def _seeded(seeds: list[Seeds], count: np.ndarray, ids: np.ndarray, doc: np.ndarray, settings: Settings) -> Iterator[tuple[int, int, int]]:
+    """(document, item, first word of the item) of the items of which a document holds half of the seeds."""
+    for s in seeds:
+        keys = _runs_of_words(ids, s.size, settings.bits)
+        at = np.flatnonzero(s.sieve[_sieved(keys)])
+        at = at[doc[at] == doc[at + s.size - 1]]
+        low, high = np.searchsorted(s.keys, keys[at], "left"), np.searchsorted(s.keys, keys[at], "right")
+        n = high - low
+        if not n.any():
+            continue
+        seed = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(at, n)
+        pair = doc[at].astype(np.int64) * len(count) + s.item[seed]
+        once = np.unique(np.stack([pair, s.part[seed]]), axis=1)[0]
+        pairs, parts = np.unique(once, return_counts=True)
+        enough = pairs[2 * parts >= count[pairs % len(count)]]
+        for k in np.flatnonzero(np.isin(pair, enough)).tolist():
+            yield int(pair[k]) // len(count), int(s.item[seed[k]]), int(at[k] - s.place[seed[k]])
+
+
 def search(space: Space, idf: np.ndarray, settings: Settings):
     """A function of texts: for each text its leaked items, as (item, cosine, share of words, share of answer, first word)."""
-    terms, heavy, tile = Terms(settings.bits), idf**2, settings.tile
+    terms, tile = Terms(settings.bits), settings.tile
     weighted = np.zeros_like(space.terms)  # each term's row times its weight
     weighted[space.row[space.row > 0]] = space.terms[space.row[space.row > 0]] * idf[space.row > 0][:, None]
     length = np.maximum(np.linalg.norm(space.items, axis=1), 1e-9)
     latent = np.ascontiguousarray((space.items / length[:, None]).T)
+    seeds, count = _seeds(space, idf, settings)
+    longest, lightest = max(map(len, space.texts), default=0), settings.cover * length.min(initial=np.inf)
+
+    def cosine(j: int, words: np.ndarray) -> float:
+        x = weighted[words].sum(axis=0)
+        return float(x @ latent[:, j] / max(np.linalg.norm(x), 1e-9))
 
     def run(texts: list[str | None]) -> list[dict[int, tuple]]:
         out: list[dict[int, tuple]] = [{} for _ in texts]
@@ -254,30 +332,45 @@ def search(space: Space, idf: np.ndarray, settings: Settings):
         ids, ends, total = got.ids, got.ends, len(got.ids)
         if not total or not space.names:
             return out
-        mass, row = heavy[ids], space.row[ids]
-        at = np.flatnonzero(row)
-        if not len(at):
-            return out
-        cuts = np.arange(0, total, tile)
-        whole = np.add.reduceat(mass, cuts)
-        part = np.bincount(at // tile, mass[at], len(cuts))
-        vectors = np.zeros((len(cuts), weighted.shape[1]), np.float32)
-        full = np.flatnonzero(np.diff(at // tile, prepend=-1))
-        vectors[at[full] // tile] = np.add.reduceat(weighted[row[at]], full, axis=0)
+        row = space.row[ids]
+        begins = np.concatenate(([0], ends[:-1]))
+        doc_of = np.repeat(np.arange(len(ends)), ends - begins)
         found: dict[tuple[int, int], tuple[float, list]] = {}
-        for step in (1, 2, 4):  # windows of 2, 4 and 8 tiles, each the sum of two of the size before
-            whole, part, vectors = (_doubled(x, step) for x in (whole, part, vectors))
-            w = np.flatnonzero((part > 0) & (part >= settings.share * whole))
-            x = vectors[w]
-            near = x @ latent
-            covers = near >= settings.cover * length
-            near /= np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-9)[:, None]
-            for i, j in zip(*np.nonzero(covers & (near >= settings.cosine)), strict=True):
-                a, b = int(w[i]) * tile, min((int(w[i]) + 2 * step) * tile, total)
-                for d in range(int(np.searchsorted(ends, a, "right")), int(np.searchsorted(ends, b - 1, "right")) + 1):
-                    best, spans = found.get((d, int(j)), (0.0, []))
-                    found[d, int(j)] = (max(best, float(near[i, j])), spans)
-                    spans.append((a, b))
+        for d, j, a in _seeded(seeds, count, ids, doc_of, settings):
+            a, b = max(a, int(begins[d])), min(a + len(space.texts[j]), int(ends[d]))
+            best, spans = found.get((d, j), (-1.0, []))
+            found[d, j] = (max(best, cosine(j, row[a:b])), spans)
+            spans.append((a, b))
+        at = np.flatnonzero(row)
+        tiles = -(-(ends - begins) // tile)  # of each document
+        doc = np.repeat(np.arange(len(ends)), tiles)
+        first = np.cumsum(tiles) - tiles
+        place = np.arange(len(doc)) - first[doc]
+        tile_of = first[doc_of[at]] + (at - begins[doc_of[at]]) // tile
+        vectors = np.zeros((len(doc), weighted.shape[1]), np.float32)
+        full = np.flatnonzero(np.diff(tile_of, prepend=-1))
+        if len(full):
+            vectors[tile_of[full]] = np.add.reduceat(weighted[row[at]], full, axis=0)
+        size, stride = 1, 1
+        while len(at) and (size < 8 or size * tile < longest):
+            if size >= 8:
+                even = np.flatnonzero(place % 2 == 0)
+                doc, place, vectors, stride = doc[even], place[even] // 2, vectors[even], 2 * stride
+            vectors = _doubled(vectors, doc, size // stride)
+            size *= 2
+            norm = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+            heavy = np.flatnonzero(norm >= max(lightest, 1e-9))
+            for k in range(0, len(heavy), 4096):
+                w = heavy[k : k + 4096]
+                near = vectors[w] @ latent
+                close = near >= settings.cosine * norm[w][:, None]
+                close &= near >= settings.cover * length
+                for i, j in zip(*(x.tolist() for x in np.nonzero(close)), strict=True):
+                    d = int(doc[w[i]])
+                    a = int(begins[d]) + int(place[w[i]]) * stride * tile
+                    best, spans = found.get((d, j), (-1.0, []))
+                    found[d, j] = (max(best, float(near[i, j] / norm[w[i]])), spans)
+                    spans.append((a, min(a + size * tile, int(ends[d]))))
         for (d, j), (c, spans) in found.items():
             begin, end = int(ends[d - 1]) if d else 0, int(ends[d])
             item, answer = space.texts[j], space.answers[j]
