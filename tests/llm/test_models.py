@@ -123,6 +123,25 @@ def test_quotes(spark):
     assert quotes.conversations(df.limit(0)).count() == 0
 
 
+def test_quoted_passages(spark):
+    long = "The parcel left the depot on Friday morning and should reach you by the end of next week."
+    rows = [
+        (1, 0, "user", "Thanks\nWhere is it?"),
+        (1, 1, "assistant", f"{long} Sorry.\n\nSee\nyou soon\n\nThanks"),
+        (1, 2, "user", "> The parcel left\n> the depot on Friday morning and should reach you by\n> the end of next week.\nGood."),
+        (1, 3, "user", "> should reach you by the end\nWhich end?"),
+        (1, 4, "user", "> See you\n> soon\nBye"),
+        (1, 5, "user", "> Sorry.\nNo need"),
+        (1, 6, "user", "> The parcel left the harbour on Friday morning\nNo"),
+        (1, 7, "user", "> Good.\n>> reach you by the\n>> end of next week. Sorry.\nIndeed"),
+        (2, 0, "user", "> should reach you by the end\nOf another conversation"),
+        (2, 1, "user", None),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r.reply_to for r in quotes.conversations(df).collect()}
+    assert got == {(1, 0): None, (1, 1): None, (1, 2): 1, (1, 3): 1, (1, 4): 1, (1, 5): 1, (1, 6): None, (1, 7): 2, (2, 0): None, (2, 1): None}
+
+
 def test_names_and_oracles():
     assert [f.__name__.split("_")[0] for f in QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert set(ORACLES) <= {f.__name__ for f in QUERIES}

@@ -2,11 +2,13 @@
 
 Lines that open with '>' marks are quoted, their level is the number of marks. Each quoted line is normalised (lower case, white
 space as single blanks), hashed and joined to the first message of the same conversation that wrote that line itself; a message
-replies to the latest message that one of its least-quoted lines leads to. Replies join the thread of what they reply to, so a
+replies to the latest message that one of its least-quoted lines or passages leads to. Adjacent quoted lines of one level are a
+passage, which may be wrapped anew or be a part of what was written: it counts if each of its runs of `RUN` words was written before,
+and leads to the latest of the first messages that wrote one; of fewer words, if a paragraph or sentence is the same. Replies join the thread of what they reply to, so a
 conversation reads by thread (the turn that it began with), then by turn, each message without quotes and attribution lines.
 
 Rows are messages: no conversation is ever gathered, so one of any length is as good as many. Originals are reduced to one row
-per line before they are joined.
+per line or run of words before they are joined. The SQL below knows lines only.
 
 Defined results: null text counts as empty, a null role as 'unknown'; messages of an equal conversation and turn each give a row
 and share their links; messages without a conversation or turn take part without links.
@@ -14,13 +16,14 @@ and share their links; messages without a conversation or turn take part without
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.llm.common import settle
 
 QUOTED = r"^[ \t]*>"
 MARKS = r"^[ \t]*(>[ \t]*)+"
+RUN = 5
 ATTRIBUTION = r"^On .*wrote:[ \t\r]*$"
 
 
@@ -33,6 +36,45 @@ def _plain(lines: Column) -> Column:
     return F.filter(lines, lambda x: ~x.rlike(QUOTED) & ~x.rlike(ATTRIBUTION))
 
 
+def _runs(words: Column) -> Column:
+    """The distinct runs of RUN words; none of fewer words."""
+    n = F.size(words)
+    at = F.when(n >= RUN, F.sequence(F.lit(1), n - (RUN - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(at, lambda i: F.sha2(F.array_join(F.slice(words, i, RUN), " "), 256)))
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(normalised(F.regexp_replace(text, "\n", " ")), " "), lambda w: w != "")
+
+
+def _short(words: Column) -> Column:
+    return F.sha2(F.array_join(words, " "), 256)
+
+
+def _passage_links(quoting: DataFrame, rows: DataFrame) -> DataFrame:
+    """(conv_id, turn, level, origin) of the quoted passages that were written before, for the messages of conversations with quotes."""
+    line = quoting.withColumn("message", F.monotonically_increasing_id()).select("conv_id", "turn", "message", F.posexplode("lines").alias("pos", "line"))
+    level = F.when(F.col("line").rlike(QUOTED), F.length(F.regexp_replace(F.regexp_extract("line", MARKS, 0), "[^>]", ""))).otherwise(0)
+    said = normalised(F.regexp_replace("line", MARKS, ""))
+    line = line.select("conv_id", "turn", "message", "pos", F.when(said == "", 0).otherwise(level).alias("level"), said.alias("said"))
+    order = Window.partitionBy("message").orderBy("pos")
+    change = (F.col("level") != F.lag("level", 1, 0).over(order)).cast("int")
+    line = line.withColumn("change", change).withColumn("passage", F.sum("change").over(order)).where("level > 0")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "said"))), lambda x: x["said"]), " ")
+    passages = line.groupBy("conv_id", "turn", "message", "passage", "level").agg(_words(text).alias("words"))
+    keys = F.when(F.size("words") >= RUN, _runs(F.col("words"))).otherwise(F.array(_short(F.col("words"))))
+    passages = passages.select("conv_id", "turn", "message", "passage", "level", keys.alias("keys"))
+    asked = passages.select("*", F.size("keys").alias("n"), F.explode("keys").alias("hash")).drop("keys")
+    own = F.array_join(_plain(F.col("lines")), "\n")
+    parts = F.concat(F.split(own, r"\n[ \t\r]*\n"), F.split(F.regexp_replace(own, r"\n", " "), r"(?<=[.!?])[ \t\r]+"))
+    short = F.filter(F.transform(parts, _words), lambda w: (F.size(w) > 0) & (F.size(w) < RUN))
+    written = rows.select("conv_id", "turn", F.explode(F.array_distinct(F.concat(_runs(_words(own)), F.transform(short, _short)))).alias("hash"))
+    first = written.groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
+    found = asked.join(first, ["conv_id", "hash"]).where("origin < turn")
+    whole = found.groupBy("conv_id", "turn", "message", "passage", "level", "n").agg(F.count("*").alias("had"), F.max("origin").alias("origin"))
+    return whole.where("had = n").select("conv_id", "turn", "level", "origin")
+
+
 def replies(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, reply_to): the message that each quoting message replies to."""
     rows = messages.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.split("text", "\n").alias("lines"))
@@ -47,6 +89,7 @@ def replies(messages: DataFrame) -> DataFrame:
     own = own.select("conv_id", "turn", normalised(F.col("line")).alias("said")).where("said <> ''")
     first = own.groupBy("conv_id", F.sha2("said", 256).alias("hash")).agg(F.min("turn").alias("origin"))
     found = quoted.withColumn("hash", F.sha2("said", 256)).join(first, ["conv_id", "hash"]).where("origin < turn")
+    found = found.select("conv_id", "turn", "level", "origin").union(_passage_links(quoting, rows.join(concerned, "conv_id", "left_semi")))
     by_level = found.groupBy("conv_id", "turn", "level").agg(F.max("origin").alias("origin"))
     return by_level.groupBy("conv_id", "turn").agg(F.min_by("origin", "level").alias("reply_to"))
 
