@@ -1,7 +1,8 @@
 """Token-id files compressed by Re-Pair grammars.
 
 Documents go to shards by ascending doc_id. A shard's ids are cut into blocks of whole documents; in each block frequent pairs of
-neighbouring ids are replaced by nonterminals, many pairs a round, until none is frequent. A block stores its rules, the length
+neighbouring ids are replaced by nonterminals, many pairs a round, for `Settings.rounds` rounds at most, so that
+some pairs may stay frequent. A block stores its rules, the length
 that each rule expands to, the remaining symbols (16 bits each) and where each document's symbols begin, so that any document can
 be decoded on its own. No rule crosses the end of a document. Blocks are rows of a Parquet table in the shared folder; a task
 that is run again writes the same rows.
