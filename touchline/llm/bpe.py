@@ -5,14 +5,18 @@ greedily; a token is kept only if it is compatible with the one before it, that
 across their border, and otherwise gives way to its longest shorter prefix token or to the step before it. A bit per byte marks
 positions that led nowhere, so the work is linear. The ids are those of the merge procedure itself.
 
-Defined results: null text counts as empty; empty text has no ids; one output row per input row.
+Defined results: null text counts as empty; empty text has no ids; one output row per input row, so repeated rows repeat and an
+empty table gives none; a text of any length is encoded whole, in memory in proportion to it; other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -21,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import CACHE_WORDS, ByteLevel, gather
+from touchline.llm.common import CACHE_BYTES, ByteLevel, by_text, gather
 
 VOCABULARY = "byte_bpe_50k.json"
+#: Entries of the pair-compatibility table that are kept before it starts afresh.
+PAIRS = 1 << 18
 
 
 def byte_letters() -> dict[str, int]:
@@ -65,7 +71,7 @@ class Backtracking:
             self.automaton.add_word(b.decode("latin-1"), (i, len(b)))
             self.shorter[i] = next((ids[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in ids), None)
         self.automaton.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}  # two tokens as one number
         flat = {**self.raw, **{i: s.encode() for s, i in self.split.special.items()}}
         self.lengths = np.zeros(max(flat) + 1, np.int64)
         for i, b in flat.items():
@@ -75,7 +81,7 @@ class Backtracking:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging by rank leaves the border between tokens a and b: no pair across it merges before its sides are made."""
-        known = self.fits.get((a, b))
+        known = self.fits.get(a << 32 | b)
         if known is not None:
             return known
         left, right, limit, out = a, b, 1 << 60, True
@@ -101,9 +107,9 @@ class Backtracking:
                     left = self.parts[left][1]
                 else:
                     right = step
-        if len(self.fits) > 4 * CACHE_WORDS:
+        if len(self.fits) >= PAIRS:
             self.fits.clear()
-        self.fits[a, b] = out
+        self.fits[a << 32 | b] = out
         return out
 
     def encode_piece(self, piece: str) -> list[int]:
@@ -152,7 +158,7 @@ class Encoded:
         self.ids = np.zeros(1 << 16, np.int32)
         self.at = np.zeros(1 << 14, np.int64)
         self.count = np.zeros(1 << 14, np.int64)
-        self.end = 0
+        self.end = self.taken = 0
 
     def add(self, piece: str) -> None:
         ids = self.encoder.encode_piece(piece)
@@ -166,11 +172,12 @@ class Encoded:
         self.end += len(ids)
         self.number[piece] = k
         self.said.append(",".join(map(str, ids)))
+        self.taken += sys.getsizeof(piece) + len(self.said[-1]) + 4 * len(ids) + 200
 
     def __call__(self, text: str) -> tuple[np.ndarray, str]:
         """All ids of a text, as an array and as decimal numbers joined by commas."""
         pieces = self.encoder.split.pieces(text)
-        if len(self.number) > CACHE_WORDS:
+        if self.taken > CACHE_BYTES:
             self.clear()
         for piece in set(pieces).difference(self.number):
             self.add(piece)
@@ -179,28 +186,33 @@ class Encoded:
         return ids, ",".join(map(self.said.__getitem__, which.tolist()))
 
 
-_BUILT: dict[str, Backtracking] = {}
+@functools.cache
+def _built(path: str) -> Backtracking:
+    """The automaton of a vocabulary file, of a fixed size, built once in a Python worker."""
+    return Backtracking(path)
 
 
 def encoder(path: str) -> Encoded:
-    """An encoder of a vocabulary file. A Python worker builds the automaton once; what a task has cached goes with the task."""
-    if path not in _BUILT:
-        _BUILT[path] = Backtracking(path)
-    _BUILT[path].fits.clear()
-    return Encoded(_BUILT[path])
+    """An encoder of a vocabulary file; the words and pairs that it keeps go with it."""
+    out = Encoded(_built(path))
+    out.encoder.fits = {}
+    return out
 
 
 def encode(docs: DataFrame, path: str | None = None, schema: str = "doc_id long, ids array<int>") -> DataFrame:
     """The ids of every document as an array: doc_id, ids."""
     path = path or public_tokenizers.path(VOCABULARY)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def step() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         of = encoder(path)
-        for b in batches:
+
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
             ids = [of(t or "")[0] for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+        return run
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(by_text(step), schema)
 
 
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
@@ -208,7 +220,7 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = encoder(path).encoder
+        table = _built(path)
         for b in batches:
             texts = [table.decode(np.asarray(x or [], np.int64)) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
@@ -226,18 +238,21 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     def sha(text: str) -> str:
         return hashlib.sha256(text.encode("utf-8")).hexdigest()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def step() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         of = encoder(path)
-        for b in batches:
+
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
             counts, ids, texts = [], [], []
             for t in b.column("text").to_pylist():
                 array, said = of(t or "")
                 counts.append(len(array))
                 ids.append(sha(said))
                 texts.append(sha(of.encoder.decode(array)))
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, DIGESTS)
+        return run
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(by_text(step), DIGESTS)

@@ -3,29 +3,48 @@ bounded training samples and the byte-level pre-tokeniser."""
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import functools
 import re
+import shutil
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries a Python worker keeps in a word cache before it starts afresh; results do not depend on it.
-CACHE_WORDS = 400_000
-_OWN: dict[str, str] = {}
+#: Bytes that a cache of a Python worker takes, about, before it starts afresh; results do not depend on it.
+CACHE_BYTES = 48 << 20
+#: Bytes of text that a task takes out of Arrow at once, or one document.
+TEXT_BYTES = 8 << 20
+
+
+@functools.cache
+def _own_dir() -> str:
+    path = tempfile.mkdtemp(prefix="touchline-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return "file://" + path
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Where it is unset, a session of one process (tests) gets a temporary folder; a cluster has no folder to share and must name one.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = _OWN.setdefault("dir", "") or _OWN.update(dir="file://" + tempfile.mkdtemp(prefix="touchline-")) or _OWN["dir"]
-    return path
+    if path:
+        return path
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return _own_dir()
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def settle(df: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -103,12 +122,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, modulus: in
     """At most `rows` labelled training documents (doc_id, text, y), the first by a hash of doc_id.
 
     Rows whose crc32(doc_id as text) mod `modulus` is `held` never take part. A document labelled twice counts with the larger
-    label; null ids, null labels and rows without a document drop out. Only ids (bounded by `rows`) are broadcast.
+    label, a doc_id with several texts with the one of the smallest hash; null ids, null labels and rows without a document drop
+    out. Only ids (bounded by `rows`) are broadcast.
     """
     y = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy("doc_id").agg(F.max(column).cast("int").alias("y"))
     y = y.where(remainder("doc_id", modulus) != held).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(y), "doc_id")
+    found = texts.join(F.broadcast(y), "doc_id").withColumn("n", F.xxhash64("text"))
+    one = found.groupBy("doc_id", "y").agg(F.min(F.struct("n", "text")).alias("t"))
+    return one.select("doc_id", "y", "t.text")
 
 
 def remainder(column: str, modulus: int):
@@ -117,17 +139,59 @@ def remainder(column: str, modulus: int):
 
 
 class WordCache(dict):
-    """word -> number of the word, given out by `make(word)` on first sight; read with map(cache.__getitem__, words)."""
+    """word -> make(word), worked out on first sight; read with map(cache.__getitem__, words). Beyond `room` bytes it starts afresh."""
 
-    def __init__(self, make):
+    def __init__(self, make: Callable, room: float = CACHE_BYTES):
         super().__init__()
-        self.make = make
+        self.make, self.room, self.left = make, room, room
 
     def __missing__(self, word):
+        self.left -= sys.getsizeof(word) + 136  # a slot and a number
+        if self.left < 0:
+            self.clear()
+            self.left = self.room
         value = self[word] = self.make(word)
         return value
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of whole rows, each of about `most` bytes of text or of one row."""
+    if not batch.num_rows:
+        return
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(size) - size) // most
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        yield batch.slice(i, j - i)
+
+
+def give_back() -> None:
+    """Return freed memory of a Python worker, which outlives its task, to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def by_text(step: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], most: int = TEXT_BYTES) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow: `step()` makes, once a task, a function of batches, which gets about `most` bytes of text at a time.
+
+    What it holds ends with the task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = step()
+        try:
+            for b in batches:
+                for part in slices(b, most=most):
+                    yield of(part)
+        finally:
+            del of
+            give_back()
+
+    return run
+
+
 # Latin letters and numbers below U+0250, spelled out so that the standard library's pattern engine can split common texts.
 _LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
 COMMON = re.compile("[^\t\n\r -~¡-ɏ]")

@@ -7,14 +7,18 @@ item. An item's rarest runs of three words, one from each part of it, are looked
 always a candidate. Candidates are then checked on the words themselves: the longest common subsequence of item and surrounding text, and whether the item's answer (its last sentence) is there too. An item counts as leaked if nearly
 all of its words follow in order, or if a good part does and the answer is found, which catches paraphrases.
 
+Words are runs of letters and digits; in scripts without spaces each character is one.
+
 Defined results: null and empty texts and items match nothing; items without words are ignored; a repeated document row gives
-its own result rows; a repeated item id gives the best row of its texts.
+its own result rows; a repeated item id gives the best row of its texts, of equal ones the greatest by share, cosine, answer and
+place; empty tables give no rows. A text of any length is searched whole. Other columns are not read, and stay as they are where
+documents are kept, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import runs
+from touchline.llm.common import by_text, runs, settle, slices
 
 #: Bytes between words: white space, other controls and ASCII punctuation.
 _BETWEEN = np.array([i < 48 or 57 < i < 65 or 90 < i < 97 or 122 < i < 128 for i in range(256)])
 _LOWER = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
+PART = 1 << 20  #: bytes of text that are taken apart at once, or one document
 _BASE, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
 
@@ -34,6 +39,7 @@ _BASE, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 class Settings:
     bits: int = 17  #: words are hashed to 2**bits terms
     items: int = 512  #: benchmark items in a block, which bounds its matrices on the driver and in the tasks
+    terms: int = 150_000  #: rows of terms, of all blocks together, after which a pass over the documents ends; 4 * rank bytes each
     rank: int = 96
     oversample: int = 16
     tile: int = 8  #: windows hold 2, 4, 8 ... tiles of a document; up to 8 they begin at every tile, larger ones at every eighth part
@@ -76,8 +82,9 @@ class Terms:
             accented = np.flatnonzero((raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)) + 1
             low[accented] |= 0x20
         inside = np.concatenate(([False], ~_BETWEEN[raw], [False]))
-        edge = np.flatnonzero(inside[1:] != inside[:-1])
-        start, end = edge[::2], edge[1::2]
+        cut = _single(raw, inside)
+        start = np.flatnonzero(inside[1:] & (cut[:-1] | ~inside[:-1]))
+        end = np.flatnonzero(inside[:-1] & (cut[:-1] | ~inside[1:]))
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(low * self.power[: len(raw)], out=sums[1:], dtype=np.uint64)
         h = (sums[end] - sums[start]) * self.back[start]
@@ -87,6 +94,22 @@ class Terms:
         return Split(low, start, end, np.searchsorted(start, ends), ids)
 
 
+def _single(raw: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Where a character begins, or has just ended, that is a word by itself, as in scripts without spaces; CJK marks go from `inside`."""
+    cut = np.zeros(len(raw) + 2, bool)
+    lead = np.flatnonzero((raw >= 0xE0) & (raw <= 0xE9))
+    lead = lead[lead + 2 < len(raw)]
+    if len(lead):
+        first, second = raw[lead], raw[lead + 1]
+        south = (first == 0xE0) & (second >= 0xB8) & (second <= 0xBB)  # Thai, Lao
+        south |= (first == 0xE1) & ((second >= 0x80) & (second <= 0x82) | (second == 0x9E) | (second == 0x9F))  # Burmese, Khmer
+        at = lead[(first >= 0xE3) | south]
+        cut[at] = cut[at + 3] = True
+        mark = lead[(first == 0xE3) & (second == 0x80)] + 1
+        inside[mark] = inside[mark + 1] = inside[mark + 2] = False
+    return cut
+
+
 @dataclass
 class Split:
     """Words of several texts in a row: where each begins and ends, where each text's words end, and the words' terms."""
@@ -111,7 +134,7 @@ def plain(text: str | None) -> list[str]:
 
 def answer_of(text: str) -> list[str]:
     """The last sentence that has three words or more, or else all words."""
-    for s in reversed([x for x in re.split(r"[.!?\n]+", text) if x.strip()]):
+    for s in reversed([x for x in re.split(r"[.!?。！？\n]+", text) if x.strip()]):
         if len(plain(s)) >= 3:
             return plain(s)
     return plain(text)
@@ -122,8 +145,8 @@ def document_frequency(docs: DataFrame, settings: Settings) -> tuple[np.ndarray,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, counts, n = Terms(settings.bits), np.zeros((1 << settings.bits) + 1, np.int64), 0
-        for b in batches:
-            texts = b.column("text").to_pylist()
+        for part in (x for b in batches for x in slices(b, "text", PART)):
+            texts = part.column("text").to_pylist()
             n += len(texts)
             for i in range(0, len(texts), 256):
                 got = of(texts[i : i + 256])
@@ -394,14 +417,47 @@ def search(space: Space, idf: np.ndarray, settings: Settings):
     return run
 
 
-def _blocks(benchmark: DataFrame, settings: Settings) -> Iterator[DataFrame]:
-    """Blocks of the items that have words, each of at most `items` rows, by hash of id and text."""
+def _blocks(benchmark: DataFrame, settings: Settings) -> list[DataFrame]:
+    """Blocks of the items that have words, each of about `items` rows, by hash of id and text."""
     usable = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct()
+    usable = settle(usable.select(F.xxhash64("item_id", "text").alias("row"), "item_id", "text"))
     n = usable.count()
     parts = max(1, -(-2 * n // settings.items)) if n > settings.items else 1
-    for k in range(parts):
-        some = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        yield some.select(F.xxhash64("item_id", "text").alias("row"), "item_id", "text")
+    return [usable.where(F.pmod("row", F.lit(parts)) == k) for k in range(parts)]
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, settings: Settings) -> Iterator[Callable]:
+    """For each pass over the documents a function that makes the function of texts, which gives the leaks of each text.
+
+    A pass takes as many blocks as make `terms` rows of terms, which bounds what a task holds.
+    """
+    idf = weights(*document_frequency(docs, settings))
+    held: list[Space] = []
+    for block in _blocks(benchmark, settings):
+        held.append(latent_space(block, idf, settings))
+        if sum(len(s.terms) for s in held) >= settings.terms:
+            yield _searches(held, idf, settings)
+            held = []
+    if held:
+        yield _searches(held, idf, settings)
+
+
+def _searches(spaces: list[Space], idf: np.ndarray, settings: Settings) -> Callable:
+    def made() -> Callable[[list[str | None]], list[dict[int, tuple]]]:
+        searches = [(s, search(s, idf, settings)) for s in spaces]
+
+        def of(texts: list[str | None]) -> list[dict[int, tuple]]:
+            out: list[dict[int, tuple]] = [{} for _ in texts]
+            for space, one in searches:
+                for i in range(0, len(texts), 256):
+                    for k, hits in enumerate(one(texts[i : i + 256]), i):
+                        for j, hit in hits.items():
+                            out[k][space.names[j]] = max(out[k].get(space.names[j], (0.0,) * 4), hit)
+            return out
+
+        return of
+
+    return made
 
 
 LEAKS = "doc_id long, item_id long, cosine double, lcs double, answer double, first_word long"
@@ -409,48 +465,42 @@ LEAKS = "doc_id long, item_id long, cosine double, lcs double, answer double, fi
 
 def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row for each document and benchmark item that it holds: LEAKS."""
-    idf = weights(*document_frequency(docs, settings))
     texts, out = docs.select(F.col("doc_id").cast("long"), "text"), None
-    for block in _blocks(benchmark, settings):
-        space = latent_space(block, idf, settings)
-        found = texts.mapInArrow(_matches(space, idf, settings), LEAKS)
+    for made in _passes(docs, benchmark, settings):
+        found = texts.mapInArrow(by_text(_matches(made), PART), LEAKS)
         out = found if out is None else out.union(found)
     return out
 
 
-def _matches(space: Space, idf: np.ndarray, settings: Settings):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = search(space, idf, settings)
-        for b in batches:
-            names, texts, rows = b.column("doc_id").to_pylist(), b.column("text").to_pylist(), {}
-            for i in range(0, len(texts), 256):
-                for k, hits in enumerate(of(texts[i : i + 256]), i):
-                    for j, (share, c, told, at) in hits.items():
-                        key = (k, space.names[j])
-                        rows[key] = max(rows.get(key, (0.0, 0.0, 0.0, 0)), (share, c, told, at))
-            out = [(names[k], item, c, share, told, at) for (k, item), (share, c, told, at) in rows.items()]
+def _matches(made: Callable):
+    def step() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        of = made()
+
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            found = zip(b.column("doc_id").to_pylist(), of(b.column("text").to_pylist()), strict=True)
+            out = [(d, item, c, share, told, int(at)) for d, hits in found for item, (share, c, told, at) in hits.items()]
             cols = list(zip(*out, strict=True)) or [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
                 names=["doc_id", "item_id", "cosine", "lcs", "answer", "first_word"],
             )
 
-    return run
+        return run
+
+    return step
 
 
 def reject_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The documents that hold no benchmark item, with their own columns."""
-    idf, out = weights(*document_frequency(docs, settings)), docs
-    for block in _blocks(benchmark, settings):
-        space = latent_space(block, idf, settings)
+    out, last = docs, None
+    for made in _passes(docs, benchmark, settings):
+        if last is not None:  # tasks hold the searches of one pass only
+            out = settle(out)
 
-        def keep(batches: Iterator[pa.RecordBatch], space: Space = space) -> Iterator[pa.RecordBatch]:
-            of = search(space, idf, settings)
-            for b in batches:
-                texts = b.column("text").to_pylist()
-                hit = [bool(h) for i in range(0, len(texts), 256) for h in of(texts[i : i + 256])]
-                yield b.filter(pa.array([not h for h in hit], pa.bool_()))
+        def step(made: Callable = made) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+            of = made()
+            return lambda b: b.filter(pa.array([not h for h in of(b.column("text").to_pylist())], pa.bool_()))
 
-        out = out.mapInArrow(keep, docs.schema)
+        out = last = out.mapInArrow(by_text(step, PART), docs.schema)
     return out

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import CACHE_WORDS, Members, WordCache, components, runs, settle
+from touchline.llm.common import Members, WordCache, by_text, components, runs, settle
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
@@ -61,8 +61,6 @@ class Shingler:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if not words:
             return np.zeros(0, np.uint64)
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
         h = np.fromiter(map(self.cache.__getitem__, words), np.uint64, len(words))
         n = min(self.words, len(h))
         g = np.full(len(h) - n + 1, n, np.uint64)
@@ -105,9 +103,10 @@ def _node(shingles: np.ndarray) -> int:
 def sketch(docs: DataFrame, settings: Settings) -> DataFrame:
     """doc_id, n_shingles, node (null without shingles), bands, sig (low bytes of the coordinates)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def step():
         shingler, signer = Shingler(settings.words), Signer(settings)
-        for b in batches:
+
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
             counts, nodes, bands, sigs = [], [], [], []
             for t in b.column("text").to_pylist():
                 s = shingler(t)
@@ -116,7 +115,7 @@ def sketch(docs: DataFrame, settings: Settings) -> DataFrame:
                 nodes.append(_node(s) if len(s) else None)
                 bands.append(None if c is None else signer.bands(c))
                 sigs.append(None if c is None else c.astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()),
                     pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary()),
@@ -124,8 +123,10 @@ def sketch(docs: DataFrame, settings: Settings) -> DataFrame:
                 names=["doc_id", "n_shingles", "node", "bands", "sig"],
             )
 
+        return run
+
     schema = "doc_id long, n_shingles long, node long, bands array<long>, sig binary"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(by_text(step), schema)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
@@ -133,19 +134,22 @@ def _sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
     members = Members(wanted, "doc_id")
     test = members.test()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def step():
         shingler = Shingler(settings.words)
-        for b in batches:
+
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
             b = b.filter(pa.array(test(b.column("slot").to_numpy())))
             sets = [shingler(t) for t in b.column("text").to_pylist()]
             nodes = [_node(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [b.column("id"), pa.array(nodes, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
                 names=["id", "node", "shingles"],
             )
 
+        return run
+
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
-    found = rows.select("id", "text", members.slot("id").alias("slot")).mapInArrow(run, "id long, node long, shingles binary")
+    found = rows.select("id", "text", members.slot("id").alias("slot")).mapInArrow(by_text(step), "id long, node long, shingles binary")
     return found.join(wanted, "node").where("id = doc_id").dropDuplicates(["node"]).select("node", "shingles")
 
 

@@ -4,14 +4,15 @@ Surface features of the whole text are binned; cyclic boosting of shallow trees,
 per feature, then trees on the strongest pairs learn two-way tables. A score is the logistic of the tables' entries added up
 for all documents of a batch at once.
 
-Defined results: null and empty texts have the features of an empty text and are scored; one output row per input row; if the
-labels hold one class only, the score is that share (0.5 without labels).
+Defined results: null and empty texts have the features of an empty text and are scored; one output row per input row, so repeated
+rows repeat and an empty table gives none; a text of any length is measured whole; of equally strong pairs of features and equally
+good splits the first counts; if the labels hold one class only, the score is that share (0.5 without labels). Other columns keep out
+of the score, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import labelled_sample, remainder
+from touchline.llm.common import by_text, labelled_sample, remainder
 
 FEATURES = (
     "log_bytes", "log_words", "word_length", "upper", "digit", "punctuation", "symbol", "stop", "wide", "line_share",
@@ -168,19 +169,16 @@ def boost(x: np.ndarray, y: np.ndarray, settings: Settings) -> Model:
     return m
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        x = [features(t) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("y"), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"]
-        )
+def _measured(b: pa.RecordBatch) -> pa.RecordBatch:
+    x = [features(t) for t in b.column("text").to_pylist()]
+    return pa.RecordBatch.from_arrays([b.column("y"), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), modulus: int = 4, held: int = 2) -> Model:
-    sample = labelled_sample(docs, labels, "quality", modulus, held, settings.rows).orderBy("doc_id")
-    got = sample.select("y", "text").mapInArrow(_measured, "y int, x array<double>").toPandas()
+    sample = labelled_sample(docs, labels, "quality", modulus, held, settings.rows)
+    got = sample.select("y", "text").mapInArrow(by_text(lambda: _measured), "y int, x array<double>").toPandas()
     x = np.array(got.x.tolist()).reshape(len(got), len(FEATURES))
-    order = np.lexsort(x.T)
+    order = np.lexsort((got.y.to_numpy(), *x.T))
     return boost(x[order], got.y.to_numpy(float)[order], settings)
 
 
@@ -188,13 +186,12 @@ def quality(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
     """One row per document: doc_id, held_out, score, predicted."""
     model = fit(docs, labels, settings)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.array([features(t) for t in b.column("text").to_pylist()]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(x))], names=["doc_id", "score"])
+    def scored(b: pa.RecordBatch) -> pa.RecordBatch:
+        x = np.array([features(t) for t in b.column("text").to_pylist()]).reshape(-1, len(FEATURES))
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(x))], names=["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
-    return scored.select(
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(by_text(lambda: scored), "doc_id long, score double")
+    return rows.select(
         "doc_id",
         (remainder("doc_id", 4) == 2).alias("held_out"),
         "score",

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.bpe import VOCABULARY, byte_letters
-from touchline.llm.common import COMMON, SPLIT, byte_level, gather, settle
+from touchline.llm.common import COMMON, SPLIT, byte_level, gather, give_back, settle, slices
 
 _STEP = np.uint32(0x9E3779B1)
 
@@ -144,16 +144,6 @@ class Ids:
         return np.concatenate(parts), np.array([len(p) for p in parts])
 
 
-def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of whole rows, each of about `most` bytes of text."""
-    size = pc.binary_length(batch.column("text")).to_numpy().astype(np.int64)
-    part = (np.cumsum(size) - size) // most
-    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
-    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-        if j > i:
-            yield batch.slice(i, j - i)
-
-
 def grammar(ids: np.ndarray, last: np.ndarray, base: int, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (n x 2, nonterminals count from base), the remaining symbols, and which of them end a document."""
     symbols, last, rules = ids.astype(np.uint32), last.copy(), []
@@ -242,7 +232,7 @@ def compress(docs: DataFrame, settings: Settings = Settings(), path: str | None
 
         total = 0
         for b in batches:
-            for part in _slices(b, settings.text):
+            for part in slices(b, most=settings.text):
                 ids, sizes = of.many(part.column("text"))
                 out = np.full(len(ids) + len(sizes), settings.end, np.int32)
                 inner = np.ones(len(out), bool)
@@ -255,6 +245,8 @@ def compress(docs: DataFrame, settings: Settings = Settings(), path: str | None
                     total = 0
         if held:
             yield flush()
+        of.clear()
+        give_back()
 
     kinds = pa.schema(
         [("shard", pa.int64()), ("before", pa.int64()), ("base", pa.int32()), ("doc_ids", pa.list_(pa.int64()))]

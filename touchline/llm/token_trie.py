@@ -6,13 +6,14 @@ node is made, and shared by all words with that prefix; a word's terminal holds
 piece fall back to their UTF-8 bytes. Each Python worker grows its own trie and starts afresh beyond `Settings.nodes`; counts do
 not depend on that.
 
-Defined results: null, empty and blank texts have no words and no tokens; one output row per input row.
+Defined results: null, empty and blank texts have no words and no tokens; one output row per input row, so repeated rows repeat and
+an empty table gives none; a text of any length is counted whole; of segmentations of equal score the one of fewest tokens counts;
+other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import public_tokenizers
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.llm.common import by_text
+
 MARK = "▁"
 
 
@@ -85,16 +88,14 @@ class Trie(dict):
         return len(self.best) - 1
 
 
-COUNTS = "doc_id long, n_words long, n_tokens long"
-
-
-def token_counts(docs: DataFrame, settings: Settings = Settings(), path: str | None = None) -> DataFrame:
-    """One row per document: COUNTS."""
+def counted(rows: DataFrame, settings: Settings = Settings(), path: str | None = None) -> DataFrame:
+    """The rows with n_words and n_tokens in place of their text."""
     path = path or public_tokenizers.path(settings.vocabulary)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def step():
         trie = Trie(scores(path, settings.shift))
-        for b in batches:
+
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
             words, tokens = [], []
             for t in b.column("text").to_pylist():
                 if len(trie) > settings.words or len(trie.best) > settings.nodes:
@@ -102,18 +103,26 @@ def token_counts(docs: DataFrame, settings: Settings = Settings(), path: str | N
                 w = (t or "").split()
                 words.append(len(w))
                 tokens.append(sum(map(trie.__getitem__, w)))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())],
-                names=["doc_id", "n_words", "n_tokens"],
+            return pa.RecordBatch.from_arrays(
+                [*(b.column(c) for c in carried), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())],
+                names=[*carried, "n_words", "n_tokens"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, COUNTS)
+        return run
+
+    carried = [c for c in rows.columns if c != "text"]
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carried)
+    return rows.mapInArrow(by_text(step), f"{kinds}, n_words long, n_tokens long")
+
+
+def token_counts(docs: DataFrame, settings: Settings = Settings(), path: str | None = None) -> DataFrame:
+    """One row per document: doc_id, n_words, n_tokens."""
+    return counted(docs.select(F.col("doc_id").cast("long"), "text"), settings, path)
 
 
-def totals(docs: DataFrame, column: str, settings: Settings = Settings()) -> DataFrame:
+def totals(docs: DataFrame, column: str, settings: Settings = Settings(), path: str | None = None) -> DataFrame:
     """Documents, words and tokens by a column of the documents; counts are summed before they are shuffled."""
-    keyed = docs.select(F.col(column).alias("doc_key"), "text").withColumn("doc_id", F.monotonically_increasing_id())
-    counted = token_counts(keyed, settings).join(keyed.select("doc_id", "doc_key"), "doc_id")
-    return counted.groupBy(F.col("doc_key").alias(column)).agg(
+    rows = counted(docs.select(F.col(column).alias("doc_key"), "text"), settings, path)
+    return rows.groupBy(F.col("doc_key").alias(column)).agg(
         F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"), F.sum("n_tokens").alias("n_tokens")
     )

@@ -5,7 +5,9 @@ fitted from document labels alone on a bounded sample (`Settings.rows`), every d
 sentences of a document are those whose own probability reaches the threshold.
 
 Defined results: null or empty text has one empty sentence and gets its probability; every input row gives one output row, so
-repeated rows repeat; without any training label of a class the score is the labelled share of toxic rows (0.5 if none).
+repeated rows repeat and an empty table gives none; a text of any length is scored whole; of sentences of equal probability the
+first is the worst; without any training label of a class the score is the labelled share of toxic rows (0.5 if none). Other
+columns keep out of the score, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import CACHE_WORDS, WordCache, labelled_sample, remainder
+from touchline.llm.common import WordCache, by_text, labelled_sample, remainder, settle
 
 _END = re.compile(r"[.!?]['\")\]]*$")
 _EDGE = " \t.,;:!?\"'()[]{}<>*#$%&|-_"
@@ -30,7 +32,7 @@ _EDGE = " \t.,;:!?\"'()[]{}<>*#$%&|-_"
 @dataclass(frozen=True)
 class Settings:
     rows: int = 4000  #: labelled rows that the fit sees at most
-    words: int = 4_000_000  #: words that the fit sees at most, over all of its rows
+    words: int = 4_000_000  #: words that the fit sees at most, over all of its rows, which are taken by a hash of doc_id; or one row
     openings: tuple[int, ...] = (5, 6)  #: lengths of the word openings that get weights of their own
     bits: int = 18  #: words are hashed to 2**bits weights
     least: int = 4  #: sampled documents that a word must occur in to get a weight
@@ -63,7 +65,7 @@ def instances(settings: Settings):
     width = 1 + len(settings.openings)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordCache(lambda c: (table.append(features(c, settings)), (len(table) - 1) << 1 | bool(_END.search(c)))[1])
+        cache = WordCache(lambda c: (table.append(features(c, settings)), (len(table) - 1) << 1 | bool(_END.search(c)))[1], float("inf"))
         for b in batches:
             words, lengths = [], []
             for t in b.text:
@@ -93,9 +95,10 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), mod
         instances(settings), "doc_id long, y int, words binary, lengths binary"
     )
     width = 1 + len(settings.openings)
-    room = 4 * settings.words * width
-    got = got.where(F.length("words") <= room // 16).toPandas().sort_values(["doc_id", "y"], kind="stable")
-    got = got[got.words.str.len().cumsum() <= room]
+    got = settle(got.withColumn("place", F.xxhash64("doc_id")))
+    sizes = got.select("place", (F.length("words") / (4 * width)).alias("n")).toPandas().sort_values("place")  # at most `rows` pairs of numbers
+    fits = sizes.place[(sizes.n.cumsum() <= settings.words) | (np.arange(len(sizes)) == 0)]
+    got = got.where(F.col("place") <= (int(fits.iloc[-1]) if len(fits) else 0)).toPandas().sort_values("doc_id", kind="stable")
     y = got.y.to_numpy(np.float64)
     if len(set(y)) < 2:
         return Model(np.zeros(1 << settings.bits, np.float32), 0.0, float(y.mean()) if len(y) else 0.5)
@@ -160,8 +163,6 @@ def scores(model: Model, settings: Settings):
                 rows.append((value, len(p), int((p >= settings.threshold).sum()), *span))
             else:
                 rows.append((model.constant, len(p), 0, None, None))
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
         return rows
 
     return run
@@ -170,17 +171,20 @@ def scores(model: Model, settings: Settings):
 def scorer(model: Model, settings: Settings):
     """Batches with doc_id and text -> SCORES."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def step():
         of = scores(model, settings)
-        for b in batches:
+
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
             columns = list(zip(*of(b.column("text").to_pylist()), strict=True)) or [[]] * 5
             kinds = (pa.float64(), *[pa.int64()] * 4)
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
                 names=["doc_id", "score", "sentences", "offending", "worst_start", "worst_end"],
             )
 
-    return run
+        return run
+
+    return by_text(step)
 
 
 def _span(text: str, c: list[str], starts: np.ndarray, k: int) -> tuple[int, int]:
@@ -215,9 +219,8 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = Settin
     """The documents whose score stays below the threshold, with their own columns."""
     model = fit(docs, labels, settings)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def step():
         of = scores(model, settings)
-        for b in batches:
-            yield b.filter(pa.array([r[0] < settings.threshold for r in of(b.column("text").to_pylist())], pa.bool_()))
+        return lambda b: b.filter(pa.array([r[0] < settings.threshold for r in of(b.column("text").to_pylist())], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(by_text(step), docs.schema)
