@@ -173,6 +173,64 @@ def test_secrets_bytes():
     assert not plain.spans and not plain.layers
 
 
+def test_secrets_widths():
+    percent = lambda x: "".join(f"%{b:02x}" for b in (x if isinstance(x, bytes) else x.encode()))
+    for odd in ("%e2%82", "%ef%bf%bd", "%ff%fe", "%e2%82%e2%82%ac%c3"):
+        text = f"x {odd}{percent(SECRET)}%20y z"
+        a = text.index(percent(SECRET))
+        assert [s[:2] for s in secret_scan.scan(text).spans] == [(a, a + 3 * len(SECRET))], odd
+        assert secret_scan.redacted(text) == f"x {odd}[SECRET]%20y z"
+
+
+def test_secrets_bombs(spark):
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    zeros = b"\0" * (40 << 20)
+    import zstandard
+
+    for bomb in (bz2.compress(zeros), gzip.compress(zeros), lzma.compress(zeros), zstandard.compress(zeros)):
+        f = secret_scan.scan(f"{b64(bomb)} and {SECRET}")
+        assert f.unopened == 1 and [k for *_, k in f.spans] == ["assign"]
+    alone = lzma.compress(f"text {SECRET}".encode(), format=lzma.FORMAT_ALONE)
+    for packed in (alone, zstandard.compress(f"text {SECRET}".encode()), zstandard.compress(b"a") + alone):
+        assert found(f"see {b64(packed)} there") == [("assign", b64(packed))] or len(found(f"see {b64(packed)} there")) == 1
+    rows = secret_scan.findings(frame(spark, [b64(bz2.compress(zeros)), SECRET])).collect()
+    assert sorted(r.unopened for r in rows) == [0, 1]
+
+
+def test_secrets_generated():
+    """Every planted secret of generated nestings is found at its exact run, and redaction leaves none."""
+    import zstandard
+
+    rng = random.Random(11)
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    percent = lambda t: "".join(f"%{b:02X}" for b in t.encode())
+    escaped = lambda t: "".join(f"\\u{ord(c):04x}" for c in t)
+    packers = [lambda raw: gzip.compress(raw, mtime=0), zlib.compress, bz2.compress, lzma.compress, zstandard.compress, lambda raw: gzip.compress(raw[:5], mtime=0) + gzip.compress(raw[5:], mtime=0)]
+
+    def wrapped(t):
+        for _ in range(rng.randint(1, 3)):
+            k = rng.randrange(4)
+            t = percent(t) if k == 0 else escaped(t) if k == 1 else b64(t.encode()) if k == 2 else b64(rng.choice(packers)(t.encode()))
+        return t
+
+    noise = ["word", "two words", "%zz", "%e2%82 ", "caf\u00e9", "\U0001f600", "100%", "a=b", "\\x", "====", "\n"]
+    secret = lambda: rng.choice(["api_key=", "password: ", "token="]) + "".join(rng.choices("ghijklmnopqrstuvwxyzGHIJKLMNOP", k=12))
+    for _ in range(1000):
+        runs = [wrapped(secret()) for _ in range(rng.randint(1, 3))]
+        runs += runs[:1] * rng.randint(0, 2)
+        text = ""
+        places = []
+        for run in runs:
+            text += " ".join(rng.choices(noise, k=rng.randint(1, 4))) + " \n"
+            places.append((len(text), len(text) + len(run)))
+            text += run + " ; "
+        got = sorted({(a, b) for a, b, _ in secret_scan.scan(text).spans})
+        inside = [[(a, b) for a, b in got if i <= a and b <= j] for i, j in places]
+        assert all(inside) and sum(map(len, inside)) == len(got), (text, got, places)
+        left = secret_scan.redacted(text)
+        assert not secret_scan.scan(left).spans, (text, left)
+
+
 def test_secrets_query(spark):
     texts = [None, "", f"a {SECRET} b {SECRET}", "x" * 200_000, urllib.parse.quote(SECRET, safe="")]
     df = frame(spark, texts)

@@ -6,11 +6,14 @@ of a row as one content; the rest is read as UTF-8, or else as Latin-1. Of a mem
 are opened once. Finds in a layer are mapped back to every run that holds it, and so on up to the original text, until no span is
 new, so repeated layers count at each of their places and cycles end; where one place leads to the same content in two ways, the
 narrower span stands. The mapping is exact for percent and Unicode escapes, to the enclosing groups of four for base64, to the
-whole member for compressed data. `layers` counts the distinct texts that are readable or hold a find.
+whole member for compressed data. `layers` counts the distinct texts that are readable or hold a find. Of one text at most `MOST`
+bytes are unpacked, so that a layer made to fill the memory cannot end the job; `unopened` counts the layers that held more.
 
 Kinds, in the order that breaks ties: assign (a named value, the span covers name and value), access (AKIA...), hex.
 
-Defined results: null text counts as empty; empty text has no spans and the hash of the empty string; rows repeat as they come.
+Defined results: null text counts as empty; empty text has no spans and the hash of the empty string; rows repeat as they come, an
+empty table gives none; texts of any length are scanned whole; other columns are not read, in `redact` they stay as they are,
+whatever their names, but for n_chars.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
@@ -32,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.llm.common import by_text
+
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(
     r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII
@@ -49,8 +55,11 @@ _PERCENT_BYTE = re.compile(r"%[0-9A-Fa-f]{2}|.", re.DOTALL)
 _LITERAL = re.compile(r"(?:[\x20-\[\]-~]|\\(?:x[0-9A-Fa-f]{2}|u00[0-9A-Fa-f]{2}|[0-7]{1,3}|[\\/'\"abfnrtv]))++")
 _LITERAL_BYTE = re.compile(r"\\x(..)|\\u00(..)|\\([0-7]{1,3})|\\(.)|.", re.DOTALL)
 _CONTROL = {"a": 7, "b": 8, "f": 12, "n": 10, "r": 13, "t": 9, "v": 11}
-_MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
-_STEP = 1 << 16
+_MAGIC = re.compile(
+    rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|\x5d\x00\x00..(?:\xff{8}|.{5}\x00{3})", re.DOTALL
+)
+#: Bytes that the compressed layers of one text are unpacked to at most, all together; `unopened` counts the layers that hold more.
+MOST = 32 << 20
 _LONG = re.compile(r"[A-Za-z0-9+/_-]{16}")
 
 
@@ -68,6 +77,7 @@ class Found:
     spans: set[tuple[int, int, str]] = field(default_factory=set)
     layers: int = 0
     depth: int = 0
+    unopened: int = 0
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -86,17 +96,24 @@ def order(spans) -> list[tuple[int, int, str]]:
 
 
 def _readable(text: str) -> bool:
-    strange = sum(1 for c in text if not (c.isprintable() or c in "\n\r\t"))
+    strange = sum(text.count(c) for c in set(text) if not (c.isprintable() or c in "\n\r\t"))
     return strange * 20 <= len(text)
 
 
+class Room:
+    """Bytes that may still be unpacked of one text, and how many compressed layers held more or asked for too much memory."""
+
+    def __init__(self, most: int = MOST):
+        self.left, self.unopened = most, 0
+
+
 def _decompressor(head: bytes):
     if head[:2] == b"\x1f\x8b":
         return zlib.decompressobj(31)
     if head[:3] == b"BZh":
         return bz2.BZ2Decompressor()
-    if head[:2] == b"\xfd7":
-        return lzma.LZMADecompressor()
+    if head[:2] == b"\xfd7" or head[:1] == b"\x5d":
+        return lzma.LZMADecompressor(memlimit=3 * MOST)
     if head == b"\x28\xb5\x2f\xfd":
         import zstandard
 
@@ -104,24 +121,40 @@ def _decompressor(head: bytes):
     return zlib.decompressobj()
 
 
-def _member(raw: bytes, at: int) -> tuple[bytes, int, bool]:
+def _member(raw: bytes, at: int, room: Room) -> tuple[bytes, int, bool]:
     """What the compressed member at a place unpacks to, where it ends, and whether it is whole."""
-    d, out = _decompressor(raw[at : at + 4]), []
+    d, out, fed, pos = _decompressor(raw[at : at + 4]), [], memoryview(raw)[at:], at
+    keeps = isinstance(d, bz2.BZ2Decompressor | lzma.LZMADecompressor)  # the input that it has not used yet
+    bounded = raw[at : at + 4] != b"\x28\xb5\x2f\xfd"
     try:
-        while at < len(raw) and not d.eof:
-            out.append(d.decompress(raw[at : at + _STEP]))
-            at += len(raw[at : at + _STEP])
-        if d.eof:
-            return b"".join(out), at - len(d.unused_data), True
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
+        while True:
+            if bounded:
+                piece = d.decompress(fed, max(1, min(1 << 20, room.left)))
+                fed = b"" if keeps else d.unconsumed_tail
+                over = d.needs_input if keeps else not fed and not piece
+            else:  # a few bytes at a time bound what comes out
+                piece, over = d.decompress(raw[pos : pos + 64]), pos >= len(raw)
+                pos += len(raw[pos : pos + 64])
+            out.append(piece)
+            room.left -= len(piece)
+            if d.eof:
+                return b"".join(out), (len(raw) if bounded else pos) - len(d.unused_data), True
+            if room.left <= 0:
+                room.unopened += 1
+                break
+            if over:
+                break
+    except (zlib.error, OSError, EOFError, ValueError):
         pass
+    except lzma.LZMAError as e:
+        room.unopened += "limit" in str(e)
     except Exception as e:  # zstandard has an error class of its own
         if type(e).__name__ != "ZstdError":
             raise
     return b"".join(out), len(raw), False
 
 
-def _members(raw: bytes) -> Iterator[tuple[int, int, bytes, bool]]:
+def _members(raw: bytes, room: Room) -> Iterator[tuple[int, int, bytes, bool]]:
     """(start, end, unpacked, whole) of the compressed data in bytes; members that follow each other are one content."""
     at = 0
     while at < len(raw):
@@ -131,24 +164,24 @@ def _members(raw: bytes) -> Iterator[tuple[int, int, bytes, bool]]:
             start = m.start()
         else:
             return
-        unpacked, end, whole = _member(raw, start)
+        unpacked, end, whole = _member(raw, start, room)
         if whole:
             parts, head = [unpacked], raw[start : start + 2]
-            while raw[end : end + 2] == head and (more := _member(raw, end))[0]:
+            while room.left > 0 and raw[end : end + 2] == head and (more := _member(raw, end, room))[0]:
                 parts.append(more[0])
                 end, whole = more[1:]
                 if not whole:
                     break
             yield start, end, b"".join(parts), whole
-        elif unpacked and (start == 0 or raw[start] != 120):  # two bytes in the middle do not make a header
+        elif unpacked and (start == 0 or raw[start] not in b"x\x5d"):  # a few bytes in the middle do not make a header
             yield start, end, unpacked, False
         at = end if whole else start + 1
 
 
-def _views(raw: bytes, place: Callable[[int, int], tuple[int, int]]) -> Iterator[Layer]:
+def _views(raw: bytes, place: Callable[[int, int], tuple[int, int]], room: Room) -> Iterator[Layer]:
     """The layers that bytes hold; `place` maps a span of the bytes."""
     covered = 0
-    for start, end, unpacked, whole in _members(raw):
+    for start, end, unpacked, whole in _members(raw, room):
         covered += end - start if whole else 0
         if unpacked:
             yield Layer(unpacked, lambda a, b, i=start, j=end: place(i, j))
@@ -190,25 +223,39 @@ def _pieces(at: int, parts: list[tuple[str, int, int]]) -> Layer:
     return Layer("".join(p[0] for p in parts), back)
 
 
+_BAD: list[tuple[int, int]] = []
+
+
+def _noted(e: UnicodeError) -> tuple[str, int]:
+    _BAD.append((e.start, e.end))
+    return "\ufffd", e.end
+
+
+codecs.register_error("touchline.noted", _noted)
+
+
+def _characters(raw: bytes) -> list[tuple[str, int]]:
+    """UTF-8 characters with the bytes that each takes; bytes that make none count as U+FFFD."""
+    _BAD.clear()
+    text, bad = codecs.decode(raw, "utf-8", "touchline.noted"), dict(_BAD)
+    out, at = [], 0
+    for c in text:
+        end = bad.get(at) or at + len(c.encode("utf-8"))
+        out.append((c, end - at))
+        at = end
+    return out
+
+
+_ESCAPES = re.compile(r"((?:%[0-9A-Fa-f]{2})+)")
+
+
 def _url(m: re.Match) -> Layer | None:
-    run, parts, i = m[0], [], 0
-    while i < len(run):
-        j = run.find("%", i)
-        if j < 0:
-            parts.append((run[i:], i, len(run)))
-            break
-        if j > i:
-            parts.append((run[i:j], i, j))
-        k, raw = j, b""
-        while k < len(run) and run[k] == "%" and re.fullmatch("[0-9A-Fa-f]{2}", run[k + 1 : k + 3]):
-            raw += bytes.fromhex(run[k + 1 : k + 3])
-            k += 3
-        at = j
-        for c in raw.decode("utf-8", "replace") if k > j else "%":
-            width = 3 * len(c.encode("utf-8")) if k > j and c != "�" else (3 if k > j else 1)
-            parts.append((c, at, min(at + width, max(k, j + 1))))
-            at = min(at + width, max(k, j + 1))
-        i = max(k, j + 1)
+    parts, at = [], 0
+    for k, piece in enumerate(_ESCAPES.split(m[0])):
+        for c, n in _characters(bytes.fromhex(piece.replace("%", ""))) if k % 2 else [(piece, 0)] * bool(piece):
+            end = at + (3 * n or len(piece))
+            parts.append((c, at, end))
+            at = end
     return _pieces(m.start(), parts)
 
 
@@ -225,21 +272,21 @@ def _unicode(m: re.Match) -> Layer | None:
     return _pieces(m.start(), parts)
 
 
-def _packed(raw: bytes, run: re.Match, byte: re.Pattern) -> Iterator[Layer]:
+def _packed(raw: bytes, run: re.Match, byte: re.Pattern, room: Room) -> Iterator[Layer]:
     """The compressed data in the bytes that an escaped run stands for; `byte` matches what stands for one of them."""
     if not _MAGIC.search(raw):
         return
     starts = [run.start() + m.start() for m in byte.finditer(run[0])] + [run.end()]
-    for i, j, unpacked, _ in _members(raw):
+    for i, j, unpacked, _ in _members(raw, room):
         if unpacked:
             yield Layer(unpacked, lambda a, b, i=starts[i], j=starts[j]: (i, j))
 
 
-def _url_bytes(m: re.Match) -> Iterator[Layer]:
+def _url_bytes(m: re.Match, room: Room) -> Iterator[Layer]:
     if "%" in m[0]:
-        yield from _packed(unquote_to_bytes(m[0]), m, _PERCENT_BYTE)
+        yield from _packed(unquote_to_bytes(m[0]), m, _PERCENT_BYTE, room)
         if "+" in m[0]:  # stands for a blank in forms
-            yield from _packed(unquote_to_bytes(m[0].replace("+", " ")), m, _PERCENT_BYTE)
+            yield from _packed(unquote_to_bytes(m[0].replace("+", " ")), m, _PERCENT_BYTE, room)
 
 
 def _literal_byte(m: re.Match) -> str:
@@ -248,12 +295,12 @@ def _literal_byte(m: re.Match) -> str:
     return chr(int(m[1] or m[2], 16)) if m[1] or m[2] else chr(int(m[3], 8) & 255) if m[3] else m[0]
 
 
-def _literal_bytes(m: re.Match) -> Iterator[Layer]:
+def _literal_bytes(m: re.Match, room: Room) -> Iterator[Layer]:
     if "\\" in m[0]:
-        yield from _packed(_LITERAL_BYTE.sub(_literal_byte, m[0]).encode("latin-1"), m, _LITERAL_BYTE)
+        yield from _packed(_LITERAL_BYTE.sub(_literal_byte, m[0]).encode("latin-1"), m, _LITERAL_BYTE, room)
 
 
-def _base64(text: str, lines: list[tuple[int, int]]) -> Iterator[Layer]:
+def _base64(text: str, lines: list[tuple[int, int]], room: Room) -> Iterator[Layer]:
     """The layers in base64 that stands in the spans of one or more lines."""
     run = "".join(text[a:b] for a, b in lines).rstrip("=")
     if len(run) % 4 == 1:
@@ -276,7 +323,7 @@ def _base64(text: str, lines: list[tuple[int, int]]) -> Iterator[Layer]:
         last = n if b >= len(raw) else min(n, -(-b // 3) * 4)
         return at(a // 3 * 4), at(max(last, 1) - 1) + 1
 
-    yield from _views(raw, place)
+    yield from _views(raw, place, room)
 
 
 def _wrapped(lines: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
@@ -294,26 +341,26 @@ def _wrapped(lines: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
         i = j
 
 
-def unwrap(content: str | bytes) -> Iterator[Layer]:
+def unwrap(content: str | bytes, room: Room) -> Iterator[Layer]:
     """The layers directly inside a text or bytes."""
     if isinstance(content, bytes):
-        yield from _views(content, lambda a, b: (a, b))
+        yield from _views(content, lambda a, b: (a, b), room)
         return
     text = content
     if "%" in text and _PERCENT.search(text):
         yield from filter(None, (_url(m) for m in _PERCENT.finditer(text)))
         for m in _PERCENT_BYTES.finditer(text):
-            yield from _url_bytes(m)
+            yield from _url_bytes(m, room)
     if "\\u" in text or "\\x" in text:
         yield from filter(None, (_unicode(m) for m in _UNICODE.finditer(text)))
         for m in _LITERAL.finditer(text):
-            yield from _literal_bytes(m)
+            yield from _literal_bytes(m, room)
     if len(text) >= 16 and _LONG.search(text):
         for m in _BASE64.finditer(text):
-            yield from _base64(text, [m.span()])
+            yield from _base64(text, [m.span()], room)
         for m in _LINES.finditer(text):
             for lines in _wrapped([x.span() for x in _LINE.finditer(text, *m.span())]):
-                yield from _base64(text, lines)
+                yield from _base64(text, lines, room)
 
 
 def _narrow(spans: set[tuple[int, int, str, int]]) -> Iterator[tuple[int, int, str]]:
@@ -331,11 +378,11 @@ def scan(text: str | None) -> Found:
     out = Found(base_spans(text))
     known, depths, holders = {text: 0}, [0], [[]]
     spans: list[set] = [{(*s, 0) for s in out.base}]  # of each content: its finds and those of the layers inside, with the content that they are of
-    work = deque([text])
+    work, room = deque([text]), Room()
     while work:
         content = work.popleft()
         at = known[content]
-        for layer in unwrap(content):
+        for layer in unwrap(content, room):
             k = known.setdefault(layer.content, len(depths))
             if k == len(depths):
                 told = isinstance(layer.content, str)
@@ -355,6 +402,7 @@ def scan(text: str | None) -> Found:
     out.spans = {*out.base, *_narrow(spans[0])}
     texts = [k for x, k in known.items() if k and isinstance(x, str) and (spans[k] or _readable(x))]
     out.layers, out.depth = len(texts), max((depths[k] for k in texts), default=0)
+    out.unopened = room.unopened
     return out
 
 
@@ -362,28 +410,27 @@ def said(spans) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
 
-DIGESTS = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, layers long, depth long"
+DIGESTS = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, layers long, depth long, unopened long"
 
 
 def findings(docs: DataFrame) -> DataFrame:
     """One row per document: DIGESTS. Counts and base_sha256 are of the plain finds, spans of all."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for t in b.column("text").to_pylist():
-                f = scan(t)
-                counts = [sum(k == kind for *_, k in f.base) for kind in KINDS]
-                digest = hashlib.sha256(said(f.base).encode()).hexdigest()
-                rows.append((*counts, digest, said(order(f.spans)), f.layers, f.depth))
-            columns = list(zip(*rows, strict=True)) or [[]] * 7
-            kinds = (*[pa.int64()] * 3, *[pa.string()] * 2, *[pa.int64()] * 2)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "layers", "depth"],
-            )
+    def of(b: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for t in b.column("text").to_pylist():
+            f = scan(t)
+            counts = [sum(k == kind for *_, k in f.base) for kind in KINDS]
+            digest = hashlib.sha256(said(f.base).encode()).hexdigest()
+            rows.append((*counts, digest, said(order(f.spans)), f.layers, f.depth, f.unopened))
+        columns = list(zip(*rows, strict=True)) or [[]] * 8
+        kinds = (*[pa.int64()] * 3, *[pa.string()] * 2, *[pa.int64()] * 3)
+        return pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+            names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "layers", "depth", "unopened"],
+        )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, DIGESTS)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(by_text(lambda: of), DIGESTS)
 
 
 def redacted(text: str | None, mark: str = "[SECRET]") -> str | None:
@@ -403,16 +450,15 @@ def redact(docs: DataFrame) -> DataFrame:
     """The documents with their secrets replaced; n_chars, where it is a column, follows the new text."""
     schema, names = docs.schema, docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            old = b.column("text").to_pylist()
-            new = [redacted(t) for t in old]
-            columns = {n: b.column(i) for i, n in enumerate(names)}
-            columns["text"] = pa.array(new, columns["text"].type)
-            if "n_chars" in columns:
-                was = columns["n_chars"]
-                now = [w if x == y or x is None else len(x) for w, x, y in zip(was.to_pylist(), new, old, strict=True)]
-                columns["n_chars"] = pa.array(now, was.type)
-            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
-
-    return docs.mapInArrow(run, schema)
+    def of(b: pa.RecordBatch) -> pa.RecordBatch:
+        old = b.column("text").to_pylist()
+        new = [redacted(t) for t in old]
+        columns = {n: b.column(i) for i, n in enumerate(names)}
+        columns["text"] = pa.array(new, columns["text"].type)
+        if "n_chars" in columns:
+            was = columns["n_chars"]
+            now = [w if x == y or x is None else len(x) for w, x, y in zip(was.to_pylist(), new, old, strict=True)]
+            columns["n_chars"] = pa.array(now, was.type)
+        return pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+
+    return docs.mapInArrow(by_text(lambda: of), schema)
