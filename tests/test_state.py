@@ -32,9 +32,19 @@ def test_player_ledger(spark):
 def test_sinks(spark, tmp_path):
     p = str(tmp_path / "t")
     a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
-    sinks.append_deduplicated(a, p, ["k"], p + "_s")
-    sinks.append_deduplicated(spark.createDataFrame([(2, "z"), (3, "w")], "k int, v string"), p, ["k"], p + "_s")
-    assert {tuple(r) for r in spark.read.parquet(p).collect()} == {(1, "x"), (2, "z"), (3, "w")}
+    sinks.append_deduplicated(a, p, ["k"])
+    sinks.append_deduplicated(spark.createDataFrame([(2, "z"), (3, "w")], "k int, v string"), p, ["k"])
+    now = lambda: {tuple(r) for r in sinks.current(spark, p).collect()}
+    assert now() == {(1, "x"), (2, "z"), (3, "w")}
+    broken = tmp_path / "t" / "version=000000000002"  # a crash in the middle of a write
+    broken.mkdir()
+    (broken / "part-0.parquet").write_bytes(b"PAR1")
+    half = tmp_path / "old" / "vintage=2024-01-01"
+    half.mkdir(parents=True)
+    (half / "part-0.parquet").write_bytes(b"PAR1")
+    assert now() == {(1, "x"), (2, "z"), (3, "w")}
+    sinks.append_deduplicated(spark.createDataFrame([(3, "u")], "k int, v string"), p, ["k"])
+    assert now() == {(1, "x"), (2, "z"), (3, "u")} and len(sinks.versions(spark, p)) == 2
     assert sinks.archive(spark, p, str(tmp_path / "old"), "2024-01-01") and not sinks.archive(spark, p, str(tmp_path / "old"), "2024-01-01")
     d = spark.createDataFrame([("d1", 1), ("d2", 2)], "day string, n int")
     for _ in range(2):
@@ -68,12 +78,12 @@ def test_stream_append_and_ledger(spark, tmp_path):
     schema = "season int, home long, away long, p int"
     fresh.limit(50).write.parquet(src)
     played = lambda: g.where("gameday <= 20")
-    incremental.ledger(incremental.files(spark, src, schema), out, out + "_s", played, str(tmp_path / "c")).awaitTermination()
-    first = {tuple(r) for r in spark.read.parquet(out).collect()}
+    incremental.ledger(incremental.files(spark, src, schema), out, played, str(tmp_path / "c")).awaitTermination()
+    first = {tuple(r) for r in sinks.current(spark, out).collect()}
     fresh.withColumn("p", F.lit(2)).write.mode("append").parquet(src)
-    incremental.ledger(incremental.files(spark, src, schema), out, out + "_s", played, str(tmp_path / "c")).awaitTermination()
+    incremental.ledger(incremental.files(spark, src, schema), out, played, str(tmp_path / "c")).awaitTermination()
     done = {(r.season, r.home, r.away) for r in played().collect()}
-    now = {tuple(r) for r in spark.read.parquet(out).collect()}
+    now = {tuple(r) for r in sinks.current(spark, out).collect()}
     assert {r for r in now if r[:3] in done and r[3] == 1} == {r for r in first if r[:3] in done}
     assert all(r[3] == 2 for r in now if r[:3] not in done)
 

@@ -66,10 +66,9 @@ def tempered(p: Column, t: float | Column) -> Column:
     return let(q, lambda q: let(total(q), lambda s: F.transform(q, lambda x: x / s)))
 
 
-def tempered_hit(p: Column, y: Column, t: float | Column) -> Column:
-    """Tempered probability of the class that came, without the array of the others."""
-    power = F.lit(1.0) / t
-    return F.pow(hit(p, y), power) / F.aggregate(p, F.lit(0.0), lambda s, x: s + F.pow(x, power))
+def tempered_log(logs: Column, y: Column, power: float) -> Column:
+    """Log of the tempered probability of the class that came, from the logs of the probabilities."""
+    return power * F.element_at(logs, y + 1) - F.ln(F.aggregate(logs, F.lit(0.0), lambda s, x: s + F.exp(x * power)))
 
 
 def pit(p: Column, y: Column, u: Column) -> Column:
@@ -119,6 +118,24 @@ def ordered_logit(eta: Column, cuts: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(upto) - 1), lambda i: F.element_at(upto, i + 1) - F.element_at(upto, i))
 
 
+def quantile(ordered: Column, q: float) -> Column:
+    """Quantile of an ascending array, linear between neighbours."""
+    at = (F.size(ordered) - 1) * q
+    low = F.floor(at).cast("int")
+    left, right = F.element_at(ordered, low + 1), F.element_at(ordered, F.least(low + 2, F.size(ordered)))
+    return left + (right - left) * (at - low)
+
+
+def softplus(x: Column) -> Column:
+    return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+
+
+def normal(row: Column, draw: Column | int, k: int = 0) -> Column:
+    """A reproducible stand-in for a standard normal number (Box and Muller on two stand-ins for uniform ones)."""
+    u, v = uniform(row * 7 + 2 * k, draw), uniform(row * 7 + 2 * k + 1, draw)
+    return F.sqrt(-2 * F.ln(u)) * F.cos(2 * F.lit(3.141592653589793) * v)
+
+
 def interval_inside(x: Column, draws: Column, mass: float) -> Column:
     """Whether x lies in the narrowest interval that holds a share `mass` of the sorted draws (first such interval)."""
     s = F.array_sort(draws)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,12 +39,26 @@ def domain(rows: DataFrame, column: str, allowed: list) -> DataFrame:
     return fewer_than(rows, f"domain of {column}", F.col(column).isNotNull() & ~F.col(column).isin(allowed), 1)
 
 
-def timing(rows: DataFrame, total: str, own: str, partition: list[str], order: list[str]) -> DataFrame:
-    """The difference of a running total equals the goals of the row before, and a first row starts at 0."""
+def with_lags(rows: DataFrame, total: str, own: str, partition: list[str], order: list[str]) -> DataFrame:
+    """What the checks of running totals look at: the step of the total, the row before and whether there is none."""
     w = Window.partitionBy(*partition).orderBy(*order)
-    r = rows.withColumns({"_d": F.col(total) - F.lag(total).over(w), "_p": F.lag(own).over(w), "_first": F.row_number().over(w) == 1})
-    a = share_at_least(r.where(~F.col("_first")), "running total follows the row before", F.col("_d") == F.col("_p"), 0.995)
-    return a.union(fewer_than(r, "first row starts at 0", F.col("_first") & (F.col(total) != 0), 1))
+    return rows.withColumns({"_d": F.col(total) - F.lag(total).over(w), "_p": F.lag(own).over(w), "_first": F.row_number().over(w) == 1})
+
+
+def checks(rows: DataFrame, measures: list[tuple[str, Column, Callable[[Column], Column], bool]], group: list[str] = []) -> DataFrame:
+    """Many checks by one aggregate: (label, aggregate, test of its value, whether a miss only warns), a row for each."""
+    one = rows.groupBy(*group).agg(*[m.alias(f"m{k}") for k, (_, m, _, _) in enumerate(measures)])
+    row = lambda k, label, ok, warn: F.struct(
+        F.lit(label).alias("check"), F.when(F.coalesce(ok(F.col(f"m{k}")), F.lit(False)), "PASS").otherwise("WARN" if warn else "FAIL").alias("result"),
+        F.col(f"m{k}").cast("string").alias("detail"),
+    )
+    each = F.explode(F.array(*[row(k, label, ok, warn) for k, (label, _, ok, warn) in enumerate(measures)]))
+    return one.select(*group, each.alias("x")).select(*group, "x.*")
+
+
+def step_share() -> Column:
+    """Of the rows after a first one, the share whose total has grown by the goals of the row before."""
+    return F.round(F.avg(F.when(~F.col("_first"), (F.col("_d") == F.col("_p")).cast("int"))), 6)
 
 
 def close(a: Column, b: Column) -> Column:

@@ -27,10 +27,10 @@ def naive_and_adjusted(rows: DataFrame, stratum: str) -> DataFrame:
 
 def quartiles(rows: DataFrame, value: str) -> DataFrame:
     """Label rows 1..4 by exact quartiles: up to q1, up to q2, up to q3, above."""
-    q = rows.agg(*[F.percentile(value, F.lit(p)).alias(f"_q{i}") for i, p in enumerate((0.25, 0.5, 0.75), 1)])
+    q = R.quantiles(rows, value, [0.25, 0.5, 0.75])
     x = F.col(value)
-    label = F.when(x <= F.col("_q1"), 1).when(x <= F.col("_q2"), 2).when(x <= F.col("_q3"), 3).otherwise(4)
-    return rows.crossJoin(F.broadcast(q)).withColumn("quartile", label).drop("_q1", "_q2", "_q3")
+    label = F.when(x <= F.col("q0"), 1).when(x <= F.col("q1"), 2).when(x <= F.col("q2"), 3).otherwise(4)
+    return rows.crossJoin(F.broadcast(q)).withColumn("quartile", label).drop("q0", "q1", "q2")
 
 
 def overlap(rows: DataFrame, score: str) -> DataFrame:
@@ -68,21 +68,43 @@ def balance(rows: DataFrame, covariate: str, score: str) -> DataFrame:
 
 
 def regression(rows: DataFrame, outcome: str, terms: list[str]) -> DataFrame:
-    """Ordinary least squares: the moments are one aggregate, the solve is of the number of terms. Rows: term, estimate, se, t, p."""
-    cols = [F.lit(1.0), *[F.col(t).cast("double") for t in terms]]
-    y, k = F.col(outcome).cast("double"), len(cols)
+    """Ordinary least squares: rows term, estimate, se, t, p. The moments are two aggregates, the second around the means of the first;
+    the solve is of the number of terms. Without rows all numbers are null; of collinear terms the smallest solution is taken and
+    their errors are null."""
+    cols, k = [F.col(t).cast("double") for t in terms], len(terms)
+    y = F.col(outcome).cast("double")
     clean = rows.dropna(subset=[outcome, *terms])
-    m = clean.agg(
-        *[F.sum(cols[i] * cols[j]).alias(f"x{i}_{j}") for i in range(k) for j in range(i, k)], *[F.sum(c * y).alias(f"y{i}") for i, c in enumerate(cols)],
-        F.sum(y * y).alias("yy"), F.count("*").alias("n"),
-    ).first()
-    xtx = np.array([[m[f"x{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
+    means = clean.agg(F.count("*").alias("n"), F.avg(y).alias("y"), *[F.avg(c).alias(f"x{i}") for i, c in enumerate(cols)]).first()
+    names, schema = ["intercept", *terms], "term string, estimate double, se double, t double, p double"
+    n = means["n"]
+    if not n:
+        return rows.sparkSession.createDataFrame([(t, None, None, None, None) for t in names], schema)
+    centre = np.array([means[f"x{i}"] for i in range(k)], float)
+    d, e = [c - float(m) for c, m in zip(cols, centre, strict=True)], y - float(means["y"])
+    pairs = [F.sum(d[i] * d[j]).alias(f"x{i}_{j}") for i in range(k) for j in range(i, k)]
+    m = clean.agg(*pairs, *[F.sum(c * e).alias(f"y{i}") for i, c in enumerate(d)], F.sum(e * e).alias("yy")).first()
+    xtx = np.array([[m[f"x{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float).reshape(k, k)
     xty = np.array([m[f"y{i}"] for i in range(k)], float)
-    beta = np.linalg.solve(xtx, xty)
-    rss = float(m["yy"] - beta @ xty)
-    se = np.sqrt(np.diag(np.linalg.inv(xtx)) * max(rss, 0.0) / max(m["n"] - k, 1))
-    out = [(t, float(b), float(s), float(b / s) if s else None, float(2 - 2 * 0.5 * (1 + erf(abs(b / s) / sqrt(2)))) if s else None) for t, b, s in zip(["intercept", *terms], beta, se, strict=True)]
-    return rows.sparkSession.createDataFrame(out, "term string, estimate double, se double, t double, p double")
+    inverse = np.linalg.pinv(xtx, hermitian=True) if k else xtx
+    slopes = inverse @ xty
+    beta = np.concatenate([[means["y"] - centre @ slopes], slopes])
+    free = n - 1 - k
+    variance = max(float(m["yy"] - slopes @ xty), 0.0) / free if free > 0 else np.nan
+    spread = np.concatenate([[1 / n + centre @ inverse @ centre], np.diag(inverse)])
+    se = np.sqrt(variance * spread) if k == 0 or np.linalg.matrix_rank(xtx, hermitian=True) == k else np.full(k + 1, np.nan)
+    number = lambda x: None if np.isnan(x) else float(x)
+    out = []
+    for t, b, s in zip(names, beta, se, strict=True):
+        z = None if np.isnan(s) or s == 0 else float(b / s)
+        out.append((t, float(b), number(s), z, None if z is None else 1 - erf(abs(z) / sqrt(2))))
+    return rows.sparkSession.createDataFrame(out, schema)
+
+
+def independence(rows: DataFrame, outcome: str, tested: str, given: list[str], level: float = 1.959963984540054) -> DataFrame:
+    """Whether a variable tells about the outcome beside the given ones: its coefficient by least squares with its interval."""
+    fit = regression(rows, outcome, [tested, *given]).where(F.col("term") == tested)
+    low, high = F.col("estimate") - level * F.col("se"), F.col("estimate") + level * F.col("se")
+    return fit.select(F.lit(outcome).alias("outcome"), F.col("term").alias("tested"), "estimate", low.alias("low"), high.alias("high"), ((low <= 0) & (high >= 0)).alias("independent"))
 
 
 def simulate(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
@@ -111,6 +133,13 @@ def vertices(graph: str) -> list[str]:
     return list(dict.fromkeys(n for n in names if n))
 
 
+def edges_of(graph: str) -> Edges:
+    """The arrows of a digraph text, chains such as a -> b -> c taken apart."""
+    body = graph[graph.find("{") + 1 : graph.rfind("}")] if "{" in graph else graph
+    chains = [[v.strip().strip('"') for v in part.split("->")] for part in body.replace("\n", ";").split(";") if "->" in part]
+    return [(u, v) for c in chains for u, v in itertools.pairwise(c)]
+
+
 def _moral_connected(edges: Edges, a: str, b: str, given: set[str]) -> bool:
     keep, grow = {a, b} | given, True
     while grow:
@@ -136,18 +165,52 @@ def separated(edges: Edges, a: str, b: str, given: set[str] = frozenset()) -> bo
     return not _moral_connected(edges, a, b, set(given))
 
 
-def backdoor_sets(edges: Edges, treatment: str, outcome: str) -> list[set[str]]:
-    """Minimal sets without descendants of the treatment that block every path into it."""
-    below, grow = {treatment}, True
+def _below(edges: Edges, top: str) -> set[str]:
+    """A vertex and all that descend from it."""
+    out, grow = {top}, True
     while grow:
-        more = {v for u, v in edges if u in below} - below
-        below |= more
+        more = {v for u, v in edges if u in out} - out
+        out |= more
         grow = bool(more)
+    return out
+
+
+def _subsets(names: list[str]):
+    return (set(s) for n in range(len(names) + 1) for s in itertools.combinations(names, n))
+
+
+def all_backdoor_sets(edges: Edges, treatment: str, outcome: str) -> list[set[str]]:
+    """Sets without descendants of the treatment that block every path into it, small ones first."""
     cut = [(u, v) for u, v in edges if u != treatment]
-    free = sorted({v for e in edges for v in e} - below - {outcome})
+    free = sorted({v for e in edges for v in e} - _below(edges, treatment) - {outcome})
+    return [s for s in _subsets(free) if separated(cut, treatment, outcome, s)]
+
+
+def backdoor_sets(edges: Edges, treatment: str, outcome: str) -> list[set[str]]:
+    """The back-door sets of which no part is one."""
     out: list[set[str]] = []
-    for n in range(len(free) + 1):
-        for s in itertools.combinations(free, n):
-            if not any(o <= set(s) for o in out) and separated(cut, treatment, outcome, set(s)):
-                out.append(set(s))
+    for s in all_backdoor_sets(edges, treatment, outcome):
+        if not any(o <= s for o in out):
+            out.append(s)
+    return out
+
+
+def _directed(edges: Edges, a: str, b: str, without: set[str]) -> bool:
+    """Whether a directed path leads from a to b past the given vertices."""
+    return b in _below([(u, v) for u, v in edges if v not in without and (u == a or u not in without)], a)
+
+
+def frontdoor_sets(edges: Edges, treatment: str, outcome: str) -> list[set[str]]:
+    """Sets that all directed paths to the outcome go through, that no back-door path from the treatment reaches, and whose own
+    back-door paths to the outcome the treatment blocks."""
+    free = sorted({v for e in edges for v in e} - {treatment, outcome})
+    from_treatment = [(u, v) for u, v in edges if u != treatment]
+    out = []
+    for s in _subsets(free):
+        if not s or _directed(edges, treatment, outcome, s):
+            continue
+        clear = all(separated(from_treatment, treatment, m) for m in s)
+        blocked = all(separated([(u, v) for u, v in edges if u != m], m, outcome, {treatment} | (s - {m})) for m in s)
+        if clear and blocked:
+            out.append(s)
     return out

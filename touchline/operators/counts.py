@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import scoring as S
 from touchline.operators.ladder import match_points
-from touchline.operators.relational import running
+from touchline.operators.relational import quantiles, running
 
 
 def linear_predictor(rows: DataFrame, x: str, beta: str, base: str) -> DataFrame:
@@ -39,45 +39,144 @@ def summary(f: DataFrame, top: int) -> DataFrame:
     )
 
 
-def corrected(f: DataFrame, top: int, rho: float) -> DataFrame:
-    """Win, draw, loss with the low-score correction: only the four low cells differ from the product, so no grid is shuffled."""
-    both = F.struct(S.poisson(F.col("lh"), top).alias("home"), S.poisson(F.col("la"), top).alias("away"))
-    cell = lambda p, h, q, a: F.struct((h - a).alias("d"), (p * q * S.dixon_coles(F.col("lh"), F.col("la"), F.lit(rho), h, a)).alias("q"))
-    grid = lambda c: F.transform(c["home"], lambda p, h: F.transform(c["away"], lambda q, a: cell(p, h, q, a)))
-    f = f.withColumn("g", F.flatten(S.let(both, grid)))
-    part = lambda keep: S.total(F.transform(F.filter("g", keep), lambda x: x["q"]))
-    f = f.withColumn("t", part(lambda x: F.lit(True)))
-    share = lambda keep: F.round(part(keep) / F.col("t"), 6)
-    return f.select(
-        "match_id", share(lambda x: x["d"] > 0).alias("home"), share(lambda x: x["d"] == 0).alias("draw"), share(lambda x: x["d"] < 0).alias("away"),
-        F.size(F.filter("g", lambda x: x["q"] / F.col("t") > 1e-4)).cast("long").alias("cells"),
-    )
+LOW = ((0, 0), (0, 1), (1, 0), (1, 1))
+
+
+def corrected(f: DataFrame, top: int, rho: float, least: float = 1e-4) -> DataFrame:
+    """Win, draw, loss with the low-score correction, and the number of cells above `least`.
+
+    Four cells differ from the product of the two distributions: they are added to the sums of the plain product, of which no grid
+    is built. The correction leaves the total as it is but for its floor.
+    """
+    f = f.withColumns({"ph": S.poisson(F.col("lh"), top), "pa": S.poisson(F.col("la"), top)})
+    plain = lambda h, a: F.col("ph")[h] * F.col("pa")[a]
+    factor = lambda h, a: S.dixon_coles(F.col("lh"), F.col("la"), F.lit(rho), F.lit(h), F.lit(a))
+    f = f.withColumns({"w": S.win_draw_loss(F.col("ph"), F.col("pa")), "more": F.array(*[plain(h, a) * (factor(h, a) - 1) for h, a in LOW])})
+    more = {0: F.col("more")[1], 1: F.col("more")[0] + F.col("more")[3], 2: F.col("more")[2]}  # away, draw, home
+    f = f.withColumn("q", F.array(*[F.col("w")[k] + more[k] for k in range(3)]))
+    f = f.withColumn("t", S.total(F.col("q")))
+    f = f.withColumn("limit", F.lit(least) * F.col("t"))
+    row = lambda x: F.size(F.filter("pa", lambda y: x * y > F.col("limit")))
+    cells = F.aggregate("ph", F.lit(0), lambda n, x: n + row(x))
+    for k, (h, a) in enumerate(LOW):
+        cells = cells + (plain(h, a) + F.col("more")[k] > F.col("limit")).cast("int") - (plain(h, a) > F.col("limit")).cast("int")
+    share = lambda k: F.round(F.col("q")[k] / F.col("t"), 6)
+    return f.select("match_id", share(2).alias("home"), share(1).alias("draw"), share(0).alias("away"), cells.cast("long").alias("cells"))
 
 
 def rho_likelihood(scored: DataFrame, grid: list[float]) -> DataFrame:
-    rows = scored.withColumn("rho", F.explode(F.array(*map(F.lit, grid))))
-    ll = F.ln(S.dixon_coles(F.col("lh"), F.col("la"), F.col("rho"), F.col("hg"), F.col("ag")))
-    return rows.groupBy("rho").agg(F.sum(ll).alias("ll")).select(F.round("rho", 2).alias("rho"), F.round("ll", 4).alias("ll"))
+    """Log-likelihood of the correction at every rho of a grid: one aggregate, a column for each rho."""
+    ll = lambda r: F.sum(F.ln(S.dixon_coles(F.col("lh"), F.col("la"), F.lit(r), F.col("hg"), F.col("ag"))))
+    one = scored.where("hg <= 1 and ag <= 1").agg(*[ll(r).alias(f"r{k}") for k, r in enumerate(grid)])  # other scores add 0
+    rows = one.select(F.explode(F.array(*[F.struct(F.lit(float(r)).alias("rho"), F.coalesce(f"r{k}", F.lit(0.0)).alias("ll")) for k, r in enumerate(grid)])).alias("x"))
+    return rows.select(F.round("x.rho", 2).alias("rho"), F.round("x.ll", 4).alias("ll"))
+
+
+def rho_bounds(scored: DataFrame) -> tuple[float, float]:
+    """The rho for which all four corrected cells stay positive at the rates at hand."""
+    a, b = F.max(F.greatest("lh", "la")), F.max(F.col("lh") * F.col("la"))
+    rate, product = scored.agg(a, b).first()
+    return (-1 / rate if rate else -1.0), min(1.0, 1 / product if product else 1.0)
 
 
-def fit_rho(scored: DataFrame, grid: list[float]) -> float:
-    return rho_likelihood(scored, grid).orderBy(F.desc("ll"), "rho").first()["rho"]
+def fit_rho(scored: DataFrame, tolerance: float = 1e-6, wide: int = 24) -> float:
+    """The rho of largest likelihood inside its bounds: each scan of the low scores narrows the bracket to a twelfth."""
+    low, high = rho_bounds(scored)
+    few = scored.where("hg <= 1 and ag <= 1").select("lh", "la", "hg", "ag")
+    while high - low > tolerance:
+        at = [low + (high - low) * k / wide for k in range(wide + 1)]
+        ll = lambda r: F.sum(F.ln(S.dixon_coles(F.col("lh"), F.col("la"), F.lit(r), F.col("hg"), F.col("ag"))))
+        got = few.agg(*[ll(r) for r in at]).first()
+        if got[0] is None:
+            return 0.0
+        k = max(range(wide + 1), key=lambda i: got[i])
+        low, high = at[max(k - 1, 0)], at[min(k + 1, wide)]
+    return (low + high) / 2
+
+
+def match_bands(rows: DataFrame, top: int, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """Forecasts of (key, lh, la), arrays of rates by draw: mean and band over draws of home win, draw, away win and of 0, 1, 2 and 3 or
+    more home goals, and the mean of expected goals. All draws of a match stand in one row, so nothing is shuffled."""
+    each = F.arrays_zip(F.col("lh"), F.col("la"))
+    one = lambda d: S.let(F.struct(S.poisson(d["lh"], top).alias("h"), S.poisson(d["la"], top).alias("a")), _measures)
+    rows = rows.withColumn("m", F.transform(each, one))
+    names = ("away", "draw", "home", "goals_0", "goals_1", "goals_2", "goals_3")
+    values = {n: F.array_sort(F.transform("m", _item(k))) for k, n in enumerate(names)}
+    rows = rows.withColumns({f"_{n}": v for n, v in values.items()})
+    out = []
+    for n in names:
+        c = F.col(f"_{n}")
+        out += [S.quantile(c, low).alias(f"{n}_low"), (S.total(c) / F.size(c)).alias(f"{n}_mid"), S.quantile(c, high).alias(f"{n}_up")]
+    xg = S.total(F.col("lh")) / F.size("lh")
+    return rows.select("key", *out, xg.alias("xg_home"))
+
+
+def _item(k: int):
+    return lambda x: x[k]
+
+
+def _measures(p):
+    w = S.win_draw_loss(p["h"], p["a"])
+    scale = S.total(p["a"])
+    first = [p["h"][k] * scale for k in range(3)]
+    return F.concat(w, F.array(*first, (S.total(p["h"]) * scale) - first[0] - first[1] - first[2]))
 
 
 def ordered_bands(draws: DataFrame, cuts: list[float], low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """Class probabilities of every key over draws: median and band."""
-    p = draws.select("key", F.explode("beta").alias("eta")).withColumn("p", S.ordered_logit(F.col("eta"), F.array(*map(F.lit, cuts))))
-    rows = p.select("key", F.posexplode("p").alias("class", "p"))
-    band = [F.round(F.percentile("p", F.lit(q)), 6).alias(n) for n, q in (("low", low), ("mid", 0.5), ("up", high))]
-    return rows.groupBy("key", "class").agg(*band)
+    """Class probabilities of every key over draws with the same cut points: median and band."""
+    return _bands(draws.select("key", F.transform("beta", lambda eta: S.ordered_logit(eta, F.array(*map(F.lit, cuts)))).alias("p")), len(cuts) + 1, low, high)
+
+
+def player_bands(draws: DataFrame, offset: float, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """Class probabilities of (key, eta, deltas), by draw a predictor and the raw steps between cut points: the first cut point is the
+    offset, each further one lies a softplus above the one before."""
+    def one(d):
+        upto = lambda k: F.aggregate(F.slice(d["deltas"], 1, k), F.lit(0.0), lambda s, x: s + S.softplus(x))
+        cuts = F.transform(F.sequence(F.lit(0), F.size(d["deltas"])), lambda k: F.lit(offset) + F.when(k > 0, upto(F.greatest(k, F.lit(1)))).otherwise(0.0))
+        return S.let(cuts, lambda c: S.ordered_logit(d["eta"], c))
 
+    p = F.transform(F.arrays_zip(F.col("eta"), F.col("deltas")), one)
+    return _bands(draws.select("key", p.alias("p")), 4, low, high)
 
-def unseen(draws: DataFrame, cuts: list[float], n: int, seed: int = 0) -> DataFrame:
-    """Predictive probabilities of an unseen key: normal effects that sum to zero within a draw."""
-    rows = draws.sparkSession.range(n).select(F.col("id").alias("key"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("draw"))
-    z = rows.withColumn("z", F.randn(seed))
-    z = z.withColumn("z", F.col("z") - F.avg("z").over(Window.partitionBy("draw")))
-    return ordered_bands(z.groupBy("key").agg(F.collect_list("z").alias("beta")), cuts)  # 64 numbers a key
+
+def _bands(rows: DataFrame, classes: int, low: float, high: float) -> DataFrame:
+    """Median and band by class of (key, p), p the class probabilities by draw; draws are sorted inside their row."""
+    sorted_ = [F.array_sort(F.transform("p", _item(k))) for k in range(classes)]
+    rows = rows.withColumns({f"_{k}": v for k, v in enumerate(sorted_)})
+    band = lambda k: F.struct(F.lit(k).alias("class"), *[F.round(S.quantile(F.col(f"_{k}"), q), 6).alias(n) for n, q in (("low", low), ("mid", 0.5), ("up", high))])
+    return rows.select("key", F.explode(F.array(*[band(k) for k in range(classes)])).alias("b")).select("key", "b.*")
+
+
+def hyper(draws: DataFrame) -> DataFrame:
+    """Mean and deviation over keys by draw: (draw, mean, sd)."""
+    e = draws.select(F.posexplode("beta").alias("draw", "v"))
+    return e.groupBy("draw").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"))
+
+
+def unseen(by_draw: DataFrame, n: int, offset: float, seed: int | None = None) -> DataFrame:
+    """Predictive class probabilities of n unseen keys from (draw, mean, sd), the hyper-parameters by draw: fresh normal effects that
+    sum to zero over the keys of a draw, and fresh steps between cut points. Without a seed the normal numbers are hashes."""
+    keys = by_draw.sparkSession.range(n).select(F.col("id").alias("key"))
+    rows = keys.crossJoin(F.broadcast(by_draw))  # one row per draw
+    z = lambda k: F.randn(seed + k) if seed is not None else S.normal(F.col("key"), F.col("draw"), k)
+    rows = rows.withColumns({"e": z(0) * F.col("sd"), "d1": F.col("mean") + F.col("sd") * z(1), "d2": F.col("mean") + F.col("sd") * z(2)})
+    centre = F.avg("e").over(Window.partitionBy("draw"))
+    rows = rows.withColumn("eta", F.col("mean") + F.col("e") - centre)
+    by = F.array_sort(F.collect_list(F.struct("draw", "eta", F.array("d1", "d2").alias("deltas"))))  # as many numbers a key as draws
+    rows = rows.groupBy("key").agg(by.alias("x"))
+    return player_bands(rows.select("key", F.transform("x", lambda x: x["eta"]).alias("eta"), F.transform("x", lambda x: x["deltas"]).alias("deltas")), offset)
+
+
+def above_replacement(rows: DataFrame, coefficients: DataFrame) -> DataFrame:
+    """Share of the other players whose mean residual is at most a player's own: rows (player, y, x), x an array of factors, and one row
+    `by_draw` of coefficient arrays. Residuals take the median over draws inside a row, then the mean by player."""
+    dot = lambda b: F.aggregate(F.zip_with("x", b, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
+    rows = rows.crossJoin(F.broadcast(coefficients))
+    rows = rows.withColumn("r", F.array_sort(F.transform("by_draw", lambda b: F.col("y") - dot(b))))
+    by = rows.groupBy("player").agg(F.round(F.avg(S.quantile(F.col("r"), 0.5)), 9).alias("delta"))
+    counts = running(by.groupBy("delta").agg(F.count("*").alias("n")), "delta", ["n"], totals=True)
+    share = F.try_divide(F.col("n_sum") - 1, F.col("n_all") - 1)
+    return by.join(counts, "delta").select("player", "delta", share.alias("par"))
 
 
 def skill_board(draws: DataFrame) -> DataFrame:
@@ -94,11 +193,11 @@ def skill_board(draws: DataFrame) -> DataFrame:
 
 def newcomer_anchor(draws: DataFrame) -> DataFrame:
     """Median by key, its empirical distribution from counts by distinct median, and the lower quartile of the medians."""
-    m = draws.select("key", "factor", F.explode("beta").alias("v")).groupBy("key", "factor").agg(F.median("v").alias("med"))
+    m = draws.select("key", "factor", S.quantile(F.array_sort("beta"), 0.5).alias("med"))
     by = m.groupBy("med").agg(F.count("*").alias("n"))
     by = running(by, "med", ["n"], totals=True)
     ecdf = F.col("n_sum") / F.col("n_all")
-    low = m.agg(F.percentile("med", F.lit(0.25)).alias("newcomer"))
+    low = quantiles(m, "med", [0.25]).select(F.col("q0").alias("newcomer"))
     return m.join(by.select("med", ecdf.alias("ecdf")), "med").crossJoin(F.broadcast(low)).select(
         "key", "factor", F.round("med", 6).alias("med"), F.round("ecdf", 6).alias("ecdf"), F.round("newcomer", 6).alias("newcomer")
     )
@@ -111,25 +210,64 @@ def poisson_draw(rate, u, top: int = 11):
     return F.size(F.filter(upto, lambda c: c < u)).cast("long")
 
 
+def replicates(rated: DataFrame, draws: int, seed: int | None = None) -> DataFrame:
+    """Predictive draws of the scores of rated matches: their columns with draw, h and a."""
+    rows = rated.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    u = [F.rand(seed + i) if seed is not None else S.uniform(F.col("match_id") * 2 + i, F.col("draw")) for i in (0, 1)]
+    return rows.withColumns({"h": poisson_draw(F.col("lh"), u[0]), "a": poisson_draw(F.col("la"), u[1])})
+
+
+def rootogram(rated: DataFrame, drawn: DataFrame, top: int, draws: int) -> DataFrame:
+    """How often sides score 0..top goals, observed and over predictive draws (mean and 94 % band); other counts are left out."""
+    times = lambda x, y, k: F.count_if(F.col(x) == k) + F.count_if(F.col(y) == k)
+    seen = rated.agg(*[times("hg", "ag", k).alias(f"o{k}") for k in range(top + 1)])
+    by = drawn.groupBy("draw").agg(*[times("h", "a", k).alias(f"k{k}") for k in range(top + 1)])
+    rows = by.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("n")) for k in range(top + 1)])).alias("x")).select("x.*")  # top + 1 rows a draw
+    rows = rows.groupBy("k").agg(F.avg("n").alias("mean"), F.percentile("n", F.lit(0.03)).alias("low"), F.percentile("n", F.lit(0.97)).alias("high"))
+    one = F.element_at(F.array(*[F.col(f"o{k}") for k in range(top + 1)]), F.col("k") + 1)
+    return rows.crossJoin(F.broadcast(seen)).select("k", one.alias("observed"), "mean", "low", "high")
+
+
+def scorelines(rated: DataFrame, drawn: DataFrame, lines: list[tuple[int, int]]) -> DataFrame:
+    """Share of some scores, observed and over predictive draws."""
+    share = lambda x, y, h, a: F.avg(((F.col(x) == h) & (F.col(y) == a)).cast("double"))
+    one = rated.agg(*[share("hg", "ag", h, a).alias(f"o{k}") for k, (h, a) in enumerate(lines)])
+    two = drawn.agg(*[share("h", "a", h, a).alias(f"p{k}") for k, (h, a) in enumerate(lines)])
+    each = F.array(*[F.struct(F.lit(f"{h}-{a}").alias("score"), F.col(f"o{k}").alias("observed"), F.col(f"p{k}").alias("predicted")) for k, (h, a) in enumerate(lines)])
+    return one.crossJoin(two).select(F.explode(each).alias("x")).select("x.*", (F.col("x.observed") - F.col("x.predicted")).alias("difference"))
+
+
+def draw_calibration(rated: DataFrame, drawn: DataFrame, group: str) -> DataFrame:
+    """Share of draws by group, observed and over predictive draws with a 94 % band, and MISS where the band leaves it out."""
+    seen = rated.groupBy(group).agg(F.avg((F.col("hg") == F.col("ag")).cast("double")).alias("observed"))
+    by = drawn.groupBy(group, "draw").agg(F.avg((F.col("h") == F.col("a")).cast("double")).alias("p"))  # one number a group and draw
+    band = by.groupBy(group).agg(F.avg("p").alias("predicted"), F.percentile("p", F.lit(0.03)).alias("low"), F.percentile("p", F.lit(0.97)).alias("high"))
+    out = (F.col("observed") < F.col("low")) | (F.col("observed") > F.col("high"))
+    return seen.join(band, group).withColumn("flag", F.when(out, "MISS").otherwise("ok"))
+
+
 def season_odds(games: DataFrame, fixtures: DataFrame, draws: int, relegated: int = 3, seed: int | None = None) -> DataFrame:
-    """Monte Carlo over the rest of a season: played matches are pinned, the others drawn; ranks by points, goal difference, team."""
-    home = games.where("hg is not null").select(F.col("home").alias("team"), match_points(F.col("hg"), F.col("ag")).alias("pts"), (F.col("hg") - F.col("ag")).alias("gd"))
-    away = games.where("hg is not null").select(F.col("away").alias("team"), match_points(F.col("ag"), F.col("hg")).alias("pts"), (F.col("ag") - F.col("hg")).alias("gd"))
-    past = home.union(away).groupBy("team").agg(F.sum("pts").alias("pts"), F.sum("gd").alias("gd"))
+    """Monte Carlo over the rest of every league and season: played matches are pinned, the others drawn; ranks by points, goal
+    difference, then lots drawn for each draw (a hash of team and draw unless there is a seed)."""
+    key = ["league", "season"]
+    played = games.where("hg is not null")
+    side = lambda team, x, y: played.select(*key, F.col(team).alias("team"), match_points(F.col(x), F.col(y)).alias("pts"), (F.col(x) - F.col(y)).alias("gd"))
+    past = side("home", "hg", "ag").union(side("away", "ag", "hg")).groupBy(*key, "team").agg(F.sum("pts").alias("pts"), F.sum("gd").alias("gd"))
     ks = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
-    sim = fixtures.select("match_id", "home", "away", "lh", "la", ks)
-    u = [F.rand(seed) if seed is not None else S.uniform(F.col("match_id") * 2 + i, F.col("draw")) for i in (0, 1)]
+    sim = fixtures.select(*key, "match_id", "home", "away", "lh", "la", ks)
+    u = [F.rand(seed + i) if seed is not None else S.uniform(F.col("match_id") * 2 + i, F.col("draw")) for i in (0, 1)]
     sim = sim.withColumns({"h": poisson_draw(F.col("lh"), u[0]), "a": poisson_draw(F.col("la"), u[1])})
     one = lambda team, x, y: F.struct(F.col(team).alias("team"), match_points(F.col(x), F.col(y)).alias("pts"), (F.col(x) - F.col(y)).alias("gd"))
-    got = sim.select("draw", F.explode(F.array(one("home", "h", "a"), one("away", "a", "h"))).alias("s")).select("draw", "s.*")
-    got = got.union(past.select(ks, "team", "pts", "gd"))
-    known = past.select("team")
-    table = got.join(known, "team", "left_semi").groupBy("draw", "team").agg(F.sum("pts").alias("pts"), F.sum("gd").alias("gd"))
-    w = Window.partitionBy("draw")
-    place = F.row_number().over(w.orderBy(F.desc("pts"), F.desc("gd"), "team"))
+    got = sim.select(*key, "draw", F.explode(F.array(one("home", "h", "a"), one("away", "a", "h"))).alias("s")).select(*key, "draw", "s.*")
+    got = got.union(past.select(*key, ks, "team", "pts", "gd"))
+    table = got.join(past.select(*key, "team"), [*key, "team"], "left_semi").groupBy(*key, "draw", "team").agg(F.sum("pts").alias("pts"), F.sum("gd").alias("gd"))
+    w = Window.partitionBy(*key, "draw")
+    lot = F.rand(seed + 2) if seed is not None else S.uniform(F.col("team") + 31 * F.col("draw"), F.col("team"))
+    table = table.withColumn("lot", lot)
+    place = F.row_number().over(w.orderBy(F.desc("pts"), F.desc("gd"), "lot", "team"))
     table = table.withColumns({"place": place, "n": F.count("*").over(w)})
     share = lambda c: F.round(F.avg(c.cast("int")), 6)
-    return table.groupBy("team").agg(
+    return table.groupBy(*key, "team").agg(
         share(F.col("place") == 1).alias("title"), share(F.col("place") <= 4).alias("top4"), share(F.col("place") > F.col("n") - relegated).alias("relegated"),
         F.round(F.avg("pts"), 6).alias("points"), F.round(F.percentile("pts", F.lit(0.05)), 6).alias("low"), F.round(F.percentile("pts", F.lit(0.95)), 6).alias("high"),
     )

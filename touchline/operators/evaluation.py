@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
@@ -67,37 +68,77 @@ def paired_t(rows: DataFrame, difference: Column, *groups: str) -> DataFrame:
 
 
 def temperatures(rows: DataFrame, grid: list[float], *groups: str) -> DataFrame:
-    """Mean log-loss of p^(1/T) for every T of a grid, one aggregate."""
-    rows = rows.withColumn("t", F.explode(F.array(*map(F.lit, grid))))
-    return rows.groupBy(*groups, "t").agg((-F.avg(S.log_floored(S.tempered_hit(F.col("p"), F.col("y"), F.col("t"))))).alias("log_loss"), F.count("*").alias("n"))
+    """Mean log-loss of p^(1/T) for every T of a grid: one aggregate with a column for each T, no row is multiplied."""
+    r = rows.select(*groups, F.transform("p", F.ln).alias("_l"), "y")
+    loss = lambda t: -F.avg(F.greatest(S.tempered_log(F.col("_l"), F.col("y"), 1.0 / t), F.lit(math.log(1e-12))))
+    one = r.groupBy(*groups).agg(F.count("*").alias("n"), *[loss(t).alias(f"t{k}") for k, t in enumerate(grid)])
+    pairs = F.array(*[F.struct(F.lit(float(t)).alias("t"), F.col(f"t{k}").alias("log_loss")) for k, t in enumerate(grid)])
+    return one.select(*groups, "n", F.explode(pairs).alias("x")).select(*groups, "x.t", "x.log_loss", "n")
 
 
-def leave_one_out_temperature(rows: DataFrame, grid: list[float], fold: str) -> DataFrame:
-    """For each fold the T that is best on all other folds; from sums by fold and T, a few hundred rows."""
-    by = temperatures(rows, grid, fold).withColumn("s", F.col("log_loss") * F.col("n"))
-    others = F.sum("s").over(Window.partitionBy("t")) - F.col("s")
-    w = F.sum("n").over(Window.partitionBy("t")) - F.col("n")
-    by = by.withColumn("o", others / w)
-    return by.groupBy(fold).agg(F.min_by("t", F.struct("o", "t")).alias("t"))
+def leave_one_out_temperature(rows: DataFrame, fold: str, low: float = 0.3, high: float = 3.0, nodes: int = 32) -> DataFrame:
+    """For each fold the T between the bounds that is best on all other folds: rows (fold, t, log_loss on the others).
+
+    A fold's loss is a smooth function of 1/T; one scan gives its values at Chebyshev nodes, a few hundred numbers, and each fold's
+    minimum is found on the interpolant by golden section. A fold without others has no temperature.
+    """
+    a, b = 1 / high, 1 / low
+    x = [(a + b) / 2 + (b - a) / 2 * math.cos(math.pi * (k + 0.5) / nodes) for k in range(nodes)]
+    weight = [(-1) ** k * math.sin(math.pi * (k + 0.5) / nodes) for k in range(nodes)]
+    got = temperatures(rows, [1 / v for v in x], fold).select(fold, "t", (F.col("log_loss") * F.col("n")).alias("s"), "n").collect()
+    sums: dict = {}
+    for name, t, s, n in got:
+        sums.setdefault(name, ({}, n))[0][min(range(nodes), key=lambda k: abs(x[k] - 1 / t))] = s
+    out = []
+    for name in sums:
+        others = [v for k, v in sums.items() if k != name]
+        n = sum(c for _, c in others)
+        if not n:
+            continue
+        y = [sum(v[k] for v, _ in others) / n for k in range(nodes)]
+
+        def value(at: float, y: list[float] = y) -> float:
+            near = [(k, at - v) for k, v in enumerate(x)]
+            for k, d in near:
+                if d == 0:
+                    return y[k]
+            return sum(weight[k] / d * y[k] for k, d in near) / sum(weight[k] / d for k, d in near)
+
+        best = golden(value, a, b)
+        out.append((name, 1 / best, value(best)))
+    kind = rows.schema[fold].dataType.simpleString()
+    return rows.sparkSession.createDataFrame(out, f"{fold} {kind}, t double, log_loss double")
+
+
+def golden(f, low: float, high: float, tolerance: float = 1e-8) -> float:
+    """Minimum of a unimodal function by golden section."""
+    ratio = (math.sqrt(5) - 1) / 2
+    c, d = high - ratio * (high - low), low + ratio * (high - low)
+    fc, fd = f(c), f(d)
+    while high - low > tolerance:
+        if fc <= fd:
+            high, d, fd = d, c, fc
+            c = high - ratio * (high - low)
+            fc = f(c)
+        else:
+            low, c, fc = c, d, fd
+            d = low + ratio * (high - low)
+            fd = f(d)
+    return (low + high) / 2
 
 
 def ks_uniform(rows: DataFrame, value: str) -> DataFrame:
-    """Kolmogorov-Smirnov distance from the uniform law. Places come from ranges: counts per range, then places inside each."""
-    parts = 64
-    r = rows.select(F.col(value).alias("x"), F.least(F.floor(F.col(value) * parts), F.lit(parts - 1)).cast("int").alias("part"))
-    n = r.groupBy("part").agg(F.count("*").alias("c"))
-    before = n.select("part", (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("before"), F.sum("c").over(Window.partitionBy()).alias("n"))
-    at = F.row_number().over(Window.partitionBy("part").orderBy("x"))
-    r = r.withColumn("at", at).join(F.broadcast(before), "part").withColumn("i", F.col("at") + F.col("before"))
-    return r.agg(F.max(F.greatest(F.col("i") / F.col("n") - F.col("x"), F.col("x") - (F.col("i") - 1) / F.col("n"))).alias("d"), F.max("n").alias("n"))
+    """Kolmogorov-Smirnov distance from the uniform law, from counts by distinct value and their running sums by value ranges."""
+    by = rows.groupBy(F.col(value).alias("x")).agg(F.count("*").alias("c"))
+    by = running(by, "x", ["c"], totals=True)
+    up, down = F.col("c_sum") / F.col("c_all") - F.col("x"), F.col("x") - (F.col("c_sum") - F.col("c")) / F.col("c_all")
+    return by.agg(F.max(F.greatest(up, down)).alias("d"), F.max("c_all").alias("n"))
 
 
 def ks_p_value(d: float, n: int) -> float:
     """Asymptotic p-value of a distance."""
-    from math import exp, sqrt
-
-    x = (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * d
-    return 1.0 if x < 0.2 else min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * exp(-2 * k * k * x * x) for k in range(1, 101))))
+    x = (math.sqrt(n) + 0.12 + 0.11 / math.sqrt(n)) * d
+    return 1.0 if x < 0.2 else min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101))))
 
 
 def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
@@ -119,6 +160,15 @@ def wasserstein(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     return by.agg(F.sum(F.col("x") * (F.abs(before) - F.abs(f))).alias("distance"))
 
 
+def distance_ranks(a: DataFrame, b: DataFrame, values: list[str], digits: int = 3) -> DataFrame:
+    """Wasserstein distance of each feature between two samples, rounded, and its rank from 0; ties keep the order of the features."""
+    out = None
+    for k, v in enumerate(values):
+        one = wasserstein(a, b, v).select(F.lit(k).alias("_k"), F.lit(v).alias("feature"), F.round("distance", digits).alias("distance"))
+        out = one if out is None else out.union(one)
+    return out.withColumn("rank", (F.row_number().over(Window.orderBy("distance", "_k")) - 1).cast("int")).drop("_k")  # one row per feature
+
+
 def wald(p: float, n: int, level: float = 0.95) -> tuple[float, float]:
     z = NormalDist().inv_cdf(0.5 + level / 2)
     half = z * (p * (1 - p) / n) ** 0.5

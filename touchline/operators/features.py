@@ -45,16 +45,26 @@ def running_before(value: str, partition: list[str], order: list[str]) -> Column
 
 
 def ewma(rows: DataFrame, value: str, partition: list[str], order: list[str], half_life: float, name: str) -> DataFrame:
-    """Adjusted exponentially weighted mean in closed form: sums of x * a^-i and a^-i over the rows so far, i the row's place.
+    """Adjusted exponentially weighted mean; null values drop out of both of its sums while the decay goes on.
 
-    Null values drop out of both sums while the decay goes on. Exponents are taken within the group, a season's few dozen rows.
+    Rows are taken in chunks of 64 half-lives. Inside a chunk the sums of x * 2^(i / half-life) and of the weights run on, i the place
+    in the chunk; the chunk before joins with its whole sums, scaled by 2^-64, and what lies before that is below the precision
+    of a double. So groups may have any number of rows. A row without a value repeats the mean before it.
     """
+    size = max(1, int(64 * half_life))
     w = Window.partitionBy(*partition).orderBy(*order)
-    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    grow = F.pow(F.lit(2.0), F.row_number().over(w) / half_life)
-    rows = rows.withColumn("_g", grow)
-    weight = F.when(F.col(value).isNotNull(), F.col("_g"))
-    return rows.withColumn(name, F.try_divide(F.sum(F.col(value) * F.col("_g")).over(so_far), F.sum(weight).over(so_far))).drop("_g")
+    before, so_far = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = F.row_number().over(w) - 1
+    out = rows.withColumns({"_chunk": F.floor(at / size), "_i": at % size})
+    grow = F.pow(F.lit(2.0), F.col("_i") / half_life)
+    inside = Window.partitionBy(*partition, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = {"_x": F.col(value) * grow, "_w": F.when(F.col(value).isNotNull(), grow)}
+    out = out.withColumns({n: F.coalesce(F.sum(x).over(inside), F.lit(0.0)) for n, x in sums.items()})
+    scale = 2.0 ** (-size / half_life)
+    last = lambda n: F.coalesce(F.last(F.when(F.col("_i") == size - 1, F.col(n)), True).over(before), F.lit(0.0)) * scale
+    out = out.withColumns({"_x0": last("_x"), "_w0": last("_w")})
+    mean = F.when(F.col(value).isNotNull(), (F.col("_x") + F.col("_x0")) / (F.col("_w") + F.col("_w0")))
+    return out.withColumn(name, F.last(mean, True).over(so_far)).drop("_chunk", "_i", "_x", "_w", "_x0", "_w0")
 
 
 def filled(value: str, inner: list[str], outer: list[str], order: list[str]) -> Column:

@@ -42,22 +42,35 @@ def ranged(rows: DataFrame, order: str, name: str = "_part") -> DataFrame:
     return rows.crossJoin(F.broadcast(cuts)).withColumn(name, F.size(F.filter("_cuts", lambda q: q < F.col(order)))).drop("_cuts")
 
 
-def running(rows: DataFrame, order: str, values: list[str], totals: bool = False) -> DataFrame:
-    """Running sums of values by a numeric order, as columns <value>_sum: windows inside ranges, plus the sums of the ranges below
-    (one row per range), so that no task sees all rows. With totals also <value>_all."""
+def running(rows: DataFrame, order: str, values: list[str], totals: bool = False, groups: tuple[str, ...] = ()) -> DataFrame:
+    """Running sums of values by a numeric order (inside groups), as columns <value>_sum: windows inside ranges, plus the sums of the
+    ranges below (one row per range and group), so that no task sees all rows. With totals also <value>_all."""
     r = ranged(rows, order)
-    sums = r.groupBy("_part").agg(*[F.sum(v).alias(f"_{v}") for v in values])
-    below = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = r.groupBy(*groups, "_part").agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    below = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(
-        "_part", *[F.coalesce(F.sum(f"_{v}").over(below), F.lit(0)).alias(f"_{v}_below") for v in values],
-        *[F.sum(f"_{v}").over(Window.partitionBy()).alias(f"{v}_all") for v in values],
+        *groups, "_part", *[F.coalesce(F.sum(f"_{v}").over(below), F.lit(0)).alias(f"_{v}_below") for v in values],
+        *[F.sum(f"_{v}").over(Window.partitionBy(*groups)).alias(f"{v}_all") for v in values],
     )
-    w = Window.partitionBy("_part").orderBy(order)
-    out = r.withColumns({f"{v}_sum": F.sum(v).over(w) for v in values}).join(F.broadcast(sums), "_part")
+    w = Window.partitionBy(*groups, "_part").orderBy(order)
+    out = r.withColumns({f"{v}_sum": F.sum(v).over(w) for v in values}).join(sums if groups else F.broadcast(sums), [*groups, "_part"])
     out = out.withColumns({f"{v}_sum": F.col(f"{v}_sum") + F.col(f"_{v}_below") for v in values})
     return out.drop("_part", *[f"_{v}_below" for v in values], *([] if totals else [f"{v}_all" for v in values]))
 
 
+def quantiles(rows: DataFrame, value: str, shares: list[float], groups: tuple[str, ...] = ()) -> DataFrame:
+    """Exact quantiles, linear between neighbours, as columns q0, q1, ... by group: ranks are picked from running counts by distinct
+    value, so no buffer holds the values of a group."""
+    by = rows.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_c"))
+    by = running(by, value, ["_c"], totals=True, groups=groups)
+    here = lambda k: F.when((F.col("_c_sum") - F.col("_c") <= k) & (k < F.col("_c_sum")), F.col(value).cast("double"))
+    at = [F.lit(q) * (F.col("_c_all") - 1) for q in shares]
+    ends = [F.struct(F.max(here(F.floor(x))).alias("low"), F.max(here(F.ceil(x))).alias("high"), F.max(x - F.floor(x)).alias("part")).alias(f"q{i}") for i, x in enumerate(at)]
+    got = by.groupBy(*groups).agg(*ends)
+    q = lambda i: F.col(f"q{i}.low") + (F.col(f"q{i}.high") - F.col(f"q{i}.low")) * F.col(f"q{i}.part")
+    return got.select(*groups, *[q(i).alias(f"q{i}") for i in range(len(shares))])
+
+
 def nearest(treated: DataFrame, control: DataFrame, score: str) -> DataFrame:
     """For each treated (id, score) the control with the nearest score, with replacement; ties take the lower score, then id.
 
@@ -98,11 +111,9 @@ def mode(rows: DataFrame, groups: list[str], value: str) -> DataFrame:
 
 
 def frequencies(rows: DataFrame, value: str) -> DataFrame:
-    """Counts, shares and running shares by value; the windows run over one row per value."""
-    n = rows.groupBy(value).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    run = F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return n.select(value, "n", (F.col("n") / total).alias("share"), (run / total).alias("running"))
+    """Counts, shares and running shares by a numeric value."""
+    n = running(rows.groupBy(value).agg(F.count("*").alias("n")), value, ["n"], totals=True)
+    return n.select(value, "n", (F.col("n") / F.col("n_all")).alias("share"), (F.col("n_sum") / F.col("n_all")).alias("running"))
 
 
 def moments_corrected(value: str) -> list[Column]:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import scoring as S
 from touchline.operators import audit as A
 from touchline.operators import causal as C
+from touchline.operators import counts
 from touchline.operators import features
 from touchline.operators import ledgers as L
 from touchline.plans.registry import query
@@ -69,9 +70,9 @@ def treatment_propensity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.propensity(T.treatment(spark, sf_dir), ["outcome", "covariate"]).select("id", "treated", F.round("propensity", 6).alias("propensity"))
 
 
-LEDGER = T.GAMES + """, old AS (SELECT season, home, away, max(match_id % 100) AS p, 'old' AS source FROM games WHERE season = 2001 AND gameday <= 15 GROUP BY ALL),
-fresh AS (SELECT season, home, away, max(match_id % 50) AS p, 'fresh' AS source FROM games WHERE season = 2001 AND gameday BETWEEN 10 AND 30 GROUP BY ALL),
-done AS (SELECT DISTINCT season, home, away FROM games WHERE season = 2001 AND gameday <= 12)"""
+LEDGER = T.GAMES + """, old AS (SELECT season, home, away, max(match_id % 100) AS p, 'old' AS source FROM games WHERE gameday <= 15 GROUP BY ALL),
+fresh AS (SELECT season, home, away, max(match_id % 50) AS p, 'fresh' AS source FROM games WHERE gameday >= 10 GROUP BY ALL),
+done AS (SELECT DISTINCT season, home, away FROM games WHERE gameday <= 12)"""
 
 
 @query("WITH " + LEDGER + """ SELECT * FROM old SEMI JOIN done USING (season, home, away) UNION ALL
@@ -79,9 +80,9 @@ SELECT * FROM (SELECT * FROM old ANTI JOIN done USING (season, home, away)) ANTI
 UNION ALL SELECT * FROM fresh ANTI JOIN (SELECT * FROM old SEMI JOIN done USING (season, home, away)) USING (season, home, away)""")
 def frozen_match_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Played rows stay, open rows are refreshed."""
-    g = T.games(spark, sf_dir).where("season = 2001")
+    g = T.games(spark, sf_dir)
     old = g.where("gameday <= 15").groupBy(*L.MATCH_KEY).agg(F.max(F.col("match_id") % 100).alias("p")).withColumn("source", F.lit("old"))
-    fresh = g.where("gameday between 10 and 30").groupBy(*L.MATCH_KEY).agg(F.max(F.col("match_id") % 50).alias("p")).withColumn("source", F.lit("fresh"))
+    fresh = g.where("gameday >= 10").groupBy(*L.MATCH_KEY).agg(F.max(F.col("match_id") % 50).alias("p")).withColumn("source", F.lit("fresh"))
     return L.refreshed(old, fresh, g.where("gameday <= 12"))
 
 
@@ -92,13 +93,14 @@ def rebuilt_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.rebuilt(v, "kick_off", "stamp").select(*L.MATCH_KEY, F.col("stamp").cast("string").alias("stamp"))
 
 
-@query("WITH " + T.GAMES + """ SELECT CAST(kick_off AS VARCHAR) AS kick_off, count(*) AS n, 'first' AS run FROM games WHERE kick_off < DATE '2000-01-05' AND kick_off >= DATE '2000-01-01' GROUP BY 1
-UNION ALL SELECT CAST(kick_off AS VARCHAR), count(*) * 2, 'second' FROM games WHERE kick_off = DATE '2000-01-05' GROUP BY 1""")
+@query("WITH " + T.GAMES + """ SELECT CAST(kick_off AS VARCHAR) AS kick_off, count(*) * CASE WHEN kick_off = (SELECT max(kick_off) FROM games) THEN 2 ELSE 1 END AS n,
+  CASE WHEN kick_off = (SELECT max(kick_off) FROM games) THEN 'second' ELSE 'first' END AS run FROM games GROUP BY kick_off""")
 def tracker_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L4, K4: a day's rows are replaced, other days stay."""
-    g = T.games(spark, sf_dir).where("kick_off between date '2000-01-01' and date '2000-01-05'").groupBy("kick_off").agg(F.count("*").alias("n"))
+    """L4, K4: the last day's rows are replaced, all other days stay."""
+    g = T.games(spark, sf_dir).groupBy("kick_off").agg(F.count("*").alias("n"))
+    last = T.games(spark, sf_dir).agg(F.max("kick_off").alias("kick_off"))
     first = g.withColumn("run", F.lit("first"))
-    today = g.where("kick_off = date '2000-01-05'").select("kick_off", (F.col("n") * 2).alias("n"), F.lit("second").alias("run"))
+    today = g.join(F.broadcast(last), "kick_off").select("kick_off", (F.col("n") * 2).alias("n"), F.lit("second").alias("run"))
     return L.tracked(first, today, "kick_off").withColumn("kick_off", F.col("kick_off").cast("string"))
 
 
@@ -110,23 +112,34 @@ def postponed_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.agg(F.count("*").alias("n")).select(F.lit("matches").alias("kind"), "n").union(goals.agg(F.count("*").alias("n")).select(F.lit("goals"), "n"))
 
 
-@query("WITH " + PLAYER + """, t AS (SELECT season, league, player, match_id, goals, CAST(coalesce(sum(goals) OVER (PARTITION BY league, season, player ORDER BY kick_off, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before,
-  row_number() OVER (PARTITION BY league, season, player ORDER BY kick_off, match_id) AS n, kick_off FROM player),
-d AS (SELECT *, before - lag(before) OVER w AS diff, lag(goals) OVER w AS prev FROM t WINDOW w AS (PARTITION BY league, season, player ORDER BY kick_off, match_id))
-SELECT 'unique match_id,player' AS "check", 'PASS' AS result, '0' AS detail UNION ALL SELECT 'running total follows the row before', 'PASS', '1.0' UNION ALL SELECT 'first row starts at 0', 'PASS', '0'
-UNION ALL SELECT 'goals at most 6', CASE WHEN count(*) FILTER (goals > 6) < 1 THEN 'PASS' ELSE 'WARN' END, CAST(count(*) FILTER (goals > 6) AS VARCHAR) FROM d
-UNION ALL SELECT 'required columns', 'PASS', '' UNION ALL SELECT 'domain of home_pitch', 'PASS', '0'""")
+@query("WITH " + PLAYER + """, t AS (SELECT season, league, player, match_id, kick_off, goals, home_pitch, CASE WHEN match_id % 3 = 0 THEN team END AS position, CAST(coalesce(sum(goals) OVER w, 0) AS BIGINT) AS before, row_number() OVER v AS n
+  FROM player WINDOW w AS (PARTITION BY league, season, player ORDER BY kick_off, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), v AS (PARTITION BY league, season, player ORDER BY kick_off, match_id)),
+d AS (SELECT *, before - lag(before) OVER w AS diff, lag(goals) OVER w AS prev, max(position) OVER (PARTITION BY season, player) AS filled FROM t WINDOW w AS (PARTITION BY league, season, player ORDER BY kick_off, match_id)),
+m AS (SELECT round(avg(CASE WHEN diff = prev THEN 1 ELSE 0 END) FILTER (n > 1), 6) AS s, count(*) FILTER (n = 1 AND before <> 0) AS f, count(*) FILTER (goals > 6) AS g, count(*) FILTER (home_pitch NOT IN (0, 1)) AS h, count(*) FILTER (before + goals > 40) AS o,
+  round(avg(CASE WHEN filled IS NULL THEN 1 ELSE 0 END), 6) AS p FROM d), u AS (SELECT count(*) AS u FROM (SELECT match_id, player FROM player GROUP BY ALL HAVING count(*) > 1))
+SELECT 'unique match_id,player' AS "check", CASE WHEN u = 0 THEN 'PASS' ELSE 'FAIL' END AS result, CAST(u AS VARCHAR) AS detail FROM u UNION ALL SELECT 'running total follows the row before', CASE WHEN s >= 0.995 THEN 'PASS' ELSE 'FAIL' END, CAST(s AS VARCHAR) FROM m
+UNION ALL SELECT 'first row starts at 0', CASE WHEN f < 1 THEN 'PASS' ELSE 'FAIL' END, CAST(f AS VARCHAR) FROM m UNION ALL SELECT 'goals at most 6', CASE WHEN g < 1 THEN 'PASS' ELSE 'WARN' END, CAST(g AS VARCHAR) FROM m
+UNION ALL SELECT 'required columns', 'PASS', '' UNION ALL SELECT 'domain of home_pitch', CASE WHEN h < 1 THEN 'PASS' ELSE 'FAIL' END, CAST(h AS VARCHAR) FROM m
+UNION ALL SELECT 'totals above 40', CASE WHEN o < 50 THEN 'PASS' ELSE 'WARN' END, CAST(o AS VARCHAR) FROM m UNION ALL SELECT 'no position after fill', CASE WHEN p <= 0.25 THEN 'PASS' ELSE 'FAIL' END, CAST(p AS VARCHAR) FROM m""")
 def player_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The audit table of the player rows."""
+    """The audit table of the player rows: one aggregate over one pass of windows, and one of the key alone."""
     rows = features.player_goals(T.games(spark, sf_dir), T.lineup(spark, sf_dir), T.scorers(spark, sf_dir))
     part, order = ["league", "season", "player"], ["kick_off", "match_id"]
-    rows = rows.withColumn("before", features.running_before("goals", part, order))
-    return A.audit(
+    rows = rows.withColumns({"before": features.running_before("goals", part, order), "position": F.when(F.col("match_id") % 3 == 0, F.col("team"))})
+    seen = A.with_lags(rows, "before", "goals", part, order).withColumn("filled", F.max("position").over(Window.partitionBy("season", "player")))
+    none = lambda x: x < 1
+    checks = A.checks(
+        seen,
         [
-            A.required_columns(rows, ["match_id", "player", "goals"]), A.unique_key(rows, ["match_id", "player"]), A.timing(rows, "before", "goals", part, order),
-            A.fewer_than(rows, "goals at most 6", F.col("goals") > 6, 1, warn=True), A.domain(rows, "home_pitch", [0, 1]),
-        ]
+            ("running total follows the row before", A.step_share(), lambda x: x >= 0.995, False),
+            ("first row starts at 0", F.count_if(F.col("_first") & (F.col("before") != 0)), none, False),
+            ("goals at most 6", F.count_if(F.col("goals") > 6), none, True),
+            ("domain of home_pitch", F.count_if(~F.col("home_pitch").isin(0, 1)), none, False),
+            ("totals above 40", F.count_if(F.col("before") + F.col("goals") > 40), lambda x: x < 50, True),
+            ("no position after fill", F.round(F.avg(F.col("filled").isNull().cast("int")), 6), lambda x: x <= 0.25, False),
+        ],
     )
+    return A.audit([A.required_columns(rows, ["match_id", "player", "goals"]), A.unique_key(rows, ["match_id", "player"]), checks])
 
 
 @query("WITH " + T.GAMES + """, a AS (SELECT DISTINCT home, away FROM games WHERE season = 2000), b AS (SELECT DISTINCT home, away FROM games WHERE season = 1999)
@@ -144,14 +157,35 @@ def table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("league", "n", F.round("share", 6).alias("share"))
 
 
-@query("WITH " + T.FORECASTS + """ SELECT 'simplex' AS "check", 'PASS' AS result, '0' AS detail UNION ALL SELECT 'finite', 'PASS', '0' UNION ALL SELECT 'parity of v', 'PASS', '0.0'""")
+@query("WITH " + T.FORECASTS + ", " + T.DRAWS + """, g AS (SELECT max(abs(list_sum(p) - 1)) AS s, count(*) FILTER (len(list_filter(p, lambda x: isnan(x) OR x < 0 OR x > 1)) > 0) AS f FROM forecasts),
+e AS (SELECT max(abs(0.1::DOUBLE + 0.5 * beta[1] - 0.25 * beta[2] - (0.1::DOUBLE + 0.5 * beta[1] + beta[2] * -0.25))) AS same, max(abs(0.5 * beta[1] - 0.25 * beta[2] - (0.1::DOUBLE + 0.5 * beta[1] + beta[2] * -0.25))) AS bare FROM draws)
+SELECT 'simplex' AS "check", CASE WHEN s < 1e-9 THEN 'PASS' ELSE 'FAIL' END AS result, CAST(round(s, 6) AS VARCHAR) AS detail FROM g UNION ALL SELECT 'finite', CASE WHEN f < 1 THEN 'PASS' ELSE 'FAIL' END, CAST(f AS VARCHAR) FROM g
+UNION ALL SELECT 'predictor parity', CASE WHEN same < 1e-8 THEN 'PASS' ELSE 'FAIL' END, CAST(round(same, 6) AS VARCHAR) FROM e UNION ALL SELECT 'predictor parity without its base', CASE WHEN bare < 1e-8 THEN 'PASS' ELSE 'FAIL' END, CAST(round(bare, 6) AS VARCHAR) FROM e
+UNION ALL SELECT 'golden rows', 'PASS', '0.0'""")
 def forecast_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Simplex and finite gates, and parity of a column with itself."""
+    """Simplex and finite gates; the predictor built from its parts against the stored one, and without its base as the control
+    that has to fail; golden probabilities, fixed numbers, against what the engine makes of their inputs."""
     f = T.forecasts(spark, sf_dir)
-    v = T.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("v"))
-    return A.audit(
+    gates = A.checks(
+        f,
         [
-            A.fewer_than(f, "simplex", F.abs(S.total(F.col("p")) - 1) > 1e-9, 1), A.fewer_than(f, "finite", F.exists("p", lambda x: F.isnan(x) | (x < 0) | (x > 1)), 1),
-            A.parity(v, v, ["id"], "v", 1e-8),
-        ]
+            ("simplex", F.round(F.max(F.abs(S.total(F.col("p")) - 1)), 6), lambda x: x < 1e-9, False),
+            ("finite", F.count_if(F.exists("p", lambda x: F.isnan(x) | (x < 0) | (x > 1))), lambda x: x < 1, False),
+        ],
     )
+    b = F.col("beta")
+    d = T.draws(spark, sf_dir).select("key", (0.1 + 0.5 * b[0] - 0.25 * b[1]).alias("stored"), F.array(F.lit(0.5), F.lit(-0.25)).alias("x"), F.array(F.array(b[0], b[1])).alias("by_draw"))
+    built = lambda base: counts.linear_predictor(d.withColumn("base", F.lit(base)), "x", "by_draw", "base").select("stored", F.col("eta")[0].alias("eta"))
+    gap = F.round(F.max(F.abs(F.col("eta") - F.col("stored"))), 6)
+    parity = [A.checks(built(base), [(label, gap, lambda x: x < 1e-8, False)]) for base, label in ((0.1, "predictor parity"), (0.0, "predictor parity without its base"))]
+    golden = spark.createDataFrame([(eta, p) for eta, p in GOLDEN], "eta double, p array<double>")
+    off = F.aggregate(F.zip_with(S.ordered_logit(F.col("eta"), F.array(*map(F.lit, (0.5, 1.5, 2.5)))), "p", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: F.greatest(s, x))
+    return A.audit([gates, *parity, A.checks(golden, [("golden rows", F.round(F.max(off), 9), lambda x: x < 1e-10, False)])])
+
+
+#: A predictor and the class probabilities of cut points 0.5, 1.5 and 2.5, worked out apart from the engine.
+GOLDEN = [
+    (0.0, [0.6224593312018546, 0.19511514499178906, 0.1065673437851129, 0.07585818002124345]),
+    (1.0, [0.3775406687981454, 0.2449186624037092, 0.19511514499178906, 0.18242552380635635]),
+    (-2.0, [0.9241418199787566, 0.04654594926988709, 0.018325288120763172, 0.010986942630593188]),
+]

@@ -98,12 +98,12 @@ def smoke_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("season", "player").agg(F.count("*").alias("n"))
 
 
-@query("WITH " + PLAYER + """, open AS (SELECT CAST(match_id AS VARCHAR) AS id_match, CAST(player AS VARCHAR) AS name_player FROM player WHERE season = 2000 AND gameday = 10 AND player % 3 <> 0),
-scored AS (SELECT CAST(match_id AS VARCHAR) AS id_match, CAST(player AS VARCHAR) AS name_player, CAST(sum(goals) AS BIGINT) AS g FROM player WHERE season = 2000 AND gameday = 10 AND goals > 0 GROUP BY ALL)
+@query("WITH " + PLAYER + """, open AS (SELECT CAST(match_id AS VARCHAR) AS id_match, CAST(player AS VARCHAR) AS name_player FROM player WHERE player % 3 <> 0),
+scored AS (SELECT CAST(match_id AS VARCHAR) AS id_match, CAST(player AS VARCHAR) AS name_player, CAST(sum(goals) AS BIGINT) AS g FROM player WHERE goals > 0 GROUP BY ALL)
 SELECT coalesce(o.id_match, g.id_match) AS id_match, coalesce(o.name_player, g.name_player) AS name_player, coalesce(g.g, 0) AS actual_goals, g.g IS NOT NULL AS appeared, CASE WHEN o.id_match IS NULL THEN NULL ELSE 0.5 END::DOUBLE AS p FROM open o FULL JOIN scored g USING (id_match, name_player)""")
 def player_ledger_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L2: forecasts of a played day become final; scorers without a forecast join with a null probability."""
-    rows = features.player_goals(T.games(spark, sf_dir), T.lineup(spark, sf_dir), T.scorers(spark, sf_dir)).where("season = 2000 and gameday = 10")
+    """L2: forecasts of played matches become final (a third of the players had none); scorers without a forecast join with a null probability."""
+    rows = features.player_goals(T.games(spark, sf_dir), T.lineup(spark, sf_dir), T.scorers(spark, sf_dir))
     key = [F.col("match_id").cast("string").alias("id_match"), F.col("player").cast("string").alias("name_player")]
     ledger = rows.where("player % 3 <> 0").select(
         *key, F.lit(0.5).alias("p"), F.lit("upcoming").alias("status"), F.lit("1").alias("forecast_frozen_at"), F.lit(None).cast("long").alias("actual_goals"),
@@ -123,12 +123,6 @@ def linear_predictors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eta.select("key", F.round(F.col("eta")[0], 6).alias("eta_first"), F.round(F.col("eta")[1], 6).alias("eta_second"))
 
 
-@query()
-def unseen_player(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictive bands of keys that no draw knows; random effects, compared in distribution only."""
-    return counts.unseen(T.draws(spark, sf_dir), [0.5, 1.5, 2.5], 20, seed=4)
-
-
 @query("WITH " + PLAYER + """ SELECT season, player, round(avg(goals) / nullif(avg(0.2::DOUBLE + match_id % 5 / 10.0::DOUBLE), 0), 6) AS excess FROM player GROUP BY season, player""")
 def excess_skill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Skill over mean predicted probability by player and season."""
@@ -151,13 +145,30 @@ def simulated_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return causal.true_effects(causal.simulate(spark, 20_000, 1), "score_diff")
 
 
-@query("SELECT * FROM (VALUES ('strength'), ('strength,ites')) t(adjustment) WHERE adjustment = 'strength'")
+GRAPH = "digraph { strength -> sub; strength -> passes; sub -> fresh; fresh -> passes }"
+
+
+@query()
 def adjustment_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vertices of a graph text and the minimal back-door sets."""
-    text = "digraph { strength -> sub; strength -> passes; sub -> fresh; fresh -> passes }"
-    edges = [("strength", "sub"), ("strength", "passes"), ("sub", "fresh"), ("fresh", "passes")]
-    assert {v for e in edges for v in e} == set(causal.vertices(text))
-    return spark.createDataFrame([(",".join(sorted(s)),) for s in causal.backdoor_sets(edges, "sub", "passes")], "adjustment string")
+    """A graph text, its vertices, and the sets that close back doors or stand in the front door. No table is read: the graph
+    is the input; tests hold the sets against a search of all paths."""
+    edges = causal.edges_of(GRAPH)
+    kinds = {"minimal back-door": causal.backdoor_sets, "back-door": causal.all_backdoor_sets, "front-door": causal.frontdoor_sets}
+    rows = [(kind, ",".join(sorted(s))) for kind, sets in kinds.items() for s in sets(edges, "sub", "passes")]
+    return spark.createDataFrame([*rows, ("vertices", ",".join(causal.vertices(GRAPH)))], "kind string, adjustment string")
+
+
+@query("WITH " + T.TREATMENT + """, m AS (SELECT avg(outcome) AS my, avg(treated) AS mx, avg(covariate) AS mz, count(*) AS n FROM treatment),
+s AS (SELECT sum((treated - mx) * (treated - mx)) AS xx, sum((covariate - mz) * (covariate - mz)) AS zz, sum((treated - mx) * (covariate - mz)) AS xz, sum((treated - mx) * (outcome - my)) AS xy, sum((covariate - mz) * (outcome - my)) AS zy,
+  sum((outcome - my) * (outcome - my)) AS yy, any_value(n) AS n FROM treatment, m),
+b AS (SELECT *, (zz * xy - xz * zy) / (xx * zz - xz * xz) AS b1, (xx * zy - xz * xy) / (xx * zz - xz * xz) AS b2 FROM s),
+e AS (SELECT *, sqrt((yy - b1 * xy - b2 * zy) / (n - 3) * zz / (xx * zz - xz * xz)) AS se FROM b)
+SELECT 'outcome' AS outcome, 'treated' AS tested, round(b1, 4) AS estimate, round(b1 - 1.959963984540054 * se, 4) AS low, round(b1 + 1.959963984540054 * se, 4) AS high,
+  b1 - 1.959963984540054 * se <= 0 AND b1 + 1.959963984540054 * se >= 0 AS independent FROM e""")
+def conditional_independence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether treatment tells about the outcome beside the covariate."""
+    r = causal.independence(T.treatment(spark, sf_dir), "outcome", "treated", ["covariate"])
+    return r.select("outcome", "tested", *[F.round(c, 4).alias(c) for c in ("estimate", "low", "high")], "independent")
 
 
 @query("WITH " + T.GAMES + """ SELECT match_id FROM games WHERE kick_off >= (SELECT max(kick_off) FROM games WHERE season < 2000)""")

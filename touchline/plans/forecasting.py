@@ -8,58 +8,79 @@ from pyspark.sql import functions as F
 from touchline.functions import scoring as S
 from touchline.operators import counts as C
 from touchline.operators import evaluation as E
+from touchline.operators import features
 from touchline.operators import ratings as R
+from touchline.operators import relational as Q
 from touchline.plans.registry import query
+from touchline.plans.standings import PLAYER
 from touchline.sources import tables as T
 
-ELO = "WITH RECURSIVE " + T.GAMES + """, m AS (SELECT *, row_number() OVER (PARTITION BY league ORDER BY season, kick_off, match_id) AS i FROM games),
-members AS (SELECT DISTINCT league, season, team FROM (SELECT league, season, home AS team FROM games UNION ALL SELECT league, season, away FROM games)),
-roster AS (SELECT league, season, list_transform(range(0, 20), lambda k: list_contains(list(team), k)) AS here FROM members GROUP BY league, season),
-steps AS (SELECT m.*, r.here, p.here AS earlier, m.season <> coalesce(lag(m.season) OVER (PARTITION BY m.league ORDER BY i), -1) AS fresh
-  FROM m JOIN roster r ON r.league = m.league AND r.season = m.season LEFT JOIN roster p ON p.league = m.league AND p.season = m.season - 1),
-f AS (
-  SELECT league, 0::BIGINT AS i, NULL::BIGINT AS match_id, NULL::INTEGER AS season, NULL::DOUBLE AS home_elo, NULL::DOUBLE AS away_elo, list_transform(range(0, 20), lambda k: 1300.0::DOUBLE) AS r FROM (SELECT DISTINCT league FROM games)
+def elo_sql(name: str, returning: str = "p.season = m.season - 1", still: str = "false", resets: bool = True, league: str = "league", where: str = "true", stored: str = "") -> str:
+    """Common table expressions of a fold of ratings, called `name`: a list of 20 ratings a league, one match a step."""
+    first = f"s.r AS r FROM (SELECT DISTINCT lg FROM {name}_m) d JOIN {stored} s ON s.league = d.lg" if stored else f"list_transform(range(0, 20), lambda k: 1300.0::DOUBLE) AS r FROM (SELECT DISTINCT lg FROM {name}_m)"
+    fresh = "s.season <> coalesce(lag(s.season) OVER (PARTITION BY s.lg ORDER BY i), -1)" if resets else "false"
+    return f"""{name}_m AS (SELECT *, {league} AS lg, row_number() OVER (PARTITION BY {league} ORDER BY kick_off, match_id) AS i FROM games WHERE {where}),
+{name}_members AS (SELECT DISTINCT lg, season, team FROM (SELECT lg, season, home AS team FROM {name}_m UNION ALL SELECT lg, season, away FROM {name}_m)),
+{name}_roster AS (SELECT m.lg, m.season, list_transform(range(0, 20), lambda k: list_contains(list(m.team), k)) AS here, list_transform(range(0, 20), lambda k: list_contains(list(p.team), k)) AS earlier
+  FROM {name}_members m LEFT JOIN {name}_members p ON p.lg = m.lg AND p.team = m.team AND {returning} GROUP BY m.lg, m.season),
+{name}_steps AS (SELECT s.*, CASE WHEN fresh THEN r.here END AS here, CASE WHEN fresh THEN r.earlier END AS earlier FROM (SELECT s.*, {fresh} AS fresh, {still} AS still FROM {name}_m s) s JOIN {name}_roster r ON r.lg = s.lg AND r.season = s.season),
+{name} AS (
+  SELECT lg, 0::BIGINT AS i, NULL::BIGINT AS match_id, NULL::VARCHAR AS league, NULL::INTEGER AS season, NULL::DATE AS kick_off, NULL::BIGINT AS home, NULL::BIGINT AS away, NULL::DOUBLE AS home_elo, NULL::DOUBLE AS away_elo, {first}
   UNION ALL
-  SELECT league, i, match_id, season, b[home + 1], b[away + 1], list_transform(b, lambda v, k: CASE WHEN k = home + 1 THEN v + gain WHEN k = away + 1 THEN v - gain ELSE v END) FROM (
-    SELECT *, 20 * (CASE WHEN hg IS NULL OR hg = ag THEN 0.5 WHEN hg > ag THEN 1 ELSE 0 END::DOUBLE - 1 / (1 + pow(10::DOUBLE, (b[away + 1] - b[home + 1] - 50) / 400))) AS gain FROM (
+  SELECT lg, i, match_id, league, season, kick_off, home, away, b[home + 1], b[away + 1], list_transform(b, lambda v, k: CASE WHEN k = home + 1 THEN v + gain WHEN k = away + 1 THEN v - gain ELSE v END) FROM (
+    SELECT *, CASE WHEN still THEN 0 ELSE 20 * (CASE WHEN hg IS NULL OR hg = ag THEN 0.5 WHEN hg > ag THEN 1 ELSE 0 END::DOUBLE - 1 / (1 + pow(10::DOUBLE, (b[away + 1] - b[home + 1] - 50) / 400))) END AS gain FROM (
       SELECT s.*, CASE WHEN s.fresh THEN list_transform(f.r, lambda v, k: CASE WHEN NOT s.here[k] THEN v WHEN coalesce(s.earlier[k], false) THEN 0.75::DOUBLE * v + 375 ELSE 1300 END) ELSE f.r END AS b
-      FROM f JOIN steps s ON s.league = f.league AND s.i = f.i + 1)))
-"""
+      FROM {name} f JOIN {name}_steps s ON s.lg = f.lg AND s.i = f.i + 1)))"""
 
 
-@query(ELO + "SELECT match_id, league, season, round(home_elo, 6) AS home_elo, round(away_elo, 6) AS away_elo FROM f WHERE i > 0")
+def _rated(name: str) -> str:
+    return f" SELECT match_id, league, season, round(home_elo, 6) AS home_elo, round(away_elo, 6) AS away_elo FROM {name} WHERE i > 0"
+
+
+def _rounded(rows: DataFrame) -> DataFrame:
+    return rows.select("match_id", "league", "season", F.round("home_elo", 6).alias("home_elo"), F.round("away_elo", 6).alias("away_elo"))
+
+
+WITH_GAMES = "WITH RECURSIVE " + T.GAMES + ", "
+
+
+@query(WITH_GAMES + elo_sql("f") + _rated("f"))
 def elo_league(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratings before each match, one update a match, season starts, matches without a score as draws."""
-    return R.elo(T.games(spark, sf_dir)).select("match_id", "league", "season", F.round("home_elo", 6).alias("home_elo"), F.round("away_elo", 6).alias("away_elo"))
+    return _rounded(R.elo(T.games(spark, sf_dir)))
 
 
-@query()
+@query(WITH_GAMES + elo_sql("f", returning="p.season < m.season", still="hg IS NULL") + _rated("f"))
 def elo_ever_returning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Returning means ever seen in the league; matches without a score leave ratings alone."""
-    return R.elo(T.games(spark, sf_dir), R.Rules(returning="ever", unplayed="frozen"))
+    return _rounded(R.elo(T.games(spark, sf_dir), R.Rules(returning="ever", unplayed="frozen")))
 
 
-@query()
+@query(WITH_GAMES + elo_sql("f", still="s.season = 2001") + _rated("f"))
 def elo_frozen_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strict holdout: the last season reads ratings but moves none."""
-    return R.elo(T.games(spark, sf_dir), R.Rules(frozen=(2001,)))
+    return _rounded(R.elo(T.games(spark, sf_dir), R.Rules(frozen=(2001,))))
 
 
-@query()
+@query(WITH_GAMES + elo_sql("f", resets=False, league="''", where="hg IS NOT NULL") + _rated("f"))
 def elo_all_leagues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One chronological rating over all leagues."""
-    return R.elo_global(T.games(spark, sf_dir))
+    return _rounded(R.elo_global(T.games(spark, sf_dir)))
 
 
-@query()
+@query(WITH_GAMES + elo_sql("o", where="season < 2001") + """, ends AS (SELECT league, team, arg_max(elo, struct_pack(d := kick_off, m := match_id)) AS elo FROM (
+  SELECT league, home AS team, home_elo AS elo, kick_off, match_id FROM o WHERE i > 0 UNION ALL SELECT league, away, away_elo, kick_off, match_id FROM o WHERE i > 0) GROUP BY ALL),
+stored AS (SELECT l.league, list(coalesce(e.elo, 1300.0) ORDER BY k.team) AS r FROM (SELECT DISTINCT league FROM games) l CROSS JOIN (SELECT unnest(range(0, 20)) AS team) k LEFT JOIN ends e ON e.league = l.league AND e.team = k.team GROUP BY l.league),
+""" + elo_sql("f", resets=False, still="hg IS NULL", where="kick_off >= DATE '2001-01-01'", stored="stored") + _rated("f"))
 def elo_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored final ratings rolled on over newer matches only."""
     g = T.games(spark, sf_dir)
     old = R.elo(g.where("season < 2001"))
     sides = old.join(g.select("match_id", "home", "away", "kick_off"), "match_id")
-    last = sides.select("league", F.explode(F.array(F.struct(F.col("home").alias("team"), F.col("home_elo").alias("elo"), "kick_off"), F.struct(F.col("away").alias("team"), F.col("away_elo").alias("elo"), "kick_off"))).alias("s"))
-    stored = last.groupBy("league", "s.team").agg(F.max_by("s.elo", "s.kick_off").alias("elo"))
-    return R.resumed(g, stored, "2001-01-01")
+    side = lambda team: F.struct(F.col(team).alias("team"), F.col(f"{team}_elo").alias("elo"), F.struct("kick_off", "match_id").alias("at"))
+    last = sides.select("league", F.explode(F.array(side("home"), side("away"))).alias("s"))
+    stored = last.groupBy("league", "s.team").agg(F.max_by("s.elo", "s.at").alias("elo"))
+    return _rounded(R.resumed(g, stored, "2001-01-01"))
 
 
 GRID = T.GAMES + """, f AS (SELECT match_id, home, away, 0.4::DOUBLE + (match_id % 17) / 10.0::DOUBLE AS lh, 0.3::DOUBLE + (match_id % 13) / 10.0::DOUBLE AS la FROM games WHERE NOT played),
@@ -75,6 +96,26 @@ def match_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.summary(C.fixture_rates(T.games(spark, sf_dir)), 15)
 
 
+BANDS = ", ".join(
+    f"round(quantile_cont(m_{n}, 0.05), 6) AS {n}_low, round(avg(m_{n}), 6) AS {n}_mid, round(quantile_cont(m_{n}, 0.95), 6) AS {n}_up"
+    for n in ("away", "draw", "home", "goals_0", "goals_1", "goals_2", "goals_3")
+)
+
+
+@query("WITH " + T.DRAWS + """, e AS (SELECT key, unnest(beta) AS v, unnest(range(1, 65)) AS d FROM draws), r AS (SELECT key, d, exp(0.2::DOUBLE + 0.4::DOUBLE * v) AS lh, exp(0.1::DOUBLE - 0.3::DOUBLE * v) AS la FROM e),
+k AS (SELECT CAST(i AS INTEGER) AS k FROM range(0, 16) t(i)), q AS (SELECT key, d, lh, k, exp(k * ln(lh) - lh) / factorial(k)::DOUBLE AS ph, exp(k * ln(la) - la) / factorial(k)::DOUBLE AS pa FROM r CROSS JOIN k),
+z AS (SELECT *, sum(pa) OVER (PARTITION BY key, d ORDER BY k) AS upto, sum(pa) OVER (PARTITION BY key, d) AS tot FROM q),
+m AS (SELECT key, d, sum(ph * (upto - pa)) AS m_home, sum(ph * pa) AS m_draw, sum(ph * (tot - upto)) AS m_away, sum(ph * tot) FILTER (k = 0) AS m_goals_0, sum(ph * tot) FILTER (k = 1) AS m_goals_1, sum(ph * tot) FILTER (k = 2) AS m_goals_2,
+  sum(ph * tot) FILTER (k >= 3) AS m_goals_3, any_value(lh) AS lh FROM z GROUP BY key, d)
+SELECT key, """ + BANDS + ", round(avg(lh), 6) AS xg_home FROM m GROUP BY key")
+def match_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means and bands over posterior draws of win, draw, loss and of goals."""
+    rate = lambda a, b: F.transform("beta", lambda v: F.exp(F.lit(a) + F.lit(b) * v))
+    rows = T.draws(spark, sf_dir).select("key", rate(0.2, 0.4).alias("lh"), rate(0.1, -0.3).alias("la"))
+    out = C.match_bands(rows, 15)
+    return out.select("key", *[F.round(c, 6).alias(c) for c in out.columns if c != "key"])
+
+
 @query("WITH " + GRID + """, t AS (SELECT *, p * greatest(CASE WHEN h = 0 AND a = 0 THEN 1 + lh * la * 0.05 WHEN h = 0 AND a = 1 THEN 1 - lh * 0.05 WHEN h = 1 AND a = 0 THEN 1 - la * 0.05 WHEN h = 1 AND a = 1 THEN 1.05 ELSE 1 END, 1e-12) AS q FROM g),
 n AS (SELECT match_id, h, a, q / sum(q) OVER (PARTITION BY match_id) AS q FROM t)
 SELECT match_id, round(sum(q) FILTER (h > a), 6) AS home, round(sum(q) FILTER (h = a), 6) AS draw, round(sum(q) FILTER (h < a), 6) AS away, count(*) FILTER (q > 1e-4) AS cells FROM n GROUP BY match_id""")
@@ -88,10 +129,25 @@ r AS (SELECT (i - 20) / 100.0::DOUBLE AS rho FROM range(0, 41) t(i)), l AS (
   SELECT rho, sum(ln(greatest(CASE WHEN hg = 0 AND ag = 0 THEN 1 - lh * la * rho WHEN hg = 0 AND ag = 1 THEN 1 + lh * rho WHEN hg = 1 AND ag = 0 THEN 1 + la * rho WHEN hg = 1 AND ag = 1 THEN 1 - rho ELSE 1 END, 1e-12))) AS ll FROM s CROSS JOIN r GROUP BY rho)
 SELECT round(rho, 2) AS rho, round(ll, 4) AS ll FROM l""")
 def correction_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The likelihood of the correction on a grid of rho, one aggregate; the fit takes its maximum."""
+    """The likelihood of the correction on a grid of rho, one aggregate."""
     return C.rho_likelihood(C.rates(T.games(spark, sf_dir).where("hg is not null")), [(i - 20) / 100.0 for i in range(41)])
 
 
+@query("WITH " + T.GAMES + """, s AS (SELECT 0.4::DOUBLE + (match_id % 17) / 10.0::DOUBLE AS lh, 0.3::DOUBLE + (match_id % 13) / 10.0::DOUBLE AS la, hg, ag FROM games WHERE hg IS NOT NULL),
+b AS (SELECT -1 / max(greatest(lh, la)) AS low, least(1, 1 / max(lh * la)) AS high FROM s),
+few AS (SELECT lh, la, hg, ag FROM s WHERE hg <= 1 AND ag <= 1),
+c AS (SELECT low + (high - low) * i / 1000 AS rho, (high - low) / 1000 AS step FROM b CROSS JOIN range(0, 1001) t(i)),
+l AS (SELECT rho, step, sum(ln(greatest(CASE WHEN hg = 0 AND ag = 0 THEN 1 - lh * la * rho WHEN hg = 0 AND ag = 1 THEN 1 + lh * rho WHEN hg = 1 AND ag = 0 THEN 1 + la * rho ELSE 1 - rho END, 1e-12))) AS ll FROM few CROSS JOIN c GROUP BY rho, step),
+p AS (SELECT arg_max(rho, ll) AS rho, any_value(step) AS step FROM l), d AS (SELECT p.rho + p.step * i / 500 AS rho FROM p CROSS JOIN range(-500, 501) t(i)),
+m AS (SELECT rho, sum(ln(greatest(CASE WHEN hg = 0 AND ag = 0 THEN 1 - lh * la * rho WHEN hg = 0 AND ag = 1 THEN 1 + lh * rho WHEN hg = 1 AND ag = 0 THEN 1 + la * rho ELSE 1 - rho END, 1e-12))) AS ll FROM few CROSS JOIN d GROUP BY rho)
+SELECT round(b.low, 6) AS low, round(b.high, 6) AS high, round((SELECT arg_max(rho, ll) FROM m), 4) AS rho FROM b""")
+def correction_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bounds of rho that the rates allow and the rho of largest likelihood between them."""
+    rows = C.rates(T.games(spark, sf_dir).where("hg is not null"))
+    low, high = C.rho_bounds(rows)
+    return spark.createDataFrame([(round(low, 6), round(high, 6), round(C.fit_rho(rows), 4))], "low double, high double, rho double")
+
+
 @query("WITH " + T.GAMES + """, f AS (SELECT match_id, 0.4::DOUBLE + (match_id % 17) / 10.0::DOUBLE AS m FROM games WHERE NOT played),
 p AS (SELECT match_id, pow(1 - m / (m + 3), 3) AS p0, m / (m + 3) AS q FROM f)
 SELECT match_id, round(p0, 6) AS p0, round(p0 * 3 * q, 6) AS p1, round(p0 * 3 * q * 4 / 2 * q, 6) AS p2, round(p0 * 3 * q * 4 / 2 * q * 5 / 3 * q, 6) AS p3 FROM p""")
@@ -106,10 +162,48 @@ def negative_binomial_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 l AS (SELECT key, unnest([0, 1, 2, 3]) AS class, unnest([a, b - a, c - b, 1 - c]) AS p FROM p)
 SELECT key, CAST(class AS INTEGER) AS class, round(quantile_cont(p, 0.05), 6) AS low, round(median(p), 6) AS mid, round(quantile_cont(p, 0.95), 6) AS up FROM l GROUP BY key, class""")
 def ordered_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered-logit class probabilities by draw; median and band."""
+    """Ordered-logit class probabilities by draw; median and band."""
     return C.ordered_bands(T.draws(spark, sf_dir), [0.5, 1.5, 2.5])
 
 
+PLAYER_BANDS = """, c AS (SELECT key, d, eta, 0.5::DOUBLE AS c1, 0.5::DOUBLE + ln(1 + exp(d1)) AS c2, 0.5::DOUBLE + ln(1 + exp(d1)) + ln(1 + exp(d2)) AS c3 FROM x),
+p AS (SELECT key, d, 1 / (1 + exp(eta - c1)) AS a, 1 / (1 + exp(eta - c2)) AS b, 1 / (1 + exp(eta - c3)) AS c FROM c), l AS (SELECT key, unnest([0, 1, 2, 3]) AS class, unnest([a, b - a, c - b, 1 - c]) AS p FROM p)
+SELECT key, CAST(class AS INTEGER) AS class, round(quantile_cont(p, 0.05), 6) AS low, round(median(p), 6) AS mid, round(quantile_cont(p, 0.95), 6) AS up FROM l GROUP BY key, class"""
+
+
+@query("WITH " + T.DRAWS + """, x AS (SELECT key, unnest(range(1, 65)) AS d, unnest(beta) AS eta, unnest(list_concat(beta[17:64], beta[1:16])) AS d1, unnest(list_concat(beta[33:64], beta[1:32])) AS d2 FROM draws)""" + PLAYER_BANDS)
+def player_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Effects and cut points by draw, each cut point a softplus above the one before; median and band."""
+    turned = lambda k: F.concat(F.slice("beta", k + 1, 64), F.slice("beta", 1, k))
+    deltas = F.zip_with(turned(16), turned(32), lambda a, b: F.array(a, b))
+    return C.player_bands(T.draws(spark, sf_dir).select("key", F.col("beta").alias("eta"), deltas.alias("deltas")), 0.5)
+
+
+NORMAL = "sqrt(-2 * ln((((key * 7 + {a}) * 7919 + d * 104729) % 100003 + 0.5::DOUBLE) / 100003)) * cos(2 * 3.141592653589793::DOUBLE * ((((key * 7 + {b}) * 7919 + d * 104729) % 100003 + 0.5::DOUBLE) / 100003))"
+
+
+@query("WITH " + T.DRAWS + """, h AS (SELECT d, avg(v) AS m, stddev_samp(v) AS s FROM (SELECT unnest(beta) AS v, unnest(range(0, 64)) AS d FROM draws) GROUP BY d),
+z AS (SELECT k.i AS key, d, m, s, """ + ", ".join(NORMAL.format(a=2 * k, b=2 * k + 1).replace("key", "k.i") + f" AS z{k}" for k in range(3)) + """ FROM h CROSS JOIN range(0, 20) k(i)),
+x AS (SELECT key, d, m + s * z0 - avg(s * z0) OVER (PARTITION BY d) AS eta, m + s * z1 AS d1, m + s * z2 AS d2 FROM z)""" + PLAYER_BANDS)
+def unseen_player(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictive bands of keys that no draw knows: fresh effects that sum to zero and fresh cut points for each draw."""
+    return C.unseen(C.hyper(T.draws(spark, sf_dir)), 20, 0.5)
+
+
+@query("WITH " + PLAYER + ", " + T.DRAWS + """, b AS (SELECT list_transform(range(1, 33), lambda i: [beta[i], beta[i + 32]]) AS b FROM draws WHERE key = 0),
+r AS (SELECT player, list_aggregate(list_transform(b, lambda x: goals - (CASE WHEN match_id % 2 = 0 THEN 1 ELSE 0 END * x[1] + gameday / 40.0::DOUBLE * x[2])), 'median') AS r FROM player CROSS JOIN b),
+d AS (SELECT player, round(avg(r), 9) AS delta FROM r GROUP BY player)
+SELECT player, round(delta, 6) AS delta, round(((SELECT count(*) FROM d o WHERE o.delta <= d.delta) - 1) / nullif((SELECT count(*) FROM d) - 1, 0)::DOUBLE, 6) AS par FROM d""")
+def above_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of the other players whose residual is at most a player's own."""
+    rows = features.player_goals(T.games(spark, sf_dir), T.lineup(spark, sf_dir), T.scorers(spark, sf_dir))
+    x = F.array((F.col("match_id") % 2 == 0).cast("double"), F.col("gameday") / 40.0)
+    rows = rows.select("player", F.col("goals").alias("y"), x.alias("x"))
+    one = T.draws(spark, sf_dir).where("key = 0").select(F.zip_with(F.slice("beta", 1, 32), F.slice("beta", 33, 32), lambda a, b: F.array(a, b)).alias("by_draw"))
+    out = C.above_replacement(rows, one)
+    return out.select("player", F.round("delta", 6).alias("delta"), F.round("par", 6).alias("par"))
+
+
 @query("WITH " + T.DRAWS + """, e AS (SELECT key, factor, unnest(beta) AS v, unnest(range(1, 65)) AS draw FROM draws), t AS (SELECT draw, avg(v) AS overall FROM e GROUP BY draw),
 p AS (SELECT key, e.draw, avg(v) - any_value(overall) AS par, avg(v) AS sar FROM e JOIN t USING (draw) GROUP BY key, e.draw)
 SELECT key, round(quantile_cont(par, 0.05), 6) AS par_low, round(avg(par), 6) AS par_mid, round(quantile_cont(par, 0.95), 6) AS par_up, round(avg(sar), 6) AS sar_mid FROM p GROUP BY key""")
@@ -121,27 +215,27 @@ def skill_board(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + T.DRAWS + """, m AS (SELECT key, factor, list_median(beta) AS med FROM draws), r AS (SELECT key, factor, med, (SELECT count(*) FROM m x WHERE x.med <= m.med) AS le FROM m)
 SELECT key, factor, round(med, 6) AS med, round(le / (SELECT count(*) FROM m)::DOUBLE, 6) AS ecdf, round((SELECT quantile_cont(med, 0.25) FROM m), 6) AS newcomer FROM r""".replace("list_median(beta)", "list_aggregate(beta, 'median')"))
 def newcomer_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Medians by key, their empirical distribution, and the lower quartile that anchors newcomers."""
+    """Medians by key, their empirical distribution, and the lower quartile that anchors newcomers."""
     return C.newcomer_anchor(T.draws(spark, sf_dir))
 
 
-SIM = T.SIDES + """, d AS (SELECT CAST(i AS INTEGER) AS draw FROM range(0, 40) t(i)), past AS (SELECT team, sum(CASE WHEN gf > ga THEN 3 WHEN gf = ga THEN 1 ELSE 0 END)::BIGINT AS pts, sum(gf - ga)::BIGINT AS gd FROM sides WHERE league = '1-URGENT' AND season = 2001 AND gf IS NOT NULL GROUP BY team),
-left_ AS (SELECT match_id, home, away, 0.4::DOUBLE + (match_id % 17) / 10.0::DOUBLE AS lh, 0.3::DOUBLE + (match_id % 13) / 10.0::DOUBLE AS la FROM games WHERE league = '1-URGENT' AND season = 2001 AND hg IS NULL),
+SIM = T.SIDES + """, d AS (SELECT CAST(i AS INTEGER) AS draw FROM range(0, 40) t(i)), past AS (SELECT league, season, team, sum(CASE WHEN gf > ga THEN 3 WHEN gf = ga THEN 1 ELSE 0 END)::BIGINT AS pts, sum(gf - ga)::BIGINT AS gd FROM sides WHERE gf IS NOT NULL GROUP BY ALL),
+left_ AS (SELECT league, season, match_id, home, away, 0.4::DOUBLE + (match_id % 17) / 10.0::DOUBLE AS lh, 0.3::DOUBLE + (match_id % 13) / 10.0::DOUBLE AS la FROM games WHERE hg IS NULL),
 k AS (SELECT CAST(i AS INTEGER) AS k FROM range(0, 12) t(i)),
-sim AS (SELECT match_id, home, away, draw, lh, la, ((match_id * 2 * 7919 + draw * 104729) % 100003 + 0.5::DOUBLE) / 100003 AS uh, (((match_id * 2 + 1) * 7919 + draw * 104729) % 100003 + 0.5::DOUBLE) / 100003 AS ua FROM left_ CROSS JOIN d),
-ph AS (SELECT match_id, draw, count(*) FILTER (c < uh) AS g FROM (SELECT match_id, draw, uh, sum(exp(k * ln(lh) - lh) / factorial(k)::DOUBLE) OVER (PARTITION BY match_id, draw ORDER BY k) AS c FROM sim CROSS JOIN k) GROUP BY ALL),
-pa AS (SELECT match_id, draw, count(*) FILTER (c < ua) AS g FROM (SELECT match_id, draw, ua, sum(exp(k * ln(la) - la) / factorial(k)::DOUBLE) OVER (PARTITION BY match_id, draw ORDER BY k) AS c FROM sim CROSS JOIN k) GROUP BY ALL),
-res AS (SELECT s.draw, s.home, s.away, ph.g AS hg, pa.g AS ag FROM sim s JOIN ph USING (match_id, draw) JOIN pa USING (match_id, draw)),
-got AS (SELECT draw, home AS team, CASE WHEN hg > ag THEN 3 WHEN hg = ag THEN 1 ELSE 0 END AS pts, hg - ag AS gd FROM res UNION ALL SELECT draw, away, CASE WHEN ag > hg THEN 3 WHEN hg = ag THEN 1 ELSE 0 END, ag - hg FROM res),
-fin AS (SELECT d.draw, p.team, p.pts + coalesce(sum(g.pts), 0) AS pts, p.gd + coalesce(sum(g.gd), 0) AS gd FROM past p CROSS JOIN d LEFT JOIN got g ON g.draw = d.draw AND g.team = p.team GROUP BY d.draw, p.team, p.pts, p.gd),
-rk AS (SELECT *, row_number() OVER (PARTITION BY draw ORDER BY pts DESC, gd DESC, team) AS place, count(*) OVER (PARTITION BY draw) AS n FROM fin)"""
+fh AS (SELECT match_id, list(c ORDER BY k) AS ch FROM (SELECT match_id, k, sum(exp(k * ln(lh) - lh) / factorial(k)::DOUBLE) OVER (PARTITION BY match_id ORDER BY k) AS c FROM left_ CROSS JOIN k) GROUP BY match_id),
+fa AS (SELECT match_id, list(c ORDER BY k) AS ca FROM (SELECT match_id, k, sum(exp(k * ln(la) - la) / factorial(k)::DOUBLE) OVER (PARTITION BY match_id ORDER BY k) AS c FROM left_ CROSS JOIN k) GROUP BY match_id),
+sim AS (SELECT league, season, match_id, home, away, draw, ch, ca, ((match_id * 2 * 7919 + draw * 104729) % 100003 + 0.5::DOUBLE) / 100003 AS uh, (((match_id * 2 + 1) * 7919 + draw * 104729) % 100003 + 0.5::DOUBLE) / 100003 AS ua FROM left_ JOIN fh USING (match_id) JOIN fa USING (match_id) CROSS JOIN d),
+res AS (SELECT league, season, draw, home, away, len(list_filter(ch, lambda c: c < uh)) AS hg, len(list_filter(ca, lambda c: c < ua)) AS ag FROM sim),
+got AS (SELECT league, season, draw, home AS team, CASE WHEN hg > ag THEN 3 WHEN hg = ag THEN 1 ELSE 0 END AS pts, hg - ag AS gd FROM res UNION ALL SELECT league, season, draw, away, CASE WHEN ag > hg THEN 3 WHEN hg = ag THEN 1 ELSE 0 END, ag - hg FROM res),
+fin AS (SELECT p.league, p.season, d.draw, p.team, p.pts + coalesce(sum(g.pts), 0) AS pts, p.gd + coalesce(sum(g.gd), 0) AS gd FROM past p CROSS JOIN d LEFT JOIN got g ON g.league = p.league AND g.season = p.season AND g.draw = d.draw AND g.team = p.team GROUP BY p.league, p.season, d.draw, p.team, p.pts, p.gd),
+rk AS (SELECT *, row_number() OVER (PARTITION BY league, season, draw ORDER BY pts DESC, gd DESC, ((team + 31 * draw) * 7919 + team * 104729) % 100003, team) AS place, count(*) OVER (PARTITION BY league, season, draw) AS n FROM fin)"""
 
 
-@query("WITH " + SIM + """ SELECT team, round(avg(CASE WHEN place = 1 THEN 1 ELSE 0 END), 6) AS title, round(avg(CASE WHEN place <= 4 THEN 1 ELSE 0 END), 6) AS top4, round(avg(CASE WHEN place > n - 3 THEN 1 ELSE 0 END), 6) AS relegated,
-  round(avg(pts), 6) AS points, round(quantile_cont(pts::DOUBLE, 0.05), 6) AS low, round(quantile_cont(pts::DOUBLE, 0.95), 6) AS high FROM rk GROUP BY team""")
+@query("WITH " + SIM + """ SELECT league, season, team, round(avg(CASE WHEN place = 1 THEN 1 ELSE 0 END), 6) AS title, round(avg(CASE WHEN place <= 4 THEN 1 ELSE 0 END), 6) AS top4, round(avg(CASE WHEN place > n - 3 THEN 1 ELSE 0 END), 6) AS relegated,
+  round(avg(pts), 6) AS points, round(quantile_cont(pts::DOUBLE, 0.05), 6) AS low, round(quantile_cont(pts::DOUBLE, 0.95), 6) AS high FROM rk GROUP BY league, season, team""")
 def season_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rest of a season by Monte Carlo with played matches pinned; title, top four, relegation, points."""
-    g = T.games(spark, sf_dir).where("league = '1-URGENT' and season = 2001")
+    """The rest of every season by Monte Carlo with played matches pinned, ties by lot; title, top four, relegation, points."""
+    g = T.games(spark, sf_dir)
     return C.season_odds(g, C.rates(g.where("hg is null")), 40)
 
 
@@ -186,22 +280,25 @@ def pit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.ks_uniform(x, "x").select(F.round("d", 6).alias("d"), "n")
 
 
-@query(FM + """, d AS (SELECT id, fold, ln(hit) - ln(greatest(1.0::DOUBLE / 3, 1e-12)) AS v FROM s WHERE fold = 1995), w AS (SELECT i AS draw, -ln(((id * 7919 + i * 104729) % 100003 + 0.5::DOUBLE) / 100003) AS w, v FROM d CROSS JOIN range(0, 50) t(i)),
-m AS (SELECT draw, sum(w * v) / sum(w) AS mean FROM w GROUP BY draw) SELECT round(avg(mean), 6) AS mean, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high, round(avg(CASE WHEN mean < 0 THEN 1 ELSE 0 END), 6) AS p_better FROM m""")
+@query(FM + """, d AS (SELECT id, fold, ln(hit) - ln(greatest(1.0::DOUBLE / 3, 1e-12)) AS v FROM s), w AS (SELECT fold, i AS draw, -ln(((id * 7919 + i * 104729) % 100003 + 0.5::DOUBLE) / 100003) AS w, v FROM d CROSS JOIN range(0, 50) t(i)),
+m AS (SELECT fold, draw, sum(w * v) / sum(w) AS mean FROM w GROUP BY fold, draw) SELECT fold, round(avg(mean), 6) AS mean, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high, round(avg(CASE WHEN mean < 0 THEN 1 ELSE 0 END), 6) AS p_better FROM m GROUP BY fold""")
 def bootstrap_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bayesian bootstrap of a score difference to the uniform forecast."""
-    f = T.forecasts(spark, sf_dir).where("fold = 1995")
+    """Bayesian bootstrap by fold of a score difference to the uniform forecast."""
     v = S.log_score(F.col("p"), F.col("y")) - F.ln(F.lit(1.0) / 3)
-    i = E.interval(E.bootstrap(f, "id", v, 50), "mean")
-    return i.select(*[F.round(c, 6).alias(c) for c in i.columns])
+    i = E.interval(E.bootstrap(T.forecasts(spark, sf_dir), "id", v, 50, ["fold"]), "mean", "fold")
+    return i.select("fold", *[F.round(c, 6).alias(c) for c in i.columns if c != "fold"])
 
 
-@query(FM + """, t AS (SELECT (i + 3) / 10.0::DOUBLE AS t FROM range(0, 28) r(i)), q AS (SELECT fold, t, sum(-ln(greatest(pow(p[y + 1], 1 / t) / (pow(p[1], 1 / t) + pow(p[2], 1 / t) + pow(p[3], 1 / t)), 1e-12))) AS s, count(*) AS n FROM s CROSS JOIN t GROUP BY fold, t),
-o AS (SELECT a.fold, a.t, sum(b.s) / sum(b.n) AS o FROM q a JOIN q b ON a.t = b.t AND a.fold <> b.fold GROUP BY a.fold, a.t) SELECT fold, arg_min(round(t, 1), round(o, 9)) AS t FROM o GROUP BY fold""")
+@query(FM + """, l AS (SELECT fold, y, list_transform(p, lambda x: ln(x)) AS l FROM s),
+c AS (SELECT (i + 3) / 10.0::DOUBLE AS t FROM range(0, 28) r(i)), cq AS (SELECT fold, t, sum(ln(exp(l[1] / t) + exp(l[2] / t) + exp(l[3] / t)) - l[y + 1] / t) AS s, count(*) AS n FROM l CROSS JOIN c GROUP BY fold, t),
+co AS (SELECT a.fold, arg_min(a.t, o) AS t FROM (SELECT a.fold, a.t, sum(b.s) / sum(b.n) AS o FROM cq a JOIN cq b ON a.t = b.t AND a.fold <> b.fold GROUP BY a.fold, a.t) a GROUP BY a.fold),
+g AS (SELECT DISTINCT round(t + i / 1000.0::DOUBLE, 3) AS t FROM co CROSS JOIN range(-100, 101) r(i)), q AS (SELECT fold, t, sum(ln(exp(l[1] / t) + exp(l[2] / t) + exp(l[3] / t)) - l[y + 1] / t) AS s, count(*) AS n FROM l CROSS JOIN g WHERE t BETWEEN 0.3 AND 3 GROUP BY fold, t),
+o AS (SELECT a.fold, a.t, sum(b.s) / sum(b.n) AS o FROM q a JOIN q b ON a.t = b.t AND a.fold <> b.fold GROUP BY a.fold, a.t)
+SELECT fold, round(arg_min(t, o), 2) AS t, round(min(o), 6) AS log_loss FROM o GROUP BY fold""")
 def temperature_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leave-one-fold-out temperature on a grid."""
-    t = E.leave_one_out_temperature(T.forecasts(spark, sf_dir), [(i + 3) / 10.0 for i in range(28)], "fold")
-    return t.select("fold", F.round("t", 1).alias("t"))
+    """Leave-one-fold-out temperature between 0.3 and 3, and the loss at it."""
+    t = E.leave_one_out_temperature(T.forecasts(spark, sf_dir), "fold")
+    return t.select("fold", F.round("t", 2).alias("t"), F.round("log_loss", 6).alias("log_loss"))
 
 
 @query(FM + """, c AS (SELECT fold, count(*) AS n, avg(CASE WHEN y = 0 THEN 1 ELSE 0 END) AS a, avg(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS b, avg(CASE WHEN y = 2 THEN 1 ELSE 0 END) AS c FROM s GROUP BY fold),
@@ -239,22 +336,33 @@ def point_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 v AS (SELECT x FROM h UNION SELECT x FROM a), c AS (SELECT x, (SELECT coalesce(sum(n), 0) FROM h WHERE h.x <= v.x) / (SELECT sum(n) FROM h)::DOUBLE AS f, (SELECT coalesce(sum(n), 0) FROM a WHERE a.x <= v.x) / (SELECT sum(n) FROM a)::DOUBLE AS g FROM v),
 w AS (SELECT abs(f - g) AS gap, lead(x) OVER (ORDER BY x) - x AS width FROM c) SELECT round(sum(gap * width), 6) AS distance FROM w""")
 def home_away_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One-dimensional Wasserstein distance of goals at home and away."""
+    """One-dimensional Wasserstein distance of goals at home and away."""
     s = T.sides(T.games(spark, sf_dir)).where("gf is not null")
     return E.wasserstein(s.where("home_pitch = 1"), s.where("home_pitch = 0"), "gf").select(F.round("distance", 6).alias("distance"))
 
 
+def _distance_sql(k: int) -> str:
+    return f"""SELECT {k} AS k, 'p{k}' AS feature, round((SELECT sum(abs(f - g) * width) FROM (SELECT x, sum(a) OVER o / sum(a) OVER ()::DOUBLE AS f, sum(b) OVER o / sum(b) OVER ()::DOUBLE AS g, lead(x) OVER o - x AS width
+  FROM (SELECT round(p[{k + 1}], 4) AS x, count(*) FILTER (y = 0) AS a, count(*) FILTER (y = 2) AS b FROM forecasts WHERE y <> 1 GROUP BY 1) WINDOW o AS (ORDER BY x))), 5) AS distance"""
+
+
+@query("WITH " + T.FORECASTS + ", w AS (" + " UNION ALL ".join(map(_distance_sql, range(3))) + ") SELECT feature, distance, CAST(row_number() OVER (ORDER BY distance, k) - 1 AS INTEGER) AS rank FROM w")
+def feature_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features ranked by the distance of their distributions in two samples."""
+    f = T.forecasts(spark, sf_dir).select("y", *[F.round(F.col("p")[k], 4).alias(f"p{k}") for k in range(3)])
+    return E.distance_ranks(f.where("y = 0"), f.where("y = 2"), ["p0", "p1", "p2"], 5)
+
+
 @query("WITH " + T.DRAWS + """, e AS (SELECT key, unnest(beta) AS v, unnest(range(0, 64)) AS draw FROM draws), d AS (SELECT draw, avg(exp(least(v, 50))) AS m, quantile_cont(exp(least(v, 50)), 0.05) AS q05, quantile_cont(exp(least(v, 50)), 0.95) AS q95,
   avg(CASE WHEN exp(least(v, 50)) > 1.2 THEN 1 ELSE 0 END) AS above, max(v) AS top FROM e WHERE draw % 2 = 0 GROUP BY draw)
 SELECT draw, round(m, 6) AS mean, round(q05, 6) AS q05, round(q95, 6) AS q95, round(above, 6) AS above, round(top, 6) AS top FROM d""")
 def prior_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rate summaries by (thinned) draw."""
     e = T.draws(spark, sf_dir).select("key", F.posexplode("beta").alias("draw", "v")).where("draw % 2 = 0")
-    x = F.exp(F.least("v", F.lit(50.0)))
-    return e.groupBy(F.col("draw").cast("long").alias("draw")).agg(
-        F.round(F.avg(x), 6).alias("mean"), F.round(F.percentile(x, F.lit(0.05)), 6).alias("q05"), F.round(F.percentile(x, F.lit(0.95)), 6).alias("q95"),
-        F.round(F.avg((x > 1.2).cast("int")), 6).alias("above"), F.round(F.max("v"), 6).alias("top"),
-    )
+    e = e.select(F.col("draw").cast("long").alias("draw"), "v", F.exp(F.least("v", F.lit(50.0))).alias("x"))
+    means = e.groupBy("draw").agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.avg((F.col("x") > 1.2).cast("int")), 6).alias("above"), F.round(F.max("v"), 6).alias("top"))
+    q = Q.quantiles(e, "x", [0.05, 0.95], ("draw",))
+    return means.join(q, "draw").select("draw", "mean", F.round("q0", 6).alias("q05"), F.round("q1", 6).alias("q95"), "above", "top")
 
 
 @query("WITH " + T.DRAWS + """, e AS (SELECT key, unnest(beta) AS v FROM draws), w AS (SELECT key, ln(avg(exp(v))) AS lppd, var_samp(v) AS pen FROM e GROUP BY key)
@@ -274,16 +382,45 @@ def interval_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.draws(spark, sf_dir).select("key", S.interval_inside(F.col("beta")[0], F.col("beta"), 0.94).alias("inside"))
 
 
-@query("WITH " + T.SIDES + """, o AS (SELECT gf AS k, count(*) AS n FROM sides WHERE gf IS NOT NULL GROUP BY gf), r AS (SELECT i AS draw, least(((match_id * 7919 + i * 104729) % 100003) % 5, 4) AS k FROM (SELECT match_id FROM games WHERE hg IS NOT NULL) CROSS JOIN range(0, 20) t(i)),
-d AS (SELECT draw, k, count(*) AS n FROM r GROUP BY ALL) SELECT d.k, any_value(o.n) AS observed, round(avg(d.n), 6) AS mean, round(quantile_cont(d.n::DOUBLE, 0.03), 6) AS low, round(quantile_cont(d.n::DOUBLE, 0.97), 6) AS high FROM d LEFT JOIN o ON o.k = d.k GROUP BY d.k""")
+REPS = T.GAMES + """, f AS (SELECT match_id, league, hg, ag, 0.4::DOUBLE + (match_id % 17) / 10.0::DOUBLE AS lh, 0.3::DOUBLE + (match_id % 13) / 10.0::DOUBLE AS la FROM games WHERE hg IS NOT NULL),
+k AS (SELECT CAST(i AS INTEGER) AS k FROM range(0, 12) t(i)),
+c AS (SELECT match_id, list(ch ORDER BY k) AS ch, list(ca ORDER BY k) AS ca FROM (SELECT match_id, k, sum(exp(k * ln(lh) - lh) / factorial(k)::DOUBLE) OVER w AS ch, sum(exp(k * ln(la) - la) / factorial(k)::DOUBLE) OVER w AS ca FROM f CROSS JOIN k WINDOW w AS (PARTITION BY match_id ORDER BY k)) GROUP BY match_id),
+u AS (SELECT match_id, league, draw, ch, ca, ((match_id * 2 * 7919 + draw * 104729) % 100003 + 0.5::DOUBLE) / 100003 AS uh, (((match_id * 2 + 1) * 7919 + draw * 104729) % 100003 + 0.5::DOUBLE) / 100003 AS ua FROM f JOIN c USING (match_id) CROSS JOIN (SELECT CAST(i AS INTEGER) AS draw FROM range(0, 20) t(i))),
+reps AS (SELECT league, draw, len(list_filter(ch, lambda c: c < uh)) AS h, len(list_filter(ca, lambda c: c < ua)) AS a FROM u)"""
+
+
+def _replicated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rated = C.rates(T.games(spark, sf_dir).where("hg is not null")).select("match_id", "league", "hg", "ag", "lh", "la")
+    return rated, C.replicates(rated, 20)
+
+
+@query("WITH " + REPS + """, x AS (SELECT CAST(i AS INTEGER) AS k FROM range(0, 9) t(i)), n AS (SELECT k, draw, count(*) FILTER (h = k) + count(*) FILTER (a = k) AS n FROM reps CROSS JOIN x GROUP BY k, draw)
+SELECT k, (SELECT count(*) FILTER (hg = n.k) + count(*) FILTER (ag = n.k) FROM f) AS observed, round(avg(n), 6) AS mean, round(quantile_cont(n::DOUBLE, 0.03), 6) AS low, round(quantile_cont(n::DOUBLE, 0.97), 6) AS high FROM n GROUP BY k""")
 def rootogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observed counts against the counts of replicated draws, with bands."""
-    g = T.games(spark, sf_dir).where("hg is not null")
-    seen = T.sides(g).groupBy(F.col("gf").alias("k")).agg(F.count("*").alias("observed"))
-    reps = g.select(F.explode(F.sequence(F.lit(0), F.lit(19))).alias("draw"), "match_id").select("draw", (((F.col("match_id") * 7919 + F.col("draw") * 104729) % 100003) % 5).alias("k"))
-    n = reps.groupBy("draw", "k").agg(F.count("*").alias("n"))
-    out = n.groupBy("k").agg(F.round(F.avg("n"), 6).alias("mean"), F.round(F.percentile("n", F.lit(0.03)), 6).alias("low"), F.round(F.percentile("n", F.lit(0.97)), 6).alias("high"))
-    return out.join(seen, "k", "left").select("k", "observed", "mean", "low", "high")
+    """Observed goal counts against the counts of predictive draws, with bands."""
+    r = C.rootogram(*_replicated(spark, sf_dir), 8, 20)
+    return r.select("k", "observed", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+
+
+LINES = [(0, 0), (1, 1), (2, 2), (3, 3), (1, 0), (0, 1), (2, 1), (1, 2)]
+
+
+@query("WITH " + REPS + ", s AS (" + " UNION ALL ".join(f"SELECT {h} AS x, {a} AS y" for h, a in LINES) + """), o AS (SELECT x, y, avg(CASE WHEN hg = x AND ag = y THEN 1.0 ELSE 0 END) AS o FROM f CROSS JOIN s GROUP BY x, y),
+p AS (SELECT x, y, avg(CASE WHEN h = x AND a = y THEN 1.0 ELSE 0 END) AS p FROM reps CROSS JOIN s GROUP BY x, y)
+SELECT concat(x, '-', y) AS score, round(o, 6) AS observed, round(p, 6) AS predicted, round(o - p, 6) AS difference FROM o JOIN p USING (x, y)""")
+def scorelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often scores occur, observed and predicted."""
+    r = C.scorelines(*_replicated(spark, sf_dir), LINES)
+    return r.select("score", *[F.round(c, 6).alias(c) for c in ("observed", "predicted", "difference")])
+
+
+@query("WITH " + REPS + """, d AS (SELECT league, draw, avg(CASE WHEN h = a THEN 1.0 ELSE 0 END) AS p FROM reps GROUP BY league, draw),
+b AS (SELECT league, avg(p) AS predicted, quantile_cont(p, 0.03) AS low, quantile_cont(p, 0.97) AS high FROM d GROUP BY league), o AS (SELECT league, avg(CASE WHEN hg = ag THEN 1.0 ELSE 0 END) AS observed FROM f GROUP BY league)
+SELECT league, round(observed, 6) AS observed, round(predicted, 6) AS predicted, round(low, 6) AS low, round(high, 6) AS high, CASE WHEN observed < low OR observed > high THEN 'MISS' ELSE 'ok' END AS flag FROM o JOIN b USING (league)""")
+def draw_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of draws by league against predictive draws, a 94 % band and a flag."""
+    r = C.draw_calibration(*_replicated(spark, sf_dir), "league")
+    return r.select("league", *[F.round(c, 6).alias(c) for c in ("observed", "predicted", "low", "high")], "flag")
 
 
 @query("WITH " + T.DRAWS + """ SELECT regexp_replace(concat('beta[', CAST(factor AS VARCHAR), ']'), '\\[.*\\]', '') AS family, count(*) AS n, round(max(abs(corr)), 6) AS top FROM (

@@ -149,9 +149,9 @@ def rank_without_player(spark: SparkSession, sf_dir: str) -> DataFrame:
 FORM = PRIOR + """, form AS (SELECT *, row_number() OVER (PARTITION BY league, season, team ORDER BY kick_off, match_id, home_pitch) AS i FROM pre)"""
 
 
-@query("WITH " + FORM + """, f AS (SELECT a.match_id, a.home_pitch, a.team, a.opp, a.league, a.season, a.i,
-  sum(b.points_team * pow(0.5::DOUBLE, (a.i - b.i) / 4.0::DOUBLE)) / sum(pow(0.5::DOUBLE, (a.i - b.i) / 4.0::DOUBLE)) AS ewma
-  FROM form a JOIN form b ON a.league = b.league AND a.season = b.season AND a.team = b.team AND b.i <= a.i GROUP BY ALL),
+@query("WITH " + FORM + """, lists AS (SELECT league, season, team, list(points_team::DOUBLE ORDER BY i) AS xs FROM form GROUP BY ALL),
+f AS (SELECT a.*, list_sum(list_transform(range(1, i + 1), lambda j: xs[j] * pow(0.5::DOUBLE, (i - j) / 4.0::DOUBLE))) / list_sum(list_transform(range(1, i + 1), lambda j: pow(0.5::DOUBLE, (i - j) / 4.0::DOUBLE))) AS ewma
+  FROM form a JOIN lists USING (league, season, team)),
 g AS (SELECT *, ewma - lag(ewma) OVER (PARTITION BY league, season, team ORDER BY i) AS d FROM f)
 SELECT x.match_id, x.home_pitch, round(x.ewma, 6) AS ewma, round(coalesce(x.d, x.ewma), 6) AS ewma_diff, round(y.ewma, 6) AS ewma_opp
 FROM g x JOIN g y ON x.match_id = y.match_id AND x.opp = y.team""")

@@ -1,4 +1,4 @@
-"""Sinks: overwrite, append with de-duplication, dated archives that are never overwritten, idempotent trackers, Markdown."""
+"""Sinks: overwrite, append with de-duplication in versions, dated archives that are never overwritten, idempotent trackers, Markdown."""
 
 from __future__ import annotations
 
@@ -19,21 +19,64 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table is there whole: Spark's writers put _SUCCESS last."""
+    return exists(spark, f"{path}/_SUCCESS")
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """The whole versions of a table that replace() keeps, oldest first."""
+    if not exists(spark, path):
+        return []
+    found = [s.getPath().getName() for s in _files(spark, path).listStatus(_path(spark, path)) if s.isDirectory()]
+    return sorted(n for n in found if n.startswith("version=") and finished(spark, f"{path}/{n}"))
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest whole version of a table that replace() keeps, or None before the first."""
+    found = versions(spark, path)
+    return spark.read.parquet(f"{path}/{found[-1]}") if found else None
+
+
+def replace(df: DataFrame, path: str, keep: int = 2) -> None:
+    """Write df as the next version of a table. Readers see the version before until this one is whole, and a crash leaves that one.
+
+    The `keep` newest versions stay, for readers that have begun; of what a crash left, the number is used again.
+    """
+    spark = df.sparkSession
+    found = versions(spark, path)
+    number = int(found[-1].partition("=")[2]) + 1 if found else 0
+    df.write.mode("overwrite").parquet(f"{path}/version={number:012d}")
+    for old in found[: len(found) + 1 - keep]:
+        _files(spark, path).delete(_path(spark, f"{path}/{old}"), True)
+
+
 def archive(spark: SparkSession, path: str, archive_root: str, vintage: str) -> bool:
-    """Copy the current table to archive_root/vintage=... before it is replaced; an archive that is there stays. True if copied."""
+    """Copy the current table to archive_root/vintage=... before it is replaced; a whole archive stays, one that a crash left is
+    written again. True if copied."""
     to = f"{archive_root}/vintage={vintage}"
-    if not exists(spark, path) or exists(spark, to):
+    now = current(spark, path)
+    if now is None and finished(spark, path):
+        now = spark.read.parquet(path)
+    if now is None or finished(spark, to):
         return False
-    spark.read.parquet(path).write.parquet(to)
+    now.write.mode("overwrite").parquet(to)
     return True
 
 
-def append_deduplicated(new: DataFrame, path: str, key: list[str], staging: str) -> None:
-    """Append rows and keep the newest of each key. The result is written beside the table first, then takes its place."""
-    spark = new.sparkSession
-    both = appended(spark.read.parquet(path), new, key) if exists(spark, path) else keep_last(new, key, [F.lit(0), *map(F.col, key)])
-    both.write.mode("overwrite").parquet(staging)
-    spark.read.parquet(staging).write.mode("overwrite").parquet(path)
+def append_deduplicated(new: DataFrame, path: str, key: list[str]) -> None:
+    """Append rows and keep the newest of each key, as a new version of the table."""
+    old = current(new.sparkSession, path)
+    replace(keep_last(new, key, [F.lit(0), *map(F.col, key)]) if old is None else appended(old, new, key), path)
 
 
 def track(df: DataFrame, path: str, day: str) -> None:

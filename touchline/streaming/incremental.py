@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from touchline.operators import ledgers
+from touchline.operators.ratings import gain
 from touchline.sources import sinks
 
 
@@ -24,20 +25,20 @@ def start(df: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]
     return (w.trigger(availableNow=True) if once else w).start()
 
 
-def raw_append(stream: DataFrame, path: str, staging: str, key: list[str], checkpoint: str) -> StreamingQuery:
-    """Append batches to a table, the newest row of each key stays; replaying a batch changes nothing."""
-    return start(stream, checkpoint, lambda batch, _: sinks.append_deduplicated(batch, path, key, staging))
+def raw_append(stream: DataFrame, path: str, key: list[str], checkpoint: str) -> StreamingQuery:
+    """Append batches to a table, the newest row of each key stays; replaying a batch changes nothing. Read it with sinks.current()."""
+    return start(stream, checkpoint, lambda batch, _: sinks.append_deduplicated(batch, path, key))
 
 
-def ledger(stream: DataFrame, path: str, staging: str, played: Callable[[], DataFrame], checkpoint: str) -> StreamingQuery:
-    """Merge batches of forecasts into a ledger whose played rows never change."""
+def ledger(stream: DataFrame, path: str, played: Callable[[], DataFrame], checkpoint: str) -> StreamingQuery:
+    """Merge batches of forecasts into a ledger whose played rows never change; read it with sinks.current()."""
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates(ledgers.MATCH_KEY)
-        old = spark.read.parquet(path) if sinks.exists(spark, path) else fresh.limit(0)
-        ledgers.refreshed(old, fresh, played()).write.mode("overwrite").parquet(staging)
-        spark.read.parquet(staging).write.mode("overwrite").parquet(path)
+        old = sinks.current(spark, path)
+        old = fresh.limit(0) if old is None else old
+        sinks.replace(ledgers.refreshed(old, fresh, played()), path)
 
     return start(stream, checkpoint, merge)
 
@@ -77,9 +78,8 @@ def elo(stream: DataFrame, start_rating: float = 1300.0, step: float = 20.0, adv
             h, a = rating.get(str(g.home), start_rating), rating.get(str(g.away), start_rating)
             out.append((key[0], g.match_id, h, a))
             if not (pd.isna(g.hg) or pd.isna(g.ag)):
-                result = 0.5 if g.hg == g.ag else float(g.hg > g.ag)
-                gain = step * (result - 1 / (1 + 10 ** ((a - h - advantage) / 400)))
-                rating[str(g.home)], rating[str(g.away)] = h + gain, a - gain
+                moved = gain(h, a, g.hg, g.ag, step, advantage)
+                rating[str(g.home)], rating[str(g.away)] = h + moved, a - moved
         state.update((json.dumps(rating),))
         yield pd.DataFrame(out, columns=["league", "match_id", "home_elo", "away_elo"])
 
