@@ -5,14 +5,19 @@ permutation (of hash positions) scatters the shingles, a second one, circularly
 the signature: the coordinates of one shingle are a slice of the second permutation. Coordinates are cut into bands; documents
 that share a band are candidates, and exact Jaccard on full sets confirms each link.
 
-Documents with equal sets are one node. Inside a band's bucket no pairs are spelled out: members are first held against the
-member that is most similar to all and against a few others. Then those that hang together with less than most of their bucket
-are held, set against set, against every promising member of other components (by the whole signature) until a link to that
-component is found, so that every promising pair between components is confirmed or refuted; only links leave the bucket.
-Buckets above `Settings.block` members are split into blocks that meet pairwise.
+Documents with equal sets are one node. Inside a band's bucket no pairs are spelled out. First every member is held against the
+member that is most similar to all and against a few others; a bucket of more than `Settings.block` members is split into parts
+for this, which share some members drawn by hash, so that near copies hang together whatever their number. Then, in buckets that
+still hold several components, the members outside the bucket's largest component are held, set against set, against every
+promising member of other components (by the whole signature) until a link to that component is found, so that every promising pair
+between components is confirmed or refuted; only links leave the bucket. Members of the largest component are never held against
+each other: a bucket of m members, r of them outside, takes r * m comparisons, and only the r are copied to its parts. A bucket
+whose m members all share a band without being near takes m * m.
 
 Defined results: null, empty and blank texts have no shingles, link with nothing and are kept; repeated rows are copies of each
-other; rows without an id get no component and are kept.
+other; rows without an id get no component and are kept; an empty table gives no rows. Texts of any length enter with all of their
+shingles, in memory in proportion to one text. Of equally similar members the smallest node comes first. Other columns are not
+read, and stay as they are where documents are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,7 +46,8 @@ class Settings:
     coordinates: int = 256
     slack: float = 0.1  #: pairs whose estimate falls short of the threshold by more (four deviations) are not confirmed
     first: int = 4  #: partners of a document in the first round
-    block: int = 1024
+    block: int = 512  #: members of a bucket that meet in one step
+    shared: int = 16  #: members, about, of a larger bucket that meet in all of its parts
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -153,20 +159,34 @@ def _sets(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
     return found.join(wanted, "node").where("id = doc_id").dropDuplicates(["node"]).select("node", "shingles")
 
 
-def _similar(t: pa.Table, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one block: nodes, estimates, promising pairs between components, members outside the largest component, the medoid."""
+@dataclass
+class Block:
+    """Members of a part of a bucket; `left` ones are held against `right` ones."""
+
+    nodes: np.ndarray
+    labels: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    alike: np.ndarray  #: left x right, estimates
+    fits: np.ndarray  #: left x right, promising pairs between components, each once
+
+
+def _block(t: pa.Table, settings: Settings, ordered: bool) -> Block:
+    """ordered: of two left members the pair counts on the side of the smaller node only."""
     nodes, labels, n = (t.column(c).to_numpy() for c in ("node", "label", "n"))
+    left, right = (np.flatnonzero(t.column(c).to_numpy(zero_copy_only=False)) for c in ("left", "right"))
     sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(nodes), -1)
-    alike = np.empty((len(nodes), len(nodes)), np.float32)
-    for i in range(len(nodes)):
-        alike[i] = (sig[i] == sig).mean(axis=1)
+    alike, others = np.empty((len(left), len(right)), np.float32), sig[right]
+    for i, k in enumerate(left):
+        alike[i] = (sig[k] == others).mean(axis=1)
     fits = alike >= settings.percent / 100 - settings.slack
-    fits &= 100 * np.minimum(n[:, None], n) >= settings.percent * np.maximum(n[:, None], n)
-    fits &= labels[:, None] != labels
-    centre = int(alike.sum(axis=1).argmax())
-    values, counts = np.unique(labels, return_counts=True)
-    rest = labels != (values[counts.argmax()] if counts.max() > 1 else labels[centre])
-    return nodes, alike, fits, rest, centre
+    a, b = n[left][:, None], n[right]
+    fits &= 100 * np.minimum(a, b) >= settings.percent * np.maximum(a, b)
+    fits &= labels[left][:, None] != labels[right]
+    if ordered:
+        too = np.isin(nodes[right], nodes[left])
+        fits &= ~too | (nodes[left][:, None] < nodes[right])
+    return Block(nodes, labels, left, right, alike, fits)
 
 
 def _first_pairs(settings: Settings):
@@ -174,51 +194,53 @@ def _first_pairs(settings: Settings):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, "block"):
-            nodes, alike, fits, rest, centre = _similar(t, settings)
-            out = {(int(i), centre) for i in np.flatnonzero(fits[centre])}
-            for i in np.flatnonzero(rest & fits.any(axis=1)):
-                js = np.flatnonzero(fits[i])
-                out |= {(int(i), int(j)) for j in js[np.argsort(-alike[i, js], kind="stable")][: settings.first]}
-            a, b = ([int(f(nodes[i], nodes[j])) for i, j in out] for f in (min, max))
+            k = _block(t, settings, False)
+            centre = int(k.alike.sum(axis=1).argmax())
+            out = {(int(i), centre) for i in np.flatnonzero(k.fits[centre])}
+            for i in np.flatnonzero(k.fits.any(axis=1)):
+                js = np.flatnonzero(k.fits[i])
+                out |= {(int(i), int(j)) for j in js[np.argsort(-k.alike[i, js], kind="stable")][: settings.first]}
+            a, b = ([int(f(k.nodes[i], k.nodes[j])) for i, j in out] for f in (min, max))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
 def _involved(settings: Settings):
-    """Blocks -> (block, bucket, node) of the members of promising pairs between components."""
+    """Blocks -> (block, bucket, node, left, right) of the members of promising pairs between components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, "block"):
-            _, _, fits, rest, _ = _similar(t, settings)
-            some = fits & rest[:, None]
-            yield from t.select(["block", "bucket", "node"]).filter(pa.array(some.any(axis=1) | some.any(axis=0))).to_batches()
+            k = _block(t, settings, True)
+            some = np.zeros(len(k.nodes), bool)
+            some[k.left[k.fits.any(axis=1)]] = True
+            some[k.right[k.fits.any(axis=0)]] = True
+            yield from t.select(["block", "bucket", "node", "left", "right"]).filter(pa.array(some)).to_batches()
 
     return run
 
 
 def _links(settings: Settings):
-    """Blocks with sets -> (u, v): a link from each member outside the largest component to each other component, if there is one.
+    """Blocks with sets -> (u, v): a link from each left member to each other component, if there is one.
 
     A pair that shares several bands is held together in the first of them only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, "block"):
-            nodes, alike, fits, rest, _ = _similar(t, settings)
-            labels, bucket = t.column("label").to_numpy(), t.column("bucket")[0].as_py()
+            k, bucket = _block(t, settings, True), t.column("bucket")[0].as_py()
             bands = np.array(t.column("bands").to_pylist(), np.int64)
             sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
             u, v = [], []
-            for i in np.flatnonzero(rest & fits.any(axis=1)):
-                js = np.flatnonzero(fits[i])
-                first = (bands[js] == bands[i]).argmax(axis=1)
-                js = js[bands[i][first] == bucket]
+            for x in np.flatnonzero(k.fits.any(axis=1)):
+                i, columns = k.left[x], np.flatnonzero(k.fits[x])
+                first = (bands[k.right[columns]] == bands[i]).argmax(axis=1)
+                columns = columns[bands[i][first] == bucket]
                 done = set()
-                for j in js[np.argsort(-alike[i, js], kind="stable")]:
-                    if labels[j] not in done and linked(sets[i], sets[j], settings.percent):
-                        done.add(labels[j])
-                        u.append(int(nodes[i])), v.append(int(nodes[j]))
+                for j in k.right[columns[np.argsort(-k.alike[x, columns], kind="stable")]]:
+                    if k.labels[j] not in done and linked(sets[i], sets[j], settings.percent):
+                        done.add(k.labels[j])
+                        u.append(int(k.nodes[i])), v.append(int(k.nodes[j]))
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
@@ -242,17 +264,36 @@ def _confirmed(percent: int):
     return run
 
 
-def _blocks(members: DataFrame, labels: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
-    """Members of the buckets that hold several components, by block: block, bucket, node, label, n, sig."""
-    known = members.join(labels, "node")
-    mixed = known.groupBy("bucket").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("bucket")
-    active = known.join(mixed, "bucket").join(nodes.select("node", "n", "sig"), "node")
+def _parts(settings: Settings):
+    """The parts of a bucket and the part that a member belongs to."""
     parts = F.ceil(F.col("m") / settings.block)
-    active = active.withColumn("mine", F.pmod(F.xxhash64("node"), parts))
-    active = active.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    pair = F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))
-    block = F.when(F.col("m") <= settings.block, F.col("bucket")).otherwise(pair).alias("block")
-    return active.select(block, "bucket", "node", "label", "n", "sig")
+    return parts, F.pmod(F.xxhash64("node"), parts)
+
+
+def _first_blocks(members: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
+    """All members of the buckets, by part; a few of a large bucket stand in all of its parts."""
+    parts, own = _parts(settings)
+    shared = (parts > 1) & (F.pmod(F.xxhash64("node", "bucket"), F.col("m")) < settings.shared)
+    part = F.explode(F.when(shared, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(own)))
+    rows = members.select("bucket", "node", part.alias("part")).join(nodes.select("node", "n", "sig"), "node")
+    yes = F.lit(True)
+    return rows.select(F.xxhash64("bucket", "part").alias("block"), "bucket", "node", F.col("node").alias("label"), "n", "sig", yes.alias("left"), yes.alias("right"))
+
+
+def _late_blocks(members: DataFrame, labels: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
+    """Members of the buckets that hold several components, by part: block, bucket, node, label, n, sig, left, right.
+
+    Those outside the bucket's largest component are `left` in every part; everyone is `right` in the own part.
+    """
+    known = members.join(labels, "node")
+    sizes = known.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket")
+    mixed = sizes.agg(F.max_by("label", F.struct("c", "label")).alias("big"), F.count("*").alias("k")).where("k > 1").select("bucket", "big")
+    active = known.join(mixed, "bucket")
+    parts, own = _parts(settings)
+    active = active.withColumns({"own": own, "left": F.col("label") != F.col("big")})
+    every = F.when(F.col("left"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array("own"))
+    active = active.withColumn("part", F.explode(every)).join(nodes.select("node", "n", "sig"), "node")
+    return active.select(F.xxhash64("bucket", "part").alias("block"), "bucket", "node", "label", "n", "sig", "left", (F.col("part") == F.col("own")).alias("right"))
 
 
 def _together(blocks: DataFrame) -> DataFrame:
@@ -281,8 +322,7 @@ def clusters(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     wanted = settle(members.select("node").distinct().join(nodes.select("node", "doc_id"), "node"))
     sets = settle(_sets(docs, wanted, settings))
     labels = sets.select("node", F.col("node").alias("label"))
-    blocks = _blocks(members, labels, nodes, settings)
-    found = _together(blocks).mapInArrow(_first_pairs(settings), "a long, b long").distinct()
+    found = _together(_first_blocks(members, nodes, settings)).mapInArrow(_first_pairs(settings), "a long, b long").distinct()
     pairs = (
         found.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
@@ -290,8 +330,8 @@ def clusters(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     )
     confirmed = pairs.mapInArrow(_confirmed(settings.percent), "a long, b long, linked boolean").where("linked")
     labels = _relabelled(labels, confirmed.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    blocks = settle(_blocks(members, labels, nodes, settings))
-    involved = settle(_together(blocks).mapInArrow(_involved(settings), "block long, bucket long, node long"))
+    late = _together(_late_blocks(members, labels, nodes, settings))
+    involved = late.mapInArrow(_involved(settings), "block long, bucket long, node long, left boolean, right boolean")
     whole = involved.join(labels, "node").join(sets, "node").join(nodes.select("node", "n", "bands", "sig"), "node")
     late = _together(whole).mapInArrow(_links(settings), "u long, v long")
     labels = _relabelled(labels, late.join(labels.select(F.col("node").alias("u"), F.col("label").alias("p")), "u").join(
