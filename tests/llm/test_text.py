@@ -64,11 +64,53 @@ def test_repair(spark, library):
     for b in rows:
         for k in (0, b["n_docs"] - 1):
             assert repair.one_document(b, k).tolist() == want[b["doc_ids"][k]]
+        symbols, starts = np.frombuffer(b["symbols"], np.uint16).astype(np.int64), np.frombuffer(b["starts"], np.uint32)
+        inner = np.ones(len(symbols), bool)
+        inner[starts[1:] - 1] = False
+        pairs = (symbols[:-1] << 16 | symbols[1:])[inner[:-1]]
+        assert np.unique(pairs, return_counts=True)[1].max(initial=0) < 4
     digests = {r.doc_id: r.ids_crc32 for r in repair.digests(df).collect()}
     assert digests == {i: zlib.crc32(np.array(w, "<u4").tobytes()) for i, w in enumerate(want)}
     assert repair.digests(df.limit(0)).count() == 0
 
 
+def test_grammar_to_its_end():
+    rng = np.random.default_rng(9)
+    for alphabet, n in ((2, 3000), (5, 20_000), (300, 100_000), (1, 500)):
+        ids = rng.zipf(1.6, n).clip(1, alphabet).astype(np.int32) - 1
+        last = rng.random(n) < 0.01
+        last[-1] = True
+        rules, symbols, ends = repair.grammar(ids, last, 50_257, repair.Settings(least=6))
+        table, at, count = repair.expansions(rules, np.array(_lengths(rules, 50_257), np.uint32), 50_257)
+        s = symbols.astype(np.int64)
+        assert table[repair.gather(at[s], count[s])].tolist() == ids.tolist()
+        assert np.flatnonzero(last).tolist() == (np.cumsum(count[s])[ends] - 1).tolist()
+        pairs = (s[:-1] << 16 | s[1:])[~ends[:-1]]
+        assert np.unique(pairs, return_counts=True)[1].max(initial=0) < 6
+        assert all(max(r) < 50_257 + k for k, r in enumerate(rules.tolist()))
+    few = repair.grammar(np.tile(np.arange(40), 50), np.zeros(2000, bool), (1 << 16) - 3, repair.Settings(least=6))
+    assert len(few[0]) == 3
+
+
+def _lengths(rules, base):
+    out = []
+    for a, b in rules.tolist():
+        out.append(sum(1 if x < base else out[x - base] for x in (a, b)))
+    return out
+
+
+def test_too_many_ids(spark, tmp_path):
+    import tokenizers
+
+    vocabulary = {f"t{i}": i for i in range(70_000)}
+    path = str(tmp_path / "large.json")
+    t = Tokenizer(tokenizers.models.BPE(vocab=vocabulary, merges=[]))
+    t.pre_tokenizer = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False)
+    t.save(path)
+    with pytest.raises(Exception, match="do not fit"):
+        repair.compress(frame(spark, ["x"]), path=path)
+
+
 def test_token_counts(spark):
     scores = token_trie.scores(public_tokenizers.path("piece_bpe_32k.model"), 10)
     byte = min(scores.values()) - 1

@@ -1,20 +1,22 @@
 """Token-id files compressed by Re-Pair grammars.
 
-Documents go to shards by ascending doc_id. A shard's ids are cut into blocks of whole documents; in each block frequent pairs of
-neighbouring ids are replaced by nonterminals, many pairs a round, for `Settings.rounds` rounds at most, so that
-some pairs may stay frequent. A block stores its rules, the length
-that each rule expands to, the remaining symbols (16 bits each) and where each document's symbols begin, so that any document can
-be decoded on its own. No rule crosses the end of a document. Blocks are rows of a Parquet table in the shared folder; a task
-that is run again writes the same rows.
+Documents go to ranges by ascending doc_id, and a range's ids are cut into blocks of whole documents, the shards of the method: in
+each block frequent pairs of neighbouring ids are replaced by nonterminals, those of similar frequency in one round, until no pair
+is frequent. A block stores its rules, the length that each rule expands to, the remaining symbols (16 bits each) and where each
+document's symbols begin, so that any document can be decoded on its own. No rule crosses the end of a document. Blocks are rows of a
+Parquet table in the shared folder; a task that is run again writes the same rows. Ids and rules share 65,536 numbers: a larger
+vocabulary is refused, and a block whose rules take all that are left keeps its other pairs.
 
 Defined results: null text counts as empty; every document ends with the end id, so empty ones hold one id; rows with equal ids
-follow each other by text; rows without an id come first.
+follow each other by text; rows without an id come first; an empty table gives no rows. A text of any length is one document of one
+block, in memory in proportion to it. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import gc
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,10 +39,10 @@ _STEP = np.uint32(0x9E3779B1)
 class Settings:
     end: int = 0  #: id after each document
     block: int = 1 << 20  #: ids after which a block ends with the running document
-    rounds: int = 4
-    least: int = 24  #: times that a pair must occur to become a rule
+    least: int = 24  #: times that a pair must occur in a block to become a rule
+    share: float = 0.25  #: pairs this share as frequent as the most frequent one are replaced in the same round
     text: int = 16 << 20  #: bytes of text that are tokenised at once, or one document
-    cache: int = 900_000  #: space-separated chunks whose ids a worker keeps
+    cache: int = 160 << 20  #: bytes, about, of the space-separated chunks and their ids that a worker keeps
 
 
 def _room(x: np.ndarray, n: int) -> np.ndarray:
@@ -79,7 +81,7 @@ class Ids:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.chunks = self.ids = 0
+        self.chunks = self.ids = self.taken = 0
         self.table, self.at, self.count = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def of_piece(self, piece: str) -> list[int]:
@@ -117,10 +119,11 @@ class Ids:
         self.at[n : n + len(new)] = np.cumsum(new) - new + self.ids
         self.table[self.ids : self.ids + len(known)] = known
         self.chunks, self.ids = n + len(new), self.ids + len(known)
+        self.taken += sum(map(sys.getsizeof, chunks)) + 112 * len(chunks) + 4 * len(known)
 
     def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts without nulls and how many each has."""
-        if len(self.number) > self.cache:
+        if self.taken > self.cache:
             self.clear()
         uneven = pc.match_substring_regex(texts, self.uneven)
         slow = {k: texts[k].as_py() for k in np.flatnonzero(uneven.to_numpy(zero_copy_only=False)).tolist()}
@@ -144,33 +147,61 @@ class Ids:
         return np.concatenate(parts), np.array([len(p) for p in parts])
 
 
+def _apart(at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which of the pairs at ascending places are replaced, so that no two overlap: of neighbours the more frequent one, of equally
+    frequent ones every other from the left."""
+    follows = np.concatenate(([False], at[1:] == at[:-1] + 1))  # overlaps the pair before
+    leads = np.concatenate((follows[1:], [False]))
+    before, after = np.concatenate(([0], weight[:-1])) * follows, np.concatenate((weight[1:], [0])) * leads
+    out = (weight > before) & (weight >= after)
+    taken = np.concatenate(([False], out[:-1])) & follows | np.concatenate((out[1:], [False])) & leads
+    rest = np.flatnonzero(~out & ~taken)
+    if len(rest):
+        place = np.arange(len(rest))
+        head = np.concatenate(([True], at[rest[1:]] != at[rest[:-1]] + 1))
+        out[rest[(place - np.maximum.accumulate(np.where(head, place, 0))) % 2 == 0]] = True
+    return out
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return (keys * _STEP >> np.uint32(12)).astype(np.int64)
+
+
 def grammar(ids: np.ndarray, last: np.ndarray, base: int, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rules (n x 2, nonterminals count from base), the remaining symbols, and which of them end a document."""
-    symbols, last, rules = ids.astype(np.uint32), last.copy(), []
-    for _ in range(settings.rounds):
-        room = (1 << 16) - base - sum(map(len, rules))
-        if len(symbols) < 2 or room <= 0:
-            break
+    """Rules (n x 2, nonterminals count from base), the remaining symbols, and which of them end a document.
+
+    A round counts all pairs exactly and replaces those that occur at least `share` times as often as the most frequent one; the
+    last round finds no pair that occurs `least` times, or no 16-bit number is left for a rule.
+    """
+    symbols, last, rules, made = ids.astype(np.uint32), last.copy(), [], 0
+    while len(symbols) > 1 and made < (room := (1 << 16) - base):
         key = symbols[:-1] << np.uint32(16) | symbols[1:]  # symbols have 16 bits
-        slot = ((key ^ key >> np.uint32(15)) * _STEP >> np.uint32(32 - 18)).astype(np.int64)
-        owner = np.zeros(1 << 18, np.uint32)
-        owner[slot] = key  # one pair for each slot; others wait for a later round
-        own = (owner[slot] == key) & ~last[:-1]
-        counts = np.bincount(slot[own], minlength=1 << 18)
-        chosen = np.flatnonzero(counts >= settings.least)
-        if not len(chosen):
+        inner = ~last[:-1]
+        ordered = np.sort(key[inner])
+        if not len(ordered):
+            break
+        edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True])))
+        counts = np.diff(edge)
+        if counts.max() < settings.least:
             break
-        chosen = chosen[np.argsort(-counts[chosen], kind="stable")[: min(room, 4096)]]
-        number = np.full(1 << 18, -1, np.int64)
-        number[chosen] = np.arange(len(chosen)) + base + sum(map(len, rules))
-        at = np.flatnonzero(own & (number[slot] >= 0))
-        # of pairs that overlap, every other one of a chain is replaced, from its left end
-        head = np.concatenate(([True], at[1:] != at[:-1] + 1))
-        place = np.arange(len(at))
-        at = at[(place - np.maximum.accumulate(np.where(head, place, 0))) % 2 == 0]
-        pair = owner[chosen]
-        rules.append(np.stack([pair >> np.uint32(16), pair & np.uint32(0xFFFF)], axis=1))
-        symbols[at] = number[slot[at]].astype(np.uint32)
+        pick = np.flatnonzero(counts >= max(settings.least, settings.share * counts.max()))
+        if len(pick) > room - made:
+            pick = np.sort(pick[np.argsort(-counts[pick], kind="stable")[: room - made]])
+        keys, counts = ordered[edge[pick]], counts[pick]
+        sieve = np.zeros(1 << 20, bool)
+        sieve[_slot(keys)] = True
+        at = np.flatnonzero(sieve[_slot(key)] & inner)
+        k = np.minimum(np.searchsorted(keys, key[at]), len(keys) - 1)
+        hit = keys[k] == key[at]
+        at, k = at[hit], k[hit]
+        chosen = _apart(at, counts[k])
+        at, k = at[chosen], k[chosen]
+        useful = np.bincount(k, minlength=len(keys)) > 1  # a rule for one place would not pay
+        at, k = at[useful[k]], k[useful[k]]
+        number = np.cumsum(useful) - 1 + base + made
+        rules.append(np.stack([keys[useful] >> np.uint32(16), keys[useful] & np.uint32(0xFFFF)], axis=1))
+        made += int(useful.sum())
+        symbols[at] = number[k].astype(np.uint32)
         last[at] = last[at + 1]
         stay = np.ones(len(symbols), bool)
         stay[at + 1] = False
@@ -209,6 +240,8 @@ def compress(docs: DataFrame, settings: Settings = Settings(), path: str | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, shard, before = Ids(path, settings.cache), TaskContext.get().partitionId(), 0
         base = of.split.tokenizer.get_vocab_size()
+        if max(base, settings.end + 1) > 1 << 16:
+            raise ValueError(f"{base} ids do not fit into 16 bits")
         held: list[tuple[np.ndarray, np.ndarray, list]] = []
 
         def flush() -> pa.RecordBatch:
