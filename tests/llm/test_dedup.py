@@ -90,6 +90,29 @@ def test_embeddings(spark, block):
     assert got[None].component_id is None and got[None].kept and len(got) == len(rows)
 
 
+def test_recall_with_a_hot_cone(spark):
+    """A third of the vectors in one cone of mutual cosine 0.8, pairs just above the threshold inside and outside of it."""
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    spread, axis = unit(rng.standard_normal((8000, 64))), unit(rng.standard_normal(64))
+    noise = unit(rng.standard_normal((4000, 64)))
+    cone = unit(0.894 * axis + 0.447 * unit(noise - (noise @ axis)[:, None] * axis))
+    old = np.concatenate([spread[:300], cone[:300]])
+    away = rng.standard_normal(old.shape)
+    away = unit(away - (away * old).sum(1, keepdims=True) * old)
+    c = 0.953
+    x = np.concatenate([spread, cone, c * old + np.sqrt(1 - c * c) * away])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embed_dedup.clusters(df).collect()}
+    u = unit(x)
+    links = u @ u.T >= 0.95
+    np.fill_diagonal(links, False)
+    a, b = np.nonzero(np.triu(links, 1))
+    found = [got[i].component_id == got[j].component_id for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    assert len(found) >= 590 and np.mean(found) >= 0.995
+    assert all(got[i].n_links <= int(links[i].sum()) for i in got)
+
+
 def test_embeddings_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embed_dedup.clusters(df).count() == 0
