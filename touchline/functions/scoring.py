@@ -66,11 +66,6 @@ def tempered(p: Column, t: float | Column) -> Column:
     return let(q, lambda q: let(total(q), lambda s: F.transform(q, lambda x: x / s)))
 
 
-def tempered_log(logs: Column, y: Column, power: float) -> Column:
-    """Log of the tempered probability of the class that came, from the logs of the probabilities."""
-    return power * F.element_at(logs, y + 1) - F.ln(F.aggregate(logs, F.lit(0.0), lambda s, x: s + F.exp(x * power)))
-
-
 def pit(p: Column, y: Column, u: Column) -> Column:
     """Randomised probability integral transform: F(y - 1) + u * p(y)."""
     return F.when(y > 0, total(F.slice(p, 1, F.greatest(y, F.lit(1))))).otherwise(0.0) + u * hit(p, y)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import scoring as S
 from touchline.operators.ladder import match_points
-from touchline.operators.relational import quantiles, running
+from touchline.operators.relational import dealt, quantiles, running
 
 
 def linear_predictor(rows: DataFrame, x: str, beta: str, base: str) -> DataFrame:
@@ -97,6 +97,7 @@ def fit_rho(scored: DataFrame, tolerance: float = 1e-6, wide: int = 24) -> float
 def match_bands(rows: DataFrame, top: int, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Forecasts of (key, lh, la), arrays of rates by draw: mean and band over draws of home win, draw, away win and of 0, 1, 2 and 3 or
     more home goals, and the mean of expected goals. All draws of a match stand in one row, so nothing is shuffled."""
+    rows = dealt(rows, "key")
     each = F.arrays_zip(F.col("lh"), F.col("la"))
     one = lambda d: S.let(F.struct(S.poisson(d["lh"], top).alias("h"), S.poisson(d["la"], top).alias("a")), _measures)
     rows = rows.withColumn("m", F.transform(each, one))
@@ -136,7 +137,7 @@ def player_bands(draws: DataFrame, offset: float, low: float = 0.05, high: float
         return S.let(cuts, lambda c: S.ordered_logit(d["eta"], c))
 
     p = F.transform(F.arrays_zip(F.col("eta"), F.col("deltas")), one)
-    return _bands(draws.select("key", p.alias("p")), 4, low, high)
+    return _bands(dealt(draws, "key").select("key", p.alias("p")), 4, low, high)
 
 
 def _bands(rows: DataFrame, classes: int, low: float, high: float) -> DataFrame:
@@ -203,18 +204,23 @@ def newcomer_anchor(draws: DataFrame) -> DataFrame:
     )
 
 
-def poisson_draw(rate, u, top: int = 11):
+def cumulative(rows: DataFrame, columns: dict[str, str], top: int = 11) -> DataFrame:
+    """Distribution functions F(0), ..., F(top) of Poisson counts as arrays, one for each rate: {rate: name}."""
+    rows = rows.withColumns({f"_{n}": S.poisson(F.col(r), top) for r, n in columns.items()})
+    upto = lambda n: F.transform(F.sequence(F.lit(1), F.lit(top + 1)), lambda k: S.total(F.slice(f"_{n}", 1, k)))
+    return rows.withColumns({n: upto(n) for n in columns.values()}).drop(*[f"_{n}" for n in columns.values()])
+
+
+def below(distribution: str, u):
     """Inverse distribution function: how many of F(0), F(1), ... lie below u."""
-    p = S.poisson(rate, top)
-    upto = F.transform(F.sequence(F.lit(1), F.lit(top + 1)), lambda k: S.total(F.slice(p, 1, k)))
-    return F.size(F.filter(upto, lambda c: c < u)).cast("long")
+    return F.size(F.filter(distribution, lambda c: c < u)).cast("long")
 
 
 def replicates(rated: DataFrame, draws: int, seed: int | None = None) -> DataFrame:
     """Predictive draws of the scores of rated matches: their columns with draw, h and a."""
-    rows = rated.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    rows = cumulative(dealt(rated, "match_id"), {"lh": "_ch", "la": "_ca"}).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     u = [F.rand(seed + i) if seed is not None else S.uniform(F.col("match_id") * 2 + i, F.col("draw")) for i in (0, 1)]
-    return rows.withColumns({"h": poisson_draw(F.col("lh"), u[0]), "a": poisson_draw(F.col("la"), u[1])})
+    return rows.withColumns({"h": below("_ch", u[0]), "a": below("_ca", u[1])}).drop("_ch", "_ca")
 
 
 def rootogram(rated: DataFrame, drawn: DataFrame, top: int, draws: int) -> DataFrame:
@@ -254,9 +260,7 @@ def season_odds(games: DataFrame, fixtures: DataFrame, draws: int, relegated: in
     side = lambda team, x, y: played.select(*key, F.col(team).alias("team"), match_points(F.col(x), F.col(y)).alias("pts"), (F.col(x) - F.col(y)).alias("gd"))
     past = side("home", "hg", "ag").union(side("away", "ag", "hg")).groupBy(*key, "team").agg(F.sum("pts").alias("pts"), F.sum("gd").alias("gd"))
     ks = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
-    sim = fixtures.select(*key, "match_id", "home", "away", "lh", "la", ks)
-    u = [F.rand(seed + i) if seed is not None else S.uniform(F.col("match_id") * 2 + i, F.col("draw")) for i in (0, 1)]
-    sim = sim.withColumns({"h": poisson_draw(F.col("lh"), u[0]), "a": poisson_draw(F.col("la"), u[1])})
+    sim = replicates(fixtures.select(*key, "match_id", "home", "away", "lh", "la"), draws, seed)
     one = lambda team, x, y: F.struct(F.col(team).alias("team"), match_points(F.col(x), F.col(y)).alias("pts"), (F.col(x) - F.col(y)).alias("gd"))
     got = sim.select(*key, "draw", F.explode(F.array(one("home", "h", "a"), one("away", "a", "h"))).alias("s")).select(*key, "draw", "s.*")
     got = got.union(past.select(*key, ks, "team", "pts", "gd"))

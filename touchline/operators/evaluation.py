@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import scoring as S
-from touchline.operators.relational import running
+from touchline.operators.relational import dealt, running
 
 
 def metrics(rows: DataFrame, *groups: str) -> DataFrame:
@@ -49,7 +49,7 @@ def bootstrap(rows: DataFrame, id: str, value: Column, draws: int, groups: list[
     Rows meet their draws inside a map-side partial sum; what is shuffled is two numbers per draw, group and task.
     """
     ks = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
-    rows = rows.select(*groups, F.col(id).alias("_id"), value.alias("_v"), ks)
+    rows = dealt(rows.select(*groups, F.col(id).alias("_id"), value.alias("_v")), "_id").select("*", ks)
     w = -F.ln(F.rand(seed) if seed is not None else S.uniform(F.col("_id"), F.col("draw")))
     return rows.withColumn("_w", w).groupBy(*groups, "draw").agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("mean"))
 
@@ -68,15 +68,22 @@ def paired_t(rows: DataFrame, difference: Column, *groups: str) -> DataFrame:
 
 
 def temperatures(rows: DataFrame, grid: list[float], *groups: str) -> DataFrame:
-    """Mean log-loss of p^(1/T) for every T of a grid: one aggregate with a column for each T, no row is multiplied."""
-    r = rows.select(*groups, F.transform("p", F.ln).alias("_l"), "y")
-    loss = lambda t: -F.avg(F.greatest(S.tempered_log(F.col("_l"), F.col("y"), 1.0 / t), F.lit(math.log(1e-12))))
-    one = r.groupBy(*groups).agg(F.count("*").alias("n"), *[loss(t).alias(f"t{k}") for k, t in enumerate(grid)])
+    """Mean log-loss of p^(1/T) for every T of a grid: one aggregate with a column for each T, no row is multiplied. How many classes
+    there are is asked first, so that all of it is plain arithmetic."""
+    classes = rows.agg(F.max(F.size("p"))).first()[0] or 1
+    logs = [F.ln(F.get("p", F.lit(k))).alias(f"_l{k}") for k in range(classes)]
+    r = dealt(rows.select(*groups, *logs, F.ln(F.get("p", F.col("y"))).alias("_hit")), "_hit")
+
+    def loss(power: float):
+        whole = sum((F.coalesce(F.exp(F.col(f"_l{k}") * power), F.lit(0.0)) for k in range(1, classes)), F.coalesce(F.exp(F.col("_l0") * power), F.lit(0.0)))
+        return -F.avg(F.greatest(F.col("_hit") * power - F.ln(whole), F.lit(math.log(1e-12))))
+
+    one = r.groupBy(*groups).agg(F.count("*").alias("n"), *[loss(1.0 / t).alias(f"t{k}") for k, t in enumerate(grid)])
     pairs = F.array(*[F.struct(F.lit(float(t)).alias("t"), F.col(f"t{k}").alias("log_loss")) for k, t in enumerate(grid)])
     return one.select(*groups, "n", F.explode(pairs).alias("x")).select(*groups, "x.t", "x.log_loss", "n")
 
 
-def leave_one_out_temperature(rows: DataFrame, fold: str, low: float = 0.3, high: float = 3.0, nodes: int = 32) -> DataFrame:
+def leave_one_out_temperature(rows: DataFrame, fold: str, low: float = 0.3, high: float = 3.0, nodes: int = 24) -> DataFrame:
     """For each fold the T between the bounds that is best on all other folds: rows (fold, t, log_loss on the others).
 
     A fold's loss is a smooth function of 1/T; one scan gives its values at Chebyshev nodes, a few hundred numbers, and each fold's
