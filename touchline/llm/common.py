@@ -47,6 +47,15 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
+def modest(spark: SparkSession) -> None:
+    """Let no more than some MB of rows, or one, go to a Python worker at once: with whole texts the default number of rows makes
+    batches that the executor holds several times over, outside its heap. Smaller settings stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", TEXT_BYTES)):
+        now = spark.conf.get(key)
+        if not (now or "").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def settle(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: later steps survive lost executors and never recompute it."""
     spark = df.sparkSession

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from touchline.llm import bpe, decontam, embed_dedup, minhash, quality, quotes, repair, secret_scan, token_trie, toxicity
+from touchline.llm.common import modest
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
