@@ -54,6 +54,40 @@ def test_sinks(spark, tmp_path):
     assert sinks.markdown(a, 1).startswith("| k | v |\n|---|---|\n| 1 | x |")
 
 
+def test_overwrite_and_bundle(spark, tmp_path):
+    p = str(tmp_path / "csv")
+    for n in (3, 2):
+        sinks.overwrite(spark.range(n).selectExpr("id", "id * 1.5 as x"), p, "csv", header="true")
+    assert sorted(tuple(r) for r in readers.csv(spark, p, "id long, x double").collect()) == [(0, 0.0), (1, 1.5)]
+    assert readers.csv(spark, p, "id long, x double", ["x"]).columns == ["x"]
+    b, settings = str(tmp_path / "bundle"), {"elo": {"K": 20, "home": 50}, "factors": ["a", "b"], "golden": [[0.1, 0.9]]}
+    sinks.save_bundle(spark, b, {"draws": tables.draws(spark, SF).limit(5), "codes": spark.range(3)}, settings)
+    got, said = sinks.load_bundle(spark, b)
+    assert said == settings and set(got) == {"draws", "codes"} and got["draws"].count() == 5 and len(got["draws"].first().beta) == 64
+
+
+def test_event_scan(spark, tmp_path):
+    (tmp_path / "e.json").write_text('{"match_id": 7, "team": "A", "minute": 12, "pass_length": 3.5, "shot_outcome": "Goal"}\n{"match_id": 7, "team": "B", "pass_length": NaN, "other": 1}\n')
+    rows = readers.events(spark, str(tmp_path / "e.json")).orderBy("team").collect()
+    assert [(r.match_id, r.team, r.minute, r.pass_length, r.shot_outcome) for r in rows] == [(7, "A", 12, 3.5, "Goal"), (7, "B", None, None, None)]
+
+
+def test_simulated_effects(spark):
+    """The known effect of the simulator comes back by adjustment for what drives the substitution, not by the plain difference."""
+    from touchline.operators import causal
+
+    rows = causal.simulate(spark, 40_000, 3).cache()
+    known = rows.where("sub = 1").agg(F.avg("ite")).first()[0]
+    by_score = causal.true_effects(rows, "score_diff").agg(F.sum(F.col("att") * F.col("n")) / F.sum("n")).first()[0]
+    assert abs(by_score - known) < 1e-9
+    centre = rows.where("sub = 1").agg(F.avg("off_old")).first()[0]  # the effect depends on the strength: at the treated mean it is theirs
+    varied = rows.withColumn("varied", F.col("sub") * (F.col("off_old") - centre))
+    fit = {r.term: r.estimate for r in causal.regression(varied, "passes", ["sub", "off_old", "score_diff", "varied"]).collect()}
+    plain = causal.effects_by(rows.withColumnsRenamed({"sub": "treated", "passes": "outcome"})).first().effect
+    assert abs(fit["sub"] - known) < 0.2 < abs(plain - known)
+    rows.unpersist()
+
+
 def test_readers(spark, tmp_path):
     folder = tmp_path / "raw" / "PL"
     folder.mkdir(parents=True)

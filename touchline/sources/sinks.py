@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +81,20 @@ def append_deduplicated(new: DataFrame, path: str, key: list[str]) -> None:
     replace(keep_last(new, key, [F.lit(0), *map(F.col, key)]) if old is None else appended(old, new, key), path)
 
 
+def save_bundle(spark: SparkSession, path: str, tables: dict[str, DataFrame], settings: dict) -> None:
+    """A model's bundle: its tables (draws, codes) as Parquet and its nested settings as JSON, which is written last and names the tables."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    text = json.dumps({"tables": sorted(tables), "settings": settings})
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_bundle")
+
+
+def load_bundle(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict]:
+    """The tables and settings of a bundle."""
+    found = json.loads(spark.read.text(f"{path}/_bundle").first()["value"])  # one line
+    return {name: spark.read.parquet(f"{path}/{name}") for name in found["tables"]}, found["settings"]
+
+
 def track(df: DataFrame, path: str, day: str) -> None:
     """Write a day's rows so that a second run of the day replaces them and other days stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
