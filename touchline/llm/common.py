@@ -174,6 +174,21 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = TEXT_BYTES)
         yield batch.slice(i, j - i)
 
 
+def regrouped(batches: Iterator[pa.RecordBatch], most: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about `most` bytes of text or of one row: small ones joined, large ones cut."""
+    held, size = [], 0
+    for b in batches:
+        for part in slices(b, column, most):
+            n = pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+            if held and size + n > most:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            held.append(part)
+            size += n
+    if held:
+        yield pa.concat_batches(held)
+
+
 def give_back() -> None:
     """Return freed memory of a Python worker, which outlives its task, to the system."""
     pa.default_memory_pool().release_unused()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.bpe import VOCABULARY, byte_letters
-from touchline.llm.common import COMMON, SPLIT, byte_level, gather, give_back, settle, slices
+from touchline.llm.common import COMMON, SPLIT, byte_level, gather, give_back, regrouped, settle
 
 _STEP = np.uint32(0x9E3779B1)
 
@@ -264,18 +264,17 @@ def compress(docs: DataFrame, settings: Settings = Settings(), path: str | None
             return pa.RecordBatch.from_pydict(row, schema=kinds)
 
         total = 0
-        for b in batches:
-            for part in slices(b, most=settings.text):
-                ids, sizes = of.many(part.column("text"))
-                out = np.full(len(ids) + len(sizes), settings.end, np.int32)
-                inner = np.ones(len(out), bool)
-                inner[np.cumsum(sizes + 1) - 1] = False
-                out[inner] = ids
-                held.append((out, sizes + 1, part.column("doc_id").to_pylist()))
-                total += len(out)
-                if total >= settings.block:
-                    yield flush()
-                    total = 0
+        for part in regrouped(batches, settings.text):
+            ids, sizes = of.many(part.column("text"))
+            out = np.full(len(ids) + len(sizes), settings.end, np.int32)
+            inner = np.ones(len(out), bool)
+            inner[np.cumsum(sizes + 1) - 1] = False
+            out[inner] = ids
+            held.append((out, sizes + 1, part.column("doc_id").to_pylist()))
+            total += len(out)
+            if total >= settings.block:
+                yield flush()
+                total = 0
         if held:
             yield flush()
         of.clear()
