@@ -52,9 +52,9 @@ def ewma(rows: DataFrame, value: str, partition: list[str], order: list[str], ha
     of a double. So groups may have any number of rows. A row without a value repeats the mean before it.
     """
     size = max(1, int(64 * half_life))
-    w = Window.partitionBy(*partition).orderBy(*order)
+    at = F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1
+    w = Window.partitionBy(*partition).orderBy("_chunk", *order)  # the same order, sorted as the windows of the chunks are
     before, so_far = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = F.row_number().over(w) - 1
     out = rows.withColumns({"_chunk": F.floor(at / size), "_i": at % size})
     grow = F.pow(F.lit(2.0), F.col("_i") / half_life)
     inside = Window.partitionBy(*partition, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
