@@ -44,3 +44,17 @@ def test_odd_rows(spark, name):
         assert out.columns == docs.columns
         assert all(r[c] == "kept as is" for r in rows for c in CLASHING)
         assert {(r.doc_id, r.text) for r in rows} == {r[:2] for r in ROWS}
+
+
+def test_batches_stay_modest(spark):
+    from touchline.llm.common import TEXT_BYTES, modest
+
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(rows), spark.conf.get(size)
+    try:
+        for given, want in ((("10000", "256MB"), ("2000", str(TEXT_BYTES))), (("500", "4mb"), ("500", "4mb")), (("0", "1g"), ("2000", str(TEXT_BYTES)))):
+            spark.conf.set(rows, given[0]), spark.conf.set(size, given[1])
+            modest(spark)
+            assert (spark.conf.get(rows), spark.conf.get(size)) == want
+    finally:
+        spark.conf.set(rows, old[0]), spark.conf.set(size, old[1])

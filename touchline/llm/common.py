@@ -51,8 +51,8 @@ def modest(spark: SparkSession) -> None:
     """Let no more than some MB of rows, or one, go to a Python worker at once: with whole texts the default number of rows makes
     batches that the executor holds several times over, outside its heap. Smaller settings stay."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", TEXT_BYTES)):
-        now = spark.conf.get(key)
-        if not (now or "").isdigit() or not 0 < int(now) <= most:
+        now = re.fullmatch(r"(\d+)\s*([kmg]?)i?b?", (spark.conf.get(key) or "").strip().lower())
+        if not now or not 0 < int(now[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[now[2]] <= most:
             spark.conf.set(key, str(most))
 
 
