@@ -1,4 +1,4 @@
-"""The registered queries op1 to op10: each applies its operator, with production parameters, to its whole table."""
+"""The registered queries op1 to op13: each applies its operator, with production parameters, to its whole table."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import bpe, decontam, embed_dedup, minhash, quality, quotes, repair, secret_scan, token_trie, toxicity
+from touchline.llm import bpe, decontam, embed_dedup, minhash, periodic, quality, quotes, repair, secret_scan, token_trie, toxicity
 from touchline.llm.common import modest
 
 
@@ -55,9 +55,14 @@ def op10_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op1_quality_gam, op2_secret_scan, op3_minhash_dedup, op4_embedding_passes, op5_token_trie, op6_quote_threads,
     op7_repair_token_files, op8_latent_decontamination, op9_toxicity_mil, op10_bpe_backtracking,
+    op11_periodic_runs,
 )
 
 
@@ -114,4 +119,5 @@ SELECT v.vec_id, CAST((SELECT count(*) FROM links l WHERE l.u = v.vec_id) AS BIG
 FROM v JOIN labels c ON c.node = v.vec_id
 """,
     "op6_quote_threads": quotes.ORACLE,
+    "op11_periodic_runs": periodic.ORACLE,
 }
