@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import bpe, decontam, divergence, embed_dedup, minhash, periodic, quality, quotes, repair, secret_scan, token_trie, toxicity
+from touchline.llm import bpe, decontam, divergence, embed_dedup, minhash, periodic, pivot_search, quality, quotes, repair, secret_scan, token_trie, toxicity
 from touchline.llm.common import modest
 
 
@@ -63,10 +63,14 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
+def op13_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = (
     op1_quality_gam, op2_secret_scan, op3_minhash_dedup, op4_embedding_passes, op5_token_trie, op6_quote_threads,
     op7_repair_token_files, op8_latent_decontamination, op9_toxicity_mil, op10_bpe_backtracking,
-    op11_periodic_runs, op12_source_divergence,
+    op11_periodic_runs, op12_source_divergence, op13_pivot_search,
 )
 
 
@@ -125,4 +129,5 @@ FROM v JOIN labels c ON c.node = v.vec_id
     "op6_quote_threads": quotes.ORACLE,
     "op11_periodic_runs": periodic.ORACLE,
     "op12_source_divergence": divergence.ORACLE,
+    "op13_pivot_search": pivot_search.ORACLE,
 }
