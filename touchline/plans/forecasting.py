@@ -10,6 +10,7 @@ from touchline.operators import counts as C
 from touchline.operators import evaluation as E
 from touchline.operators import features
 from touchline.operators import ratings as R
+from touchline.operators import regression as P
 from touchline.operators import relational as Q
 from touchline.plans.registry import query
 from touchline.plans.standings import PLAYER
@@ -204,6 +205,33 @@ def above_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("player", F.round("delta", 6).alias("delta"), F.round("par", 6).alias("par"))
 
 
+def refit_sql(steps: int = 9) -> str:
+    """Newton steps of the regression without each player, one common table expression a step, and the shares of the boards."""
+    eta = "b0 + b1 * x1 + b2 * x2"
+    out = "WITH " + PLAYER + """, r AS (SELECT player, goals::DOUBLE AS y, CASE WHEN match_id % 2 = 0 THEN 1.0::DOUBLE ELSE 0 END AS x1, gameday / 40.0::DOUBLE AS x2 FROM player),
+s0 AS (SELECT DISTINCT player AS p, -1.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2 FROM r)"""
+    for k in range(steps):
+        out += f""",
+g{k} AS (SELECT p, any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2, sum(y - m) - any_value(b0) AS u0, sum((y - m) * x1) - 4 * any_value(b1) AS u1, sum((y - m) * x2) - 4 * any_value(b2) AS u2,
+  sum(m) + 1 AS a, sum(m * x1) AS b, sum(m * x2) AS c, sum(m * x1 * x1) + 4 AS d, sum(m * x1 * x2) AS e, sum(m * x2 * x2) + 4 AS f FROM (SELECT *, exp({eta}) AS m FROM s{k} JOIN r ON r.player <> s{k}.p) GROUP BY p),
+s{k + 1} AS MATERIALIZED (SELECT p, b0 + ((d * f - e * e) * u0 + (c * e - b * f) * u1 + (b * e - c * d) * u2) / t AS b0, b1 + ((c * e - b * f) * u0 + (a * f - c * c) * u1 + (b * c - a * e) * u2) / t AS b1,
+  b2 + ((b * e - c * d) * u0 + (b * c - a * e) * u1 + (a * d - b * b) * u2) / t AS b2 FROM (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS t FROM g{k}))"""
+    return out + f""",
+m AS (SELECT player, avg(y) AS y, avg(x1) AS x1, avg(x2) AS x2 FROM r GROUP BY player), own AS (SELECT p, b0, b1, b2, y - (b0 + b1 * x1 + b2 * x2) AS delta FROM s{steps} JOIN m ON m.player = p)
+SELECT p AS player, round(any_value(delta), 6) AS delta, round(avg(CASE WHEN round(y - (b0 + b1 * x1 + b2 * x2) - delta, 9) <= 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS par,
+  round(any_value(b0), 6) AS b0, round(any_value(b1), 6) AS b1, round(any_value(b2), 6) AS b2 FROM own JOIN m ON m.player <> p GROUP BY p"""
+
+
+@query(refit_sql())
+def above_replacement_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each player's mean residual under a Poisson regression fitted without the player, and the share of the others at most as high."""
+    rows = features.player_goals(T.games(spark, sf_dir), T.lineup(spark, sf_dir), T.scorers(spark, sf_dir))
+    x = F.array(F.lit(1.0), (F.col("match_id") % 2 == 0).cast("double"), F.col("gameday") / 40.0)
+    rows = rows.select(F.col("player").alias("group"), F.col("goals").alias("y"), x.alias("x"))
+    out = P.above_replacement(rows, 3, P.Prior.of(1.0, 0.5, 0.5))
+    return out.select(F.col("group").alias("player"), F.round("delta", 6).alias("delta"), F.round("par", 6).alias("par"), *[F.round(F.col("beta")[i], 6).alias(f"b{i}") for i in range(3)])
+
+
 @query("WITH " + T.DRAWS + """, e AS (SELECT key, factor, unnest(beta) AS v, unnest(range(1, 65)) AS draw FROM draws), t AS (SELECT draw, avg(v) AS overall FROM e GROUP BY draw),
 p AS (SELECT key, e.draw, avg(v) - any_value(overall) AS par, avg(v) AS sar FROM e JOIN t USING (draw) GROUP BY key, e.draw)
 SELECT key, round(quantile_cont(par, 0.05), 6) AS par_low, round(avg(par), 6) AS par_mid, round(quantile_cont(par, 0.95), 6) AS par_up, round(avg(sar), 6) AS sar_mid FROM p GROUP BY key""")
