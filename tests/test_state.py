@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline.operators import ledgers, ratings, relational
-from touchline.sources import readers, sinks, tables
+from touchline.sources import partitioned, readers, sinks, tables
 from touchline.streaming import incremental
 
 SF = "/root/testdata/sf0.001"
@@ -113,11 +113,11 @@ def test_stream_append_and_ledger(spark, tmp_path):
     fresh.limit(50).write.parquet(src)
     played = lambda: g.where("gameday <= 20")
     incremental.ledger(incremental.files(spark, src, schema), out, played, str(tmp_path / "c")).awaitTermination()
-    first = {tuple(r) for r in sinks.current(spark, out).collect()}
+    first = {tuple(r) for r in partitioned.read(spark, out).collect()}
     fresh.withColumn("p", F.lit(2)).write.mode("append").parquet(src)
     incremental.ledger(incremental.files(spark, src, schema), out, played, str(tmp_path / "c")).awaitTermination()
     done = {(r.season, r.home, r.away) for r in played().collect()}
-    now = {tuple(r) for r in sinks.current(spark, out).collect()}
+    now = {tuple(r) for r in partitioned.read(spark, out).collect()}
     assert {r for r in now if r[:3] in done and r[3] == 1} == {r for r in first if r[:3] in done}
     assert all(r[3] == 2 for r in now if r[:3] not in done)
 

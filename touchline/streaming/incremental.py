@@ -12,7 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from touchline.operators import ledgers
 from touchline.operators.ratings import gain
-from touchline.sources import sinks
+from touchline.operators.relational import keep_last
+from touchline.sources import partitioned
 
 
 def files(spark: SparkSession, path: str, schema: str, format: str = "parquet", **options: str) -> DataFrame:
@@ -25,22 +26,29 @@ def start(df: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]
     return (w.trigger(availableNow=True) if once else w).start()
 
 
-def raw_append(stream: DataFrame, path: str, key: list[str], checkpoint: str) -> StreamingQuery:
-    """Append batches to a table, the newest row of each key stays; replaying a batch changes nothing. Read it with sinks.current()."""
-    return start(stream, checkpoint, lambda batch, _: sinks.append_deduplicated(batch, path, key))
+PARTITIONS = ["league", "season"]
 
 
-def ledger(stream: DataFrame, path: str, played: Callable[[], DataFrame], checkpoint: str) -> StreamingQuery:
-    """Merge batches of forecasts into a ledger whose played rows never change; read it with sinks.current()."""
+def raw_append(stream: DataFrame, path: str, key: list[str], checkpoint: str, partitions: list[str] = PARTITIONS) -> StreamingQuery:
+    """Append batches to a table, the newest row of each key stays. Only the partitions that a batch touches are rewritten, and a batch
+    that is replayed changes nothing. Read it with partitioned.read(). Of the same key in one batch the last row by all columns stays."""
 
-    def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
+    def how(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+        batch = keep_last(batch, key, [F.to_json(F.struct(*batch.columns))])
+        return batch if old is None else ledgers.appended(old, batch, key)
+
+    return start(stream, checkpoint, lambda batch, n: partitioned.merge(batch, path, partitions, how, (checkpoint, n)))
+
+
+def ledger(stream: DataFrame, path: str, played: Callable[[], DataFrame], checkpoint: str, partitions: list[str] = ledgers.MATCH_KEY[:1]) -> StreamingQuery:
+    """Merge batches of forecasts into a ledger whose played rows never change; read it with partitioned.read(). Partitions are part of
+    the ledger's key, so those that a batch does not touch cannot change."""
+
+    def how(old: DataFrame | None, batch: DataFrame) -> DataFrame:
         fresh = batch.dropDuplicates(ledgers.MATCH_KEY)
-        old = sinks.current(spark, path)
-        old = fresh.limit(0) if old is None else old
-        sinks.replace(ledgers.refreshed(old, fresh, played()), path)
+        return fresh if old is None else ledgers.refreshed(old, fresh, played())
 
-    return start(stream, checkpoint, merge)
+    return start(stream, checkpoint, lambda batch, n: partitioned.merge(batch, path, partitions, how, (checkpoint, n)))
 
 
 def recomputed(stream: DataFrame, history: Callable[[], DataFrame], derive: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
