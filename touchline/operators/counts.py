@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import scoring as S
+from touchline.operators.draws import against_all, banded, sums_of
 from touchline.operators.ladder import match_points
 from touchline.operators.relational import dealt, quantiles, running
 
@@ -180,16 +181,12 @@ def above_replacement(rows: DataFrame, coefficients: DataFrame) -> DataFrame:
     return by.join(counts, "delta").select("player", "delta", share.alias("par"))
 
 
-def skill_board(draws: DataFrame) -> DataFrame:
-    """Above-average effect of each key by draw (its mean less the draw's overall mean): mean and band."""
-    e = draws.select("key", F.posexplode("beta").alias("draw", "v"))
-    by_key = e.groupBy("key", "draw").agg(F.avg("v").alias("sar"))
-    overall = e.groupBy("draw").agg(F.avg("v").alias("overall"))
-    p = by_key.join(F.broadcast(overall), "draw").withColumn("par", F.col("sar") - F.col("overall"))  # one row per draw
-    return p.groupBy("key").agg(
-        F.round(F.percentile("par", F.lit(0.05)), 6).alias("par_low"), F.round(F.avg("par"), 6).alias("par_mid"),
-        F.round(F.percentile("par", F.lit(0.95)), 6).alias("par_up"), F.round(F.avg("sar"), 6).alias("sar_mid"),
-    )
+def skill_board(draws: DataFrame, n: int) -> DataFrame:
+    """Above-average effect of each key by draw (its mean less the draw's overall mean): mean and band. Arrays of n draws stay arrays."""
+    by = sums_of(draws, ["key"], ["beta"], n)
+    p = against_all(by, sums_of(draws, [], ["beta"], n), ["beta"]).withColumnRenamed("beta", "par")
+    p = p.join(by.select("key", F.transform("beta", lambda x: x / F.col("n")).alias("sar")), "key")
+    return p.select("key", *banded("par", "par"), F.round(S.total(F.col("sar")) / F.size("sar"), 6).alias("sar_mid"))
 
 
 def newcomer_anchor(draws: DataFrame) -> DataFrame:

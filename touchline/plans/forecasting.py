@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import scoring as S
 from touchline.operators import counts as C
+from touchline.operators import draws as D
 from touchline.operators import evaluation as E
 from touchline.operators import features
 from touchline.operators import ratings as R
@@ -237,7 +239,55 @@ p AS (SELECT key, e.draw, avg(v) - any_value(overall) AS par, avg(v) AS sar FROM
 SELECT key, round(quantile_cont(par, 0.05), 6) AS par_low, round(avg(par), 6) AS par_mid, round(quantile_cont(par, 0.95), 6) AS par_up, round(avg(sar), 6) AS sar_mid FROM p GROUP BY key""")
 def skill_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A key's mean over draws against the overall mean of each draw, with bands."""
-    return C.skill_board(T.draws(spark, sf_dir))
+    return C.skill_board(T.draws(spark, sf_dir), 64)
+
+
+#: Forecasts by draw: the class probabilities, tilted by a draw of the effect that belongs to the forecast.
+TILTED = T.FORECASTS + ", " + T.DRAWS + """, e AS (SELECT f.fold, f.y, s.i AS draw, [f.p[1] * exp(-b.beta[s.i]), f.p[2], f.p[3] * exp(b.beta[s.i])] AS q FROM forecasts f JOIN draws b ON b.key = f.id % (SELECT count(*) FROM draws) CROSS JOIN range(1, 65) s(i)),
+d AS (SELECT fold, y, draw, list_transform(q, lambda x: x / list_sum(q)) AS p FROM e)"""
+
+
+@query("WITH " + TILTED + """, m AS (SELECT fold, draw, count(*) AS n, avg(-ln(greatest(p[y + 1], 1e-12))) AS ll, avg((pow(p[1] - CASE WHEN y < 1 THEN 1 ELSE 0 END, 2) + pow(p[1] + p[2] - CASE WHEN y < 2 THEN 1 ELSE 0 END, 2)) / 2) AS rps,
+  avg(p[1] * p[1] + p[2] * p[2] + p[3] * p[3] - 2 * p[y + 1] + 1) AS brier FROM d GROUP BY fold, draw)
+SELECT fold, any_value(n) AS n, """ + ", ".join(f"round(quantile_cont({c}, 0.05), 6) AS {n}_low, round(avg({c}), 6) AS {n}_mid, round(quantile_cont({c}, 0.95), 6) AS {n}_up" for c, n in (("ll", "log_loss"), ("rps", "rps"), ("brier", "brier"))) + " FROM m GROUP BY fold")
+def posterior_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores carried over posterior draws: log loss, RPS and Brier score by draw and their bands by fold."""
+    f, b = T.forecasts(spark, sf_dir), T.draws(spark, sf_dir).select(F.col("key").alias("effect"), "beta")
+    rows = f.crossJoin(F.broadcast(b.agg(F.count("*").alias("k")))).withColumn("effect", F.col("id") % F.col("k")).join(b, "effect")
+
+    def tilted(v):
+        q = F.array(F.col("p")[0] * F.exp(-v), F.col("p")[1], F.col("p")[2] * F.exp(v))
+        return S.let(q, lambda q: S.let(q[0] + q[1] + q[2], lambda t: F.transform(q, lambda x: x / t)))
+
+    rows = rows.select("fold", "y", F.flatten(F.transform("beta", tilted)).alias("p"))
+    m = D.posterior_scores(rows, ["fold"], 3, 64)
+    return m.select("fold", "n", *[c for name in ("log_loss", "rps", "brier") for c in D.banded(name, name)])
+
+
+CUTS = [1.0, 2.5, 4.0]
+
+
+@query("WITH " + PLAYER + ", " + T.DRAWS + """, x AS (SELECT player, gameday / 40.0::DOUBLE AS a, (match_id % 11) / 5.0::DOUBLE - 1 AS b, CAST(home_pitch AS DOUBLE) AS h, goals / 3.0::DOUBLE AS own FROM player),
+z AS (SELECT player, (a - avg(a) OVER ()) / stddev_samp(a) OVER () AS a, (b - avg(b) OVER ()) / stddev_samp(b) OVER () AS b, h, avg(h) OVER () AS mh, own FROM x),
+c AS (SELECT factor % 4 AS f, s.i AS draw, avg(beta[s.i]) AS v FROM draws CROSS JOIN range(1, 65) s(i) GROUP BY ALL),
+w AS (SELECT draw, max(CASE WHEN f = 0 THEN v END) AS c0, max(CASE WHEN f = 1 THEN v END) AS c1, max(CASE WHEN f = 2 THEN v END) AS c2, max(CASE WHEN f = 3 THEN v END) AS c3 FROM c GROUP BY draw),
+e AS (SELECT z.player, w.draw, k.beta[w.draw] + c0 * a + c1 * b + c2 * h + c3 * own AS par, k.beta[w.draw] + c2 * mh + c3 * own AS sar FROM z JOIN draws k ON k.key = z.player % (SELECT count(*) FROM draws) CROSS JOIN w),
+g AS (SELECT player, draw, """ + ", ".join("(" + " + ".join(f"1 / (1 + exp({c} - {n}))" for c in CUTS) + f") AS {n}" for n in ("par", "sar")) + """ FROM e),
+t AS (SELECT draw, avg(par) AS par, avg(sar) AS sar FROM g GROUP BY draw), p AS (SELECT g.player, g.draw, avg(g.par) - any_value(t.par) AS par, avg(g.sar) - any_value(t.sar) AS sar FROM g JOIN t USING (draw) GROUP BY g.player, g.draw)
+SELECT player, """ + ", ".join(f"round(quantile_cont({n}, 0.05), 6) AS {n}_low, round(avg({n}), 6) AS {n}_mid, round(quantile_cont({n}, 0.95), 6) AS {n}_up" for n in ("par", "sar")) + " FROM p GROUP BY player")
+def context_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected goals above average by player and draw, with the context as it was (PAR) and alike for everybody (SAR)."""
+    rows = features.player_goals(T.games(spark, sf_dir), T.lineup(spark, sf_dir), T.scorers(spark, sf_dir))
+    rows = rows.select("player", (F.col("gameday") / 40.0).alias("a"), ((F.col("match_id") % 11) / 5.0 - 1).alias("b"), F.col("home_pitch").cast("double").alias("h"), (F.col("goals") / 3.0).alias("own"))
+    s = rows.agg(*[f(c).alias(f"{n}_{c}") for c in ("a", "b") for n, f in (("mean", F.avg), ("sd", F.stddev_samp))]).first()
+    draws = T.draws(spark, sf_dir)
+    by = D.sums_of(draws.withColumn("f", F.col("factor") % 4), ["f"], ["beta"], 64).orderBy("f").collect()  # a row for each of four factors
+    beta = np.array([np.array(r["beta"]) / r["n"] for r in by]).T
+    z = [(F.col(c) - float(s[f"mean_{c}"] or 0.0)) / float(s[f"sd_{c}"] or 1.0) for c in ("a", "b")]
+    n = draws.agg(F.count("*").alias("k"))
+    rows = rows.crossJoin(F.broadcast(n)).select("player", (F.col("player") % F.col("k")).alias("key"), F.array(*z, "h", "own").alias("x"))
+    rows = rows.join(draws.select("key", F.col("beta").alias("effect")), "key")
+    return D.boards(rows, "player", beta, CUTS, [0, 1], 2).select("player", *D.banded("par", "par"), *D.banded("sar", "sar"))
 
 
 @query("WITH " + T.DRAWS + """, m AS (SELECT key, factor, list_median(beta) AS med FROM draws), r AS (SELECT key, factor, med, (SELECT count(*) FROM m x WHERE x.med <= m.med) AS le FROM m)
@@ -397,8 +447,10 @@ def prior_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT round(sum(lppd), 5) AS lppd, round(sum(pen), 5) AS penalty, round(-2 * (sum(lppd) - sum(pen)), 5) AS waic FROM w""")
 def information_criterion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WAIC in closed form from pointwise log-likelihood draws."""
-    e = T.draws(spark, sf_dir).select("key", F.explode("beta").alias("v"))
-    w = e.groupBy("key").agg(F.ln(F.avg(F.exp("v"))).alias("lppd"), F.var_samp("v").alias("pen"))
+    n, mean = F.size("beta"), S.total(F.col("beta")) / F.size("beta")  # an observation's draws stand in its row
+    lppd = F.ln(S.total(F.transform("beta", lambda v: F.exp(v))) / n)
+    w = T.draws(spark, sf_dir).select(lppd.alias("lppd"), S.let(mean, lambda m: S.total(F.transform("beta", lambda v: (v - m) * (v - m)))).alias("d"), n.alias("n"))
+    w = w.select("lppd", (F.col("d") / (F.col("n") - 1)).alias("pen"))
     return w.agg(F.round(F.sum("lppd"), 5).alias("lppd"), F.round(F.sum("pen"), 5).alias("penalty"), F.round(-2 * (F.sum("lppd") - F.sum("pen")), 5).alias("waic"))
 
 
