@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import scalars
-from touchline.operators import features
+from touchline.operators import features, segments
 from touchline.operators import ladder as L
 from touchline.plans.registry import query
 from touchline.sources import tables as T
@@ -206,3 +206,67 @@ FROM seg s JOIN match_events e ON e.match_id = s.match_id GROUP BY s.match_id, s
 def substitution_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts before and after each substitution minute, strict on both sides."""
     return features.segments(T.match_events(spark, sf_dir), "error", ["click"])
+
+
+#: The measures of an event in SQL, by name.
+MEASURES = {
+    "clearances_total": "count(clearance_body_part)", "dribble_total": "count(dribble_outcome)", "dribble_success": "count(*) FILTER (dribble_outcome = 'Complete')",
+    "duel_total": "count(duel_outcome)", "duel_success": "count(*) FILTER (duel_outcome IN ('Won', 'Success', 'Success in Play', 'Success Out'))", "fouls_committed": "count(foul_committed_type)",
+    "interceptions_total": "count(interception_outcome)", "interceptions_success": "count(*) FILTER (interception_outcome IN ('Won', 'Success', 'Success in Play', 'Success Out'))",
+    "pass_shot_assist": "count(pass_shot_assist)", "pass_goal_assist": "count(pass_goal_assist)",
+    **{f"pass_success_length__{k}": f"coalesce(sum(pass_length / 0.9144::DOUBLE) FILTER (pass_outcome IS NULL AND {w}), 0)" for k, w in {
+        "total": "true", "0_5": "pass_length <= 5 / 0.9144::DOUBLE", "5_10": "pass_length > 5 / 0.9144::DOUBLE AND pass_length <= 10 / 0.9144::DOUBLE",
+        "10_20": "pass_length > 10 / 0.9144::DOUBLE AND pass_length <= 20 / 0.9144::DOUBLE", "20_40": "pass_length > 20 / 0.9144::DOUBLE AND pass_length <= 40 / 0.9144::DOUBLE",
+        "40": "pass_length > 40 / 0.9144::DOUBLE"}.items()},
+    "passes_total": "count(pass_length)", "passes_success": "count(pass_length) FILTER (pass_outcome IS NULL)", "shots_total": "count(shot_outcome)",
+    "shots_target": "count(shot_outcome) FILTER (shot_outcome NOT IN ('Off T', 'Wayward'))", "goals_scored": "count(*) FILTER (shot_outcome = 'Goal')",
+    "substitution_tactical": "count(*) FILTER (substitution_outcome = 'Tactical')",
+}
+
+
+def _in(measure: str, where: str) -> str:
+    """A measure's aggregate with one more condition."""
+    return measure.replace("FILTER (", f"FILTER ({where} AND ") if "FILTER" in measure else f"{measure} FILTER ({where})"
+
+
+SUBSTITUTIONS = "WITH " + T.MATCH_DETAILS + """, m AS (SELECT match_id, count(*) FILTER (shot_outcome = 'Goal' AND side = 0 AND minute < 60) AS g0, count(*) FILTER (shot_outcome = 'Goal' AND side = 1 AND minute < 60) AS g1, max(minute) AS last FROM match_details GROUP BY 1),
+o AS (SELECT match_id, last, CASE WHEN g0 < g1 THEN 0 ELSE 1 END AS off, least(g0, g1) AS score60_off, greatest(g0, g1) AS score60_def FROM m WHERE g0 <> g1),
+s AS (SELECT DISTINCT o.match_id, e.minute AS t FROM o JOIN match_details e ON e.match_id = o.match_id AND e.side = o.off AND e.substitution_outcome = 'Tactical' AND e.minute > 59),
+b AS (SELECT s.match_id, t FROM s JOIN o USING (match_id) WHERE t < last UNION ALL SELECT match_id, 59 FROM o WHERE match_id NOT IN (SELECT match_id FROM s)),
+w AS (SELECT o.*, b.t, coalesce(lead(b.t) OVER (PARTITION BY b.match_id ORDER BY b.t), o.last) AS n FROM b JOIN o USING (match_id)),
+x AS (SELECT w.match_id, w.t AS substitution_minute, any_value(w.n - w.t) AS minutes_after, any_value(w.off) AS off, any_value(w.score60_off) AS score60_off, any_value(w.score60_def) AS score60_def, """ + ", ".join(
+    _in(m, f"e.side {'=' if role == 'off' else '<>'} w.off AND " + ("e.minute < w.t" if part == "pre" or n == "duel_total" else "e.minute > w.t AND e.minute < w.n")) + f" AS {n}__{role}__{part}"
+    for n, m in MEASURES.items() for role in ("off", "def") for part in ("pre", "post")
+) + " FROM w JOIN match_details e ON e.match_id = w.match_id GROUP BY w.match_id, w.t)"
+
+
+@query(SUBSTITUTIONS + " SELECT match_id, substitution_minute, minutes_after, off, score60_off, score60_def, " + ", ".join(
+    f"round(CAST({n}__{r}__{p} AS DOUBLE), 4) AS {n}__{r}__{p}" for n in MEASURES for r in ("off", "def") for p in ("pre", "post")) + " FROM x")
+def substitution_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every measure of both sides before and after each tactical substitution of the trailing side, by prefix sums."""
+    rows = segments.around_substitutions(T.match_details(spark, sf_dir))
+    kept = ("match_id", "substitution_minute", "minutes_after", "off", "score60_off", "score60_def")
+    return rows.select(*kept, *[F.round(c, 4).alias(c) for c in rows.columns if c not in kept])
+
+
+def _rate(n: str, d: str) -> str:
+    return f"CAST({n} AS DOUBLE) / nullif({d}, 0)"
+
+
+def _strength(role: str, part: str) -> str:
+    at = lambda n: f"{n}__{role}__{part}"
+    passes = _rate("(" + " + ".join(at(f"pass_success_length__{k}") for k in ("0_5", "5_10", "10_20", "20_40", "40")) + ")", at("pass_success_length__total"))
+    return " + ".join(f"0.2::DOUBLE * ({r})" for r in (passes, *[_rate(at(a), at(b)) for a, b in segments.SKILLS.items()]))
+
+
+@query(SUBSTITUTIONS + ", y AS (SELECT *, " + ", ".join(
+    f"{_rate(f'{t}__{r}__{p}', 'substitution_minute' if p == 'pre' else 'minutes_after')} AS {n}_perMin__{r}__{p}" for n, t in segments.RATES.items() for r in ("off", "def") for p in ("pre", "post")
+) + ", " + ", ".join(f"{_strength(r, p)} AS strength__{r}__{p}" for r in ("off", "def") for p in ("pre", "post")) + " FROM x) SELECT match_id, substitution_minute, " + ", ".join(
+    [f"round({n}_perMin__{r}__{p}, 6) AS {n}_perMin__{r}__{p}" for n in segments.RATES for r in ("off", "def") for p in ("pre", "post")]
+    + [f"round({n}_perMin__off__post - {n}_perMin__off__pre, 6) AS {n}_perMin__off__DIFF, round(CAST({t}__off__pre - {t}__def__pre AS DOUBLE), 4) AS strength_diff__{n}" for n, t in segments.RATES.items()]
+    + [f"round(strength__{r}__{p}, 6) AS strength__{r}__{p}" for r in ("off", "def") for p in ("pre", "post")] + [f"round(strength__off__{p} - strength__def__{p}, 6) AS strength_diff__{p}" for p in ("pre", "post")]) + " FROM y")
+def substitution_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates a minute, their changes, and composite strengths of both sides before and after."""
+    rows = segments.strengths(segments.per_minute(segments.around_substitutions(T.match_details(spark, sf_dir))))
+    out = [c for c in rows.columns if "_perMin__" in c or c.startswith("strength")]
+    return rows.select("match_id", "substitution_minute", *[F.round(c, 6).alias(c) for c in out])

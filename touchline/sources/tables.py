@@ -145,3 +145,33 @@ def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DRAWS = "draws AS (SELECT vec_id AS key, label AS factor, CAST(embedding AS DOUBLE[]) AS beta FROM embeddings)"
+
+
+def match_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """match_id, side, minute and what an event feed tells of passes, shots, duels, dribbles, interceptions, clearances, fouls and substitutions;
+    columns of other kinds of events are null."""
+    e, n = table(spark, sf_dir, "events"), F.col("event_id")
+    kind = lambda k, c: F.when(F.col("event_type") == k, c)
+    pick = lambda by, *names: F.element_at(F.array(*map(F.lit, names)), (n % by + 1).cast("int"))
+    third = lambda r, c: F.when((F.col("event_type") == "signup") & (F.floor(n / 10) % 3 == r), c)
+    return e.select(
+        F.col("user_id").alias("match_id"), (n % 2).cast("int").alias("side"), (F.floor(n / 2) % 95).cast("int").alias("minute"),
+        kind("click", F.col("value")).alias("pass_length"), kind("click", F.when(F.floor(n / 3) % 5 == 0, F.lit("Incomplete"))).alias("pass_outcome"),
+        kind("click", F.when(n % 7 == 0, F.lit(True))).alias("pass_shot_assist"), kind("click", F.when(n % 11 == 0, F.lit(True))).alias("pass_goal_assist"),
+        kind("view", pick(5, "Goal", "Off T", "Wayward", "Saved", "Post")).alias("shot_outcome"),
+        third(0, pick(4, "Won", "Lost In Play", "Success Out", "Lost Out")).alias("duel_outcome"), third(1, pick(4, "Success In Play", "Lost", "Won", "Success")).alias("interception_outcome"),
+        third(2, pick(3, "Complete", "Incomplete", "Complete")).alias("dribble_outcome"),
+        kind("purchase", F.when(n % 3 == 0, F.lit("Head"))).alias("clearance_body_part"), kind("purchase", F.when(n % 3 == 1, F.lit("Foul Out"))).alias("foul_committed_type"),
+        kind("error", F.when(n % 4 > 0, F.lit("Tactical")).otherwise(F.lit("Injury"))).alias("substitution_outcome"),
+    )
+
+
+MATCH_DETAILS = """match_details AS (SELECT user_id AS match_id, CAST(event_id % 2 AS INTEGER) AS side, CAST((event_id // 2) % 95 AS INTEGER) AS minute,
+  CASE WHEN event_type = 'click' THEN value END AS pass_length, CASE WHEN event_type = 'click' AND event_id // 3 % 5 = 0 THEN 'Incomplete' END AS pass_outcome,
+  CASE WHEN event_type = 'click' AND event_id % 7 = 0 THEN true END AS pass_shot_assist, CASE WHEN event_type = 'click' AND event_id % 11 = 0 THEN true END AS pass_goal_assist,
+  CASE WHEN event_type = 'view' THEN ['Goal', 'Off T', 'Wayward', 'Saved', 'Post'][event_id % 5 + 1] END AS shot_outcome,
+  CASE WHEN event_type = 'signup' AND event_id // 10 % 3 = 0 THEN ['Won', 'Lost In Play', 'Success Out', 'Lost Out'][event_id % 4 + 1] END AS duel_outcome,
+  CASE WHEN event_type = 'signup' AND event_id // 10 % 3 = 1 THEN ['Success In Play', 'Lost', 'Won', 'Success'][event_id % 4 + 1] END AS interception_outcome,
+  CASE WHEN event_type = 'signup' AND event_id // 10 % 3 = 2 THEN ['Complete', 'Incomplete', 'Complete'][event_id % 3 + 1] END AS dribble_outcome,
+  CASE WHEN event_type = 'purchase' AND event_id % 3 = 0 THEN 'Head' END AS clearance_body_part, CASE WHEN event_type = 'purchase' AND event_id % 3 = 1 THEN 'Foul Out' END AS foul_committed_type,
+  CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 4 > 0 THEN 'Tactical' ELSE 'Injury' END END AS substitution_outcome FROM events)"""
