@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import itertools
-from math import erf, sqrt
+from dataclasses import dataclass
+from math import erf, lgamma, log, pi, sqrt
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -100,9 +101,78 @@ def regression(rows: DataFrame, outcome: str, terms: list[str]) -> DataFrame:
     return rows.sparkSession.createDataFrame(out, schema)
 
 
-def independence(rows: DataFrame, outcome: str, tested: str, given: list[str], level: float = 1.959963984540054) -> DataFrame:
-    """Whether a variable tells about the outcome beside the given ones: its coefficient by least squares with its interval."""
-    fit = regression(rows, outcome, [tested, *given]).where(F.col("term") == tested)
+@dataclass(frozen=True)
+class Robust:
+    """A regression with Student-t errors: terms and estimates, their standard errors, the errors' scale and degrees of freedom."""
+
+    terms: list[str]
+    estimates: np.ndarray
+    errors: np.ndarray
+    scale: float
+    freedom: float
+    steps: int
+
+
+def student_t(rows: DataFrame, outcome: str, terms: list[str], freedom: tuple[float, ...] = (4.0,), tolerance: float = 1e-10, most: int = 200) -> Robust | None:
+    """Regression with Student-t errors by iteratively reweighted least squares; None without rows.
+
+    Each step is one aggregate of weighted moments, whatever the number of rows: a row weighs (v + 1) / (v + r^2 / s^2) with its residual r
+    under the step before; coefficients and scale follow from the moments. Of several degrees of freedom the likeliest is taken, anew in
+    each step, from log-likelihoods that the same aggregate sums. Standard errors are those of the expected information.
+    """
+    cols, k = [F.col(t).cast("double") for t in terms], len(terms)
+    y = F.col(outcome).cast("double")
+    clean = rows.dropna(subset=[outcome, *terms])
+    first = clean.agg(F.count("*").alias("n"), F.avg(y).alias("y"), F.var_pop(y).alias("v"), *[F.avg(c).alias(f"x{i}") for i, c in enumerate(cols)]).first()
+    n = first["n"]
+    if not n:
+        return None
+    centre, middle = np.array([first[f"x{i}"] for i in range(k)], float), float(first["y"])
+    x = [F.lit(1.0), *[c - float(m) for c, m in zip(cols, centre, strict=True)]]
+    e = y - middle
+    beta, variance, v = np.zeros(k + 1), float(first["v"]) or 1.0, freedom[0]
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    for step in range(1, most + 1):
+        r = e
+        for b, c in zip(beta, x, strict=True):
+            r = r - float(b) * c
+        z = r * r / variance
+        w = (v + 1) / (v + z)
+        likely = [F.sum(F.log1p(z / f)).alias(f"l{i}") for i, f in enumerate(freedom)] if len(freedom) > 1 else []
+        got = clean.agg(
+            *[F.sum(w * x[i] * x[j]).alias(f"x{i}_{j}") for i, j in pairs], *[F.sum(w * x[i] * e).alias(f"y{i}") for i in range(k + 1)], F.sum(w * e * e).alias("yy"),
+            *[F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i, j in pairs], *likely,
+        ).first()
+        sym = lambda p: np.array([[got[f"{p}{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)], float)  # noqa: E731, B023
+        xtx, xty = sym("x"), np.array([got[f"y{i}"] for i in range(k + 1)], float)
+        new = np.linalg.pinv(xtx, hermitian=True) @ xty
+        old, beta = beta, new
+        before, variance = variance, max(float(got["yy"] - 2 * new @ xty + new @ xtx @ new) / n, 1e-300)
+        if likely:
+            value = [lgamma((f + 1) / 2) - lgamma(f / 2) - log(f * pi) / 2 - (f + 1) / 2 * got[f"l{i}"] / n for i, f in enumerate(freedom)]
+            v, kept = freedom[int(np.argmax(value))], v
+        if np.abs(new - old).max() <= tolerance * (1 + np.abs(new).max()) and abs(variance - before) <= tolerance * variance and (not likely or v == kept):
+            break
+    information = (v + 1) / (v + 3) / variance * sym("p")
+    cov = np.linalg.pinv(information, hermitian=True)
+    turn = np.eye(k + 1)
+    turn[0, 1:] = -centre  # the intercept of the factors as they were
+    beta = turn @ beta
+    beta[0] += middle
+    return Robust(["intercept", *terms], beta, np.sqrt(np.diag(turn @ cov @ turn.T)), sqrt(variance), v, step)
+
+
+def robust_regression(rows: DataFrame, outcome: str, terms: list[str], **settings) -> DataFrame:
+    """student_t() as rows term, estimate, se, scale, freedom."""
+    fit = student_t(rows, outcome, terms, **settings)
+    out = [] if fit is None else [(t, float(b), float(s), fit.scale, float(fit.freedom)) for t, b, s in zip(fit.terms, fit.estimates, fit.errors, strict=True)]
+    return rows.sparkSession.createDataFrame(out, "term string, estimate double, se double, scale double, freedom double")
+
+
+def independence(rows: DataFrame, outcome: str, tested: str, given: list[str], level: float = 1.959963984540054, robust: bool = False) -> DataFrame:
+    """Whether a variable tells about the outcome beside the given ones: its coefficient, by least squares or with Student-t errors, and its
+    interval."""
+    fit = (robust_regression if robust else regression)(rows, outcome, [tested, *given]).where(F.col("term") == tested)
     low, high = F.col("estimate") - level * F.col("se"), F.col("estimate") + level * F.col("se")
     return fit.select(F.lit(outcome).alias("outcome"), F.col("term").alias("tested"), "estimate", low.alias("low"), high.alias("high"), ((low <= 0) & (high >= 0)).alias("independent"))
 

@@ -59,7 +59,7 @@ class Sums:
 def summed(rows: DataFrame, keys: list[str], columns: list[str], names: list[str], make: Make, draws: int, room: int = ROOM, cells: int = CELLS) -> DataFrame:
     """By `keys` the number of rows and the sums of the arrays `names` that `make` takes from `columns`."""
     out = StructType([*[rows.schema[k] for k in keys], StructField("n", LongType()), *[StructField(n, ArrayType(DoubleType())) for n in names]])
-    kinds = pa.schema([*[(k, _arrow(rows.schema[k].dataType.simpleString())) for k in keys], ("n", pa.int64()), *[(n, pa.list_(pa.float64())) for n in names]])
+    kinds = pa.schema([*[(k, arrow_type(rows.schema[k].dataType.simpleString())) for k in keys], ("n", pa.int64()), *[(n, pa.list_(pa.float64())) for n in names]])
     step = max(1, cells // max(1, draws))
 
     def keyed(b: pa.RecordBatch) -> list[tuple]:
@@ -87,7 +87,7 @@ def summed(rows: DataFrame, keys: list[str], columns: list[str], names: list[str
     return parts.mapInArrow(merged, out)
 
 
-def _arrow(kind: str) -> pa.DataType:
+def arrow_type(kind: str) -> pa.DataType:
     known = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "date": pa.date32(), "boolean": pa.bool_()}
     return known[kind]
 

@@ -171,6 +171,25 @@ def conditional_independence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("outcome", "tested", *[F.round(c, 4).alias(c) for c in ("estimate", "low", "high")], "independent")
 
 
+def robust_sql(steps: int) -> str:
+    """Steps of iteratively reweighted least squares with four degrees of freedom, one common table expression a step."""
+    out = "WITH r AS (SELECT l_extendedprice / 1000 AS y, CAST(l_quantity AS DOUBLE) AS x FROM lineitem), m AS (SELECT avg(y) AS my, avg(x) AS mx, var_pop(y) AS v, count(*) AS n FROM r), c AS MATERIALIZED (SELECT y - my AS y, x - mx AS x FROM r, m),\ns0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, v FROM m)"
+    for k in range(steps):
+        out += f""",
+w{k} AS (SELECT sum(w) AS sw, sum(w * x) AS sx, sum(w * x * x) AS sxx, sum(w * y) AS sy, sum(w * x * y) AS sxy, sum(w * y * y) AS syy, count(*) AS n FROM (SELECT x, y, 5 / (4 + pow(y - a - b * x, 2) / v) AS w FROM c, s{k})),
+s{k + 1} AS MATERIALIZED (SELECT a, b, (syy - 2 * (a * sy + b * sxy) + a * a * sw + 2 * a * b * sx + b * b * sxx) / n AS v FROM (SELECT *, (sy - b * sx) / sw AS a FROM (SELECT *, (sw * sxy - sx * sy) / (sw * sxx - sx * sx) AS b FROM w{k})))"""
+    return out + f"""
+SELECT 'intercept' AS term, round(a - b * mx + my, 5) AS estimate, round(sqrt(s{steps}.v), 5) AS scale FROM s{steps}, m UNION ALL SELECT 'quantity', round(b, 5), round(sqrt(v), 5) FROM s{steps}"""
+
+
+@query(robust_sql(60))
+def robust_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regression with Student-t errors by iteratively reweighted aggregates."""
+    rows = T.table(spark, sf_dir, "lineitem").select((F.col("l_extendedprice") / 1000).alias("price"), F.col("l_quantity").alias("quantity"))
+    r = causal.robust_regression(rows, "price", ["quantity"], tolerance=1e-9)
+    return r.select("term", F.round("estimate", 5).alias("estimate"), F.round("scale", 5).alias("scale"))
+
+
 @query("WITH " + T.GAMES + """ SELECT match_id FROM games WHERE kick_off >= (SELECT max(kick_off) FROM games WHERE season < 2000)""")
 def resumed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scan that resumes at the last stored day."""

@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import scoring as S
+from touchline.operators import association as A
 from touchline.operators import counts as C
 from touchline.operators import draws as D
 from touchline.operators import evaluation as E
 from touchline.operators import features
+from touchline.operators import loo as LOO
 from touchline.operators import ratings as R
 from touchline.operators import regression as P
 from touchline.operators import relational as Q
@@ -503,15 +505,37 @@ def draw_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("league", *[F.round(c, 6).alias(c) for c in ("observed", "predicted", "low", "high")], "flag")
 
 
-@query("WITH " + T.DRAWS + """ SELECT regexp_replace(concat('beta[', CAST(factor AS VARCHAR), ']'), '\\[.*\\]', '') AS family, count(*) AS n, round(max(abs(corr)), 6) AS top FROM (
-  SELECT factor, corr(beta[1], beta[2]) AS corr FROM draws GROUP BY factor) GROUP BY family""".replace("\\\\", "\\"))
+PAIRS = "(SELECT a.i AS i, b.i AS j FROM range(1, 65) a(i) JOIN range(1, 65) b(i) ON a.i < b.i)"
+
+
+@query("WITH " + T.DRAWS + """, c AS (SELECT factor, i, j, count(*) AS n, corr(beta[i], beta[j]) AS corr FROM draws CROSS JOIN """ + PAIRS + """ GROUP BY factor, i, j)
+SELECT 'beta' AS family, count(DISTINCT factor) AS n, round(max(abs(corr)), 6) AS top FROM c WHERE isfinite(corr)""")
 def family_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Largest correlation by parameter family, the index cut from its name."""
-    c = T.draws(spark, sf_dir).groupBy("factor").agg(F.corr(F.col("beta")[0], F.col("beta")[1]).alias("corr"))
+    """Largest correlation by parameter family over all pairs of draws, the index cut from its name."""
+    c = A.top_pair(A.correlations(T.draws(spark, sf_dir), "beta", ("factor",)), "factor")
     family = F.regexp_replace(F.concat(F.lit("beta["), F.col("factor").cast("string"), F.lit("]")), r"\[.*\]", "")
     return c.groupBy(family.alias("family")).agg(F.count("*").alias("n"), F.round(F.max(F.abs("corr")), 6).alias("top"))
 
 
+@query("WITH " + T.DRAWS + """, g AS (SELECT list_transform(range(1, 65), lambda i: CASE WHEN (key + i) % 7 <> 0 THEN beta[i] END) AS x FROM draws)
+SELECT i - 1 AS i, j - 1 AS j, count(*) FILTER (x[i] IS NOT NULL AND x[j] IS NOT NULL) AS n, round(corr(x[i], x[j]), 6) AS corr FROM g CROSS JOIN """ + PAIRS + " GROUP BY i, j")
+def draw_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All correlations of 64 columns with gaps, each over the rows that both have."""
+    gaps = F.transform("beta", lambda v, i: F.when((F.col("key") + i + 1) % 7 != 0, v))
+    c = A.correlations(T.draws(spark, sf_dir).select(gaps.alias("x")), "x")
+    return c.select("i", "j", "n", F.round("corr", 6).alias("corr"))
+
+
+@query()
+def loo_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two models by Pareto-smoothed leave-one-out densities: their sums, how many shapes are too large, the difference and its error."""
+    d = T.draws(spark, sf_dir).select("key", F.transform("beta", lambda v: -v * v - 0.5).alias("one"), F.transform("beta", lambda v: -1.2 * v * v - 0.4).alias("two"))
+    a, b = LOO.pointwise(d, "key", "one"), LOO.pointwise(d, "key", "two")
+    part = lambda p, name: LOO.summary(p).select(F.lit(name).alias("model"), F.round("elpd_loo", 5).alias("elpd"), F.round("se", 5).alias("se"), F.col("bad").cast("long").alias("bad"), "n")
+    diff = LOO.compared(a, b, "key").select(F.lit("one - two").alias("model"), F.round("elpd_diff", 5).alias("elpd"), F.round("dse", 5).alias("se"), F.lit(None).cast("long").alias("bad"), "n")
+    return part(a, "one").union(part(b, "two")).union(diff)
+
+
 @query("WITH " + T.FORECASTS + ", " + T.ODDS + """ SELECT f.fold, count(*) AS n, round(avg(ln(greatest(f.p[f.y + 1], 1e-12)) - ln(greatest(CASE f.y WHEN 0 THEN 1/o.a WHEN 1 THEN 1/o.d ELSE 1/o.h END / (1/o.a + 1/o.d + 1/o.h), 1e-12))), 6) AS difference
 FROM forecasts f JOIN odds o ON o.id = f.id // 10 GROUP BY f.fold""")
 def head_to_head(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import scalars as S
+from touchline.operators import association
 from touchline.operators import relational as R
 from touchline.operators import scaling as Z
 from touchline.plans.registry import query
@@ -307,3 +308,18 @@ def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), count("<p>", 0).alias("paragraphs"),
         count('href="([^"]*)"', 1).alias("links"), F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"),
     )
+
+
+FEATURES = ["quantity", "price", "discount", "tax"]
+
+
+@query("WITH x AS (SELECT l_returnflag AS flag, [CAST(l_quantity AS DOUBLE), l_extendedprice, CASE WHEN l_linenumber <> 3 THEN l_discount END, l_tax] AS v FROM lineitem), p AS (SELECT a.i AS i, b.i AS j FROM range(1, 5) a(i) JOIN range(1, 5) b(i) ON a.i < b.i)"
+  " SELECT flag, " + " || ', ' || ".join(f"['quantity', 'price', 'discount', 'tax'][{k}]" for k in ("i", "j")) + " AS pair, count(*) FILTER (v[i] IS NOT NULL AND v[j] IS NOT NULL) AS n, round(corr(v[i], v[j]), 6) AS corr FROM x CROSS JOIN p GROUP BY flag, i, j")
+def feature_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The correlation matrix of features by group, pairwise complete."""
+    x = T.table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.when(F.col("l_linenumber") != 3, F.col("l_discount")).alias("discount"), F.col("l_tax").alias("tax"),
+    )
+    c = association.correlations(x, FEATURES, ("flag",))
+    name = lambda k: F.element_at(F.array(*map(F.lit, FEATURES)), (F.col(k) + 1).cast("int"))
+    return c.select("flag", F.concat_ws(", ", name("i"), name("j")).alias("pair"), "n", F.round("corr", 6).alias("corr"))
