@@ -75,7 +75,8 @@ class Ratings:
 
 
 def _folded(rules: Rules, apart: bool):
-    """Batches in order of league (if apart), time -> RATED. Rows with a team and an elo set that team's rating."""
+    """Batches in order of league (if apart), time -> RATED. Rows with a team and an elo set that team's rating, and with a season when it was
+    last seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, league = Ratings(rules), None
@@ -86,6 +87,8 @@ def _folded(rules: Rules, apart: bool):
                     state, league = Ratings(rules), name
                 if team is not None:
                     state.rating[team] = elo
+                    if season is not None:
+                        state.seen[team] = season
                 else:
                     out.append((match, name, season, *state.play(season, home, away, hg, ag)))
             columns = list(zip(*out, strict=True)) or [[]] * 5
@@ -123,11 +126,36 @@ def elo_global(games: DataFrame, rules: Rules = Rules(resets=False, unplayed="fr
     return _stream(_rows(games.where("hg is not null")), rules, [])
 
 
+def _standing(ratings: DataFrame) -> DataFrame:
+    """Stored ratings(league, team, elo[, seen]) as rows that come first in time."""
+    seen = F.col("seen") if "seen" in ratings.columns else F.lit(None)
+    return ratings.select(
+        "league", seen.cast("int").alias("season"), *[F.lit(None).cast("long").alias(c) for c in ("match_id", "home", "away", "hg", "ag")],
+        F.col("team").cast("long").alias("team"), F.col("elo").cast("double").alias("elo"), F.lit(None).cast("date").alias("kick_off"),
+    )
+
+
+def continued(games: DataFrame, ratings: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """RATED of games that follow on stored ratings(league, team, elo, seen), seen the season of a team's last match."""
+    return _stream(_rows(games).unionByName(_standing(ratings)), rules, ["league"])
+
+
+def after(rated: DataFrame, games: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Ratings (league, season, team, elo) after each team's last match of a season, from the ratings before all of its matches."""
+    g = games.select("match_id", "kick_off", F.col("home").cast("long").alias("home"), F.col("away").cast("long").alias("away"), "hg", "ag")
+    rows = rated.join(g, "match_id")
+    unplayed = F.col("hg").isNull() | F.col("ag").isNull()
+    result = F.when(unplayed | (F.col("hg") == F.col("ag")), 0.5).when(F.col("hg") > F.col("ag"), 1.0).otherwise(0.0)
+    still = F.col("season").isin(*rules.frozen) if rules.frozen else F.lit(False)
+    still = still | unplayed if rules.unplayed == "frozen" else still
+    home, away = updated(F.col("home_elo"), F.col("away_elo"), result, rules.step, rules.advantage)
+    side = lambda team, before, now: F.struct(F.col(team).alias("team"), F.when(still, F.col(before)).otherwise(now).alias("elo"))
+    sides = rows.select("league", "season", "kick_off", "match_id", F.explode(F.array(side("home", "home_elo", home), side("away", "away_elo", away))).alias("s"))
+    order = F.struct(F.col("kick_off").isNotNull(), "kick_off", "match_id")
+    return sides.groupBy("league", "season", F.col("s.team").alias("team")).agg(F.max_by("s.elo", order).alias("elo"))
+
+
 def resumed(games: DataFrame, ratings: DataFrame, since: str, rules: Rules = Rules(resets=False, unplayed="frozen")) -> DataFrame:
     """Roll only the matches on or after `since` on from stored ratings(league, team, elo), which come first in time."""
     newer = _rows(games.where(F.col("kick_off") >= F.lit(since).cast("date")))
-    first = ratings.select(
-        "league", *[F.lit(None).cast("int" if c == "season" else "long").alias(c) for c in ("season", "match_id", "home", "away", "hg", "ag")],
-        F.col("team").cast("long").alias("team"), F.col("elo").cast("double").alias("elo"), F.lit(None).cast("date").alias("kick_off"),
-    )
-    return _stream(newer.unionByName(first), rules, ["league"])
+    return _stream(newer.unionByName(_standing(ratings)), rules, ["league"])
