@@ -61,6 +61,48 @@ def step_share() -> Column:
     return F.round(F.avg(F.when(~F.col("_first"), (F.col("_d") == F.col("_p")).cast("int"))), 6)
 
 
+def timing(rows: DataFrame, total: str, team_total: str, share: str, own: str) -> DataFrame:
+    """Rules of a table of appearances after with_lags(): totals stand as before the match, begin at 0 and give the stored share, shares above 1 and
+    large counts are few."""
+    later, step = ~F.col("_first"), F.col("_d")
+    mean = lambda c, where: F.avg(F.when(where, c.cast("double")))
+    ratio = F.try_divide(F.col(total).cast("double"), F.nullif(F.col(team_total).cast("double"), F.lit(0.0)))
+    both = F.col(share).isNotNull() & ratio.isNotNull()
+    one = rows.agg(
+        mean(step == F.col("_p"), later).alias("pre"), mean(step == F.col(own), later).alias("post"), mean(F.col(total) == 0, F.col("_first")).alias("first"),
+        mean(close(ratio, F.col(share)), both).alias("same"), F.count_if(F.col(share) > 1).alias("over"), F.max(own).alias("top"), F.avg((F.col(own) > 6).cast("double")).alias("above"),
+    )
+    c, text = F.col, lambda x: F.format_string("%.4f", F.col(x))
+    return audit(
+        [
+            report("timing: total is that before the match", (c("pre") > 0.995) & (c("pre") > c("post")), F.concat(text("pre"), F.lit(" against "), text("post")), one),
+            report("timing: first appearance has 0", c("first") == 1, text("first"), one), report("timing: share is the ratio", c("same") > 0.999, text("same"), one),
+            report("sanity: shares above 1", c("over") < 50, c("over"), one, True), report("sanity: goal counts", (c("top") <= 6) | (c("above") < 0.001), c("top"), one, True),
+        ]
+    )
+
+
+def opening(rows: DataFrame, points: str, team: list[str], day: str) -> DataFrame:
+    """Points before a team's first match have to be 0."""
+    first = rows.withColumn("_o", F.min(day).over(Window.partitionBy(*team))).where(F.col(day) == F.col("_o"))
+    one = first.agg(F.avg((F.col(points) == 0).cast("double")).alias("v"))
+    return report("timing: points are 0 at the first match", F.col("v") == 1, F.format_string("%.4f", F.col("v")), one)
+
+
+def density(rows: DataFrame, season: str, match: str, off: float) -> DataFrame:
+    """Rows a match by season may differ from their median by a share `off` at most; the detail counts seasons that differ more."""
+    d = rows.groupBy(season).agg((F.count("*") / F.countDistinct(match)).alias("x"))
+    med = d.agg(F.percentile("x", F.lit(0.5)).alias("med"))  # a number a season
+    n = d.crossJoin(F.broadcast(med)).agg(F.count_if(F.abs(F.col("x") - F.col("med")) / F.col("med") > off).alias("n"))
+    return report("appearance density", F.col("n") == 0, F.col("n"), n)
+
+
+def drift(rows: DataFrame, value: str, groups: list[str]) -> DataFrame:
+    """Mean and number of rows by each of some groupings, one below the other: (by, value, <value>, n)."""
+    one = lambda g: rows.groupBy(F.lit(g).alias("by"), F.col(g).cast("string").alias("value")).agg(F.avg(value).alias(value), F.count("*").alias("n"))
+    return reduce(DataFrame.union, map(one, groups))
+
+
 def close(a: Column, b: Column) -> Column:
     return F.abs(a - b) <= 1e-8 + 1e-5 * F.abs(b)
 

@@ -21,6 +21,12 @@ def effects_by(rows: DataFrame, *strata: str) -> DataFrame:
     )
 
 
+def assignment_rates(rows: DataFrame, stratum: str, unit: str) -> DataFrame:
+    """Share of units (such as matches) with any treatment by stratum: a unit counts once in a stratum, however many rows it has there."""
+    once = rows.groupBy(stratum, unit).agg(F.max((F.col("treated") > 0).cast("int")).alias("any"))
+    return once.groupBy(stratum).agg(F.count("*").alias("units"), F.avg("any").alias("rate"))
+
+
 def naive_and_adjusted(rows: DataFrame, stratum: str) -> DataFrame:
     """The plain difference and the unweighted mean of the strata's differences, empty cells skipped."""
     return effects_by(rows).select(F.col("effect").alias("naive")).crossJoin(effects_by(rows, stratum).agg(F.avg("effect").alias("adjusted")))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import scoring as S
-from touchline.operators.relational import dealt, running
+from touchline.operators.relational import dealt, quantiles, running
 
 
 def metrics(rows: DataFrame, *groups: str) -> DataFrame:
@@ -33,6 +33,52 @@ def reliability(rows: DataFrame, k: int, bins: int) -> DataFrame:
     return all_bins.join(got, "bin", "left").withColumn("count", F.coalesce("count", F.lit(0).cast("long")))
 
 
+def reliability_curves(rows: DataFrame, classes: int, bins: int, least: int) -> DataFrame:
+    """Reliability of every class: (class, bin, count, observed, predicted) of the bins that hold at least `least` forecasts. Bins are half-open,
+    so that a probability of 1 is in none. One aggregate; a row has as many entries as there are classes."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("class"), F.col("p")[k].alias("x"), (F.col("y") == k).cast("double").alias("hit")) for k in range(classes)]))
+    rows = rows.select(each.alias("e")).select("e.*").withColumn("bin", F.floor(F.col("x") * bins).cast("int")).where(F.col("bin") < bins)
+    got = rows.groupBy("class", "bin").agg(F.count("*").alias("count"), F.avg("hit").alias("observed"), F.avg("x").alias("predicted"))
+    return got.where(F.col("count") >= least)
+
+
+def adoption(rows: DataFrame, metrics: list[str], *groups: str, least: float = 2.5) -> DataFrame:
+    """Whether a challenger is taken over: rows hold its difference to the incumbent in each metric, lower being better. It qualifies if all
+    mean differences are negative and all paired t statistics are at least `least` in size."""
+    out = rows.groupBy(*groups).agg(
+        F.count("*").alias("n"), *[F.avg(m).alias(m) for m in metrics], *[F.try_divide(F.avg(m), F.stddev_samp(m) / F.sqrt(F.count(m))).alias(f"{m}_t") for m in metrics]
+    )
+    ok = F.lit(True)
+    for m in metrics:
+        ok = ok & F.coalesce((F.col(m) < 0) & (F.abs(f"{m}_t") >= least), F.lit(False))
+    return out.withColumn("qualifies", ok)
+
+
+def binary_log_loss(y: Column, p: Column, floor: float = 1e-5) -> Column:
+    """Log loss of a yes-or-no forecast whose two probabilities are floored."""
+    return -((1 - y) * S.log_floored(1 - p, floor) + y * S.log_floored(p, floor))
+
+
+def joint_hits(rows: DataFrame, classes: int) -> DataFrame:
+    """Share of all rows whose class came and was predicted, for each class, their sum, and the sum without class 0; y and y_hat."""
+    share = [F.avg(((F.col("y") == k) & (F.col("y_hat") == k)).cast("double")) for k in range(classes)]
+    total = sum(share[1:], F.lit(0.0))
+    return rows.agg(*[s.alias(f"class_{k}") for k, s in enumerate(share)], (share[0] + total).alias("all"), total.alias("above_0"))
+
+
+def plausible(rows: DataFrame, count: str, limits: dict[int, float | None]) -> DataFrame:
+    """Moments, quantiles and exceedances of simulated counts, from counts by value, and whether all exceedances are below their limits
+    (None: no limit): the check of a prior by what it predicts."""
+    by = rows.groupBy(F.col(count).alias("v")).agg(F.count("*").alias("c"))
+    n, ok = F.sum("c"), F.lit(True)
+    above = {k: F.sum(F.when(F.col("v") > k, F.col("c")).otherwise(0)) / n for k in limits}
+    for k, most in limits.items():
+        ok = ok if most is None else ok & (above[k] < most)
+    q = quantiles(rows.select(F.col(count).cast("double").alias("v")), "v", [0.5, 0.9, 0.99, 0.999]).toDF("median", "q90", "q99", "q999")
+    one = by.agg((F.sum(F.col("v") * F.col("c")) / n).alias("mean"), F.max("v").alias("most"), *[x.alias(f"above_{k}") for k, x in above.items()], ok.alias("plausible"))
+    return one.crossJoin(q)
+
+
 def calibration_error(rows: DataFrame, bins: int, realised: bool) -> DataFrame:
     """Expected calibration error: bins of the realised class's probability, half-open so that 1 is lost, or of the confidence, last bin closed."""
     p, y = F.col("p"), F.col("y")

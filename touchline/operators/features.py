@@ -22,11 +22,51 @@ def differences(rows: DataFrame) -> DataFrame:
         {
             "goalsscored_diff": c("gf_team") - c("gf_opp"), "goal_balance_team": own, "goal_balance_opp": other,
             "goal_balance_diff": own - other, "points_diff": c("points_team") - c("points_opp"),
-            "momentum_product": c("gf_team") * c("gf_opp"), "goal_appeal": c("ga_opp") - c("gf_team"),
+            "momentum_product": c("gf_team") * c("gf_opp"), "offence_against_defence": c("gf_team") + c("ga_opp"),
         }
     )
 
 
+def pre_match_ranks(sides: DataFrame) -> DataFrame:
+    """Goal ranks of both teams before each match, as scored_rank and conceded_rank with suffixes _team and _opp; 0 before the first day."""
+    table, columns = L.ranked(L.ladder(sides)), ["scored_rank", "conceded_rank"]
+    out = L.prior_standing(sides, table, columns, "_team", "team")
+    return L.prior_standing(out, table, columns, "_opp", "opp")
+
+
+def rank_differences(rows: DataFrame) -> DataFrame:
+    """Goal appeal, the opponent's conceded-rank less the team's scored-rank, and the difference of the scored-ranks."""
+    return rows.withColumns({"goal_appeal": F.col("conceded_rank_opp") - F.col("scored_rank_team"), "scored_rank_diff": F.col("scored_rank_team") - F.col("scored_rank_opp")})
+
+
+def without_player(rows: DataFrame, without: str) -> DataFrame:
+    """The rank difference as it were without the player's goals, and what the player contributes to it."""
+    less = F.col(without) - F.col("scored_rank_opp")
+    return rows.withColumns({"scored_rank_diff_without": less, "scored_rank_diff_contribution": F.col("scored_rank_diff") - less})
+
+
+def interactions(rows: DataFrame) -> DataFrame:
+    """Products of ratings and of short and long momentum. The last one is called a difference where it comes from, and is a product."""
+    c = F.col
+    return rows.withColumns(
+        {
+            "elo_diff": c("elo_team") - c("elo_opp"), "elo_team_opp": c("elo_team") * c("elo_opp"), "team_short_long": c("short_team") * c("long_team"),
+            "opp_short_long": c("short_opp") * c("long_opp"), "short_diff": c("short_team") * c("short_opp"),
+        }
+    )
+
+
+def position_dummies(rows: DataFrame, position: str, forward: str) -> DataFrame:
+    """Whether a player is a forward, and whether the position is unknown, after the position was filled inside season and player."""
+    return rows.withColumns({"position_forward": F.coalesce((F.col(position) == forward).cast("int"), F.lit(0)), "position_unknown": F.col(position).isNull().cast("int")})
+
+
+def minutes_to_whistle(scorers: DataFrame) -> DataFrame:
+    """By match and player the mean number of minutes from a goal to the end of its half; minute 45 belongs to the second half."""
+    left = F.when(F.col("minute") < 45, 45 - F.col("minute")).otherwise(90 - F.col("minute"))
+    return scorers.groupBy("match_id", "player").agg(F.avg(left).alias("minutes_left"), F.count("*").alias("goals"))
+
+
 def player_goals(games: DataFrame, lineup: DataFrame, scorers: DataFrame) -> DataFrame:
     """One row per appearance with the player's team and goals; minute 45 belongs to the second half."""
     goals = scorers.groupBy("match_id", "player").agg(

@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def within(value: str, groups: list[str], degenerate: str = "zero") -> Column:
-    """(x - mean) / sample deviation within a group; where that is null or 0: 'unit' divides by 1, 'zero' gives 0."""
-    w = Window.partitionBy(*groups)
-    mean, sd = F.avg(value).over(w), F.stddev_samp(value).over(w)
-    usable = sd.isNotNull() & (sd > 0)
-    if degenerate == "unit":
-        return (F.col(value) - mean) / F.when(usable, sd).otherwise(1.0)
-    return F.when(usable, (F.col(value) - mean) / F.when(usable, sd)).otherwise(0.0)
+def scaled(rows: DataFrame, value: str, groups: list[str], name: str, degenerate: str = "zero") -> DataFrame:
+    """(x - mean) / sample deviation within a group, as column `name`; where that is null or 0: 'unit' divides by 1, 'zero' gives 0.
+
+    A table of moments is joined, so groups may be few and hold any share of the rows: partial sums and not rows are shuffled by group, and
+    Spark broadcasts the moments if they are small enough."""
+    m = rows.groupBy(*groups).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd"))
+    keys = [f"_k{i}" for i in range(len(groups))]
+    m = m.select(*[F.col(g).alias(k) for g, k in zip(groups, keys, strict=True)], "_mean", "_sd")
+    same = F.lit(True)
+    for g, k in zip(groups, keys, strict=True):
+        same = same & F.col(g).eqNullSafe(F.col(k))
+    usable = F.col("_sd") > 0  # null counts as not usable
+    z = (F.col(value) - F.col("_mean")) / F.when(usable, F.col("_sd")).otherwise(1.0)
+    z = z if degenerate == "unit" else F.when(usable, z).otherwise(0.0)
+    return rows.join(m, same, "left").withColumn(name, z).drop("_mean", "_sd", *keys)
+
+
+def frozen_scalars(table: DataFrame, values: list[str]) -> DataFrame:
+    """One mean and one deviation for each value out of moments by match day: the plain means over the days of the days' means and
+    deviations."""
+    return table.agg(*[F.avg(f"{v}_{n}").alias(f"{v}_{n}") for v in values for n in ("mean", "sd")])
 
 
 def moments(rows: DataFrame, values: list[str], groups: list[str]) -> DataFrame:

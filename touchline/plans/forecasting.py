@@ -471,7 +471,8 @@ u AS (SELECT match_id, league, draw, ch, ca, ((match_id * 2 * 7919 + draw * 1047
 reps AS (SELECT league, draw, len(list_filter(ch, lambda c: c < uh)) AS h, len(list_filter(ca, lambda c: c < ua)) AS a FROM u)"""
 
 
-def _replicated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def replicated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Rated matches that were played, and predictive draws of their scores."""
     rated = C.rates(T.games(spark, sf_dir).where("hg is not null")).select("match_id", "league", "hg", "ag", "lh", "la")
     return rated, C.replicates(rated, 20)
 
@@ -480,7 +481,7 @@ def _replicated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 SELECT k, (SELECT count(*) FILTER (hg = n.k) + count(*) FILTER (ag = n.k) FROM f) AS observed, round(avg(n), 6) AS mean, round(quantile_cont(n::DOUBLE, 0.03), 6) AS low, round(quantile_cont(n::DOUBLE, 0.97), 6) AS high FROM n GROUP BY k""")
 def rootogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observed goal counts against the counts of predictive draws, with bands."""
-    r = C.rootogram(*_replicated(spark, sf_dir), 8, 20)
+    r = C.rootogram(*replicated(spark, sf_dir), 8, 20)
     return r.select("k", "observed", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
@@ -492,7 +493,7 @@ p AS (SELECT x, y, avg(CASE WHEN h = x AND a = y THEN 1.0 ELSE 0 END) AS p FROM
 SELECT concat(x, '-', y) AS score, round(o, 6) AS observed, round(p, 6) AS predicted, round(o - p, 6) AS difference FROM o JOIN p USING (x, y)""")
 def scorelines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often scores occur, observed and predicted."""
-    r = C.scorelines(*_replicated(spark, sf_dir), LINES)
+    r = C.scorelines(*replicated(spark, sf_dir), LINES)
     return r.select("score", *[F.round(c, 6).alias(c) for c in ("observed", "predicted", "difference")])
 
 
@@ -501,7 +502,7 @@ b AS (SELECT league, avg(p) AS predicted, quantile_cont(p, 0.03) AS low, quantil
 SELECT league, round(observed, 6) AS observed, round(predicted, 6) AS predicted, round(low, 6) AS low, round(high, 6) AS high, CASE WHEN observed < low OR observed > high THEN 'MISS' ELSE 'ok' END AS flag FROM o JOIN b USING (league)""")
 def draw_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of draws by league against predictive draws, a 94 % band and a flag."""
-    r = C.draw_calibration(*_replicated(spark, sf_dir), "league")
+    r = C.draw_calibration(*replicated(spark, sf_dir), "league")
     return r.select("league", *[F.round(c, 6).alias(c) for c in ("observed", "predicted", "low", "high")], "flag")
 
 

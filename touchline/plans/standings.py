@@ -75,12 +75,12 @@ pre AS (
 
 @query("WITH " + PRIOR + """ SELECT match_id, home_pitch, team, opp, points_team, points_opp, gf_team - gf_opp AS goalsscored_diff,
   gf_team - ga_team AS goal_balance_team, gf_opp - ga_opp AS goal_balance_opp, (gf_team - ga_team) - (gf_opp - ga_opp) AS goal_balance_diff,
-  points_team - points_opp AS points_diff, gf_team * gf_opp AS momentum_product, ga_opp - gf_team AS goal_appeal FROM pre""")
+  points_team - points_opp AS points_diff, gf_team * gf_opp AS momentum_product, gf_team + ga_opp AS offence_against_defence FROM pre""")
 def match_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Standings before the match on both sides and their differences."""
+    """Standings before the match on both sides and their differences."""
     return features.differences(features.pre_match(T.sides(T.games(spark, sf_dir)))).select(
         "match_id", "home_pitch", "team", "opp", "points_team", "points_opp", "goalsscored_diff", "goal_balance_team",
-        "goal_balance_opp", "goal_balance_diff", "points_diff", "momentum_product", "goal_appeal",
+        "goal_balance_opp", "goal_balance_diff", "points_diff", "momentum_product", "offence_against_defence",
     )
 
 

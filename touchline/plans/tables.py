@@ -36,7 +36,7 @@ def match_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("WITH " + T.GAMES + """ SELECT match_id, CASE WHEN hg > ag THEN 2 WHEN hg < ag THEN 0 ELSE 1 END AS outcome, CAST(least(hg, 3) AS BIGINT) AS capped,
+@query("WITH " + T.GAMES + """ SELECT match_id, CASE WHEN hg > ag THEN 2 WHEN hg < ag THEN 0 ELSE 1 END AS outcome, CASE WHEN hg IS NOT NULL THEN least(hg, 3) END AS capped,
   round(coalesce(hg / CASE WHEN ag = 0 THEN NULL ELSE CAST(ag AS DOUBLE) END, 0), 6) AS ratio, round(CASE WHEN hg <= 0 THEN 0 ELSE ln(hg) END, 6) AS log_goals,
   round(1 / (1 + exp(-CAST(hg - ag AS DOUBLE))), 6) AS logistic, round(ln(1 + exp(-abs(CAST(hg - ag AS DOUBLE)))) + greatest(hg - ag, 0), 6) AS softplus,
   round(1300 * CASE WHEN home IN (1, 2, 3) THEN 0.8 ELSE 1 END * CASE WHEN home IN (3, 4) THEN 0.75 ELSE 1 END * CASE WHEN home IN (5) THEN 0.6 ELSE 1 END, 6)::DOUBLE AS elo_scaled,
@@ -46,7 +46,7 @@ def scalar_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = (F.col("hg") - F.col("ag")).cast("double")
     lists = [([1, 2, 3], 0.8), ([3, 4], 0.75), ([5], 0.6)]
     return T.games(spark, sf_dir).select(
-        "match_id", S.outcome(F.col("hg"), F.col("ag")).alias("outcome"), F.when(F.col("hg").isNotNull(), F.least("hg", F.lit(3).cast("long"))).otherwise(3).cast("long").alias("capped"),
+        "match_id", S.outcome(F.col("hg"), F.col("ag")).alias("outcome"), F.when(F.col("hg").isNotNull(), F.least("hg", F.lit(3).cast("long"))).alias("capped"),
         F.round(S.finite_or_zero(F.col("hg"), F.col("ag")), 6).alias("ratio"), F.round(S.log_guard(F.col("hg")), 6).alias("log_goals"),
         F.round(S.logistic(d), 6).alias("logistic"), F.round(S.softplus(d), 6).alias("softplus"),
         F.round(S.multiplied(F.lit(1300.0), F.col("home"), lists), 6).alias("elo_scaled"),
@@ -277,9 +277,10 @@ def density_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT match_id, home_pitch, round(z1, 6) AS z1, round(z2, 6) AS z2, round(z3, 6) AS z3 FROM z""")
 def z_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-sectional z-scores by three groupings, each with its rule for degenerate groups."""
-    pre = features.pre_match(T.sides(T.games(spark, sf_dir)))
-    zs = [Z.within("points_team", ["season", "league", "gameday"], "unit"), Z.within("points_team", ["season", "gameday"]), Z.within("points_team", ["gameday"])]
-    return pre.select("match_id", "home_pitch", *[F.round(z, 6).alias(f"z{i}") for i, z in enumerate(zs, 1)])
+    pre = features.pre_match(T.sides(T.games(spark, sf_dir))).select("match_id", "home_pitch", "season", "league", "gameday", "points_team")
+    for i, (groups, degenerate) in enumerate(((["season", "league", "gameday"], "unit"), (["season", "gameday"], "zero"), (["gameday"], "zero")), 1):
+        pre = Z.scaled(pre, "points_team", groups, f"z{i}", degenerate)
+    return pre.select("match_id", "home_pitch", *[F.round(f"z{i}", 6).alias(f"z{i}") for i in (1, 2, 3)])
 
 
 @query("WITH " + PRIOR + """, m AS (SELECT gameday, avg(points_team) AS mean, stddev_samp(points_team) AS sd FROM pre WHERE season < 2000 AND gameday <= 30 GROUP BY gameday)
