@@ -13,7 +13,7 @@ from touchline.operators import ladder as L
 from touchline.operators import scaling as Z
 from touchline.plans.forecasting import REPS, elo_sql, replicated
 from touchline.plans.registry import query
-from touchline.plans.standings import FORM, LADDER, PLAYER, PRIOR
+from touchline.plans.standings import FORM, FORM_ROWS, LADDER, PLAYER, PRIOR, ewma_sql
 from touchline.sources import tables as T
 
 RANKS = LADDER + """, prior_days AS (SELECT league, season, gameday, lag(gameday) OVER (PARTITION BY league, season ORDER BY gameday) AS prior FROM (SELECT DISTINCT league, season, gameday FROM ladder)),
@@ -55,13 +55,7 @@ def player_rank_contribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("match_id", "player", "scored_rank_diff", "scored_rank_diff_without", "scored_rank_diff_contribution")
 
 
-def _ewma(half: float) -> str:
-    w = f"pow(0.5::DOUBLE, (i - j) / {half}::DOUBLE)"
-    return f"list_sum(list_transform(range(1, i + 1), lambda j: xs[j] * {w})) / list_sum(list_transform(range(1, i + 1), lambda j: {w}))"
-
-
-@query("WITH RECURSIVE " + FORM + ", " + elo_sql("f") + f""", lists AS (SELECT league, season, team, list(points_team::DOUBLE ORDER BY i) AS xs FROM form GROUP BY ALL),
-m AS (SELECT a.match_id, a.home_pitch, a.team, a.opp, {_ewma(1.0)} AS s, {_ewma(8.0)} AS l FROM form a JOIN lists USING (league, season, team))
+@query("WITH RECURSIVE " + FORM + ", " + elo_sql("f") + f""", m AS (SELECT match_id, home_pitch, team, opp, {ewma_sql("points_team::DOUBLE", 1.0)} AS s, {ewma_sql("points_team::DOUBLE", 8.0)} AS l FROM form WINDOW {FORM_ROWS})
 SELECT a.match_id, a.home_pitch, round(CASE WHEN a.home_pitch = 1 THEN e.home_elo - e.away_elo ELSE e.away_elo - e.home_elo END, 4) AS elo_diff, round(e.home_elo * e.away_elo / 1e6, 4) AS elo_team_opp,
   round(a.s * a.l, 4) AS team_short_long, round(b.s * b.l, 4) AS opp_short_long, round(a.s * b.s, 4) AS short_diff FROM m a JOIN m b ON b.match_id = a.match_id AND b.team = a.opp JOIN f e ON e.match_id = a.match_id""")
 def interaction_features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,9 +149,16 @@ def rank_without_player(spark: SparkSession, sf_dir: str) -> DataFrame:
 FORM = PRIOR + """, form AS (SELECT *, row_number() OVER (PARTITION BY league, season, team ORDER BY kick_off, match_id, home_pitch) AS i FROM pre)"""
 
 
-@query("WITH " + FORM + """, lists AS (SELECT league, season, team, list(points_team::DOUBLE ORDER BY i) AS xs FROM form GROUP BY ALL),
-f AS (SELECT a.*, list_sum(list_transform(range(1, i + 1), lambda j: xs[j] * pow(0.5::DOUBLE, (i - j) / 4.0::DOUBLE))) / list_sum(list_transform(range(1, i + 1), lambda j: pow(0.5::DOUBLE, (i - j) / 4.0::DOUBLE))) AS ewma
-  FROM form a JOIN lists USING (league, season, team)),
+def ewma_sql(value: str, half: float) -> str:
+    """The adjusted mean up to each row as two running sums of weights that grow with the row's number i."""
+    w = f"pow(2.0::DOUBLE, i / {half}::DOUBLE)"
+    return f"sum({value} * {w}) OVER form_rows / sum({w}) OVER form_rows"
+
+
+FORM_ROWS = "form_rows AS (PARTITION BY league, season, team ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+@query("WITH " + FORM + ", f AS (SELECT *, " + ewma_sql("points_team::DOUBLE", 4.0) + " AS ewma FROM form WINDOW " + FORM_ROWS + """),
 g AS (SELECT *, ewma - lag(ewma) OVER (PARTITION BY league, season, team ORDER BY i) AS d FROM f)
 SELECT x.match_id, x.home_pitch, round(x.ewma, 6) AS ewma, round(coalesce(x.d, x.ewma), 6) AS ewma_diff, round(y.ewma, 6) AS ewma_opp
 FROM g x JOIN g y ON x.match_id = y.match_id AND x.opp = y.team""")
