@@ -118,3 +118,40 @@ def test_embeddings_empty(spark):
     assert embed_dedup.clusters(df).count() == 0
     only = spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in embed_dedup.clusters(only).collect()] == [(1, 0, 1, True)]
+
+
+def test_unrelated_long_texts_share_no_band():
+    signer, r = minhash.Signer(minhash.Settings()), np.random.default_rng(8)
+    sets = [r.integers(0, 1 << 63, 200_000).astype(np.uint64) for _ in range(24)]
+    coordinates = [signer.coordinates(s) for s in sets]
+    bands = np.array([signer.bands(c) for c in coordinates])
+    assert all(not (bands[i] == bands[j]).any() for i in range(24) for j in range(i))
+    assert max((coordinates[i] == coordinates[j]).mean() for i in range(24) for j in range(i)) < 0.02
+
+
+def test_estimates_are_those_of_independent_coordinates():
+    signer, r, off = minhash.Signer(minhash.Settings()), np.random.default_rng(9), []
+    for n in (20, 300, 60_000):
+        for _ in range(100 if n < 1000 else 8):
+            x = r.integers(0, 1 << 63, n).astype(np.uint64)
+            y = x.copy()
+            y[: n // 9] = r.integers(0, 1 << 63, n // 9).astype(np.uint64)
+            jaccard = (n - n // 9) / (n + n // 9)
+            off.append(((signer.coordinates(x) == signer.coordinates(y)).mean() - jaccard) / (jaccard * (1 - jaccard) / 256) ** 0.5)
+    assert abs(np.mean(off)) < 0.2 and 0.8 < np.std(off) < 1.2
+
+
+def test_long_near_copies_and_a_template(spark):
+    """Texts of 55,000 words, near copies among them, and pages of one template that share bands without being near, in small squares."""
+    r = random.Random(12)
+    long = [[f"q{r.randrange(10**9)}" for _ in range(55_000)] for _ in range(3)]
+    long.append(long[0][:54_000] + [f"z{i}" for i in range(1000)])
+    frame = [f"t{i}" for i in range(75)]
+    pages = [frame + [f"p{i}x{j}" for j in range(25)] for i in range(160)]
+    pages += [pages[5][:-1] + ["other"], pages[150][:-2] + ["an", "other"]]
+    docs = list(enumerate(" ".join(w) for w in long + pages))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in minhash.clusters(df, minhash.Settings(block=16, shared=2)).collect()}
+    sets = {i: shingles(t, 5) for i, t in docs}
+    linked = {i: [j for j in sets if j != i and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])] for i in sets}
+    assert got == grouped(sets, linked) and got[3] == 0 and got[164] == 9 and got[165] == 154

@@ -11,8 +11,9 @@ for this, which share some members drawn by hash, so that near copies hang toget
 still hold several components, the members outside the bucket's largest component are held, set against set, against every
 promising member of other components (by the whole signature) until a link to that component is found, so that every promising pair
 between components is confirmed or refuted; only links leave the bucket. Members of the largest component are never held against
-each other: a bucket of m members, r of them outside, takes r * m comparisons, and only the r are copied to its parts. A bucket
-whose m members all share a band without being near takes m * m.
+each other: a bucket of m members, r of them outside, takes r * m comparisons. They are dealt out as squares of `block` members by
+`block`, so a task holds two blocks and their sets, whatever r and m; a member outside is copied to m / block squares, any member
+to r / block. A bucket whose m members all share a band without being near, as pages of one template, takes m * m.
 
 Defined results: null, empty and blank texts have no shingles, link with nothing and are kept; repeated rows are copies of each
 other; rows without an id get no component and are kept; an empty table gives no rows. Texts of any length enter with all of their
@@ -44,9 +45,9 @@ class Settings:
     bands: int = 40
     rows: int = 5  #: coordinates in a band; a pair at 0.8 is missed by all bands with probability 1.2e-7
     coordinates: int = 256
-    slack: float = 0.1  #: pairs whose estimate falls short of the threshold by more (four deviations) are not confirmed
+    slack: float = 0.14  #: pairs whose estimate falls short of the threshold by more (5.6 deviations: probability 2e-8) are not confirmed
     first: int = 4  #: partners of a document in the first round
-    block: int = 512  #: members of a bucket that meet in one step
+    block: int = 512  #: members of a bucket that meet in one step, on either side
     shared: int = 16  #: members, about, of a larger bucket that meet in all of its parts
 
 
@@ -77,20 +78,33 @@ class Shingler:
 
 
 class Signer:
-    """Shingle hashes -> signature coordinates and band keys."""
+    """Shingle hashes -> signature coordinates and band keys.
 
-    bits = 16
+    The first permutation puts a shingle at one of 2^32 places, the second one is a keyed bijection of places; shifted by k it gives
+    coordinate k. Two unrelated sets of n shingles have n / 2^32 of their places in common: a band in common is improbable however
+    long the texts (1e-13 at 20 million shingles each).
+    """
+
+    step = 512  #: shingles taken at once
 
     def __init__(self, settings: Settings):
         self.settings = settings
-        size = 1 << self.bits
-        second = np.random.default_rng(20_240_601).permutation(size).astype(np.uint16)
-        around = np.concatenate([second, second[: settings.coordinates - 1]])
-        self.shifted = np.lib.stride_tricks.sliding_window_view(around, settings.coordinates)
+        self.shifts = np.arange(settings.coordinates, dtype=np.uint32)
+        self.at, self.high = (np.empty((self.step, settings.coordinates), np.uint32) for _ in range(2))
 
     def coordinates(self, shingles: np.ndarray) -> np.ndarray:
-        at = (_mix(shingles + _ODD[1]) >> np.uint64(64 - self.bits)).astype(np.int64)
-        return np.minimum.reduce([self.shifted[at[i : i + 2048]].min(axis=0) for i in range(0, len(at), 2048)])
+        places = (_mix(shingles + _ODD[1]) >> np.uint64(32)).astype(np.uint32)
+        out = np.full(len(self.shifts), 0xFFFFFFFF, np.uint32)
+        for i in range(0, len(places), self.step):
+            n = len(places[i : i + self.step])
+            x, high = self.at[:n], self.high[:n]
+            np.add(places[i : i + n, None], self.shifts, out=x)
+            x *= np.uint32(0x85EBCA6B)
+            np.right_shift(x, np.uint32(15), out=high)
+            x ^= high
+            x *= np.uint32(0xC2B2AE35)
+            np.minimum(out, x.min(axis=0), out=out)
+        return out
 
     def bands(self, coordinates: np.ndarray) -> np.ndarray:
         s = self.settings
@@ -172,7 +186,7 @@ class Block:
 
 
 def _block(t: pa.Table, settings: Settings, ordered: bool) -> Block:
-    """ordered: of two left members the pair counts on the side of the smaller node only."""
+    """ordered: of two members outside the largest component the pair counts on the side of the smaller node only."""
     nodes, labels, n = (t.column(c).to_numpy() for c in ("node", "label", "n"))
     left, right = (np.flatnonzero(t.column(c).to_numpy(zero_copy_only=False)) for c in ("left", "right"))
     sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(nodes), -1)
@@ -184,7 +198,7 @@ def _block(t: pa.Table, settings: Settings, ordered: bool) -> Block:
     fits &= 100 * np.minimum(a, b) >= settings.percent * np.maximum(a, b)
     fits &= labels[left][:, None] != labels[right]
     if ordered:
-        too = np.isin(nodes[right], nodes[left])
+        too = t.column("outside").to_numpy(zero_copy_only=False)[right]
         fits &= ~too | (nodes[left][:, None] < nodes[right])
     return Block(nodes, labels, left, right, alike, fits)
 
@@ -207,7 +221,7 @@ def _first_pairs(settings: Settings):
 
 
 def _involved(settings: Settings):
-    """Blocks -> (block, bucket, node, left, right) of the members of promising pairs between components."""
+    """Blocks -> (block, bucket, node, left, right, outside) of the members of promising pairs between components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, "block"):
@@ -215,7 +229,7 @@ def _involved(settings: Settings):
             some = np.zeros(len(k.nodes), bool)
             some[k.left[k.fits.any(axis=1)]] = True
             some[k.right[k.fits.any(axis=0)]] = True
-            yield from t.select(["block", "bucket", "node", "left", "right"]).filter(pa.array(some)).to_batches()
+            yield from t.select(["block", "bucket", "node", "left", "right", "outside"]).filter(pa.array(some)).to_batches()
 
     return run
 
@@ -281,19 +295,25 @@ def _first_blocks(members: DataFrame, nodes: DataFrame, settings: Settings) -> D
 
 
 def _late_blocks(members: DataFrame, labels: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
-    """Members of the buckets that hold several components, by part: block, bucket, node, label, n, sig, left, right.
+    """Members of the buckets that hold several components, by squares: block, bucket, node, label, n, sig, left, right, outside.
 
-    Those outside the bucket's largest component are `left` in every part; everyone is `right` in the own part.
+    Those outside the bucket's largest component are `left` in the squares of their own row, everyone is `right` in those of the own column.
     """
     known = members.join(labels, "node")
     sizes = known.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket")
-    mixed = sizes.agg(F.max_by("label", F.struct("c", "label")).alias("big"), F.count("*").alias("k")).where("k > 1").select("bucket", "big")
-    active = known.join(mixed, "bucket")
-    parts, own = _parts(settings)
-    active = active.withColumns({"own": own, "left": F.col("label") != F.col("big")})
-    every = F.when(F.col("left"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array("own"))
-    active = active.withColumn("part", F.explode(every)).join(nodes.select("node", "n", "sig"), "node")
-    return active.select(F.xxhash64("bucket", "part").alias("block"), "bucket", "node", "label", "n", "sig", "left", (F.col("part") == F.col("own")).alias("right"))
+    mixed = sizes.agg(F.max_by("label", F.struct("c", "label")).alias("big"), (F.sum("c") - F.max("c")).alias("r"), F.count("*").alias("k"))
+    active = known.join(mixed.where("k > 1").select("bucket", "big", "r"), "bucket")
+    columns, column = _parts(settings)
+    rows = F.ceil(F.col("r") / settings.block)
+    row = F.pmod(F.xxhash64("node", F.lit(1)), rows)
+    active = active.withColumns({"column": column, "row": row, "outside": F.col("label") != F.col("big")})
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    as_right = F.transform(upto(rows), lambda i: F.struct(i.alias("i"), F.col("column").alias("j")))
+    as_left = F.transform(upto(columns), lambda j: F.struct(F.col("row").alias("i"), j.alias("j")))
+    squares = F.explode(F.when(F.col("outside"), F.array_union(as_left, as_right)).otherwise(as_right)).alias("s")
+    active = active.select("bucket", "node", "label", "row", "column", "outside", squares).join(nodes.select("node", "n", "sig"), "node")
+    left, right = F.col("outside") & (F.col("s.i") == F.col("row")), F.col("s.j") == F.col("column")
+    return active.select(F.xxhash64("bucket", "s.i", "s.j").alias("block"), "bucket", "node", "label", "n", "sig", left.alias("left"), right.alias("right"), "outside")
 
 
 def _together(blocks: DataFrame) -> DataFrame:
@@ -331,7 +351,7 @@ def clusters(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     confirmed = pairs.mapInArrow(_confirmed(settings.percent), "a long, b long, linked boolean").where("linked")
     labels = _relabelled(labels, confirmed.select(F.col("a").alias("u"), F.col("b").alias("v")))
     late = _together(_late_blocks(members, labels, nodes, settings))
-    involved = late.mapInArrow(_involved(settings), "block long, bucket long, node long, left boolean, right boolean")
+    involved = late.mapInArrow(_involved(settings), "block long, bucket long, node long, left boolean, right boolean, outside boolean")
     whole = involved.join(labels, "node").join(sets, "node").join(nodes.select("node", "n", "bands", "sig"), "node")
     late = _together(whole).mapInArrow(_links(settings), "u long, v long")
     labels = _relabelled(labels, late.join(labels.select(F.col("node").alias("u"), F.col("label").alias("p")), "u").join(
