@@ -1,13 +1,20 @@
 """Secret scans with a recursive decoding worklist.
 
-A text is scanned for three kinds of secrets. Runs that look URL-, Unicode- or base64-encoded are unwrapped, base64 also over lines
-of one width. Bytes that they hold are layers too: compressed members anywhere in them are inflated, again and again, all members
-of a row as one content; the rest is read as UTF-8, or else as Latin-1. Of a member that is cut off, what comes out is read. Every layer is scanned and searched for further layers until nothing new appears; equal contents in one text
+A text is scanned for three kinds of secrets. Runs that look URL-, Unicode- or base64-encoded are unwrapped. Unicode escapes are those of
+programs (\\u0061, \\U00000061, \\x61), of URLs (%u0061) and of pages (&#97; &#x61; and a few names). Base64 is read over lines of one
+width, and from each of the four places that a group may begin at, so that it is found behind a path or a prefix whose characters
+are base64's own. Bytes that runs hold are layers too: compressed members anywhere in them are inflated, again and again, all
+members of a row as one content, and bytes that are one raw deflate stream; the rest is read as UTF-8, or else as Latin-1, and as
+UTF-16 where zeros tell so. Of a member that is cut off, what comes out is read. Every layer is scanned and searched for further layers until nothing new appears; equal contents in one text
 are opened once. Finds in a layer are mapped back to every run that holds it, and so on up to the original text, until no span is
 new, so repeated layers count at each of their places and cycles end; where one place leads to the same content in two ways, the
 narrower span stands. The mapping is exact for percent and Unicode escapes, to the enclosing groups of four for base64, to the
-whole member for compressed data. `layers` counts the distinct texts that are readable or hold a find. Of one text at most `MOST`
-bytes are unpacked, so that a layer made to fill the memory cannot end the job; `unopened` counts the layers that held more.
+whole member for compressed data. `layers` counts the distinct texts that are readable or hold a find.
+
+A layer made to fill the memory cannot end the job: a member is unpacked to at most `MOST` bytes, and once a text's members have
+taken MOST and `RATE` bytes for each character, to `SMALL` each. What comes before the bound is scanned, other members stay open to the
+scan, `unopened` counts the members that held more, and `redact` takes the runs that hold them out as if they were secrets. A layer of one
+repeated character is scanned but not unwrapped: it encodes nothing.
 
 Kinds, in the order that breaks ties: assign (a named value, the span covers name and value), access (AKIA...), hex.
 
@@ -45,8 +52,12 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _PERCENT = re.compile(r"(?<![A-Za-z0-9._~+/:=&?-])(?:[A-Za-z0-9._~+/:=&?-]*%[0-9A-Fa-f]{2})+[A-Za-z0-9._~+/:=&?-]*")
-_UNICODE = re.compile(r"(?<![!-\[\]-~])(?:[!-\[\]-~]*\\(?:u[0-9A-Fa-f]{4}|u\{[0-9A-Fa-f]{1,6}\}|x[0-9A-Fa-f]{2}))+[!-\[\]-~]*")
-_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
+_UNICODE = re.compile(r"[!-~]+")
+_ESCAPE = re.compile(
+    r"\\u\{([0-9A-Fa-f]{1,6})\}|(?:\\u|%u)([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|&(quot|apos|amp|colon|equals);"
+)
+_NAMED = {"quot": '"', "apos": "'", "amp": "&", "colon": ":", "equals": "="}
+_ESCAPE_SIGNS = ("\\u", "\\x", "\\U", "%u", "&#", "&quot;", "&apos;", "&amp;", "&colon;", "&equals;")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 _LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[\x20\t]*\r?\n[\x20\t>]*[A-Za-z0-9+/_-]++)+={0,2}")
@@ -58,8 +69,11 @@ _CONTROL = {"a": 7, "b": 8, "f": 12, "n": 10, "r": 13, "t": 9, "v": 11}
 _MAGIC = re.compile(
     rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|\x5d\x00\x00..(?:\xff{8}|.{5}\x00{3})", re.DOTALL
 )
-#: Bytes that the compressed layers of one text are unpacked to at most, all together; `unopened` counts the layers that hold more.
-MOST = 32 << 20
+#: Bytes that a compressed member is unpacked to at most; bytes for each character of a text that its members may take beyond, all
+#: together; bytes that a member is unpacked to in any case.
+MOST, RATE, SMALL = 8 << 20, 32, 64 << 10
+#: What bytes need to hold for a secret or a further layer to be in them.
+_TELLING = re.compile(rb"[\x20-\x7e]{12}|(?:[\x20-\x7e]\x00){12}|(?:\x00[\x20-\x7e]){12}|" + _MAGIC.pattern, re.DOTALL)
 _LONG = re.compile(r"[A-Za-z0-9+/_-]{16}")
 
 
@@ -69,6 +83,7 @@ class Layer:
 
     content: str | bytes
     back: Callable[[int, int], tuple[int, int]]
+    cut: bool = False  #: a compressed member that held more
 
 
 @dataclass
@@ -78,6 +93,7 @@ class Found:
     layers: int = 0
     depth: int = 0
     unopened: int = 0
+    closed: list[tuple[int, int]] = field(default_factory=list)  #: spans that hold members which were not unpacked to their end
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -101,10 +117,13 @@ def _readable(text: str) -> bool:
 
 
 class Room:
-    """Bytes that may still be unpacked of one text, and how many compressed layers held more or asked for too much memory."""
+    """Bytes that the compressed members of one text may still take, and how many of them held more or asked for too much memory."""
 
-    def __init__(self, most: int = MOST):
-        self.left, self.unopened = most, 0
+    def __init__(self, size: int):
+        self.left, self.unopened = MOST + RATE * size, 0
+
+    def allowed(self) -> int:
+        return min(MOST, max(self.left, SMALL))
 
 
 def _decompressor(head: bytes):
@@ -113,7 +132,7 @@ def _decompressor(head: bytes):
     if head[:3] == b"BZh":
         return bz2.BZ2Decompressor()
     if head[:2] == b"\xfd7" or head[:1] == b"\x5d":
-        return lzma.LZMADecompressor(memlimit=3 * MOST)
+        return lzma.LZMADecompressor(memlimit=96 << 20)
     if head == b"\x28\xb5\x2f\xfd":
         import zstandard
 
@@ -121,41 +140,45 @@ def _decompressor(head: bytes):
     return zlib.decompressobj()
 
 
-def _member(raw: bytes, at: int, room: Room) -> tuple[bytes, int, bool]:
-    """What the compressed member at a place unpacks to, where it ends, and whether it is whole."""
+def _member(raw: bytes, at: int, room: Room) -> tuple[bytes, int, bool, bool]:
+    """What the compressed member at a place unpacks to, where it ends, whether it is whole, and whether it was cut for holding too much."""
     d, out, fed, pos = _decompressor(raw[at : at + 4]), [], memoryview(raw)[at:], at
     keeps = isinstance(d, bz2.BZ2Decompressor | lzma.LZMADecompressor)  # the input that it has not used yet
     bounded = raw[at : at + 4] != b"\x28\xb5\x2f\xfd"
+    allowed, got, cut = room.allowed(), 0, False
     try:
         while True:
             if bounded:
-                piece = d.decompress(fed, max(1, min(1 << 20, room.left)))
+                piece = d.decompress(fed, max(1, min(1 << 20, allowed - got)))
                 fed = b"" if keeps else d.unconsumed_tail
                 over = d.needs_input if keeps else not fed and not piece
             else:  # a few bytes at a time bound what comes out
                 piece, over = d.decompress(raw[pos : pos + 64]), pos >= len(raw)
                 pos += len(raw[pos : pos + 64])
             out.append(piece)
-            room.left -= len(piece)
+            got += len(piece)
             if d.eof:
-                return b"".join(out), (len(raw) if bounded else pos) - len(d.unused_data), True
-            if room.left <= 0:
-                room.unopened += 1
+                room.left -= got
+                return b"".join(out), (len(raw) if bounded else pos) - len(d.unused_data), True, False
+            if got >= allowed:
+                cut = True
                 break
             if over:
                 break
     except (zlib.error, OSError, EOFError, ValueError):
         pass
     except lzma.LZMAError as e:
-        room.unopened += "limit" in str(e)
+        cut = "limit" in str(e)
     except Exception as e:  # zstandard has an error class of its own
         if type(e).__name__ != "ZstdError":
             raise
-    return b"".join(out), len(raw), False
+    room.left -= got
+    room.unopened += cut
+    return b"".join(out), len(raw), False, cut
 
 
-def _members(raw: bytes, room: Room) -> Iterator[tuple[int, int, bytes, bool]]:
-    """(start, end, unpacked, whole) of the compressed data in bytes; members that follow each other are one content."""
+def _members(raw: bytes, room: Room) -> Iterator[tuple[int, int, bytes, bool, bool]]:
+    """(start, end, unpacked, whole, cut) of the compressed data in bytes; members that follow each other are one content."""
     at = 0
     while at < len(raw):
         if at == 0 and len(raw) > 2 and raw[0] & 15 == 8 and raw[0] < 128 and int.from_bytes(raw[:2], "big") % 31 == 0:
@@ -164,29 +187,66 @@ def _members(raw: bytes, room: Room) -> Iterator[tuple[int, int, bytes, bool]]:
             start = m.start()
         else:
             return
-        unpacked, end, whole = _member(raw, start, room)
+        unpacked, end, whole, cut = _member(raw, start, room)
         if whole:
             parts, head = [unpacked], raw[start : start + 2]
-            while room.left > 0 and raw[end : end + 2] == head and (more := _member(raw, end, room))[0]:
+            while raw[end : end + 2] == head and (more := _member(raw, end, room))[0]:
                 parts.append(more[0])
-                end, whole = more[1:]
+                end, whole, cut = more[1:]
                 if not whole:
                     break
-            yield start, end, b"".join(parts), whole
-        elif unpacked and (start == 0 or raw[start] not in b"x\x5d"):  # a few bytes in the middle do not make a header
-            yield start, end, unpacked, False
+            yield start, end, b"".join(parts), whole, cut
+        elif cut or unpacked and (start == 0 or raw[start] not in b"x\x5d"):  # a few bytes in the middle do not make a header
+            yield start, end, unpacked, False, cut
         at = end if whole else start + 1
 
 
+def _deflated(raw: bytes, room: Room) -> tuple[bytes, bool] | None:
+    """What bytes hold if they are one raw deflate stream, which has no header to be known by, and whether it held more."""
+    d, allowed = zlib.decompressobj(-15), room.allowed()
+    try:
+        out = d.decompress(raw, allowed)
+    except zlib.error:
+        return None
+    cut = not d.eof and len(out) >= allowed
+    if not (d.eof or cut) or len(out) < 12 or not _TELLING.search(out):
+        return None
+    room.left -= len(out)
+    room.unopened += cut
+    return out, cut
+
+
+def _wide(raw: bytes, place: Callable[[int, int], tuple[int, int]]) -> Layer | None:
+    """The bytes as UTF-16, in the order that the places of zeros tell."""
+    if len(raw) < 16 or raw.count(0) * 4 < len(raw):
+        return None
+    name = "utf-16-le" if raw[1::2].count(0) >= raw[::2].count(0) else "utf-16-be"
+    text = raw.decode(name, "replace")
+    ends: list[int] = []
+
+    def back(a: int, b: int) -> tuple[int, int]:
+        if not ends:
+            ends.append(0)
+            for c in text:
+                ends.append(ends[-1] + (4 if ord(c) > 0xFFFF else 2))
+        return place(ends[a], min(ends[b], len(raw)))
+
+    return Layer(text, back)
+
+
 def _views(raw: bytes, place: Callable[[int, int], tuple[int, int]], room: Room) -> Iterator[Layer]:
     """The layers that bytes hold; `place` maps a span of the bytes."""
     covered = 0
-    for start, end, unpacked, whole in _members(raw, room):
+    for start, end, unpacked, whole, cut in _members(raw, room):
         covered += end - start if whole else 0
-        if unpacked:
-            yield Layer(unpacked, lambda a, b, i=start, j=end: place(i, j))
+        if unpacked or cut:
+            yield Layer(unpacked, lambda a, b, i=start, j=end: place(i, j), cut)
     if covered == len(raw):
         return
+    if not covered and (more := _deflated(raw, room)):
+        yield Layer(more[0], lambda a, b: place(0, len(raw)), more[1])
+    if wide := _wide(raw, place):
+        yield wide
     try:
         text = raw.decode("utf-8")
     except UnicodeDecodeError:
@@ -261,11 +321,13 @@ def _url(m: re.Match) -> Layer | None:
 
 def _unicode(m: re.Match) -> Layer | None:
     run, parts, i = m[0], [], 0
+    if _ESCAPE.search(run) is None:
+        return None
     for e in _ESCAPE.finditer(run):
         if e.start() > i:
             parts.append((run[i : e.start()], i, e.start()))
-        code = int(e[1] or e[2] or e[3], 16)
-        parts.append((chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�", e.start(), e.end()))
+        code = ord(_NAMED[e[7]]) if e[7] else int(e[6]) if e[6] else int(e[1] or e[2] or e[3] or e[4] or e[5], 16)
+        parts.append((chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd", e.start(), e.end()))
         i = e.end()
     if i < len(run):
         parts.append((run[i:], i, len(run)))
@@ -277,9 +339,9 @@ def _packed(raw: bytes, run: re.Match, byte: re.Pattern, room: Room) -> Iterator
     if not _MAGIC.search(raw):
         return
     starts = [run.start() + m.start() for m in byte.finditer(run[0])] + [run.end()]
-    for i, j, unpacked, _ in _members(raw, room):
-        if unpacked:
-            yield Layer(unpacked, lambda a, b, i=starts[i], j=starts[j]: (i, j))
+    for i, j, unpacked, _, cut in _members(raw, room):
+        if unpacked or cut:
+            yield Layer(unpacked, lambda a, b, i=starts[i], j=starts[j]: (i, j), cut)
 
 
 def _url_bytes(m: re.Match, room: Room) -> Iterator[Layer]:
@@ -300,8 +362,9 @@ def _literal_bytes(m: re.Match, room: Room) -> Iterator[Layer]:
         yield from _packed(_LITERAL_BYTE.sub(_literal_byte, m[0]).encode("latin-1"), m, _LITERAL_BYTE, room)
 
 
-def _base64(text: str, lines: list[tuple[int, int]], room: Room) -> Iterator[Layer]:
-    """The layers in base64 that stands in the spans of one or more lines."""
+def _base64(text: str, lines: list[tuple[int, int]], room: Room, sure: bool = True) -> Iterator[Layer]:
+    """The layers in base64 that stands in the spans of one or more lines; if it is not sure that a group begins there, only bytes that
+    may hold something count."""
     run = "".join(text[a:b] for a, b in lines).rstrip("=")
     if len(run) % 4 == 1:
         run = run[:-1]
@@ -310,6 +373,8 @@ def _base64(text: str, lines: list[tuple[int, int]], room: Room) -> Iterator[Lay
         raw = base64.b64decode(plain + "=" * (-len(plain) % 4))
     except (binascii.Error, ValueError):
         return
+    if not sure and _TELLING.search(raw) is None:
+        return
     befores, n = [], 0
     for a, b in lines:
         befores.append(n)
@@ -351,13 +416,16 @@ def unwrap(content: str | bytes, room: Room) -> Iterator[Layer]:
         yield from filter(None, (_url(m) for m in _PERCENT.finditer(text)))
         for m in _PERCENT_BYTES.finditer(text):
             yield from _url_bytes(m, room)
-    if "\\u" in text or "\\x" in text:
+    if any(sign in text for sign in _ESCAPE_SIGNS):
         yield from filter(None, (_unicode(m) for m in _UNICODE.finditer(text)))
+    if "\\u" in text or "\\x" in text:
         for m in _LITERAL.finditer(text):
             yield from _literal_bytes(m, room)
     if len(text) >= 16 and _LONG.search(text):
         for m in _BASE64.finditer(text):
-            yield from _base64(text, [m.span()], room)
+            a, b = m.span()
+            for k in range(4):  # where the first group begins
+                yield from _base64(text, [(a + k, b)], room, not k)
         for m in _LINES.finditer(text):
             for lines in _wrapped([x.span() for x in _LINE.finditer(text, *m.span())]):
                 yield from _base64(text, lines, room)
@@ -378,10 +446,12 @@ def scan(text: str | None) -> Found:
     out = Found(base_spans(text))
     known, depths, holders = {text: 0}, [0], [[]]
     spans: list[set] = [{(*s, 0) for s in out.base}]  # of each content: its finds and those of the layers inside, with the content that they are of
-    work, room = deque([text]), Room()
+    work, room = deque([text]), Room(len(text))
     while work:
         content = work.popleft()
         at = known[content]
+        if len(content) > 1024 and content == content[:1] * len(content) and (isinstance(content, str) or content[0] not in b"0123456789abcdef"):
+            continue
         for layer in unwrap(content, room):
             k = known.setdefault(layer.content, len(depths))
             if k == len(depths):
@@ -391,6 +461,8 @@ def scan(text: str | None) -> Found:
                 holders.append([])
                 work.append(layer.content)
             holders[k].append((at, layer.back))
+            if layer.cut:
+                spans[at].add((*layer.back(0, len(layer.content)), "closed", k))
     fresh = [(k, some) for k, some in enumerate(spans) if some]
     while fresh:
         k, some = fresh.pop()
@@ -399,8 +471,9 @@ def scan(text: str | None) -> Found:
             if more:
                 spans[at] |= more
                 fresh.append((at, more))
-    out.spans = {*out.base, *_narrow(spans[0])}
-    texts = [k for x, k in known.items() if k and isinstance(x, str) and (spans[k] or _readable(x))]
+    finds = [{f for f in some if f[2] != "closed"} for some in spans]
+    out.spans, out.closed = {*out.base, *_narrow(finds[0])}, sorted({f[:2] for f in spans[0] - finds[0]})
+    texts = [k for x, k in known.items() if k and isinstance(x, str) and (finds[k] or _readable(x))]
     out.layers, out.depth = len(texts), max((depths[k] for k in texts), default=0)
     out.unopened = room.unopened
     return out
@@ -434,8 +507,10 @@ def findings(docs: DataFrame) -> DataFrame:
 
 
 def redacted(text: str | None, mark: str = "[SECRET]") -> str | None:
-    """The text with every span, merged where they touch or overlap, replaced by the mark."""
-    spans = sorted((a, b) for a, b, _ in scan(text).spans) if text else []
+    """The text with every span, merged where they touch or overlap, replaced by the mark, and so every run with a layer that was not opened
+    to its end."""
+    f = scan(text)
+    spans = sorted([*((a, b) for a, b, _ in f.spans), *f.closed])
     if not spans:
         return text
     out, end = [], 0
