@@ -2,10 +2,10 @@
 
 Documents go to ranges by ascending doc_id, and a range's ids are cut into blocks of whole documents, the shards of the method: in
 each block frequent pairs of neighbouring ids are replaced by nonterminals, those of similar frequency in one round, until no pair
-is frequent. A block stores its rules, the length that each rule expands to, the remaining symbols (16 bits each) and where each
-document's symbols begin, so that any document can be decoded on its own. No rule crosses the end of a document. Blocks are rows of a
-Parquet table in the shared folder; a task that is run again writes the same rows. Ids and rules share 65,536 numbers: a larger
-vocabulary is refused, and a block whose rules take all that are left keeps its other pairs.
+is frequent. A block stores its rules, the length that each rule expands to, the remaining symbols and where each document's symbols
+begin, so that any document can be decoded on its own. Symbols have 16 bits each, 32 in a block whose ids and rules are more than
+65,536. No rule crosses the end of a document. Blocks are rows of a Parquet table in the shared folder; a task that is run again
+writes the same rows. A vocabulary of more than 65,536 ids is refused.
 
 Defined results: null text counts as empty; every document ends with the end id, so empty ones hold one id; rows with equal ids
 follow each other by text; rows without an id come first; an empty table gives no rows. A text of any length is one document of one
@@ -164,18 +164,27 @@ def _apart(at: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def _slot(keys: np.ndarray) -> np.ndarray:
+    if keys.dtype == np.uint64:
+        keys = (keys ^ keys >> np.uint64(27)).astype(np.uint32)
     return (keys * _STEP >> np.uint32(12)).astype(np.int64)
 
 
+def _kind(symbols: int) -> type:
+    """The type of a block's symbols: 16 bits while they suffice."""
+    return np.uint16 if symbols <= 1 << 16 else np.uint32
+
+
 def grammar(ids: np.ndarray, last: np.ndarray, base: int, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (n x 2, nonterminals count from base), the remaining symbols, and which of them end a document.
 
     A round counts all pairs exactly and replaces those that occur at least `share` times as often as the most frequent one; the
-    last round finds no pair that occurs `least` times, or no 16-bit number is left for a rule.
+    last round finds no pair that occurs `least` times. A block with more rules than 16-bit numbers goes on with symbols of 32 bits.
     """
     symbols, last, rules, made = ids.astype(np.uint32), last.copy(), [], 0
-    while len(symbols) > 1 and made < (room := (1 << 16) - base):
-        key = symbols[:-1] << np.uint32(16) | symbols[1:]  # symbols have 16 bits
+    while len(symbols) > 1:
+        kind, half = (np.uint32, 16) if base + made <= 1 << 16 else (np.uint64, 32)
+        half = kind(half)
+        key = symbols[:-1].astype(kind, copy=False) << half | symbols[1:].astype(kind, copy=False)
         inner = ~last[:-1]
         ordered = np.sort(key[inner])
         if not len(ordered):
@@ -185,8 +194,6 @@ def grammar(ids: np.ndarray, last: np.ndarray, base: int, settings: Settings) ->
         if counts.max() < settings.least:
             break
         pick = np.flatnonzero(counts >= max(settings.least, settings.share * counts.max()))
-        if len(pick) > room - made:
-            pick = np.sort(pick[np.argsort(-counts[pick], kind="stable")[: room - made]])
         keys, counts = ordered[edge[pick]], counts[pick]
         sieve = np.zeros(1 << 20, bool)
         sieve[_slot(keys)] = True
@@ -199,14 +206,14 @@ def grammar(ids: np.ndarray, last: np.ndarray, base: int, settings: Settings) ->
         useful = np.bincount(k, minlength=len(keys)) > 1  # a rule for one place would not pay
         at, k = at[useful[k]], k[useful[k]]
         number = np.cumsum(useful) - 1 + base + made
-        rules.append(np.stack([keys[useful] >> np.uint32(16), keys[useful] & np.uint32(0xFFFF)], axis=1))
+        rules.append(np.stack([keys[useful] >> half, keys[useful] & (kind(1) << half) - kind(1)], axis=1).astype(np.uint32))
         made += int(useful.sum())
         symbols[at] = number[k].astype(np.uint32)
         last[at] = last[at + 1]
         stay = np.ones(len(symbols), bool)
         stay[at + 1] = False
         symbols, last = symbols[stay], last[stay]
-    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), symbols.astype(np.uint16), last
+    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), symbols.astype(_kind(base + made)), last
 
 
 def expansions(rules: np.ndarray, lengths: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -309,7 +316,7 @@ def _decoder(before: dict[int, int], digest: bool):
             for r in b.to_pylist():
                 rules = np.frombuffer(r["rules"], np.uint32).reshape(-1, 2)
                 table, at, count = expansions(rules, np.frombuffer(r["lengths"], np.uint32), r["base"])
-                symbols = np.frombuffer(r["symbols"], np.uint16).astype(np.int64)
+                symbols = np.frombuffer(r["symbols"], _kind(r["base"] + len(rules))).astype(np.int64)
                 starts = np.frombuffer(r["starts"], np.uint32).astype(np.int64)
                 ids = table[gather(at[symbols], count[symbols])].astype("<u4")
                 cuts = np.concatenate(([0], np.cumsum(count[symbols])))[starts]
@@ -328,8 +335,8 @@ def _decoder(before: dict[int, int], digest: bool):
 def one_document(block: dict, k: int) -> np.ndarray:
     """Ids of the k-th document of a block, decoded without the others."""
     starts = np.frombuffer(block["starts"], np.uint32)
-    symbols = np.frombuffer(block["symbols"], np.uint16)[starts[k] : starts[k + 1]]
     rules, base, out = np.frombuffer(block["rules"], np.uint32).reshape(-1, 2), block["base"], []
+    symbols = np.frombuffer(block["symbols"], _kind(base + len(rules)))[starts[k] : starts[k + 1]]
     work = symbols[::-1].tolist()
     while work:
         s = work.pop()
