@@ -61,3 +61,20 @@ def test_boards_equal_loops(spark):
 def test_no_plan_spells_out_draws(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "explode" not in plan.lower()
+
+
+def test_season_odds_with_a_seed(spark):
+    from touchline.operators import counts
+    from touchline.sources import tables
+
+    games = tables.games(spark, SF).where("season = 2001")
+    fixtures = counts.rates(games.where("hg is null"))
+    odds = lambda g, f, seed: {(r.league, r.season, r.team): r for r in counts.season_odds(g, f, 200, seed=seed).collect()}
+    one, two = odds(games, fixtures, 7), odds(games.repartition(7), fixtures.repartition(5), 7)
+    assert one == two and one != odds(games, fixtures, 8)  # a draw belongs to its match, not to the task
+    for league in {k[0] for k in one}:
+        rows = [r for k, r in one.items() if k[0] == league]
+        assert sum(r.title for r in rows) == pytest.approx(1, abs=1e-4) and sum(r.top4 for r in rows) == pytest.approx(min(4, len(rows)), abs=1e-4)
+        assert all(r.low <= r.points <= r.high for r in rows)
+    over = odds(games.where("hg is not null"), fixtures.limit(0), 7)
+    assert all(r.low == r.high for r in over.values())

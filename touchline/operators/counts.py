@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import scoring as S
-from touchline.operators.draws import against_all, banded, sums_of
+from touchline.operators.draws import against_all, banded, matrix, summed, sums_of
 from touchline.operators.ladder import match_points
 from touchline.operators.relational import dealt, quantiles, running
 
@@ -249,26 +251,66 @@ def draw_calibration(rated: DataFrame, drawn: DataFrame, group: str) -> DataFram
     return seen.join(band, group).withColumn("flag", F.when(out, "MISS").otherwise("ok"))
 
 
+def _uniforms(rows: np.ndarray, draws: int, seed: int | None) -> np.ndarray:
+    """(rows, draws) uniform numbers that belong to a row and draw, whichever task asks for them; without a seed those of S.uniform."""
+    if seed is None:
+        return ((rows[:, None].astype(np.int64) * 7919 + np.arange(draws) * 104729) % 100003 + 0.5) / 100003
+    return np.array([np.random.default_rng([seed, int(r) & (1 << 63) - 1]).random(draws) for r in rows]).reshape(len(rows), draws)
+
+
+def _results(draws: int, seed: int | None):
+    """Sides of matches with both distribution functions -> points and goal difference by draw."""
+
+    def make(b) -> list[np.ndarray]:
+        match, home = b.column("match_id").to_numpy(), b.column("at_home").to_numpy(zero_copy_only=False)[:, None]
+        goals = [(matrix(b, c)[:, :, None] < _uniforms(match * 2 + i, draws, seed)[:, None]).sum(axis=1) for i, c in enumerate(("_ch", "_ca"))]
+        mine, other = np.where(home, goals[0], goals[1]), np.where(home, goals[1], goals[0])
+        return [3.0 * (mine > other) + (mine == other), (mine - other).astype(float)]
+
+    return make
+
+
+def _placed(draws: int, relegated: int, seed: int | None):
+    """The teams of a league and season with what they have and what each draw adds -> chances of places, points with a band."""
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        added = lambda c: np.array([np.zeros(draws) if x is None else x for x in t[c]])
+        team = t.team.to_numpy()
+        pts, gd = t.pts.to_numpy()[:, None] + added("more_pts"), t.gd.to_numpy()[:, None] + added("more_gd")
+        if seed is None:
+            lot = ((team[:, None] + 31 * np.arange(draws)) * 7919 + team[:, None] * 104729) % 100003
+        else:
+            lot = _uniforms(team, draws, seed + 2)
+        place = np.empty((len(team), draws), int)
+        for d in range(draws):
+            place[np.lexsort((team, lot[:, d], -gd[:, d], -pts[:, d])), d] = np.arange(1, len(team) + 1)
+        share = lambda x: x.mean(axis=1).round(6)
+        low, high = np.quantile(pts, [0.05, 0.95], axis=1)
+        return pd.DataFrame(
+            {
+                "league": t.league, "season": t.season, "team": team, "title": share(place == 1), "top4": share(place <= 4), "relegated": share(place > len(team) - relegated),
+                "points": share(pts), "low": low.round(6), "high": high.round(6),
+            }
+        )
+
+    return run
+
+
 def season_odds(games: DataFrame, fixtures: DataFrame, draws: int, relegated: int = 3, seed: int | None = None) -> DataFrame:
     """Monte Carlo over the rest of every league and season: played matches are pinned, the others drawn; ranks by points, goal
-    difference, then lots drawn for each draw (a hash of team and draw unless there is a seed)."""
+    difference, then lots drawn for each draw (a hash of team and draw unless there is a seed).
+
+    A match's draws are an array, of which tasks keep sums by team; a league's teams, a few dozen, are then ranked together in all draws.
+    """
     key = ["league", "season"]
     played = games.where("hg is not null")
     side = lambda team, x, y: played.select(*key, F.col(team).alias("team"), match_points(F.col(x), F.col(y)).alias("pts"), (F.col(x) - F.col(y)).alias("gd"))
-    past = side("home", "hg", "ag").union(side("away", "ag", "hg")).groupBy(*key, "team").agg(F.sum("pts").alias("pts"), F.sum("gd").alias("gd"))
-    ks = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
-    sim = replicates(fixtures.select(*key, "match_id", "home", "away", "lh", "la"), draws, seed)
-    one = lambda team, x, y: F.struct(F.col(team).alias("team"), match_points(F.col(x), F.col(y)).alias("pts"), (F.col(x) - F.col(y)).alias("gd"))
-    got = sim.select(*key, "draw", F.explode(F.array(one("home", "h", "a"), one("away", "a", "h"))).alias("s")).select(*key, "draw", "s.*")
-    got = got.union(past.select(*key, ks, "team", "pts", "gd"))
-    table = got.join(past.select(*key, "team"), [*key, "team"], "left_semi").groupBy(*key, "draw", "team").agg(F.sum("pts").alias("pts"), F.sum("gd").alias("gd"))
-    w = Window.partitionBy(*key, "draw")
-    lot = F.rand(seed + 2) if seed is not None else S.uniform(F.col("team") + 31 * F.col("draw"), F.col("team"))
-    table = table.withColumn("lot", lot)
-    place = F.row_number().over(w.orderBy(F.desc("pts"), F.desc("gd"), "lot", "team"))
-    table = table.withColumns({"place": place, "n": F.count("*").over(w)})
-    share = lambda c: F.round(F.avg(c.cast("int")), 6)
-    return table.groupBy(*key, "team").agg(
-        share(F.col("place") == 1).alias("title"), share(F.col("place") <= 4).alias("top4"), share(F.col("place") > F.col("n") - relegated).alias("relegated"),
-        F.round(F.avg("pts"), 6).alias("points"), F.round(F.percentile("pts", F.lit(0.05)), 6).alias("low"), F.round(F.percentile("pts", F.lit(0.95)), 6).alias("high"),
-    )
+    past = side("home", "hg", "ag").union(side("away", "ag", "hg")).groupBy(*key, "team").agg(F.sum("pts").cast("long").alias("pts"), F.sum("gd").cast("long").alias("gd"))
+    left = cumulative(dealt(fixtures.select(*key, "match_id", "home", "away", "lh", "la"), "match_id"), {"lh": "_ch", "la": "_ca"})
+    sides = F.explode(F.array(*[F.struct(F.col(t).alias("team"), F.lit(t == "home").alias("at_home")) for t in ("home", "away")])).alias("s")
+    rows = left.select(*key, "match_id", "_ch", "_ca", sides).select(*key, "match_id", "_ch", "_ca", "s.*")
+    more = summed(rows, [*key, "team"], ["match_id", "_ch", "_ca", "at_home"], ["more_pts", "more_gd"], _results(draws, seed), 12 * draws)
+    table = past.join(more.drop("n"), [*key, "team"], "left")
+    kinds = ", ".join(f"{c} {table.schema[c].dataType.simpleString()}" for c in (*key, "team"))
+    out = kinds + ", title double, top4 double, relegated double, points double, low double, high double"
+    return table.groupBy(*key).applyInPandas(_placed(draws, relegated, seed), out)

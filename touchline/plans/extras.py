@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import scalars as S
+from touchline.functions import scoring
 from touchline.operators import causal, counts, evaluation, features
 from touchline.operators import ledgers as L
 from touchline.plans.registry import query
@@ -79,11 +80,11 @@ def legacy_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("league", "season", "team", F.col("kick_off").cast("string").alias("kick_off"), F.coalesce(F.lag("total").over(w), F.lit(0)).cast("long").alias("before"))
 
 
-@query("WITH " + T.GAMES + """ SELECT t.team, count(*) AS n FROM (SELECT DISTINCT home AS team FROM games WHERE season = 1995 AND home < 7) t JOIN games g ON g.home = t.team OR g.away = t.team GROUP BY t.team""")
+@query("WITH " + T.GAMES + """ SELECT t.team, count(*) AS n FROM (SELECT DISTINCT home AS team FROM games WHERE hg - ag >= 3) t JOIN games g ON g.home = t.team OR g.away = t.team GROUP BY t.team""")
 def matches_of_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches with a team on either side, as an equi-join on the perspective table."""
+    """Matches, on either side, of the teams that have won at home by three goals, as an equi-join on the perspective table."""
     g = T.games(spark, sf_dir)
-    teams = g.where("season = 1995 and home < 7").select(F.col("home").alias("team")).distinct()
+    teams = g.where("hg - ag >= 3").select(F.col("home").alias("team")).distinct()
     return T.sides(g).join(teams, "team").groupBy("team").agg(F.count("*").alias("n"))
 
 
@@ -114,13 +115,16 @@ def player_ledger_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id_match", "name_player", "actual_goals", "appeared", "p")
 
 
-@query("WITH " + T.DRAWS + """ SELECT key, round(0.1::DOUBLE + beta[1] * 0.5 + beta[2] * -0.25, 6) AS eta_first, round(0.1::DOUBLE + beta[3] * 0.5 + beta[4] * -0.25, 6) AS eta_second FROM draws""")
+@query("WITH " + T.DRAWS + """, e AS (SELECT key, list_transform(range(0, 32), lambda d: 0.1::DOUBLE + beta[2 * d + 1] * 0.5 + beta[2 * d + 2] * -0.25) AS eta FROM draws)
+SELECT key, round(list_avg(eta), 6) AS eta_mean, round(list_min(eta), 6) AS eta_low, round(list_max(eta), 6) AS eta_high FROM e""")
 def linear_predictors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G1: base plus factors times coefficients for every draw."""
+    """G1: base plus factors times coefficients for every draw, two numbers of the row a draw."""
     b = F.col("beta")
-    rows = T.draws(spark, sf_dir).select("key", F.lit(0.1).alias("base"), F.array(F.lit(0.5), F.lit(-0.25)).alias("x"), F.array(F.array(b[0], b[1]), F.array(b[2], b[3])).alias("by_draw"))
+    by_draw = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda d: F.array(F.get(b, 2 * d), F.get(b, 2 * d + 1)))
+    rows = T.draws(spark, sf_dir).select("key", F.lit(0.1).alias("base"), F.array(F.lit(0.5), F.lit(-0.25)).alias("x"), by_draw.alias("by_draw"))
     eta = counts.linear_predictor(rows, "x", "by_draw", "base")
-    return eta.select("key", F.round(F.col("eta")[0], 6).alias("eta_first"), F.round(F.col("eta")[1], 6).alias("eta_second"))
+    mean = scoring.total(F.col("eta")) / F.size("eta")
+    return eta.select("key", F.round(mean, 6).alias("eta_mean"), F.round(F.array_min("eta"), 6).alias("eta_low"), F.round(F.array_max("eta"), 6).alias("eta_high"))
 
 
 @query("WITH " + PLAYER + """ SELECT season, player, round(avg(goals) / nullif(avg(0.2::DOUBLE + match_id % 5 / 10.0::DOUBLE), 0), 6) AS excess FROM player GROUP BY season, player""")

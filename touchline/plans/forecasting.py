@@ -195,7 +195,8 @@ def unseen_player(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.unseen(C.hyper(T.draws(spark, sf_dir)), 20, 0.5)
 
 
-@query("WITH " + PLAYER + ", " + T.DRAWS + """, b AS (SELECT list_transform(range(1, 33), lambda i: [beta[i], beta[i + 32]]) AS b FROM draws WHERE key = 0),
+@query("WITH " + PLAYER + ", " + T.DRAWS + """, a AS (SELECT list(v ORDER BY i) AS beta FROM (SELECT i, avg(beta[i]) AS v FROM draws CROSS JOIN range(1, 65) r(i) GROUP BY i)),
+b AS (SELECT list_transform(range(1, 33), lambda i: [beta[i], beta[i + 32]]) AS b FROM a),
 r AS (SELECT player, list_aggregate(list_transform(b, lambda x: goals - (CASE WHEN match_id % 2 = 0 THEN 1 ELSE 0 END * x[1] + gameday / 40.0::DOUBLE * x[2])), 'median') AS r FROM player CROSS JOIN b),
 d AS (SELECT player, round(avg(r), 9) AS delta FROM r GROUP BY player)
 SELECT player, round(delta, 6) AS delta, round(((SELECT count(*) FROM d o WHERE o.delta <= d.delta) - 1) / nullif((SELECT count(*) FROM d) - 1, 0)::DOUBLE, 6) AS par FROM d""")
@@ -204,7 +205,8 @@ def above_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features.player_goals(T.games(spark, sf_dir), T.lineup(spark, sf_dir), T.scorers(spark, sf_dir))
     x = F.array((F.col("match_id") % 2 == 0).cast("double"), F.col("gameday") / 40.0)
     rows = rows.select("player", F.col("goals").alias("y"), x.alias("x"))
-    one = T.draws(spark, sf_dir).where("key = 0").select(F.zip_with(F.slice("beta", 1, 32), F.slice("beta", 33, 32), lambda a, b: F.array(a, b)).alias("by_draw"))
+    mean = D.sums_of(T.draws(spark, sf_dir), [], ["beta"], 64).select(F.transform("beta", lambda v: v / F.col("n")).alias("beta"))
+    one = mean.select(F.zip_with(F.slice("beta", 1, 32), F.slice("beta", 33, 32), lambda a, b: F.array(a, b)).alias("by_draw"))
     out = C.above_replacement(rows, one)
     return out.select("player", F.round("delta", 6).alias("delta"), F.round("par", 6).alias("par"))
 
