@@ -73,13 +73,15 @@ def timing(rows: DataFrame, total: str, team_total: str, share: str, own: str) -
         mean(close(ratio, F.col(share)), both).alias("same"), F.count_if(F.col(share) > 1).alias("over"), F.max(own).alias("top"), F.avg((F.col(own) > 6).cast("double")).alias("above"),
     )
     c, text = F.col, lambda x: F.format_string("%.4f", F.col(x))
-    return audit(
-        [
-            report("timing: total is that before the match", (c("pre") > 0.995) & (c("pre") > c("post")), F.concat(text("pre"), F.lit(" against "), text("post")), one),
-            report("timing: first appearance has 0", c("first") == 1, text("first"), one), report("timing: share is the ratio", c("same") > 0.999, text("same"), one),
-            report("sanity: shares above 1", c("over") < 50, c("over"), one, True), report("sanity: goal counts", (c("top") <= 6) | (c("above") < 0.001), c("top"), one, True),
-        ]
-    )
+    rules = [
+        ("timing: total is that before the match", (c("pre") > 0.995) & (c("pre") > c("post")), F.concat(text("pre"), F.lit(" against "), text("post")), False),
+        ("timing: first appearance has 0", c("first") == 1, text("first"), False), ("timing: share is the ratio", c("same") > 0.999, text("same"), False),
+        ("sanity: shares above 1", c("over") < 50, c("over"), True), ("sanity: goal counts", (c("top") <= 6) | (c("above") < 0.001), c("top"), True),
+    ]
+    row = lambda label, ok, detail, warn: F.struct(
+        F.lit(label).alias("check"), F.when(F.coalesce(ok, F.lit(False)), "PASS").otherwise("WARN" if warn else "FAIL").alias("result"), detail.cast("string").alias("detail")
+    )
+    return one.select(F.explode(F.array(*[row(*r) for r in rules])).alias("x")).select("x.*")
 
 
 def opening(rows: DataFrame, points: str, team: list[str], day: str) -> DataFrame:

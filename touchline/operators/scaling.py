@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def scaled(rows: DataFrame, value: str, groups: list[str], name: str, degenerate: str = "zero") -> DataFrame:
+def scaled(rows: DataFrame, value: str, groups: list[str], name: str, degenerate: str = "zero", of: DataFrame | None = None) -> DataFrame:
     """(x - mean) / sample deviation within a group, as column `name`; where that is null or 0: 'unit' divides by 1, 'zero' gives 0.
 
     A table of moments is joined, so groups may be few and hold any share of the rows: partial sums and not rows are shuffled by group, and
-    Spark broadcasts the moments if they are small enough."""
-    m = rows.groupBy(*groups).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd"))
+    Spark broadcasts the moments if they are small enough. They are those of `of` if that is given, such as the stored rows that `rows` come
+    from."""
+    m = (rows if of is None else of).groupBy(*groups).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd"))
     keys = [f"_k{i}" for i in range(len(groups))]
     m = m.select(*[F.col(g).alias(k) for g, k in zip(groups, keys, strict=True)], "_mean", "_sd")
     same = F.lit(True)

@@ -13,6 +13,7 @@ from touchline.plans.registry import query
 from touchline.plans.standings import PLAYER, PRIOR
 from touchline.operators import features
 from touchline.sources import tables as T
+from touchline.sources.scratch import kept
 
 
 @query("WITH " + T.GAMES + """, i AS (SELECT match_id, concat('L', left(league, 1), '-S', lpad(CAST(season % 100 * 100 + (season + 1) % 100 AS VARCHAR), 4, '0'),
@@ -277,10 +278,10 @@ def density_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT match_id, home_pitch, round(z1, 6) AS z1, round(z2, 6) AS z2, round(z3, 6) AS z3 FROM z""")
 def z_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-sectional z-scores by three groupings, each with its rule for degenerate groups."""
-    pre = features.pre_match(T.sides(T.games(spark, sf_dir))).select("match_id", "home_pitch", "season", "league", "gameday", "points_team")
+    pre = out = kept(features.pre_match(T.sides(T.games(spark, sf_dir))).select("match_id", "home_pitch", "season", "league", "gameday", "points_team"))
     for i, (groups, degenerate) in enumerate(((["season", "league", "gameday"], "unit"), (["season", "gameday"], "zero"), (["gameday"], "zero")), 1):
-        pre = Z.scaled(pre, "points_team", groups, f"z{i}", degenerate)
-    return pre.select("match_id", "home_pitch", *[F.round(f"z{i}", 6).alias(f"z{i}") for i in (1, 2, 3)])
+        out = Z.scaled(out, "points_team", groups, f"z{i}", degenerate, pre)
+    return out.select("match_id", "home_pitch", *[F.round(f"z{i}", 6).alias(f"z{i}") for i in (1, 2, 3)])
 
 
 @query("WITH " + PRIOR + """, m AS (SELECT gameday, avg(points_team) AS mean, stddev_samp(points_team) AS sd FROM pre WHERE season < 2000 AND gameday <= 30 GROUP BY gameday)
