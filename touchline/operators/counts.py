@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -210,16 +212,22 @@ def cumulative(rows: DataFrame, columns: dict[str, str], top: int = 11) -> DataF
     return rows.withColumns({n: upto(n) for n in columns.values()}).drop(*[f"_{n}" for n in columns.values()])
 
 
-def below(distribution: str, u):
-    """Inverse distribution function: how many of F(0), F(1), ... lie below u."""
-    return F.size(F.filter(distribution, lambda c: c < u)).cast("long")
-
+def replicates(rated: DataFrame, draws: int, seed: int | None = None, top: int = 11) -> DataFrame:
+    """Predictive draws of the scores of rated matches: their columns with draw, h and a.
 
-def replicates(rated: DataFrame, draws: int, seed: int | None = None) -> DataFrame:
-    """Predictive draws of the scores of rated matches: their columns with draw, h and a."""
-    rows = cumulative(dealt(rated, "match_id"), {"lh": "_ch", "la": "_ca"}).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    A count is the number of F(0), ..., F(top) below a uniform number. All of it is plain columns and comparisons, which Spark compiles;
+    arrays and their lambdas would be interpreted for each draw.
+    """
+    sides, ks = {"h": "lh", "a": "la"}, range(top + 1)
+    p = lambda r, k: F.exp(F.lit(k) * F.ln(r) - F.col(r)) / math.factorial(k)
+    rows = dealt(rated, "match_id").withColumns({f"_p{n}{k}": p(r, k) for n, r in sides.items() for k in ks})
+    upto = lambda n, k: sum((F.col(f"_p{n}{j}") for j in range(1, k + 1)), F.col(f"_p{n}0"))
+    rows = rows.select(*rated.columns, *[upto(n, k).alias(f"_c{n}{k}") for n in sides for k in ks])
+    rows = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     u = [F.rand(seed + i) if seed is not None else S.uniform(F.col("match_id") * 2 + i, F.col("draw")) for i in (0, 1)]
-    return rows.withColumns({"h": below("_ch", u[0]), "a": below("_ca", u[1])}).drop("_ch", "_ca")
+    rows = rows.withColumns({f"_u{n}": x for n, x in zip(sides, u, strict=True)})
+    below = lambda n: sum((F.when(F.col(f"_c{n}{k}") < F.col(f"_u{n}"), 1).otherwise(0) for k in ks), F.lit(0)).cast("long")
+    return rows.select(*rated.columns, "draw", *[below(n).alias(n) for n in sides])
 
 
 def rootogram(rated: DataFrame, drawn: DataFrame, top: int, draws: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import scoring as S
 from touchline.operators.relational import dealt, quantiles, running
+from touchline.sources.scratch import kept
 
 
 def metrics(rows: DataFrame, *groups: str) -> DataFrame:
@@ -69,13 +70,13 @@ def joint_hits(rows: DataFrame, classes: int) -> DataFrame:
 def plausible(rows: DataFrame, count: str, limits: dict[int, float | None]) -> DataFrame:
     """Moments, quantiles and exceedances of simulated counts, from counts by value, and whether all exceedances are below their limits
     (None: no limit): the check of a prior by what it predicts."""
-    by = rows.groupBy(F.col(count).alias("v")).agg(F.count("*").alias("c"))
+    by = kept(rows.groupBy(F.col(count).cast("double").alias("v")).agg(F.count("*").alias("c")))  # the draws are made once
     n, ok = F.sum("c"), F.lit(True)
     above = {k: F.sum(F.when(F.col("v") > k, F.col("c")).otherwise(0)) / n for k in limits}
     for k, most in limits.items():
         ok = ok if most is None else ok & (above[k] < most)
-    q = quantiles(rows.select(F.col(count).cast("double").alias("v")), "v", [0.5, 0.9, 0.99, 0.999]).toDF("median", "q90", "q99", "q999")
-    one = by.agg((F.sum(F.col("v") * F.col("c")) / n).alias("mean"), F.max("v").alias("most"), *[x.alias(f"above_{k}") for k, x in above.items()], ok.alias("plausible"))
+    q = quantiles(by, "v", [0.5, 0.9, 0.99, 0.999], times="c").toDF("median", "q90", "q99", "q999")
+    one = by.agg((F.sum(F.col("v") * F.col("c")) / n).alias("mean"), F.max("v").cast(rows.schema[count].dataType).alias("most"), *[x.alias(f"above_{k}") for k, x in above.items()], ok.alias("plausible"))
     return one.crossJoin(q)
 
 

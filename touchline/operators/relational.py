@@ -64,10 +64,11 @@ def running(rows: DataFrame, order: str, values: list[str], totals: bool = False
     return out.drop("_part", *[f"_{v}_below" for v in values], *([] if totals else [f"{v}_all" for v in values]))
 
 
-def quantiles(rows: DataFrame, value: str, shares: list[float], groups: tuple[str, ...] = ()) -> DataFrame:
+def quantiles(rows: DataFrame, value: str, shares: list[float], groups: tuple[str, ...] = (), times: str | None = None) -> DataFrame:
     """Exact quantiles, linear between neighbours, as columns q0, q1, ... by group: ranks are picked from running counts by distinct
-    value, so no buffer holds the values of a group."""
-    by = rows.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_c"))
+    value, so no buffer holds the values of a group. A row counts once, or as often as its column `times` says."""
+    n = F.count("*") if times is None else F.sum(times)
+    by = rows.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(n.alias("_c"))
     by = running(by, value, ["_c"], totals=True, groups=groups)
     here = lambda k: F.when((F.col("_c_sum") - F.col("_c") <= k) & (k < F.col("_c_sum")), F.col(value).cast("double"))
     at = [F.lit(q) * (F.col("_c_all") - 1) for q in shares]
