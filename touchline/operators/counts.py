@@ -234,7 +234,9 @@ def rootogram(rated: DataFrame, drawn: DataFrame, top: int, draws: int) -> DataF
     """How often sides score 0..top goals, observed and over predictive draws (mean and 94 % band); other counts are left out."""
     times = lambda x, y, k: F.count_if(F.col(x) == k) + F.count_if(F.col(y) == k)
     seen = rated.agg(*[times("hg", "ag", k).alias(f"o{k}") for k in range(top + 1)])
-    by = drawn.groupBy("draw").agg(*[times("h", "a", k).alias(f"k{k}") for k in range(top + 1)])
+    scores = drawn.groupBy("draw", "h", "a").agg(F.count("*").alias("n"))  # a row a draw and score
+    here = lambda k: F.sum(F.col("n") * ((F.col("h") == k).cast("long") + (F.col("a") == k).cast("long")))
+    by = scores.groupBy("draw").agg(*[here(k).alias(f"k{k}") for k in range(top + 1)])
     rows = by.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("n")) for k in range(top + 1)])).alias("x")).select("x.*")  # top + 1 rows a draw
     rows = rows.groupBy("k").agg(F.avg("n").alias("mean"), F.percentile("n", F.lit(0.03)).alias("low"), F.percentile("n", F.lit(0.97)).alias("high"))
     one = F.element_at(F.array(*[F.col(f"o{k}") for k in range(top + 1)]), F.col("k") + 1)
