@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.operators import counts as C
 from touchline.operators import evaluation as E
+from touchline.operators import regression as P
 from touchline.operators import relational as R
 
 
@@ -47,3 +48,10 @@ def test_quantiles_of_repeated_values(spark):
     df = spark.createDataFrame([(1.0, 3), (2.5, 1), (7.0, 6)], "x double, k long")
     want = np.quantile(np.repeat([1.0, 2.5, 7.0], [3, 1, 6]), [0.1, 0.35, 0.5])
     assert np.allclose(list(R.quantiles(df, "x", [0.1, 0.35, 0.5], times="k").first()), want)
+
+
+def test_regression_steps_scan_rows_that_were_written_once(spark):
+    rows = spark.range(400).select((F.col("id") % 20).alias("group"), (F.col("id") % 3).alias("y"), F.array(F.lit(1.0), F.col("id") % 7 / 7.0).alias("x"))
+    rows, seen = counted(spark, rows, "group")
+    assert P.above_replacement(rows, 2, P.Prior.of(1.0, 1.0)).count() == 20
+    assert seen.value == 400

@@ -175,8 +175,9 @@ def without_each(rows: DataFrame, k: int, prior: Prior, large: float = 1 / 200)
     One aggregate by group keeps the first four derivatives of the log-likelihood as symmetric sums. A group's own sums are taken off the
     totals and the rest is solved inside the group's row, so there is no job and no scan for a group. What the series leaves out
     falls with the fourth power of the group's share of all rows. Groups of a share of `large` or more, 1 / large at most whatever the data,
-    go on with exact Newton steps over all rows, all groups in one scan a step.
+    go on with exact Newton steps over all rows, all groups in one scan a step. The rows are written once, so that a step only scans them.
     """
+    rows = kept(rows.select("group", "y", "x"))
     beta = poisson(rows, k, prior)
     y = F.col("y").cast("double")
     means = [F.count("*").alias("n"), F.sum(y).alias("y"), *[F.sum(F.col("x")[i]).alias(f"x{i}") for i in range(k)]]
