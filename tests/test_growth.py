@@ -3,10 +3,12 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from touchline.operators import counts as C
 from touchline.operators import evaluation as E
+from touchline.operators import ratings
 from touchline.operators import regression as P
 from touchline.operators import relational as R
 
@@ -55,3 +57,18 @@ def test_regression_steps_scan_rows_that_were_written_once(spark):
     rows, seen = counted(spark, rows, "group")
     assert P.above_replacement(rows, 2, P.Prior.of(1.0, 1.0)).count() == 20
     assert seen.value == 400
+
+
+@pytest.mark.parametrize("key", [[], ["league"]])
+def test_ratings_by_slices_of_time_are_those_of_one_fold(spark, key):
+    n = F.col("id")
+    games = spark.range(600).select(
+        n.alias("match_id"), F.concat(F.lit("L"), n % 3).alias("league"), F.floor(2000 + n / 150).cast("int").alias("season"),
+        F.when(n > 5, F.date_add(F.lit("2000-01-01").cast("date"), (n * 2 + n % 3).cast("int"))).alias("kick_off"), (n * 7 % 11).alias("home"), (n * 7 % 11 + 1 + n % 4).alias("away"),
+        F.when(n % 13 > 0, n % 4).alias("hg"), (n % 3).alias("ag"),
+    )
+    stored = ratings._standing(spark.createDataFrame([("L1", 3, 1500.0, 1999)], "league string, team long, elo double, seen int"))
+    rows = ratings._rows(games).unionByName(stored)
+    for rules in (ratings.Rules(), ratings.Rules(returning="ever", unplayed="frozen", resets=False)):
+        whole, sliced = (sorted(ratings._stream(rows, rules, key, at_once=k).collect()) for k in (10**6, 64))
+        assert len(whole) == 600 and whole == sliced

@@ -7,6 +7,7 @@ newcomer gets, whether matches without a score move ratings, and which seasons a
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -14,7 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.sources.scratch import kept
+
 RATED = "match_id long, league string, season int, home_elo double, away_elo double"
+#: What a fold of a slice gives: RATED, then rows without a match that hold a team's rating and the season it was last seen in.
+CARRIED = RATED + ", team long, elo double"
+#: Matches in a slice of time, which is what tasks sort and fold at once.
+AT_ONCE = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -75,8 +82,17 @@ class Ratings:
 
 
 def _folded(rules: Rules, apart: bool):
-    """Batches in order of league (if apart), time -> RATED. Rows with a team and an elo set that team's rating, and with a season when it was
+    """Batches in order of league (if apart), time -> CARRIED. Rows with a team and an elo set that team's rating, and with a season when it was
     last seen."""
+    kinds = (pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.float64())
+    names = [c.split()[0] for c in CARRIED.split(", ")]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    def standing(state: Ratings, league: str | None) -> list[tuple]:
+        return [(None, league, state.seen.get(t), None, None, t, v) for t, v in state.rating.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, league = Ratings(rules), None
@@ -84,16 +100,16 @@ def _folded(rules: Rules, apart: bool):
             out = []
             for name, season, match, home, away, hg, ag, team, elo in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if apart and name != league:
+                    out += standing(state, league)
                     state, league = Ratings(rules), name
                 if team is not None:
                     state.rating[team] = elo
                     if season is not None:
                         state.seen[team] = season
                 else:
-                    out.append((match, name, season, *state.play(season, home, away, hg, ag)))
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["match_id", "league", "season", "home_elo", "away_elo"])
+                    out.append((match, name, season, *state.play(season, home, away, hg, ag), None, None))
+            yield batch(out)
+        yield batch(standing(state, league))
 
     return run
 
@@ -106,10 +122,27 @@ def _rows(games: DataFrame) -> DataFrame:
     )
 
 
-def _stream(rows: DataFrame, rules: Rules, key: list[str]) -> DataFrame:
+def _fold(rows: DataFrame, rules: Rules, key: list[str]) -> DataFrame:
     order = [*key, F.col("kick_off").asc_nulls_first(), "match_id"]
     dealt = rows.repartition(*key) if key else rows.repartition(1)
-    return dealt.sortWithinPartitions(*order).drop("kick_off").mapInArrow(_folded(rules, bool(key)), RATED)
+    return dealt.sortWithinPartitions(*order).drop("kick_off").mapInArrow(_folded(rules, bool(key)), CARRIED)
+
+
+def _stream(rows: DataFrame, rules: Rules, key: list[str], at_once: int = AT_ONCE) -> DataFrame:
+    """One fold over all rows in time order. Beyond `at_once` matches they are cut into slices of time of that size at most, about equal;
+    a slice starts from the ratings that the one before left, a row a team. So what a task sorts does not grow with the history."""
+    matches = rows.where("match_id is not null")
+    slices = -(-matches.count() // at_once)
+    if slices <= 1:
+        return _fold(rows, rules, key).where("match_id is not null").drop("team", "elo")
+    time = [F.col("kick_off").asc_nulls_first(), "match_id"]
+    cut = kept(matches.repartitionByRange(slices, *time).withColumn("slice", F.spark_partition_id()))
+    state, done = rows.where("match_id is null"), []
+    for k in range(slices):
+        part = kept(_fold(cut.where(F.col("slice") == k).drop("slice").unionByName(state), rules, key))
+        state = _standing(part.where("match_id is null").select("league", "team", "elo", F.col("season").alias("seen")))
+        done.append(part.where("match_id is not null").drop("team", "elo"))
+    return functools.reduce(DataFrame.union, done)
 
 
 def elo(games: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -120,8 +153,8 @@ def elo(games: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def elo_global(games: DataFrame, rules: Rules = Rules(resets=False, unplayed="frozen")) -> DataFrame:
     """One chronological rating over all leagues. A match needs the outcome of those before it, so one task reads all of them.
 
-    The task streams: it holds a number per team, whatever the length of the history. Some 77,000 matches a second were measured
-    on a core that also had other work (300,000 matches), so ten million take about two minutes.
+    The task streams, slice by slice of time: it holds a number per team, and sorts AT_ONCE matches whatever the length of the history. Some
+    77,000 matches a second were measured on a core that also had other work (300,000 matches), so ten million take about two minutes.
     """
     return _stream(_rows(games.where("hg is not null")), rules, [])
 
