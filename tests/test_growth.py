@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline.operators import counts as C
+from touchline.operators import draws as D
 from touchline.operators import evaluation as E
 from touchline.operators import ratings
 from touchline.operators import regression as P
@@ -72,3 +73,30 @@ def test_ratings_by_slices_of_time_are_those_of_one_fold(spark, key):
     for rules in (ratings.Rules(), ratings.Rules(returning="ever", unplayed="frozen", resets=False)):
         whole, sliced = (sorted(ratings._stream(rows, rules, key, at_once=k).collect()) for k in (10**6, 64))
         assert len(whole) == 600 and whole == sliced
+
+
+def test_scores_of_tilted_forecasts(spark):
+    rng = np.random.default_rng(5)
+    p, beta, y = rng.dirichlet([1, 2, 3], 40), rng.normal(size=(40, 6)), rng.integers(0, 3, 40)
+    q = p[:, None] * np.exp(np.array([-1.0, 0.0, 1.0]) * beta[:, :, None])
+    q /= q.sum(axis=2, keepdims=True)
+    rows = [(i % 3, p[i].tolist(), int(y[i]), beta[i].tolist(), q[i].ravel().tolist()) for i in range(40)]
+    df = spark.createDataFrame(rows, "g long, p array<double>, y int, beta array<double>, q array<double>")
+    want = {r.g: r for r in D.posterior_scores(df.select("g", "y", F.col("q").alias("p")), ["g"], 3, 6).collect()}
+    for r in D.tilted_scores(df, ["g"], [-1.0, 0.0, 1.0], 6).collect():
+        assert r.n == want[r.g].n
+        assert all(np.allclose(r[c], want[r.g][c], atol=1e-12) for c in ("log_loss", "rps", "brier"))
+
+
+def test_scores_over_draws_reach_python_as_forecasts_and_effects(spark):
+    from touchline.plans.catalogue import QUERIES
+
+    text = plan(QUERIES["posterior_scores"](spark, "/root/testdata/sf0.001"))
+    assert "flatten(" not in text and "exp(" not in text.lower()
+
+
+def test_rows_of_a_key_are_gathered_but_no_frequent_key_in_one_task(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") < 3000, 0).otherwise(F.col("id") % 50).alias("k"), F.array(F.col("id") / 7.0).alias("x"))
+    got = D.gathered(rows, "k", "x", 4).select("k", F.spark_partition_id().alias("t")).groupBy("k", "t").count().collect()
+    assert sum(r["count"] for r in got) == 4000 and len(got) <= 50 * 4
+    assert max(r["count"] for r in got if r.k == 0) < 3000

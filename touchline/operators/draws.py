@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from touchline.functions import scoring as S
+from touchline.operators.relational import dealt
 from touchline.sources.scratch import kept
 
 #: What makes of some rows an array (rows, draws) for each name.
@@ -102,21 +103,53 @@ def sums_of(rows: DataFrame, keys: list[str], columns: list[str], draws: int) ->
     return summed(rows, keys, columns, columns, lambda b: [matrix(b, c) for c in columns], draws)
 
 
+def _scores(p: np.ndarray, came: np.ndarray) -> list[np.ndarray]:
+    """Log loss, RPS and Brier score of probabilities (rows, draws, classes), by row and draw."""
+    one = np.eye(p.shape[2])[came][:, None]
+    hit = np.take_along_axis(p, came[:, None, None].repeat(p.shape[1], 1), 2)[..., 0]
+    gaps = (np.cumsum(p, axis=2) - np.cumsum(one, axis=2))[..., :-1] ** 2
+    return [-np.log(np.maximum(hit, 1e-12)), gaps.sum(axis=2) / (p.shape[2] - 1), ((p - one) ** 2).sum(axis=2)]
+
+
+def _mean_scores(rows: DataFrame, keys: list[str], columns: list[str], make: Make, cells: int) -> DataFrame:
+    names = ["log_loss", "rps", "brier"]
+    got = summed(rows, keys, columns, names, make, cells)
+    return got.select(*keys, "n", *[F.transform(c, lambda x: x / F.col("n")).alias(c) for c in names])
+
+
 def posterior_scores(rows: DataFrame, keys: list[str], classes: int, draws: int) -> DataFrame:
     """Mean scores by draw of rows (keys, p, y): p has the class probabilities of all draws, one draw after the other, y is the class that
     came. By group arrays log_loss, rps and brier, one number a draw."""
+    make = lambda b: _scores(matrix(b, "p").reshape(b.num_rows, -1, classes), b.column("y").to_numpy().astype(int))
+    return _mean_scores(rows, keys, ["p", "y"], make, draws * classes)
 
-    def make(b: pa.RecordBatch) -> list[np.ndarray]:
-        p = matrix(b, "p").reshape(b.num_rows, -1, classes)
-        came = b.column("y").to_numpy().astype(int)
-        one = np.eye(classes)[came][:, None]
-        hit = np.take_along_axis(p, came[:, None, None].repeat(p.shape[1], 1), 2)[..., 0]
-        gaps = (np.cumsum(p, axis=2) - np.cumsum(one, axis=2))[..., :-1] ** 2
-        return [-np.log(np.maximum(hit, 1e-12)), gaps.sum(axis=2) / (classes - 1), ((p - one) ** 2).sum(axis=2)]
 
-    names = ["log_loss", "rps", "brier"]
-    got = summed(rows, keys, ["p", "y"], names, make, draws * classes)
-    return got.select(*keys, "n", *[F.transform(c, lambda x: x / F.col("n")).alias(c) for c in names])
+def tilted_scores(rows: DataFrame, keys: list[str], slopes: list[float], draws: int) -> DataFrame:
+    """posterior_scores of rows (keys, p, y, beta) whose class probabilities p are tilted by each draw of beta: times exp(slope * draw) by
+    class, made to sum to 1 again. The tilted ones exist only inside a block of rows."""
+
+    def make(b: pa.RecordBatch) -> list[np.ndarray]:
+        p, beta, came = matrix(b, "p"), matrix(b, "beta"), b.column("y").to_numpy().astype(int)
+        q = [p[:, k, None] * (np.exp(s * beta) if s else 1.0) for k, s in enumerate(slopes)]
+        whole = sum(q[1:], q[0])
+        loss, rps, brier = np.zeros_like(beta), np.zeros_like(beta), np.zeros_like(beta)
+        upto = np.zeros_like(beta)
+        for k, w in enumerate(q):  # class by class: contiguous arrays (rows, draws)
+            w, one = w / whole, (came == k)[:, None]
+            brier += (w - one) ** 2
+            upto += w
+            if k < len(q) - 1:
+                rps += (upto - (came <= k)[:, None]) ** 2
+            np.copyto(loss, w, where=one)
+        return [-np.log(np.maximum(loss, 1e-12)), rps / (len(q) - 1), brier]
+
+    return _mean_scores(rows, keys, ["p", "y", "beta"], make, draws)
+
+
+def gathered(rows: DataFrame, key: str, spread: str, parts: int = 16) -> DataFrame:
+    """Narrow rows with those of a key together, before each meets an array: tasks then hold few sums, and give few away. A key's rows are dealt
+    over `parts` tasks at most by a hash of `spread`, so that no task has all of a frequent one."""
+    return dealt(rows, key, F.pmod(F.hash(spread), F.lit(parts))).sortWithinPartitions(key)
 
 
 def banded(column: str, name: str, low: float = 0.05, high: float = 0.95, digits: int = 6) -> list:

@@ -35,7 +35,7 @@ def mirrored(rows: DataFrame) -> DataFrame:
     return rows.unionByName(other)
 
 
-def dealt(rows: DataFrame, *key: str) -> DataFrame:
+def dealt(rows: DataFrame, *key: Column | str) -> DataFrame:
     """Rows dealt out over all shuffle partitions, for narrow rows before work that takes far longer than moving them: a draw, a grid or
     many logarithms for each. Few files, or one, otherwise mean few tasks."""
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
