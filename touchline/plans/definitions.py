@@ -62,13 +62,11 @@ def interaction_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products of ratings, of short and long momentum, and the product that goes by the name of a difference."""
     games = T.games(spark, sf_dir)
     rows, key, order = features.pre_match(T.sides(games)), ["league", "season", "team"], ["kick_off", "match_id", "home_pitch"]
-    for name, half in (("short_team", 1.0), ("long_team", 8.0)):
-        rows = features.ewma(rows, "points_team", key, order, half, name)
-    rows = rows.select("match_id", "home_pitch", "team", "opp", "short_team", "long_team")
-    other = rows.select("match_id", F.col("team").alias("opp"), F.col("short_team").alias("short_opp"), F.col("long_team").alias("long_opp"))
+    rows = features.ewmas(rows, "points_team", key, order, {"short_team": 1.0, "long_team": 8.0}).select("match_id", "home_pitch", "short_team", "long_team")
+    rows = features.of_opponent(rows, {"short_team": "short_opp", "long_team": "long_opp"})
     elo = ratings.elo(games).select("match_id", "home_elo", "away_elo")
     home = F.col("home_pitch") == 1
-    rows = rows.join(other, ["match_id", "opp"]).join(elo, "match_id").withColumns(
+    rows = rows.join(elo, "match_id").withColumns(
         {"elo_team": F.when(home, F.col("home_elo")).otherwise(F.col("away_elo")), "elo_opp": F.when(home, F.col("away_elo")).otherwise(F.col("home_elo"))}
     )
     out = features.interactions(rows).withColumn("elo_team_opp", F.col("elo_team_opp") / 1e6)
