@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from touchline.operators import counts as C
 from touchline.operators import draws as D
 from touchline.operators import evaluation as E
-from touchline.operators import ratings
+from touchline.operators import features, ratings
 from touchline.operators import regression as P
 from touchline.operators import relational as R
 
@@ -100,3 +100,20 @@ def test_rows_of_a_key_are_gathered_but_no_frequent_key_in_one_task(spark):
     got = D.gathered(rows, "k", "x", 4).select("k", F.spark_partition_id().alias("t")).groupBy("k", "t").count().collect()
     assert sum(r["count"] for r in got) == 4000 and len(got) <= 50 * 4
     assert max(r["count"] for r in got if r.k == 0) < 3000
+
+
+def test_both_sides_of_a_match_come_from_one_window_and_few_sorts(spark):
+    from touchline.plans.catalogue import QUERIES
+
+    sorts = {n: plan(QUERIES[n](spark, "/root/testdata/sf0.001")).count(" Sort [") for n in ("interaction_features", "momentum", "player_windows")}
+    assert sorts["interaction_features"] <= 9 and sorts["momentum"] <= 9 and sorts["player_windows"] == 1
+
+
+def test_momentum_of_some_half_lives_at_once(spark):
+    n = F.col("id")
+    df = spark.range(1500).select(n.alias("i"), (n % 2).alias("k"), F.when(n % 11 > 0, (n % 17).cast("double")).alias("x"))
+    for halves in ({"a": 1.0, "b": 8.0}, {"a": 0.25, "b": 8.0}):
+        got = features.ewmas(df, "x", ["k"], ["i"], halves).orderBy("k", "i").toPandas()
+        for name, half in halves.items():
+            want = got.groupby("k").x.transform(lambda v, h=half: v.ewm(halflife=h, adjust=True, ignore_na=False).mean())
+            assert np.allclose(got[name], want, equal_nan=True, rtol=1e-12)
