@@ -117,3 +117,24 @@ def test_momentum_of_some_half_lives_at_once(spark):
         for name, half in halves.items():
             want = got.groupby("k").x.transform(lambda v, h=half: v.ewm(halflife=h, adjust=True, ignore_na=False).mean())
             assert np.allclose(got[name], want, equal_nan=True, rtol=1e-12)
+
+
+@pytest.mark.parametrize("kind", ["bent", "even", "few", "one"])
+def test_distance_from_uniform_looks_into_few_bins(spark, monkeypatch, kind):
+    rng = np.random.default_rng(7)
+    x = {"bent": rng.random(6000) ** 1.3, "even": rng.random(6000), "few": rng.integers(0, 4, 6000) / 3, "one": np.array([0.25])}[kind]
+    seen = []
+    whole = E.running
+    monkeypatch.setattr(E, "running", lambda rows, *a, **k: seen.append(rows.count()) or whole(rows, *a, **k))
+    got = E.ks_uniform(spark.createDataFrame([(float(v),) for v in x], "x double"), "x", 512).first()
+    s, n = np.sort(x), len(x)
+    last = np.searchsorted(s, s, "right") / n
+    first = np.searchsorted(s, s, "left") / n
+    assert got.n == n and abs(got.d - max((last - s).max(), (s - first).max())) < 1e-12
+    assert kind != "bent" or seen[0] < n / 10
+
+
+def test_ledgers_read_appearances_that_were_joined_once(spark):
+    from touchline.plans.catalogue import QUERIES
+
+    assert plan(QUERIES["player_ledger_merge"](spark, "/root/testdata/sf0.001")).count("lineitem.parquet") == 0

@@ -181,12 +181,28 @@ def golden(f, low: float, high: float, tolerance: float = 1e-8) -> float:
     return (low + high) / 2
 
 
-def ks_uniform(rows: DataFrame, value: str) -> DataFrame:
-    """Kolmogorov-Smirnov distance from the uniform law, from counts by distinct value and their running sums by value ranges."""
-    by = rows.groupBy(F.col(value).alias("x")).agg(F.count("*").alias("c"))
-    by = running(by, "x", ["c"], totals=True)
-    up, down = F.col("c_sum") / F.col("c_all") - F.col("x"), F.col("x") - (F.col("c_sum") - F.col("c")) / F.col("c_all")
-    return by.agg(F.max(F.greatest(up, down)).alias("d"), F.max("c_all").alias("n"))
+def ks_uniform(rows: DataFrame, value: str, bins: int = 1 << 14) -> DataFrame:
+    """Kolmogorov-Smirnov distance from the uniform law.
+
+    One scan counts the values by bins and keeps each bin's least and greatest, at which the distance is known. No value of a bin can
+    lie further off than its count allows; only bins that could hold more than the largest known distance are looked into, by counts by
+    distinct value and their running sums by value ranges. Nulls count among all rows, as the last ones.
+    """
+    x = F.col(value).cast("double")
+    at = F.when(F.isnan(x), bins).otherwise(F.floor(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)) * (bins - 1))).cast("int")
+    binned = rows.select(x.alias("x"), F.when(x.isNotNull(), at).otherwise(bins + 1).alias("bin"))
+    by = kept(binned.groupBy("bin").agg(F.count("*").alias("c"), F.min("x").alias("low"), F.max("x").alias("high")))  # a row a bin
+    upto = F.sum("c").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    all_ = F.sum("c").over(Window.partitionBy())
+    known = by.select("bin", "low", "high", (upto - F.col("c")).alias("below"), (upto / all_).alias("f1"), ((upto - F.col("c")) / all_).alias("f0"), all_.alias("n"))
+    known = kept(known)
+    least = known.agg(F.max(F.greatest(F.col("f1") - F.col("high"), F.col("low") - F.col("f0"))).alias("least"), F.max("n").alias("n"))
+    open_ = known.crossJoin(F.broadcast(least.select("least"))).where(F.greatest(F.col("f1") - F.col("low"), F.col("high") - F.col("f0")) > F.col("least"))
+    inside = binned.join(F.broadcast(open_.select("bin", "below", "n")), "bin").groupBy("bin", "x").agg(F.count("*").alias("c"), F.first("below").alias("below"), F.first("n").alias("n"))
+    inside = running(kept(inside), "x", ["c"], groups=("bin",))
+    to = F.col("below") + F.col("c_sum")
+    more = inside.agg(F.max(F.greatest(to / F.col("n") - F.col("x"), F.col("x") - (to - F.col("c")) / F.col("n"))).alias("more"))
+    return least.crossJoin(more).select(F.greatest("least", "more").alias("d"), "n")
 
 
 def ks_p_value(d: float, n: int) -> float:
