@@ -13,6 +13,7 @@ from touchline.plans.registry import query
 from touchline.plans.standings import PLAYER
 from touchline.sources import readers
 from touchline.sources import tables as T
+from touchline.sources.scratch import kept
 
 
 @query("""SELECT o_orderkey, concat(upper(substring(o_orderstatus, 1, 1)), ' ', 'Side') AS title, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS month, CAST(dayofyear(o_orderdate) AS INTEGER) AS doy FROM orders""")
@@ -105,6 +106,7 @@ SELECT coalesce(o.id_match, g.id_match) AS id_match, coalesce(o.name_player, g.n
 def player_ledger_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L2: forecasts of played matches become final (a third of the players had none); scorers without a forecast join with a null probability."""
     rows = features.player_goals(T.games(spark, sf_dir), T.lineup(spark, sf_dir), T.scorers(spark, sf_dir))
+    rows = kept(rows.select("match_id", "player", "goals"))  # appearances are joined once; what follows reads them three times
     key = [F.col("match_id").cast("string").alias("id_match"), F.col("player").cast("string").alias("name_player")]
     ledger = rows.where("player % 3 <> 0").select(
         *key, F.lit(0.5).alias("p"), F.lit("upcoming").alias("status"), F.lit("1").alias("forecast_frozen_at"), F.lit(None).cast("long").alias("actual_goals"),
