@@ -13,6 +13,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -129,6 +130,57 @@ def test_more_rules_than_16_bits(spark):
     assert (np.concatenate([table[at[s] : at[s] + count[s]] for s in symbols.tolist()]) == ids).all()
 
 
+def test_blocks_end_with_the_document_that_fills_them(spark, library):
+    """A block holds the documents up to `block` ids however many texts come at once: of the settings, not of the batches."""
+    texts = [f"word{k} other words here, and there! " * 20 for k in range(60)] + ["", None, "x y " * 900, "z"]
+    want = [len(e.ids) + 1 for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    rows = sorted(repair.compress(frame(spark, texts), repair.Settings(block=1500, least=4), shards=1).collect(), key=lambda r: r.before)
+    blocks, total = [[]], 0
+    for k, n in enumerate(want):
+        blocks[-1].append(k)
+        total += n
+        if total >= 1500 and k + 1 < len(want):
+            blocks.append([])
+            total = 0
+    assert len(rows) > 5 and [r.doc_ids for r in rows] == blocks and [r.n_tokens for r in rows] == [sum(want[k] for k in b) for b in blocks]
+
+
+def test_ids_of_chunks(library):
+    """Ids of many texts at once, again with what is known already, and where pieces go to the model one by one."""
+    texts = [t or "" for t in odd_texts(400)] + ["Über, straße! où? señor. a. b, ª: µ; don't I'll 3rd x\ny tab\tt end\n", "end ", "\n", "ÿþ À Á õ"]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    joined, alone = repair.Ids(PATH, 1 << 20), repair.Ids(PATH, 1)
+    assert joined.border is not None
+    alone.border = None
+    for of in (joined, alone):
+        for part in (slice(0, 200), slice(150, None), slice(0, None)):
+            ids, sizes = of.many(pa.array(texts[part], pa.string()))
+            assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want[part]
+
+
+def test_grammar_of_all_pairs_counted_again():
+    """Places left out of a round's count are never places of a frequent pair: every round replaces the pairs that a full count gives."""
+    rng = np.random.default_rng(3)
+    for alphabet, n in ((3, 2000), (40, 20_000)):
+        ids, last = rng.zipf(1.5, n).clip(1, alphabet) - 1, rng.random(n) < 0.02
+        last[-1] = True
+        settings = repair.Settings(least=8)
+        rules, _, _ = repair.grammar(ids, last, 50_257, settings)
+        symbols, ends, done = ids.copy(), last.copy(), 0
+        while done < len(rules):
+            keys, counts = np.unique((symbols[:-1] << 32 | symbols[1:])[~ends[:-1]], return_counts=True)
+            keys, counts = (x[counts >= max(8, settings.share * counts.max())] for x in (keys, counts))
+            at = np.flatnonzero(np.isin(symbols[:-1] << 32 | symbols[1:], keys) & ~ends[:-1])
+            k = np.searchsorted(keys, symbols[at] << 32 | symbols[at + 1])
+            chosen = repair._apart(at, counts[k])
+            at, k = at[chosen], k[chosen]
+            useful = np.flatnonzero(np.bincount(k, minlength=len(keys)) > 1)
+            assert [(a << 32) + b for a, b in rules[done : done + len(useful)].tolist()] == keys[useful].tolist()
+            at, k = at[np.isin(k, useful)], k[np.isin(k, useful)]
+            symbols[at], ends[at] = 50_257 + done + np.searchsorted(useful, k), ends[at + 1]
+            symbols, ends, done = np.delete(symbols, at + 1), np.delete(ends, at + 1), done + len(useful)
+
+
 def test_token_counts(spark):
     scores = token_trie.scores(public_tokenizers.path("piece_bpe_32k.model"), 10)
     byte = min(scores.values()) - 1
