@@ -155,3 +155,42 @@ def test_long_near_copies_and_a_template(spark):
     sets = {i: shingles(t, 5) for i, t in docs}
     linked = {i: [j for j in sets if j != i and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])] for i in sets}
     assert got == grouped(sets, linked) and got[3] == 0 and got[164] == 9 and got[165] == 154
+
+
+def test_embeddings_in_portions_write_no_row_for_each_pass(spark, monkeypatch):
+    """Some passes, found sets and pairs of blocks at a time: no table grows with the number of passes or with a component's blocks."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 32))
+    near = np.concatenate([c + 0.08 * rng.standard_normal((m, 32)) for c, m in zip(centres, [100, 30, *[3] * 38], strict=True)])
+    x = np.concatenate([near, rng.standard_normal((400, 32)), near[:9]]).astype(np.float32)
+    written, shuffled = [], []
+    whole = embed_dedup.settle
+    monkeypatch.setattr(embed_dedup, "settle", lambda df, *a: [out := whole(df, *a), written.append((out.count(), out.columns))][0])
+    settings = embed_dedup.Settings(window=128, block=64)
+    for name, value in {"side": 8, "together": 3, "few": 32}.items():  # set one by one: what these bound is tested, not their names
+        object.__setattr__(settings, name, value)
+    passes = embed_dedup.Settings.passes
+    monkeypatch.setattr(embed_dedup.Settings, "passes", lambda *a: [shuffled.append(passes(*a)), shuffled[-1]][1])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in embed_dedup.clusters(df, settings).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = u @ u.T >= 0.95
+    linked = {i: [j for j in np.flatnonzero(s[i]).tolist() if j != i] for i in range(len(x))}
+    assert sum(map(len, linked.values())) > 2000
+    assert {i: r.n_links for i, r in got.items()} == {i: len(v) for i, v in linked.items()}
+    assert {i: r.component_id for i, r in got.items()} == grouped(range(len(x)), linked)
+    assert shuffled[0] > 6 and max(written)[0] <= 2 * len(x), (shuffled, max(written))
+
+
+def test_what_is_discarded_is_gone_and_settings_return(spark):
+    from touchline.llm import common
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    kept, gone = common.settle(spark.range(5)), common.settle(spark.range(7))
+    with common.lean(spark):
+        common.discard(gone)
+    assert kept.count() == 5 and not spark.read.schema("id long").option("ignoreMissingFiles", "true").parquet(*kept.inputFiles()).isEmpty()
+    with pytest.raises(Exception, match="exist|FILE_NOT|PATH_NOT"):
+        spark.read.parquet(*gone.inputFiles()).count()
+    assert spark.conf.get(key, None) == before
