@@ -138,3 +138,28 @@ def test_ledgers_read_appearances_that_were_joined_once(spark):
     from touchline.plans.catalogue import QUERIES
 
     assert plan(QUERIES["player_ledger_merge"](spark, "/root/testdata/sf0.001")).count("lineitem.parquet") == 0
+
+
+def test_residuals_leave_draws_out_of_the_rows(spark):
+    """Medians over draws against plain loops; no row carries or sorts the draws, and odd rows count as before."""
+    beta = [[0.5, 1.0], [-0.25, 2.0], [1.5, -1.0], [0.0, 0.125]]
+    some = [(1, 2, [1.0, 0.5]), (1, 0, [0.0, 0.25]), (2, 1, [1.0, 0.75]), (2, None, [1.0, 0.5]), (3, 4, [0.0, None]), (4, 1, [1.0]), (4, 3, [1.0, 2.0, 3.0]), (5, 1, None), (None, 1, [0.0, 1.0]), (6, 0, [float("nan"), 0.0])]
+    rows = spark.createDataFrame(some, "player long, y long, x array<double>")
+    frame = lambda b: spark.createDataFrame([(b,)], "by_draw array<array<double>>")
+
+    def expected(beta):
+        by = {}
+        for p, y, x in some:
+            ok = y is not None and x is not None and len(x) == 2 and None not in x and not any(None in b for b in beta)
+            by.setdefault(p, []).extend([float(np.median([y - (x[0] * b[0] + x[1] * b[1]) for b in beta]))] if ok else [])
+        delta = {p: round(float(np.mean(v)), 9) if v else None for p, v in by.items()}
+        at = lambda v: -math.inf if v is None else math.inf if math.isnan(v) else v  # noqa: E731  no residual comes first, not a number last
+        return {p: (v, (sum(at(u) <= at(v) for u in delta.values()) - 1) / (len(delta) - 1)) for p, v in delta.items() if v is not None}
+
+    for b in (beta, beta[:3]):
+        out = C.above_replacement(rows, frame(b))
+        assert "by_draw" not in plan(out) and "array_sort" not in plan(out)
+        got, want = {r["player"]: (r["delta"], r["par"]) for r in out.collect()}, expected(b)
+        assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p], nan_ok=True) for p in got)
+    assert C.above_replacement(rows, frame([[1.0, None]])).collect() == []
+    assert C.above_replacement(rows, frame(beta).limit(0)).collect() == C.above_replacement(rows.limit(0), frame(beta)).collect() == []

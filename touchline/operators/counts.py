@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from touchline.functions import scoring as S
-from touchline.operators.draws import against_all, banded, matrix, summed, sums_of
+from touchline.operators.draws import CELLS, against_all, banded, matrix, summed, sums_of
 from touchline.operators.ladder import match_points
 from touchline.operators.relational import dealt, quantiles, running
 
@@ -173,13 +176,40 @@ def unseen(by_draw: DataFrame, n: int, offset: float, seed: int | None = None) -
     return player_bands(rows.select("key", F.transform("x", lambda x: x["eta"]).alias("eta"), F.transform("x", lambda x: x["deltas"]).alias("deltas")), offset)
 
 
+def _middle_residuals(by_draw: list[list[float | None]]):
+    """Blocks of (player, y, x0, x1, ...) -> the median over draws of y less the dot product of the factors and a draw's coefficients, null where
+    a factor or y is. Draws without all coefficients have no residual and come last, as nulls do."""
+    beta = np.array([b for b in by_draw if None not in b], float)
+    at = (len(by_draw) - 1) * 0.5
+    low = math.floor(at)
+    high, step = min(low + 1, len(by_draw) - 1), max(1, CELLS // max(1, len(by_draw)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(i, step) for whole in batches for i in range(0, whole.num_rows, step)):
+            y, *x = (c.to_numpy(zero_copy_only=False) for c in b.columns[1:])
+            none = np.any([c.is_null().to_numpy(zero_copy_only=False) for c in b.columns[1:]], axis=0)
+            mid = np.full(b.num_rows, np.nan)
+            if high < len(beta):
+                eta = np.zeros((b.num_rows, len(beta)))
+                for k, v in enumerate(x):
+                    eta += v[:, None] * beta[:, k]
+                r = np.sort(y[:, None] - eta, axis=1)
+                mid = r[:, low] + (r[:, high] - r[:, low]) * (at - low)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(mid, mask=none | (high >= len(beta)))], names=["player", "r"])
+
+    return run
+
+
 def above_replacement(rows: DataFrame, coefficients: DataFrame) -> DataFrame:
     """Share of the other players whose mean residual is at most a player's own: rows (player, y, x), x an array of factors, and one row
-    `by_draw` of coefficient arrays. Residuals take the median over draws inside a row, then the mean by player."""
-    dot = lambda b: F.aggregate(F.zip_with("x", b, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
-    rows = rows.crossJoin(F.broadcast(coefficients))
-    rows = rows.withColumn("r", F.array_sort(F.transform("by_draw", lambda b: F.col("y") - dot(b))))
-    by = rows.groupBy("player").agg(F.round(F.avg(S.quantile(F.col("r"), 0.5)), 9).alias("delta"))
+    `by_draw` of coefficient arrays. Residuals take the median over draws inside a block of rows, then the mean by player."""
+    one = coefficients.select("by_draw").first()
+    by_draw = one["by_draw"] if one else []
+    k = len(by_draw[0]) if by_draw else 0
+    factors = [F.when(F.size("x") == k, F.get("x", F.lit(i))).cast("double").alias(f"x{i}") for i in range(k)]
+    rows = (rows if one else rows.limit(0)).select("player", F.col("y").cast("double").alias("y"), *factors)
+    rows = rows.mapInArrow(_middle_residuals(by_draw), StructType([rows.schema["player"], StructField("r", DoubleType())]))
+    by = rows.groupBy("player").agg(F.round(F.avg("r"), 9).alias("delta"))
     counts = running(by.groupBy("delta").agg(F.count("*").alias("n")), "delta", ["n"], totals=True)
     share = F.try_divide(F.col("n_sum") - 1, F.col("n_all") - 1)
     return by.join(counts, "delta").select("player", "delta", share.alias("par"))
