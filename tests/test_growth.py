@@ -163,3 +163,30 @@ def test_residuals_leave_draws_out_of_the_rows(spark):
         assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p], nan_ok=True) for p in got)
     assert C.above_replacement(rows, frame([[1.0, None]])).collect() == []
     assert C.above_replacement(rows, frame(beta).limit(0)).collect() == C.above_replacement(rows.limit(0), frame(beta)).collect() == []
+
+
+def test_audit_of_appearances_moves_them_once(spark):
+    """Appearances go to their matches before they have anything of them, then once to the windows, which share a sort."""
+    from touchline.plans.catalogue import QUERIES
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # these tables are small
+    try:
+        text = plan(QUERIES["player_audit"](spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    checks = text[text.index("Window [") :]
+    assert checks.count("Exchange hashpartitioning") == 5  # to the windows; line-ups where they are grouped and to their matches; goals; matches
+    windows = checks[: checks.index("Join [")]
+    assert windows.count("Window [") == 3 and windows.count("Sort [") == 1
+
+
+@pytest.mark.parametrize("first", [False, True])
+def test_goals_join_in_either_order(spark, first):
+    """Line-ups without a match go, those without goals stay; nulls meet nothing, repeated matches repeat their rows."""
+    games = spark.createDataFrame([(1, "a", 10, 11), (1, "b", 10, 11), (2, None, 12, None), (None, "a", 1, 2)], "match_id long, league string, home long, away long")
+    lineup = spark.createDataFrame([(1, 7, 1, 0), (1, None, 0, 1), (2, 7, None, 0), (2, 8, 0, 0), (3, 7, 1, 0), (None, 7, 1, 0)], "match_id long, player long, home_pitch int, substitute_in int")
+    scorers = spark.createDataFrame([(1, 7, 44), (1, 7, 45), (1, None, 3), (2, 8, None), (None, 7, 5), (3, 9, 5)], "match_id long, player long, minute int")
+    got = features.player_goals(games, lineup, scorers, **({"goals_first": True} if first else {}))
+    assert got.columns == ["match_id", "player", "home_pitch", "substitute_in", "league", "home", "away", "goals", "first_half", "second_half", "minutes_left", "team"]
+    rows = sorted((tuple(r[c] for c in ("match_id", "league", "player", "team", "goals", "first_half", "second_half", "minutes_left")) for r in got.collect()), key=str)
+    assert rows == sorted([(1, x, 7, 10, 2, 1, 1, 45.5) for x in "ab"] + [(1, x, None, 11, 0, 0, 0, None) for x in "ab"] + [(2, None, 7, None, 0, 0, 0, None), (2, None, 8, None, 1, 0, 0, None)], key=str)
