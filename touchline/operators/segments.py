substitution_measures sums events by boundary, reading them once

Symptom: substitution_measures shuffled 5.9 MB on sf0.1's events, 59 and 61 MB (written, read) on ten times and 367 and 386 on sixty times as many matches: power 1.02 and 1.03 from ten to sixty; CPU 16.9 to 92.8 s, power 0.95. Its CPU did not grow faster than the data on these copies, its shuffle hardly.
Evidence: events were read and summed twice, every minute of every match went through 54 running sums and two joins; a task peaked at 218 MB on the largest copy.
Fix: all minutes before the first that can be a boundary are one row of a side; a match's rows then move once and show the trailing side and its boundaries by narrow windows, level matches go before the sums, rows are summed by boundary, and running sums go over boundaries alone. Two exchanges instead of seven, no join; unknown minutes and other sides count as before.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 546 -> 332 s, shuffle 0.41 -> 0.18 GB, spill 0.00 -> 0.00 GB, read 0.10 -> 0.06 GB, longest task 12 -> 14 s, most memory of a task 268 -> 173 MB; at 6 GB of input CPU 1129 -> 708 s, shuffle 2.46 -> 1.18 GB, spill 0.00 -> 0.00 GB, read 0.77 -> 0.42 GB, longest task 26 -> 30 s, most memory of a task 839 -> 570 MB; with hot keys, at 1 GB of input CPU 427 -> 347 s, shuffle 0.29 -> 0.14 GB, spill 0.00 -> 0.00 GB, read 0.10 -> 0.06 GB, longest task 9 -> 12 s, most memory of a task 201 -> 139 MB.

@@ -47,37 +47,49 @@ def around_substitutions(events: DataFrame, hour: int = 60, published_duels: boo
     match up to the boundary, the one after ends with the next boundary or the last minute; boundaries belong to neither. With
     `published_duels` duel_total after a boundary repeats the number before it, as in the definition these measures come from.
     """
-    names = list(measures())
-    by = events.groupBy("match_id", "side", "minute").agg(*[F.sum(m).alias(n) for n, m in measures().items()])
-    early = lambda side: F.sum(F.when((F.col("side") == side) & (F.col("minute") < hour), F.col("goals_scored")).otherwise(0.0)).cast("long")
-    late = (F.col("substitution_tactical") > 0) & (F.col("minute") >= hour)
-    subs = lambda side: F.collect_set(F.when((F.col("side") == side) & late, F.col("minute")))  # noqa: E731  minutes of a match at most
-    match = by.groupBy("match_id").agg(early(0).alias("g0"), early(1).alias("g1"), F.max("minute").alias("last"), subs(0).alias("s0"), subs(1).alias("s1"))
-    match = match.where("g0 <> g1").select(
-        "match_id", "last", F.when(F.col("g0") < F.col("g1"), 0).otherwise(1).alias("off"), F.least("g0", "g1").alias("score60_off"), F.greatest("g0", "g1").alias("score60_def"),
-        F.when(F.col("g0") < F.col("g1"), F.col("s0")).otherwise(F.col("s1")).alias("minutes"),
+    c, names, first = F.col, list(measures()), hour - 1
+    # No boundary lies before the minute before the hour: earlier and unknown minutes are one row of a side, which stands before all others.
+    at = F.when(c("minute") >= first, c("minute")).otherwise(first - 1).alias("at")
+    early = F.when(c("minute") < hour, measures()["goals_scored"]).otherwise(0.0)
+    by = events.where("match_id is not null").groupBy("match_id", "side", at).agg(*[F.sum(m).alias(n) for n, m in measures().items()], F.sum(early).alias("early"), F.max("minute").alias("last"))
+    by = by.repartition("match_id").sortWithinPartitions("match_id", "at")  # for all windows
+    match = Window.partitionBy("match_id")
+    late = (c("substitution_tactical") > 0) & (c("at") >= hour)
+    of = lambda side, x: F.when(c("side") == side, x)
+    by = by.withColumns(
+        {
+            **{f"g{k}": F.sum(of(k, c("early")).otherwise(0.0)).over(match).cast("long") for k in (0, 1)},
+            **{f"any{k}": F.max(of(k, late).otherwise(False)).over(match) for k in (0, 1)}, "last": F.max("last").over(match),
+        }
+    ).where("g0 <> g1")
+    by = by.withColumn("off", F.when(c("g0") < c("g1"), 0).otherwise(1))
+    # The boundary that a row lies at or after; the row of the last minute comes along without its sums, as the end of the last window.
+    passed = F.max(F.when((c("side") == c("off")) & late & (c("at") < c("last")), c("at"))).over(match.orderBy("at"))
+    opening = F.when((c("at") >= first) & (c("last") > first), F.lit(first))
+    by = by.withColumn("boundary", F.when(F.when(c("off") == 0, c("any0")).otherwise(c("any1")), passed).otherwise(opening))
+    roles = {"off": c("side") == c("off"), "def": c("side") == 1 - c("off")}
+    flags = {"open": c("at") < c("last"), "here": c("at") == c("boundary")}
+    by = by.withColumns({f"{role}_{k}": F.coalesce(who & when, F.lit(False)) for role, who in roles.items() for k, when in flags.items()})
+    total = lambda flag, n: F.sum(F.when(c(flag), c(n)).otherwise(0.0))
+    rows = by.groupBy("match_id", "boundary").agg(
+        *[F.first(x).alias(x) for x in ("off", "last")], F.first(F.least("g0", "g1")).alias("score60_off"), F.first(F.greatest("g0", "g1")).alias("score60_def"),
+        *[total(f"{role}_open", n).alias(f"t_{n}__{role}") for n in names for role in roles],
+        *[total(f"{role}_here", n).alias(f"o_{n}__{role}") for n in names for role in roles],
+    )
+    # Running sums over a match's boundaries: all before one, and from there up to the next.
+    w = match.orderBy("boundary")
+    sums = {f"b_{x}": F.coalesce(F.sum(f"t_{x}").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) for x in (f"{n}__{role}" for n in names for role in roles)}
+    rows = rows.withColumns({"next": F.coalesce(F.lead("boundary").over(w), "last"), **sums}).where("boundary is not null")
+
+    def windows(n: str, role: str) -> list[Column]:
+        x = f"{n}__{role}"
+        pre, post = c(f"b_{x}"), c(f"b_{x}") + c(f"t_{x}") - (c(f"b_{x}") + c(f"o_{x}"))
+        return [pre.alias(f"{x}__pre"), (pre if published_duels and n == "duel_total" else post).alias(f"{x}__post")]
+
+    return rows.select(
+        "match_id", c("boundary").alias("substitution_minute"), (c("next") - c("boundary")).alias("minutes_after"), "off", "score60_off", "score60_def",
+        *[x for n in names for role in roles for x in windows(n, role)],
     )
-    at = F.when(F.size("minutes") == 0, F.array(F.lit(hour - 1))).otherwise(F.array_sort(F.filter("minutes", lambda m: m < F.col("last"))))
-    match = match.withColumn("at", at).drop("minutes")
-    ends = match.where(F.size("at") > 0).select("match_id", F.explode(F.array_union("at", F.array("last"))).alias("minute"))
-    ends = ends.select("match_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), "minute", *[F.lit(0.0).alias(n) for n in names], F.lit(True).alias("end"))
-    rows = by.withColumn("end", F.lit(False)).unionByName(ends)
-    w = Window.partitionBy("match_id", "side").orderBy("minute")
-    before, upto = w.rangeBetween(Window.unboundedPreceding, -1), w.rangeBetween(Window.unboundedPreceding, 0)
-    run = rows.select("match_id", "side", "minute", "end", *[F.coalesce(F.sum(n).over(before), F.lit(0.0)).alias(f"b_{n}") for n in names], *[F.sum(n).over(upto).alias(f"u_{n}") for n in names])
-    run = run.where("end").withColumns({"next": F.lead("minute").over(w), **{f"n_{n}": F.lead(f"b_{n}").over(w) for n in names}})
-    run = run.join(match.select("match_id", "off", "score60_off", "score60_def", "at"), "match_id").where(F.array_contains("at", F.col("minute")) & F.col("next").isNotNull())
-
-    def windows(n: str) -> list[Column]:
-        pre, post = F.col(f"b_{n}"), F.col(f"n_{n}") - F.col(f"u_{n}")
-        post = pre if published_duels and n == "duel_total" else post
-        own = F.col("side") == F.col("off")
-        return [F.max(F.when(who, x)).alias(f"{n}__{role}__{part}") for role, who in (("off", own), ("def", ~own)) for part, x in (("pre", pre), ("post", post))]
-
-    out = run.groupBy("match_id", F.col("minute").alias("substitution_minute")).agg(
-        F.first(F.col("next") - F.col("minute")).alias("minutes_after"), *[F.first(c).alias(c) for c in ("off", "score60_off", "score60_def")], *[x for n in names for x in windows(n)]
-    )
-    return out
 
 
 RATES = {"passes": "passes_total", "shots": "shots_total", "goals": "goals_scored"}
