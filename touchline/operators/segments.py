substitution_measures: the module's text says what is summed by what

Symptom: the text of the module spoke of running sums over minutes.
Evidence: running sums go over a match's boundaries now.
Fix: two sentences of the text; no code.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 546 -> 332 s, shuffle 0.41 -> 0.18 GB, spill 0.00 -> 0.00 GB, read 0.10 -> 0.06 GB, longest task 12 -> 14 s, most memory of a task 268 -> 173 MB; at 6 GB of input CPU 1129 -> 708 s, shuffle 2.46 -> 1.18 GB, spill 0.00 -> 0.00 GB, read 0.77 -> 0.42 GB, longest task 26 -> 30 s, most memory of a task 839 -> 570 MB; with hot keys, at 1 GB of input CPU 427 -> 347 s, shuffle 0.29 -> 0.14 GB, spill 0.00 -> 0.00 GB, read 0.10 -> 0.06 GB, longest task 9 -> 12 s, most memory of a task 201 -> 139 MB.

@@ -1,7 +1,7 @@
 """What both sides did before and after each tactical substitution of the side that trails after an hour.
 
-All measures are summed by minute first. Running sums over a match's minutes then give every window as a difference between two
-boundaries, so no event meets a segment, however many substitutions there are.
+All measures are summed by minute first, then by the boundary that a minute lies at or after. Running sums over a match's boundaries then
+give every window as a difference between two of them, so no event meets a segment, however many substitutions there are.
 """
 
 from __future__ import annotations
